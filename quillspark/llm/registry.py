@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, knn, packing, sharding, simhash, token_files
+from . import decontaminate, knn, packing, sharding, simhash, suffixes, token_files
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_best_fit_packing,
         token_files.op2_token_binary_output,
+        suffixes.op3_suffix_array_dedup,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
         decontaminate.op8_benchmark_decontamination,
