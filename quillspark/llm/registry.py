@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, knn, packing, sharding, simhash, suffixes, token_files
+from . import decontaminate, html, knn, language, packing, quality, sharding, simhash, suffixes, token_files
 
 QUERIES = {
     f.__name__: f
@@ -12,8 +12,11 @@ QUERIES = {
         suffixes.op3_suffix_array_dedup,
         sharding.op4_sharding,
         simhash.op5_simhash_near_dedup,
+        quality.op6_quality_classifier,
+        html.op7_html_extraction,
         decontaminate.op8_benchmark_decontamination,
         knn.op9_exact_topk,
+        language.op10_language_id,
     )
 }
 ORACLES = {"op9_exact_topk": knn.OP9_SQL}
