@@ -1 +1 @@
-
+"""Planning: which branches, paths and repositories to work on."""
