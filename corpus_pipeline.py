@@ -29,21 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 50 bytes and more that also stand in a document with a smaller doc_id. A
-    character goes with its first byte cut; a document of which nothing is left goes."""
-    found = suffixes.dedup_substrings(docs.select("doc_id", "text"))
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    # Only documents that lose bytes meet their new text; the others keep their rows as they are.
-    cut = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), decoded("kept").alias("_text"))
-    cut = common.materialize(cut, "cut-texts")
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    text = F.when(F.col("_text").isNull(), F.col("text")).otherwise(F.col("_text"))
-    joined = joined.where(F.col("_text").isNull() | (F.trim("_text") != ""))
-    size = F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return joined.select(*(text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    character goes with any of its bytes; a document of which nothing is left goes."""
+    return suffixes.cut_documents(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: At least 8 bytes; parts are shorter.
 SIZE = 50
 PART = 20
 PACK_BYTES = 6 << 20
@@ -43,15 +46,23 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 # --- difference cover -------------------------------------------------------------------------
 
 
-def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Stable order of the keys, the name (rank among distinct ones, from 1) of each, their number."""
-    order = np.argsort(keys, kind="stable")
+def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The name (rank among distinct ones, from 1) of each key, and their number."""
+    order = np.argsort(keys)
     held = keys[order]
-    step = np.concatenate([[1], (held[1:] != held[:-1]).astype(np.int64)]) if len(keys) else np.zeros(0, np.int64)
+    rank = np.cumsum(np.concatenate([[True], held[1:] != held[:-1]])[: len(keys)])
     name = np.empty(len(keys), np.int64)
-    rank = np.cumsum(step)
     name[order] = rank
-    return order, name, int(rank[-1]) if len(rank) else 0
+    return name, int(rank[-1]) if len(rank) else 0
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """_names for pairs of numbers from 0; long ones are named before they are joined."""
+    wide = int(b.max(initial=0)).bit_length()
+    if int(a.max(initial=0)).bit_length() + wide > 62:
+        (a, _), (b, n) = _names(a), _names(b)
+        wide = n.bit_length()
+    return _names(a << wide | b)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -64,11 +75,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     wide = int(t.max()).bit_length()
     i12 = np.concatenate([np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)])  # one past the end keeps the halves apart
     if 3 * wide <= 62:
-        triples = (t[i12] << (2 * wide)) | (t[i12 + 1] << wide) | t[i12 + 2]
-        _, name, distinct = _names(triples)
+        name, distinct = _names((t[i12] << (2 * wide)) | (t[i12 + 1] << wide) | t[i12 + 2])
     else:
-        _, pair, _ = _names((t[i12] << wide) | t[i12 + 1]) if 2 * wide <= 62 else _pairs(t[i12], t[i12 + 1])
-        _, name, distinct = _pairs(pair, t[i12 + 2])
+        name, distinct = _pairs(_pairs(t[i12], t[i12 + 1])[0], t[i12 + 2])
     if distinct < len(i12) and depth > 3:
         # Each half read in order is the text in steps of three; a zero parts the halves.
         half = (n + 2) // 3
@@ -76,20 +85,20 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         below = below[below != half]
         order = np.where(below > half, below - 1, below)
     else:
-        order = np.argsort(name, kind="stable")
+        order = np.argsort(name)
     rank = np.zeros(n + 4, np.int64)
     rank[i12[order]] = np.arange(1, len(i12) + 1)
     s12 = i12[order]
     s12 = s12[s12 < n]
     i0 = np.arange(0, n, 3)
-    s0 = i0[np.lexsort((rank[i0 + 1], t[i0]))]
-    # Merge: for the rest, how many sampled suffixes of either kind come before.
     base = np.int64(len(i12) + 2)
+    s0 = i0[np.argsort(t[i0] * base + rank[i0 + 1])]
+    # Merge: for the rest, how many sampled suffixes of either kind come before.
     s1, s2 = s12[s12 % 3 == 1], s12[s12 % 3 == 2]
     # Suffixes equal as far as they are sorted may count either way; the running maximum keeps such
     # a group together, so the merge is right up to `depth` characters.
     c1 = np.searchsorted(np.sort(t[s1] * base + rank[s1 + 1]), t[s0] * base + rank[s0 + 1])
-    _, two, _ = _pairs(np.concatenate([t[s2], t[s0]]), np.concatenate([t[s2 + 1], t[s0 + 1]]))
+    two, _ = _pairs(np.concatenate([t[s2], t[s0]]), np.concatenate([t[s2 + 1], t[s0 + 1]]))
     c2 = np.searchsorted(np.sort(two[: len(s2)] * base + rank[s2 + 2]), two[len(s2) :] * base + rank[s0 + 2])
     out = np.empty(n, np.int64)
     at = np.arange(len(s0)) + np.maximum.accumulate(c1 + c2)
@@ -100,16 +109,6 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """_names for pairs of numbers."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    rank = np.cumsum(np.concatenate([[1], ((x[1:] != x[:-1]) | (y[1:] != y[:-1])).astype(np.int64)])) if len(a) else np.zeros(0, np.int64)
-    name = np.empty(len(a), np.int64)
-    name[order] = rank
-    return order, name, int(rank[-1]) if len(rank) else 0
-
-
 def smallest_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """data: bytes of contexts, each followed by a separator; starts: where strings of `size` bytes
     begin; owner: their doc_ids. For each, the smallest doc_id among equal strings."""
@@ -120,8 +119,11 @@ def smallest_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, size
     line = line[line >= 0]
     place = starts[line]
     same = np.ones(max(0, len(place) - 1), bool)
-    for k in range(size):
-        same &= data[place[1:] + k] == data[place[:-1] + k]
+    # Eight bytes at a time, the last ones ending with the string.
+    words = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
+    for k in [*range(0, size - 8, 8), size - 8]:
+        held = words[place + k]
+        same &= held[1:] == held[:-1]
     head = np.flatnonzero(np.concatenate([[True], ~same])) if len(place) else np.zeros(0, np.int64)
     out = np.empty(len(starts), np.int64)
     if len(place):
@@ -193,36 +195,39 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
 
 
 def pack_texts(docs: DataFrame, most: int = PACK_BYTES) -> DataFrame:
-    """Rows (g, ids, blob): some megabytes of documents each, in no special order."""
+    """Rows (g, blob): some megabytes of documents each, with all their columns, as compressed Arrow
+    streams in no special order."""
+    names = docs.columns
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = TaskContext.get().partitionId() << 32
-        ids, texts, total = [], [], 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(names.index("text"))), 0).to_pylist()
+            for lo, hi in common.batches(sizes, most):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(lo, hi - lo)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "blob"])
+                g += 1
 
-        def row() -> pd.DataFrame:
-            squeezed = zstandard.compress(b"".join(texts), 3)
-            index = _squeeze(np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64))
-            return pd.DataFrame({"g": [g], "ids": [index], "blob": [squeezed]})
+    return common.materialize(docs.mapInArrow(pack, "g long, blob binary"), "texts")
 
-        for frame in frames:
-            for doc, text in zip(frame["doc_id"], common.encode(frame["text"])):
-                if texts and total + len(text) > most:
-                    yield row()
-                    g += 1
-                    ids, texts, total = [], [], 0
-                ids.append(NO_ID if pd.isna(doc) else int(doc))
-                texts.append(text)
-                total += len(text)
-        if texts:
-            yield row()
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return common.materialize(plain.mapInPandas(pack, "g long, ids binary, blob binary"), "texts")
+def _table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
-def _unpack(ids: bytes, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc, sizes = _unsqueeze(ids)
-    return doc, common.offsets(sizes), np.frombuffer(zstandard.decompress(blob), np.uint8)
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, bounds and bytes of a packed row's texts."""
+    held = _table(blob)
+    doc = pc.fill_null(held["doc_id"], NO_ID).to_numpy().astype(np.int64)
+    text = pc.fill_null(held["text"], "").cast(pa.large_string()).combine_chunks()
+    text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+    cut = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    line = np.frombuffer(data, np.uint8)[cut[0] : cut[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return doc, cut - cut[0], line
 
 
 def _distinct(m: Minimizers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,8 +259,8 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
 
     def send_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for g, ids, blob in zip(frame["g"], frame["ids"], frame["blob"]):
-                doc, cut, data = _unpack(ids, blob)
+            for g, blob in zip(frame["g"], frame["blob"]):
+                doc, cut, data = _unpack(blob)
                 held, several, _ = _distinct(Minimizers(data, cut, size, part), doc)
                 bound = _bounds(held, n)
                 full = np.flatnonzero(np.diff(bound))
@@ -283,7 +288,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
     def contexts(left: pd.DataFrame, flags: pd.DataFrame):
         """The row's texts, minimizers of repeated hashes, and for each the place of its context
         among the row's distinct ones, which are sorted by hash and bytes' hash."""
-        doc, cut, data = _unpack(left["ids"].iloc[0], left["blob"].iloc[0])
+        doc, cut, data = _unpack(left["blob"].iloc[0])
         m = Minimizers(data, cut, size, part)
         held, _, place = _distinct(m, doc)
         bound = _bounds(held, n)
@@ -336,7 +341,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
         """doc_ids, bounds and bytes of a row, and which bytes are covered."""
         flags = told[told["kind"] == -1]
         if not len(flags):
-            doc, cut, data = _unpack(left["ids"].iloc[0], left["blob"].iloc[0])
+            doc, cut, data = _unpack(left["blob"].iloc[0])
             return doc, cut, data, np.zeros(len(data), bool)
         doc, cut, data, m, keep, own, first = contexts(left, flags)
         bound = _bounds(m.hash[first], n)
@@ -426,6 +431,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_b
     all. Rows with one doc_id do not cover each other; a null doc_id counts as the largest. Other
     columns are left out; an empty table gives no rows.
     """
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     packed, told, mark = repeated_spans(docs, size, part, pack_bytes)
 
     def out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -445,6 +451,36 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_b
     return packed.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(out, kind)
 
 
+def cut_documents(docs: DataFrame, size: int = SIZE, part: int = PART, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """docs with their columns, without the covered bytes of dedup_substrings in text, and with
+    n_chars, if they have it, counted anew where bytes went. A character goes if a byte of it does;
+    a document of which only white space is left goes, if it lost bytes."""
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    packed, told, mark = repeated_spans(docs, size, part, pack_bytes)
+    names = docs.columns
+
+    def out(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = _table(left["blob"][0].as_py())
+        doc, cut, data, covered = mark(left.to_pandas(), right.to_pandas())
+        text, stay = held["text"].to_pylist(), []
+        count = held["n_chars"].to_pylist() if "n_chars" in names else None
+        for i, (a, b) in enumerate(zip(cut, cut[1:])):
+            own = covered[a:b]
+            if own.any():
+                text[i] = data[a:b][~own].tobytes().decode("utf-8", "ignore")
+                if count is not None:
+                    count[i] = len(text[i])
+            stay.append(not own.any() or bool(text[i].strip()))
+        for name, values in (("text", text), ("n_chars", count)):
+            if values is not None:
+                at = names.index(name)
+                held = held.set_column(at, held.schema.field(at), pa.chunked_array([pa.array(values, held.schema.field(at).type)]))
+        return held.filter(pa.array(stay, pa.bool_()))
+
+    # Each packed row is a group; those without any finding pass through the same way.
+    return packed.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(out, docs.schema)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
