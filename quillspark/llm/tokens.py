@@ -37,6 +37,10 @@ class Encoder:
         self.words = told["normalizer"] is not None
         self.find = re.compile(WORD_PIECES if self.words else BYTE_PIECES).findall
         self.cache: dict[str, bytes] = {}
+        # Tokens that open a piece with a space, or close a word: they part words encoded in one go.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.words else t.startswith("\u0120"))]] = True
 
     def _plain(self, text: str) -> bool:
         """Whether re's classes split this text as the vocabulary's pattern does: they agree on
@@ -44,12 +48,24 @@ class Encoder:
         return text.isascii() or _KNOWN(text) is None
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        got = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(got.ids, "<u2")
-        of = np.asarray([-1 if w is None else w for w in got.word_ids], np.int64)
-        cut = np.searchsorted(of, np.arange(len(pieces) + 1)) * 2
-        raw, cut = ids.tobytes(), cut.tolist()
-        new = {p: raw[cut[i] : cut[i + 1]] for i, p in enumerate(pieces)}
+        """Ids of new pieces. Words with their space are encoded end to end, the rest one by one."""
+        plain = [p for p in pieces if (p if self.words else p[1:]).isalpha() and (self.words or p[0] == " ")]
+        new = {}
+        if plain:
+            text = (" " if self.words else "").join(plain)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(plain):
+                raise ValueError("the vocabulary does not part words as expected")
+            cut = np.append(0, at + 1) if self.words else np.append(at, len(ids))
+            raw, cut = ids.tobytes(), (cut * 2).tolist()
+            new = {p: raw[cut[i] : cut[i + 1]] for i, p in enumerate(plain)}
+        rest = [p for p in pieces if p not in new]
+        if rest:
+            got = self.tokenizer.encode(rest, is_pretokenized=True, add_special_tokens=False)
+            of = np.asarray([-1 if w is None else w for w in got.word_ids], np.int64)
+            raw, cut = np.asarray(got.ids, "<u2").tobytes(), (np.searchsorted(of, np.arange(len(rest) + 1)) * 2).tolist()
+            new |= {p: raw[cut[i] : cut[i + 1]] for i, p in enumerate(rest)}
         if len(self.cache) + len(new) <= CACHE:
             self.cache.update(new)
         return new
