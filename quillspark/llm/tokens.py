@@ -45,7 +45,7 @@ class Encoder:
     def _plain(self, text: str) -> bool:
         """Whether re's classes split this text as the vocabulary's pattern does: they agree on
         ASCII and on letters up to U+024F; any other text is encoded whole."""
-        return text.isascii() or _KNOWN(text) is None
+        return _KNOWN(text) is None
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces. Words with their space are encoded end to end, the rest one by one."""
