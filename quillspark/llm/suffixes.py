@@ -37,6 +37,7 @@ from . import common
 SIZE = 50
 PART = 20
 PACK_BYTES = 6 << 20
+BLOCK_BYTES = 64 << 10
 HASH_BITS = 48
 NO_ID = (1 << 63) - 1  # a null doc_id counts as larger than all others
 
@@ -140,12 +141,20 @@ class Minimizers:
     (`hash`), document index (`doc`), and the range of string starts it stands for (`low`, `high`)."""
 
     def __init__(self, data: np.ndarray, cut: np.ndarray, size: int, part: int):
-        n = len(data)
+        got = []
+        # Blocks of whole documents small enough for the processor's cache.
+        for a, b in common.batches(np.diff(cut).tolist(), BLOCK_BYTES):
+            at, h, doc, low, high = self._block(data[cut[a] : cut[b]], cut[a : b + 1] - cut[a], size, part)
+            got.append((at + cut[a], h, doc + a, low + cut[a], high + cut[a]))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        self.at, self.hash, self.doc, self.low, self.high = (np.concatenate(x) for x in zip(none, *got))
+
+    @staticmethod
+    def _block(data: np.ndarray, cut: np.ndarray, size: int, part: int) -> tuple[np.ndarray, ...]:
         lengths = np.diff(cut)
-        self.at = self.low = self.high = self.doc = np.zeros(0, np.int64)
-        self.hash = np.zeros(0, np.uint64)
-        if n < size or lengths.max(initial=0) < size:
-            return
+        if lengths.max(initial=0) < size:
+            none = np.zeros(0, np.int64)
+            return none, np.zeros(0, np.uint64), none, none, none
         # Hash of every k-byte part, from hashes of parts of half the length.
         h, have = (data.astype(np.uint64) + np.uint64(1)) * _MIX, 1
         while have < part:
@@ -165,9 +174,7 @@ class Minimizers:
         doc = np.repeat(np.arange(len(lengths)), count)
         at = (low[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-        self.at, self.doc, self.low = at[new], doc[new], begin[new]
-        self.high = begin[np.append(new[1:], len(begin)) - 1]
-        self.hash = h[self.at] & np.uint64((1 << HASH_BITS) - 1)
+        return at[new], h[at[new]] & np.uint64((1 << HASH_BITS) - 1), doc[new], begin[new], begin[np.append(new[1:], len(begin)) - 1]
 
 
 # --- packed rows ------------------------------------------------------------------------------
@@ -373,15 +380,18 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _context_hash(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """64-bit hash of each range of bytes."""
     sizes = high - low
-    if not len(sizes):
-        return np.zeros(0, np.uint64)
-    inside = np.arange(sizes.max(), dtype=np.uint64)
+    out = np.zeros(len(sizes), np.uint64)
+    inside = np.arange(sizes.max(initial=0), dtype=np.uint64)
     mult = (inside * np.uint64(2) + np.uint64(1)) * _MIX
     mult = (mult ^ mult >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    at = common.offsets(sizes)
-    term = (data[_ranges(low, sizes)].astype(np.uint64) + np.uint64(1)) * mult[np.arange(at[-1]) - np.repeat(at[:-1], sizes)]
-    term ^= term >> np.uint64(32)
-    return np.add.reduceat(term * _MIX, at[:-1])
+    for a in range(0, len(sizes), 1024):
+        own = sizes[a : a + 1024]
+        at = common.offsets(own)
+        place = np.arange(at[-1])
+        term = (data[np.repeat(low[a : a + 1024] - at[:-1], own) + place].astype(np.uint64) + np.uint64(1)) * mult[place - np.repeat(at[:-1], own)]
+        term ^= term >> np.uint64(32)
+        out[a : a + 1024] = np.add.reduceat(term * _MIX, at[:-1])
+    return out
 
 
 def _owner_runs(hashes: np.ndarray, sizes: np.ndarray, least: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
@@ -400,8 +410,15 @@ def _owner_runs(hashes: np.ndarray, sizes: np.ndarray, least: np.ndarray, data:
     alone = np.concatenate([[True], hk[1:] != hk[:-1]]) & np.concatenate([hk[1:] != hk[:-1], [True]])
     strings = sizes[first] - size + 1
     rows = [np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), strings[alone] - 1, low[alone]]
-    many = np.flatnonzero(~alone)
-    if len(many):
+    every = np.flatnonzero(~alone)
+    # Equal strings have one hash, so runs of whole hashes are sorted apart, as much at a time as the
+    # processor's cache holds.
+    group = np.flatnonzero(np.concatenate([[True], hk[every][1:] != hk[every][:-1]])[: len(every)])
+    total = np.add.reduceat(sizes[first[every]] + 1, group) if len(group) else group
+    edge = np.append(group, len(every))
+    parts = [tuple(rows)]
+    for lo, hi in common.batches(total.tolist(), 2 * BLOCK_BYTES):
+        many = every[edge[lo] : edge[hi]]
         # Contexts end to end, each followed by a separator that no UTF-8 text holds.
         wide = sizes[first[many]] + 1
         line = np.full(wide.sum(), 255, np.uint8)
@@ -413,7 +430,8 @@ def _owner_runs(hashes: np.ndarray, sizes: np.ndarray, least: np.ndarray, data:
         inside = starts - np.repeat(to, strings[many])
         head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (whose[1:] != whose[:-1])]))
         tail = np.append(head[1:], len(owner)) - 1
-        rows = [np.concatenate(x) for x in zip(rows, (whose[head], inside[head], inside[tail], owner[head]))]
+        parts.append((whose[head], inside[head], inside[tail], owner[head]))
+    rows = [np.concatenate(x) for x in zip(*parts)]
     order = np.argsort(rows[0], kind="stable")
     of_kind, first_s, last_s, owner = (x[order] for x in rows)
     # From kinds back to the contexts in the order in which they came.
