@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Item bytes in one automaton, which every executor holds; a larger benchmark takes several scans.
-PART_BYTES = 8 << 20
+#: Item bytes in one automaton, which every worker holds; a larger benchmark takes several scans. A
+#: byte of an item is in ten windows, so a part makes up to about 0.4 GB of automaton.
+PART_BYTES = 1 << 20
 
 _TO = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
