@@ -3,8 +3,8 @@
 Vectors are grouped by the nearest of a bounded number of pivots. A group's summary (size, radius)
 bounds every score that a query can reach in it: q.c = q.p + q.(c - p) <= q.p + |q| |c - p|. Each
 query is first solved in its own group, which gives its k-th best score so far; then it is sent to
-just those groups whose bound reaches that score. Large groups are cut into blocks, so a hot group
-does not stay in one task.
+just those groups whose bound reaches that score. Large groups are cut into blocks, of vectors and
+of the queries sent to them, so neither a hot group nor one with many queries stays in one task.
 """
 
 from __future__ import annotations
@@ -23,17 +23,17 @@ STEP = 256
 EVERY = 50
 #: Pivots: a bounded sample of the vectors, whatever their number.
 PIVOTS = 128
-#: Vectors in a block that one task solves.
+#: Vectors, and queries, in a block that one task solves.
 BLOCK = 4096
 EXACT = float(1 << 53)
 
 
 def quantize(vectors: DataFrame, step: int = STEP) -> DataFrame:
     """vec_id, q (array<long>): floor(step * x) of each component as double. Left out are vectors
-    that are null or have null or non-finite components."""
+    that are null or have null or non-finite components, and rows without a vec_id."""
     x = F.col("embedding").cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.select(F.col("vec_id").cast("long"), x.alias("embedding")).where(x.isNotNull() & good).select(
+    return vectors.select(F.col("vec_id").cast("long"), x.alias("embedding")).where(x.isNotNull() & good & F.col("vec_id").isNotNull()).select(
         "vec_id", F.transform("embedding", lambda v: F.floor(v * float(step))).alias("q")
     )
 
@@ -114,14 +114,19 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = P
     data = data.withColumn("block", F.pmod(F.xxhash64("vec_id"), cut[F.col("cell")]).cast("int"))
 
     def solve(sent: DataFrame) -> DataFrame:
-        """sent (vec_id, q, cell): each query against all blocks of the cell."""
-        each = F.explode(F.sequence(F.lit(0), cut[F.col("cell")] - 1)).alias("block")
-        sent = sent.where(cut[F.col("cell")].isNotNull()).select("vec_id", "q", "cell", each)
+        """sent (vec_id, q, cell), written: each query against all blocks of the cell."""
+        asking = {r["cell"]: -(-r["n"] // block) for r in sent.groupBy("cell").agg(F.count("*").alias("n")).collect() if r["cell"] in blocks}
+        if not asking:
+            return spark.createDataFrame([], "query_id long, vec_id long, score long")
+        share = F.create_map(*(F.lit(x) for c in asking.items() for x in c))[F.col("cell")]
+        turn = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = sent.where(share.isNotNull()).select("vec_id", "q", "cell", turn(cut[F.col("cell")]).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), share).cast("int").alias("part"))
+        right = data.where(share.isNotNull()).select("vec_id", "q", "cell", "block", turn(share).alias("part"))
 
         def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _best(left, right, k) if len(left) and len(right) else _best(left.head(0), right.head(0), k)
 
-        pairs = sent.groupBy("cell", "block").cogroup(data.groupBy("cell", "block"))
+        pairs = left.groupBy("cell", "block", "part").cogroup(right.groupBy("cell", "block", "part"))
         return pairs.applyInPandas(local, "query_id long, vec_id long, score long")
 
     home = common.materialize(_ranked(solve(asked), k), "home")
@@ -141,6 +146,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = P
         return pd.Series([index[g].astype(np.int32) for g in go])
 
     sent = asked.join(least, "vec_id", "left").select("vec_id", "q", F.explode(reach("q", "cell", F.col("least").cast("double"))).alias("cell"))
+    sent = common.materialize(sent, "sent")
     found = home.select("query_id", "vec_id", "score").unionByName(solve(sent))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
