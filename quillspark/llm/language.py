@@ -29,6 +29,13 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; the pattern also finds numbers such as \u00bd, so what it finds
+    first is looked at, and only if that is none the whole text."""
+    found = _LETTER.search(text) if isinstance(text, str) else None
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def _classes() -> np.ndarray:
     """Byte -> class: 0 padding, letters without case, space, digit, other ASCII, lead bytes, the
     rest one class each."""
@@ -189,7 +196,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def look(text: pd.Series) -> pd.DataFrame:
         net = told.value
-        plain = [t if isinstance(t, str) and _LETTER.search(t) else "" for t in text]
+        plain = [t if has_letter(t) else "" for t in text]
         if net is None:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(plain), "score": 0.0})
         label, score = net.predict(common.encode(plain))
