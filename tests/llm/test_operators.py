@@ -255,6 +255,10 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, net).count() == 0
 
 
+def test_has_letter():
+    assert [language.has_letter(t) for t in (None, "", "12 _ !", "\u00bd \u00b2 \u2167", "\u00bd a", "\u044f", "\u4e2d")] == [False] * 4 + [True] * 3
+
+
 def test_windows_cover_all_and_tables_agree():
     x, owner, used = language.windows([b"a" * 300, b"", b"b"])
     assert owner.tolist() == [0, 0, 2] and used.tolist() == [256, 44, 1]
@@ -317,15 +321,16 @@ def test_decontamination(spark, empty):
 def test_knn(spark):
     rng = np.random.default_rng(1)
     v = [rng.normal(size=6).round(2).tolist() for _ in range(300)] + [[0.5] * 6] * 40 + [[1.5, 2.0] + [0.0] * 4]
-    rows = [(i, x) for i, x in enumerate(v)] + [(900, None), (901, [1.0] * 5 + [None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(900, None), (901, [1.0] * 5 + [None]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6)]
     held = knn.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)))
     q = np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)
-    got = knn.knn_join(held, held.where("vec_id % 7 = 0"), 5, pivots=8, block=50).collect()
     want = []
     for i in range(0, len(v), 7):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(len(v)) if j != i)[:5]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    for block in (50, 7):  # the smaller one also cuts the queries of a group
+        got = knn.knn_join(held, held.where("vec_id % 7 = 0"), 5, pivots=8, block=block).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
     few = held.where("vec_id < 3")
     assert sorted((r["query_id"], r["rank"]) for r in knn.knn_join(few, few, 5).collect()) == [(i, r) for i in range(3) for r in (1, 2)]
     assert knn.knn_join(held.limit(0), held.limit(0)).count() == 0
