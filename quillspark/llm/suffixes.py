@@ -12,7 +12,8 @@ meet under the hash of one part, and the work is dealt out by these hashes:
    smallest doc_id that has them. A task sorts the suffixes of its contexts with the difference
    cover {1, 2} modulo 3: sampled triples get names, names are sorted recursively until they stand
    for `size` bytes, the remaining suffixes are merged in; adjacent suffixes with equal prefixes
-   then give each string's smallest doc_id.
+   then give each string's smallest doc_id. A hash with more contexts than HOT_BYTES is not sorted in
+   one task: its strings are sent one by one, once a row, and dealt out by the hash of the string.
 4. Each row marks the bytes covered by strings that start in a document with a smaller doc_id.
 
 No step drops anything: hashes that collide only send contexts that turn out to be different.
@@ -39,6 +40,11 @@ PART = 20
 PACK_BYTES = 6 << 20
 BLOCK_BYTES = 64 << 10
 HASH_BITS = 48
+#: A hash whose contexts may exceed this is split by string; a task then gets about so many strings.
+HOT_BYTES = 2 << 20
+HOT_STRINGS = 200_000
+#: Up to so many places of a hash in a packed row are not looked at for equal contexts.
+FEW = 16
 NO_ID = (1 << 63) - 1  # a null doc_id counts as larger than all others
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -185,7 +191,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     parts = [np.array([len(arrays)], "<i8").tobytes()]
     for a in arrays:
         parts += [a.dtype.str.encode().ljust(8), np.array([len(a)], "<i8").tobytes()]
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -246,6 +252,65 @@ def _distinct(m: Minimizers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return held, low != high, place
 
 
+def _kinds(m: Minimizers, data: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """How many contexts each distinct hash has here, at most: equal ones count once if there are many."""
+    count = np.bincount(place)
+    many = np.flatnonzero(count[place] > FEW)
+    if len(many):
+        h = _context_hash(data, m.low[many], m.high[many] + size)
+        order = np.lexsort((h, place[many]))
+        k, h = place[many][order], h[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+        count[k] = np.bincount(k[new], minlength=len(count))[k]
+    return count
+
+
+def _words(data: np.ndarray, size: int, step: int) -> list[np.ndarray]:
+    """The strings of `size` bytes that begin every `step` bytes, as numbers of eight bytes; the last ends with the string."""
+    n = max(0, (len(data) - size) // step + 1)
+    data = np.ascontiguousarray(data)
+    return [np.ndarray(n, "<u8", data, k, (step,)) if n else np.zeros(0, "<u8") for k in [*range(0, size - 8, 8), size - 8]]
+
+
+class Strings:
+    """The strings of some minimizers, for hashes that are split: where each begins (`start`), its
+    document index (`doc`) and its place among the row's distinct ones (`own`); of those, where one
+    begins (`first`), its hash (`hash`, sorted) and the smallest doc_id (`least`)."""
+
+    def __init__(self, data: np.ndarray, m: Minimizers, some: np.ndarray, doc: np.ndarray, size: int):
+        count = m.high[some] - m.low[some] + 1
+        self.start, self.doc = _ranges(m.low[some], count), np.repeat(m.doc[some], count)
+        h = _context_hash(data, self.start, self.start + size)
+        order = np.argsort(h, kind="stable")
+        at, h = self.start[order], h[order]
+        same = h[1:] == h[:-1]
+        for w in _words(data, size, 1):
+            same &= w[at[1:]] == w[at[:-1]]
+        new = np.concatenate([[True], ~same]) if len(at) else np.zeros(0, bool)
+        self.own = np.empty(len(at), np.int64)
+        self.own[order] = np.cumsum(new) - 1
+        self.first, self.hash = at[new], h[new]
+        self.least = np.full(len(self.first), NO_ID)
+        np.minimum.at(self.least, self.own, doc[self.doc])
+
+    def bounds(self, tasks: int) -> np.ndarray:
+        """Bounds among the distinct strings of the share of each task."""
+        return np.searchsorted((self.hash >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32), np.arange(tasks + 1, dtype=np.uint64))
+
+
+def _smallest(data: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
+    """data: strings of `size` bytes end to end; for each, the smallest of `least` among equal ones."""
+    words = _words(data, size, size)
+    order = np.lexsort(words)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for w in words:
+        same &= w[order[1:]] == w[order[:-1]]
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    out = np.empty_like(least)
+    out[order] = np.repeat(np.minimum.reduceat(least[order], head), np.diff(np.append(head, len(order))))
+    return out
+
+
 def _dealt(held: np.ndarray, n: int) -> np.ndarray:
     """Bounds in sorted hashes of n equal ranges of hashes."""
     return np.searchsorted(held, (np.arange(n + 1, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // n)))
@@ -257,7 +322,7 @@ def _bounds(held: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
+def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, hot_bytes: int = HOT_BYTES):
     """(packed texts, findings by g, function that marks a packed row's bytes); see dedup_substrings."""
     spark = docs.sparkSession
     packed = pack_texts(docs, pack_bytes)
@@ -268,16 +333,22 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
         for frame in frames:
             for g, blob in zip(frame["g"], frame["blob"]):
                 doc, cut, data = _unpack(blob)
-                held, several, _ = _distinct(Minimizers(data, cut, size, part), doc)
+                m = Minimizers(data, cut, size, part)
+                held, several, place = _distinct(m, doc)
+                count = _kinds(m, data, place, size)
                 bound = _bounds(held, n)
                 full = np.flatnonzero(np.diff(bound))
-                blobs = [_squeeze(np.diff(held[bound[b] : bound[b + 1]], prepend=np.uint64(0)), np.packbits(several[bound[b] : bound[b + 1]])) for b in full]
+                blobs = []
+                for b in full:
+                    own = slice(bound[b], bound[b + 1])
+                    more = np.flatnonzero(count[own] > 1)
+                    blobs.append(_squeeze(np.diff(held[own], prepend=np.uint64(0)), np.packbits(several[own]), more.astype(np.uint32), count[own][more].astype(np.uint32)))
                 yield pd.DataFrame({"b": full, "g": g, "blob": blobs})
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = [_unsqueeze(x) for x in frame["blob"]]
-        hashes = [np.cumsum(h, dtype=np.uint64) for h, _ in got]
-        several = np.concatenate([np.unpackbits(s)[: len(h)] for h, (_, s) in zip(hashes, got)]).astype(bool)
+        hashes = [np.cumsum(x[0], dtype=np.uint64) for x in got]
+        several = np.concatenate([np.unpackbits(x[1])[: len(h)] for h, x in zip(hashes, got)]).astype(bool)
         _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         # Rows are cut anywhere between documents, so two rows with a hash are two documents, unless
         # a doc_id occurs twice; that only sends contexts in vain.
@@ -285,36 +356,49 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
         again[place[several]] = True
         flags = again[place]
         cut = common.offsets([len(h) for h in hashes])
-        blobs = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
-        return pd.DataFrame({"g": frame["g"], "kind": -1, "b": frame["b"], "blob": blobs})
+        kinds = np.ones(len(place), np.int64)
+        for a, x in zip(cut, got):
+            kinds[a + x[2].astype(np.int64)] = x[3]
+        hot = (again & (np.bincount(place, kinds) * (2 * size - part + 1) > hot_bytes))[place]
+        blobs = [np.packbits(flags[a:b]).tobytes() + np.flatnonzero(hot[a:b]).astype("<u4").tobytes() for a, b in zip(cut, cut[1:])]
+        strings = [int(kinds[a:b][hot[a:b]].sum()) * (size - part + 1) for a, b in zip(cut, cut[1:])]
+        return pd.DataFrame({"g": frame["g"], "kind": -1, "b": frame["b"], "blob": blobs, "strings": strings})
 
     kind = "g long, kind int, b int, blob binary"
     sent = packed.mapInPandas(send_hashes, "b int, g long, blob binary")
-    flags = common.materialize(sent.groupBy("b").applyInPandas(answer, kind), "flags")
+    flags = common.materialize(sent.groupBy("b").applyInPandas(answer, f"{kind}, strings long"), "flags")
+    # Tasks for the strings of split hashes; they come after the n ranges.
+    tasks = max(1, -(-(flags.agg(F.sum("strings")).first()[0] or 0) // HOT_STRINGS))
+    flags = flags.drop("strings")
 
     def contexts(left: pd.DataFrame, flags: pd.DataFrame):
         """The row's texts, minimizers of repeated hashes, and for each the place of its context
-        among the row's distinct ones, which are sorted by hash and bytes' hash."""
+        among the row's distinct ones, which are sorted by hash and bytes' hash. The strings of split
+        hashes are apart."""
         doc, cut, data = _unpack(left["blob"].iloc[0])
         m = Minimizers(data, cut, size, part)
         held, _, place = _distinct(m, doc)
         bound = _bounds(held, n)
-        again = np.zeros(len(held), bool)
+        again, hot = np.zeros(len(held), bool), np.zeros(len(held), bool)
         for b, blob in zip(flags["b"], flags["blob"]):
-            again[bound[b] : bound[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8))[: bound[b + 1] - bound[b]]
-        keep = np.flatnonzero(again[place])
+            bits = -(-(bound[b + 1] - bound[b]) // 8)
+            again[bound[b] : bound[b + 1]] = np.unpackbits(np.frombuffer(blob[:bits], np.uint8))[: bound[b + 1] - bound[b]]
+            if len(blob) > bits:
+                hot[bound[b] + np.frombuffer(blob[bits:], "<u4").astype(np.int64)] = True
+        strings = Strings(data, m, np.flatnonzero(hot[place]), doc, size)
+        keep = np.flatnonzero((again & ~hot)[place])
         h = _context_hash(data, m.low[keep], m.high[keep] + size)
         order = np.lexsort((h, m.hash[keep]))
         k, h = m.hash[keep][order], h[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
         own = np.empty(len(keep), np.int64)
         own[order] = np.cumsum(new) - 1
-        return doc, cut, data, m, keep, own, keep[order][new]
+        return doc, cut, data, m, keep, own, keep[order][new], strings
 
     def send_contexts(left: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(flags):
             return pd.DataFrame({"b": [], "g": [], "blob": []})
-        doc, _, data, m, keep, own, first = contexts(left, flags)
+        doc, _, data, m, keep, own, first, strings = contexts(left, flags)
         least = np.full(len(first), NO_ID)
         np.minimum.at(least, own, doc[m.doc[keep]])
         bound = _bounds(m.hash[first], n)
@@ -324,10 +408,24 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
             sizes = m.high[own] + size - m.low[own]
             raw = data[_ranges(m.low[own], sizes)]
             rows.append((b, left["g"].iloc[0], _squeeze(np.diff(m.hash[own], prepend=np.uint64(0)), sizes.astype(np.uint32), least[bound[b] : bound[b + 1]], raw)))
+        bound = strings.bounds(tasks)
+        for b in np.flatnonzero(np.diff(bound)):
+            at = strings.first[bound[b] : bound[b + 1]]
+            raw = data[_ranges(at, np.full(len(at), size))]
+            rows.append((n + b, left["g"].iloc[0], _squeeze(strings.least[bound[b] : bound[b + 1]], raw)))
         return pd.DataFrame(rows, columns=["b", "g", "blob"])
 
     def owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = [_unsqueeze(x) for x in frame["blob"]]
+        if key[0] >= n:
+            least = np.concatenate([x[0] for x in got])
+            found = _smallest(np.concatenate([x[1] for x in got]), least, size)
+            blobs = []
+            cut = common.offsets([len(x[0]) for x in got])
+            for a, b, x in zip(cut, cut[1:], got):
+                less = np.flatnonzero(found[a:b] < x[0])
+                blobs.append(_squeeze(less.astype(np.uint32), found[a:b][less]))
+            return pd.DataFrame({"g": frame["g"], "kind": 2, "b": frame["b"], "blob": blobs})
         hashes = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
         sizes = np.concatenate([x[1] for x in got]).astype(np.int64)
         least = np.concatenate([x[2] for x in got])
@@ -350,7 +448,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
         if not len(flags):
             doc, cut, data = _unpack(left["blob"].iloc[0])
             return doc, cut, data, np.zeros(len(data), bool)
-        doc, cut, data, m, keep, own, first = contexts(left, flags)
+        doc, cut, data, m, keep, own, first, strings = contexts(left, flags)
         bound = _bounds(m.hash[first], n)
         found = [(bound[b], _unsqueeze(x)) for b, k, x in zip(told["b"], told["kind"], told["blob"]) if k == 1]
         edge = np.zeros(len(data) + 1, np.int64)
@@ -367,6 +465,14 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int):
             run, who = run[smaller], who[smaller]
             np.add.at(edge, m.low[who] + low[run], 1)
             np.add.at(edge, m.low[who] + high[run] + size, -1)
+        least, bound = strings.least.copy(), strings.bounds(tasks)
+        for b, k, x in zip(told["b"], told["kind"], told["blob"]):
+            if k == 2:
+                less, to = _unsqueeze(x)
+                least[bound[b - n] + less.astype(np.int64)] = to
+        start = strings.start[least[strings.own] < doc[strings.doc]]
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + size, -1)
         return doc, cut, data, np.cumsum(edge)[:-1] > 0
 
     return packed, flags.unionByName(runs), mark
@@ -440,7 +546,7 @@ def _owner_runs(hashes: np.ndarray, sizes: np.ndarray, least: np.ndarray, data:
     return [np.repeat(np.arange(len(kind)), b - a), first_s[run], last_s[run], owner[run]]
 
 
-def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_bytes: int = PACK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal runs of covered bytes), kept (binary:
     the remaining bytes of the UTF-8 text).
 
@@ -450,7 +556,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_b
     columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed, told, mark = repeated_spans(docs, size, part, pack_bytes)
+    packed, told, mark = repeated_spans(docs, size, part, pack_bytes, hot_bytes)
 
     def out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):

@@ -204,6 +204,36 @@ def test_substrings(docs, empty, pack_bytes):
     assert suffixes.dedup_substrings(empty).count() == 0
 
 
+def test_substrings_of_a_common_phrase(spark, docs):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    ends = [word(35) for _ in range(4)]
+    rows = [(i, word(45) + ends[i % 4][: 5 + i % 31] + " one phrase in all texts " + ends[i % 3][: i % 36] + word(45)) for i in range(300)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    want = plain_spans(listed(held), 50)
+    assert sum(x[2] > 0 for x in want) > 100
+    for hot in (2000, 0):
+        got = suffixes.dedup_substrings(held, pack_bytes=5000, hot_bytes=hot).collect()
+        assert sorted([(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in got], key=str) == want
+
+
+def test_strings_of_a_split_hash_go_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_STRINGS", 500, raising=False)
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 45))
+    line = "".join(rng.choice(list("abcdefghij"), 2000))
+    at = int(suffixes.Minimizers(np.frombuffer(line.encode(), np.uint8), np.array([0, 2000]), 2000, 20).at[0])
+    phrase = line[at : at + 20]  # its hash is smaller than those around it
+    rows = [(i, word() + phrase + word()) for i in range(400)]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    # No string repeats; unsplit, all contexts of the phrase are in one task.
+    _, told, _ = suffixes.repeated_spans(held, 50, 20, 5000, 5000)
+    tasks = {r["b"] for r in told.where("kind = 2").select("b").collect()}
+    assert len(tasks) > 5
+    whole = told.where("kind = 1").selectExpr("b", "blob").collect()
+    assert sum(len(suffixes._unsqueeze(bytes(r["blob"]))[0]) for r in whole) < 200
+
+
 def test_cut_documents_keeps_columns(docs, empty):
     held = docs.withColumn("n_chars", F.length("text").cast("long"))
     got = suffixes.cut_documents(held, pack_bytes=500)
