@@ -26,9 +26,12 @@ PATH_DIM, WORD_DIM, HIDDEN = 12, 6, 16
 SAMPLE = 600
 EPOCHS = 12
 
-_RAW = r"script|style|noscript|template|textarea|iframe|svg|math|object|title"
+# Elements without text for readers. math and object are not among them: what they hold is shown.
+_RAW = r"script|style|noscript|template|textarea|iframe|title"
+# svg may be empty (<svg/>); one that is never closed hides nothing.
+_SVG = r"<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?</svg\s*>)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|{_SVG}|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )

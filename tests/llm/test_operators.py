@@ -314,6 +314,17 @@ def test_html_blocks():
     assert html.blocks("") == html.blocks("<script>x") == [] and html.blocks("a < b")[0][1] == "a < b"
 
 
+def test_html_elements_that_hide_no_text():
+    told = lambda page: [t for _, t, _ in html.blocks(page)]
+    assert told('<article><p>A <svg class="i"/> b</p><p>rest</p></article>') == ["A b", "rest"]
+    assert told('<p>a<svg data-x="1>2"/>b</p><p>c<svg><title>t</title><path d="x"/></svg>d</p>') == ["ab", "cd"]
+    assert told("<p>a<svg><path></p><p>rest</p>") == ["a", "rest"]
+    for name in ("title-bar", "svg-icon", "template-card", "script-box", "svg:x"):
+        assert told(f"<p>a <{name}>b</{name}> c</p><p>rest</p>") == ["a b c", "rest"], name
+    assert told("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p><object data='f'>fallback</object></p><p>u <math/> v</p>") == ["so x=2 holds", "fallback", "u v"]
+    assert told("<script>a</script-x>b</script ><p>c</p><title>d</title x><p>e</p><TEMPLATE>f</template>") == ["c", "e"]
+
+
 def test_html_extraction(spark):
     bodies = ["Short.", "A longer paragraph of text that goes on for a while, as they do.", "Middle sized words, here."]
     rows = [(i, PAGE.replace("Second &eacute;.", "</p><p>".join(bodies[(i + k) % 3] for k in range(1 + i % 5)))) for i in range(120)]
