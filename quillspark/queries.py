@@ -311,7 +311,7 @@ def q_recent_commits(spark, sf_dir):
 
 def status(spark, sf_dir):
     when = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
-    n = lambda kind: F.least(F.count_if(F.col("event_type") == kind), F.lit(100)).alias
+    n = lambda kind: F.count_if(F.col("event_type") == kind).alias
     held = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.max("ts").alias("a"), when("purchase").alias("c"), n("signup")("open_pull_requests"), n("error")("open_issues")
     )

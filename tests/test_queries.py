@@ -29,3 +29,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_counts_of_a_hot_user_are_whole(spark, tmp_path):
+    events = spark.sql("select 1L user_id, if(id < 150, 'error', 'signup') event_type, timestamp_ntz'2024-01-01 00:00:00' ts from range(270)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("select 1L c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["q_compare_status"](spark, f"{tmp_path}").first()
+    assert (found["open_issues"], found["open_pull_requests"]) == (150, 120)
+    total = QUERIES["q_compare_summary"](spark, f"{tmp_path}").first()
+    assert (total["open_issues"], total["open_pull_requests"]) == (150, 120)
