@@ -117,22 +117,28 @@ def dedup_hits(scored: DataFrame, keyword: DataFrame) -> DataFrame:
 
 
 def fuse(hits: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal rank fusion and the best `limit` of each query."""
+    """Reciprocal rank fusion and the best `limit` of each query. A hit without a semantic score has
+    its keyword rank alone."""
     by_meaning = Window.partitionBy("query_id").orderBy(F.desc(F.round("semantic", 9)), "chunk_id")
-    ranked = hits.withColumn("semantic_rank", F.row_number().over(by_meaning))
-    score = 1 / (RRF_K + F.col("semantic_rank")) + F.coalesce(1 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
-    ranked = ranked.withColumn("score", score).withColumn("matched_by", F.when(F.col("keyword_rank").isNull(), "semantic").otherwise("both"))
+    ranked = hits.withColumn("semantic_rank", F.when(F.col("semantic").isNotNull(), F.row_number().over(by_meaning)))
+    score = F.coalesce(1 / (RRF_K + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
+    matched = F.when(F.col("keyword_rank").isNull(), "semantic").when(F.col("semantic").isNull(), "keyword").otherwise("both")
+    ranked = ranked.withColumn("score", score).withColumn("matched_by", matched)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc(F.round("semantic", 9)), "chunk_id")
     return ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 5, repo: str | None = None, branch: str | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 5, repo: str | None = None, branch: str | None = None, vectors_only: bool = False) -> DataFrame:
     """query_id, position, repo, alias, branches, path, heading, score (5 places), semantic_score (4
-    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id."""
+    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id. A chunk without a vector (null) is found
+    by its words alone, unless vectors_only; one of another dimension is of another model and no hit."""
     keyed = chunks.withColumn("content_hash", F.sha2("content", 256)) if "content_hash" not in chunks.columns else chunks
     scope = in_scope(keyed, repo, branch)
     keyword = keyword_ranks(bm25(queries, keyed, postings(keyed)), scope)
     scored = semantic_scores(queries, scope.where(F.col("embedding").isNotNull()).drop("content"))
+    if not vectors_only:
+        bare = keyword.join(scope.where(F.col("embedding").isNull()), "chunk_id").withColumn("semantic", F.lit(None).cast("double"))
+        scored = scored.unionByName(bare.select(scored.columns))
     best = fuse(dedup_hits(scored, keyword), limit)
     return best.select(
         "query_id", "position", "repo", "alias", "branches", "path", "heading", F.round("score", 5).alias("score"),

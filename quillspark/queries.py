@@ -226,7 +226,8 @@ FROM po WHERE position <= 5"""
 
 
 def _hybrid(spark, sf_dir, branch=None):
-    hits = search.hybrid_search(questions(spark, sf_dir), embedded(spark, sf_dir), branch=branch)
+    """As its SQL says, only documents with a vector are hits here; hybrid_search finds the others too."""
+    hits = search.hybrid_search(questions(spark, sf_dir), embedded(spark, sf_dir), branch=branch, vectors_only=True)
     return hits.select("query_id", "position", "repo", "path", F.array_join("branches", ",").alias("branches"), "score", "semantic_score", "keyword_rank", "matched_by")
 
 

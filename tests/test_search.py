@@ -51,6 +51,15 @@ def test_scope_and_dimension(spark, chunks):
     assert len(search.hybrid_search(ask(spark, "pago"), chunks, repo="", branch="").collect()) == 4
 
 
+def test_chunks_without_vector_are_found_by_their_words(spark):
+    rows = [*ROWS, (6, "o/c", "c", "main", "docs/w.md", "Pago", "pago pago pago tarjeta", None), (7, "o/c", "c", "main", "docs/v.md", "Otros", "nada", None)]
+    held = spark.createDataFrame(rows, SCHEMA)
+    hits = {h["chunk_id"]: h for h in search.hybrid_search(ask(spark, "pago tarjeta"), held, limit=9).collect()}
+    assert set(hits) == {1, 3, 4, 5, 6}
+    assert (hits[6]["matched_by"], hits[6]["keyword_rank"], hits[6]["semantic_score"], hits[6]["score"]) == ("keyword", 1, None, round(1 / 61, 5))
+    assert hits[1]["matched_by"] == "both" and hits[5]["matched_by"] == "semantic"
+
+
 def test_no_terms_leaves_meaning_alone(spark, chunks):
     assert {h["matched_by"] for h in search.hybrid_search(ask(spark, "de la el"), chunks).collect()} == {"semantic"}
 
