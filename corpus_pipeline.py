@@ -20,11 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document with the smallest doc_id. Rows without a
-    doc_id stay if no row of their class has one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """Keeps of each class of near duplicates one row: that with the smallest doc_id, null last; of
+    several rows with it, that with the smallest hash of the text, then any."""
+    rows = common.materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_salt": F.xxhash64("text")}), "rows")
+    found = simhash.near_duplicates(rows, carry=("_row", "_salt"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_salt", "_row")).alias("first")
+    kept = found.groupBy("class").agg(first).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

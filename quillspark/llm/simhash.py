@@ -162,22 +162,23 @@ def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int = 4) -> Da
     return copies.repartition(n, "choice", "key").mapInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, fp (long), component_id (smallest doc_id reachable over links of
     at most `budget` bits, itself included).
 
     Null and empty texts have fingerprint zero, which links like any other. A null doc_id gets the
-    smallest non-null doc_id of its component, null if there is none. Equal rows stay separate.
+    smallest non-null doc_id of its component, null if there is none. Equal rows stay separate. With
+    names of columns to carry, these and `class` (one fingerprint for each component) come too.
     Copies meet in a map-side aggregate; a frequent fingerprint is split by Spark's skew join.
     """
-    rows = common.materialize(docs.select(F.col("doc_id").cast("long"), fingerprint(F.col("text").cast("string")).alias("fp")), "fingerprints")
+    rows = common.materialize(docs.select(F.col("doc_id").cast("long"), fingerprint(F.col("text").cast("string")).alias("fp"), *carry), "fingerprints")
     prints = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = connected_components(link_fingerprints(prints.select("fp"), budget, blocks)).withColumnRenamed("node", "fp")
     linked = common.materialize(prints.join(roots, "fp"), "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    moved = linked.join(least, "root").select("fp", "least")
-    classes = common.materialize(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    moved = linked.join(least, "root").select("fp", "least", "root")
+    classes = common.materialize(prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("class")), "classes")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *((*carry, "class") if carry else ()))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

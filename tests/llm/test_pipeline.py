@@ -38,3 +38,13 @@ def test_stages(spark):
     assert set(packed["doc_id"]) == {r["doc_id"] for r in docs.collect()}
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
     assert cp.run(spark, DATA).count() == len(packed)
+
+
+def test_one_row_of_each_class_stays(spark):
+    one, two, three = ("%s " % w * 9 + "and the end of it" for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one), (1, one), (2, one), (None, two), (None, two), (None, three), (1, three), (4, three), (5, "only this"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = cp.near_dedup(spark, docs, DATA)
+    assert got.columns == docs.columns
+    held = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str)
+    assert held == sorted([(1, one), (None, two), (1, three), (5, "only this"), (None, "")], key=str)
