@@ -12,7 +12,6 @@ and not by the corpus. Spark counts the lengths, ranks the pieces within their l
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,38 +77,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         made.append((times, used))
 
 
-def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
-    """Token pieces of each document: doc_id, piece, start, length, ids_crc32 and, with keep_ids,
-    ids (array). Null and empty texts have the end id alone; a text of more than `capacity` ids is
-    cut into pieces of that length, the last one shorter. Other columns are left out."""
+def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+    """Token pieces of each document: doc_id, piece, start, length and ids (binary: little-endian
+    unsigned 32-bit ids). Null and empty texts have the end id alone; a text of more than `capacity`
+    ids is cut into pieces of that length, the last one shorter. Other columns are left out."""
     path = common.tokenizer_path(tokenizer)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.encoder(path)
         for frame in frames:
-            out = []
             texts = ["" if not isinstance(t, str) else t for t in frame["text"]]
             for lo, hi in common.batches([len(t) for t in texts], 2_000_000):
+                out = []
                 for doc, ids in zip(frame["doc_id"].iloc[lo:hi], encoder.ids(texts[lo:hi])):
                     ids = np.append(ids, END_ID).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()))
-                        out.append((*row, part.astype(np.int32)) if keep_ids else row)
-                if len(out) > 20_000:
-                    yield _frame(out, keep_ids)
-                    out = []
-            yield _frame(out, keep_ids)
-
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, kind)
-
+                        out.append((doc, piece, start, len(part), part.tobytes()))
+                made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"])
+                yield made.astype({"doc_id": "Int64"})
 
-def _frame(rows: list, keep_ids: bool) -> pd.DataFrame:
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    frame = pd.DataFrame(rows, columns=names)
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    return frame
+    kind = "doc_id long, piece int, start long, length long, ids binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, kind)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -118,23 +107,26 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Rows of one length are interchangeable; their ranks come from a window over (length, salt),
     where the salt spreads a frequent length over all partitions, plus prefix sums of the counts.
     Rows are read twice, so the input should be a written table. Full pieces fill a sequence each.
+    All columns come along; where rows has a column sequence_id or offset, the new one gets underscores
+    in front.
     """
+    salt, row, base, rank, at_, sequence, offset = (common.fresh(rows, x) for x in ("_salt", "_row", "_base", "_rank", "_at", "sequence_id", "offset"))
     spark = rows.sparkSession
     salts = 8 * common.parallelism(spark)
     order = [c for c in ("doc_id", "piece", "start") if c in rows.columns]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order, F.lit(11)), F.lit(salts)).cast("int"))
-    sums = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    bases = common.materialize(counted.withColumn("_base", F.coalesce(F.sum("_n").over(sums), F.lit(0))), "length-counts")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*order, F.lit(11)), F.lit(salts)).cast("int"))
+    sums = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    counted = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    bases = common.materialize(counted.withColumn(base, F.coalesce(F.sum("n").over(sums), F.lit(0))), "length-counts")
     # At most `capacity` rows reach the driver.
-    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     made = plan(histogram, capacity)
     place = spark.sparkContext.broadcast(_places(made))
-    within = Window.partitionBy("length", "_salt").orderBy(*order)
+    within = Window.partitionBy("length", salt).orderBy(*order)
     ranked = (
-        salted.withColumn("_row", F.row_number().over(within))
-        .join(bases.select("length", "_salt", "_base"), ["length", "_salt"])
-        .withColumn("_rank", F.col("_base") + F.col("_row") - 1)
+        salted.withColumn(row, F.row_number().over(within))
+        .join(bases.select("length", salt, base), ["length", salt])
+        .withColumn(rank, F.col(base) + F.col(row) - 1)
     )
 
     @F.pandas_udf("struct<sequence_id: long, offset: long>")
@@ -145,8 +137,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         r, n = rank.to_numpy(np.int64) - first[i], length.to_numpy(np.int64)
         return pd.DataFrame({"sequence_id": bin_[i] + r // copies[i], "offset": inside[i] + r % copies[i] * n})
 
-    put = ranked.withColumn("_at", at("length", "_rank"))
-    return put.select(*rows.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    put = ranked.withColumn(at_, at("length", rank))
+    return put.select(*rows.columns, F.col(f"{at_}.sequence_id").alias(sequence), F.col(f"{at_}.offset").alias(offset))
 
 
 def _places(made: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
@@ -162,12 +154,14 @@ def _places(made: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(sorted(rows), np.int64).reshape(-1, 5).T)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
-    """Tokenize, cut and pack: the columns of pieces() with sequence_id and offset. An empty table
-    gives no rows; repeated rows are packed as often as they occur; a null doc_id stays null."""
-    return pack(common.materialize(pieces(docs, tokenizer, capacity, keep_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
+    """Tokenize, cut and pack: the columns of pieces(), ids among them, with sequence_id and offset. An
+    empty table gives no rows; repeated rows are packed as often as they occur; a null doc_id stays
+    null; other columns of docs, whatever their names, are left out."""
+    return pack(common.materialize(pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_ids=False)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """All documents in sequences of 2048 tokens; the checksum is that of the packed ids."""
+    packed = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
