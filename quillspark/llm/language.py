@@ -21,9 +21,9 @@ from . import common
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled documents to learn from, for each language, about; and characters taken from each.
-SAMPLE = 1200
-EXCERPT = 1000
+#: Bounds of what is learned from: documents of each language, and bytes of their whole texts.
+SAMPLE = 800
+SAMPLE_BYTES = 1_500_000
 EPOCHS = 5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -161,36 +161,26 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Network | None:
-    """Learn from about `sample` labelled documents of each language, chosen by a hash of doc_id
-    among those not held out, and an excerpt of each from a place that the hash names. Only that
-    reaches the driver. None without labelled texts."""
+def train(docs: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Network | None:
+    """Learn from the whole texts of up to `rows` labelled documents and `size` bytes of each language
+    (see common.sample), held-out ones and those without a doc_id left out: every window of theirs,
+    also the short ones. None without labelled texts."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    own = own.where(F.col("lang").isNotNull() & ~common.held_out())
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    draw = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 40))
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 40) * min(1.0, sample / n)))))
-    room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
-    cut = F.substring("text", (draw(2) % room + 1).cast("int"), F.lit(excerpt))
-    got = own.where((draw(1) < rate[F.col("lang")]) & (F.length("text") > 0)).select("doc_id", "lang", cut.alias("text")).toPandas()
-    got = got.sort_values(["doc_id", "text"], kind="stable")  # the same model wherever rows lie
+    got = common.sample(own.where(~common.held_out()), "doc_id", "text", "lang", rows, size)
     if not len(got):
         return None
-    labels = sorted(got["lang"].unique())
-    x, owner, used = windows(common.encode(got["text"]))
-    y = np.searchsorted(labels, got["lang"].to_numpy())[owner]
-    full = used >= WINDOW // 4
+    labels = sorted(got["by"].unique())
+    x, owner, _ = windows(common.encode(got["text"]))
     net = Network(labels)
-    net.train(x[full] if full.any() else x, y[full] if full.any() else y)
+    net.train(x, np.searchsorted(labels, got["by"].to_numpy())[owner])
     return net.prepare()
 
 
-def identify(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs, whose columns stay, with `language`: (lang_pred, score). Null texts and texts without a
-    letter get und and 0, and so does every text if there was nothing to learn from. Rows keep their
-    places; each whole text is read."""
+def identify(docs: DataFrame, net: Network | None, into: str = "language") -> DataFrame:
+    """docs, whose columns stay, with a column `into`: (lang_pred, score). If there is one of
+    that name, the new one gets underscores in front (common.fresh). Null texts and texts without a letter get und and 0, and so does
+    every text if there was nothing to learn from. Rows keep their places; each whole text is read."""
+    into = common.fresh(docs, into)
     told = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
@@ -202,10 +192,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
         label, score = net.predict(common.encode(plain))
         return pd.DataFrame({"lang_pred": [net.labels[i] if i >= 0 else UNKNOWN for i in label], "score": score})
 
-    return docs.withColumn("language", look(F.col("text").cast("string")))
+    return docs.withColumn(into, look(F.col("text").cast("string")))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, with whether it was held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select(F.col("doc_id").cast("long"), "text"), train(docs))
     return found.select("doc_id", common.held_out().alias("held_out"), "language.*")
