@@ -1,7 +1,8 @@
 """Quality classifier with supervised subword embeddings, in numpy.
 
-Every word, every character n-gram (within a word and its borders) and the distance of every word to
-the same word before it, if near, are hashed to rows of an embedding table; a document is the average of its rows, and a softmax layer over it gives the label.
+Every word, every pair of neighbouring words and every character n-gram (within a word and its borders)
+are hashed to rows of an embedding table; pairs of a word with itself share one row, whichever word it
+is. A document is the average of its rows, and a softmax layer over it gives the label.
 Rows and layer are trained together by stochastic gradient descent. Average and layer are linear, so
 a text is scored by one number for each row: its share of the difference of the two logits.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,22 +20,22 @@ from .language import softmax
 BUCKETS = 1 << 17
 DIMENSION = 8
 GRAMS = (3, 4, 5)
-#: Words between which a repeat counts as near.
-NEAR = 64
-#: Labelled documents to learn from, about, and characters taken from each.
-SAMPLE = 4000
-EXCERPT = 1500
+#: Bounds of what is learned from: documents of each label, and bytes of their whole texts.
+SAMPLE = 2000
+SAMPLE_BYTES = 3_000_000
 EPOCHS = 5
 THRESHOLD = 0.7
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Stands for any pair of equal words.
+REPEAT = np.uint32(0x51ED270B)
 _PRIME = np.uint32(0x01000193)
 
 
 def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (rows, places in the joined texts, ascending) of n-grams of each size and of words; the
-    last pair holds the bounds of the texts, twice. Texts are framed by spaces."""
+    """Pairs (rows, places in the joined texts, ascending) of n-grams of each size, of words
+    and of word pairs; the last pair holds the bounds of the texts, twice. Texts are framed by spaces."""
     line = np.frombuffer(b" " + b"  ".join(texts) + b" " * 8, np.uint8)
     space = _SPACE[line]
     bounds = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])]) if texts else np.zeros(1, np.int64)
@@ -63,16 +64,12 @@ def features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         total = np.add.reduceat(mixed * np.uint32(0x165667B1), start, dtype=np.uint32)
         word = (total ^ total >> np.uint32(13)) * np.uint32(0xC2B2AE35)
         out.append((word >> np.uint32(15), start))
-        doc = np.searchsorted(bounds, start, side="right").astype(np.uint64)
-        key = doc << np.uint64(32) | word
-        order = np.argsort(key, kind="stable")
-        again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-        gap = order[again + 1] - order[again]
-        near = gap <= NEAR
-        at = order[again + 1][near]
-        back = np.argsort(at)
-        level = np.frexp(gap[near][back].astype(np.float64))[1].astype(np.uint32)
-        out.append((level * np.uint32(0x9E3779B1) >> np.uint32(15), start[at[back]]))
+        # Word pairs, within one text.
+        doc = np.searchsorted(bounds, start, side="right")
+        pair = (word[:-1] * np.uint32(0x85EBCA6B) ^ word[1:]) * np.uint32(0x9E3779B1)
+        pair[word[1:] == word[:-1]] = REPEAT
+        inside = doc[1:] == doc[:-1]
+        out.append((((pair ^ pair >> np.uint32(15)) * np.uint32(0xC2B2AE35) >> np.uint32(15))[inside], start[:-1][inside]))
     out.append((bounds, bounds))
     return out
 
@@ -138,28 +135,27 @@ class Classifier:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Classifier:
-    """Learn from about `sample` labelled documents, chosen by a hash of doc_id among those not held
-    out, each by an excerpt from a place that the hash names. Only that reaches the driver, and the
-    chosen ids, about `sample`, are all that is broadcast. Null labels are left out; a classifier
-    without labels gives 0.5."""
-    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(F.col("quality").isin(0, 1) & ~common.held_out())
-    n = own.count()
-    draw = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 40))
-    chosen = own.where(draw(1) < int((1 << 40) * min(1.0, sample / max(1, n))))
-    text = F.col("text").cast("string")
-    room = F.greatest(F.length(text) - excerpt, F.lit(0)) + 1
-    cut = F.substring(text, (draw(2) % room + 1).cast("int"), F.lit(excerpt))
-    read = docs.select(F.col("doc_id").cast("long"), cut.alias("text"))
-    got = read.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], kind="stable")
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Classifier:
+    """Learn from the whole texts of up to `rows` labelled documents and `size` bytes of each label
+    (see common.sample), held-out ones and those without a doc_id left out. Labels other than 0 and 1
+    are left out; a classifier without labels gives 0.5. Only ids of the sample are broadcast."""
+    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    own = own.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out()).distinct()
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    chosen = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * rows).drop("rank")
+    chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), own.schema)  # 4 * rows at most
+    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    got = common.sample(read, "doc_id", "text", "quality", rows, size)
     if not len(got):
         return Classifier()
-    return Classifier().train(common.encode(got["text"]), got["quality"].to_numpy(np.int64))
+    return Classifier().train(common.encode(got["text"]), got["by"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs, whose columns stay, with `score`: the probability of label 1, of each whole text. Null
-    counts as empty; a text without words gets the score of the bias. Rows keep their places."""
+def score(docs: DataFrame, model: Classifier, into: str = "score") -> DataFrame:
+    """docs, whose columns stay, with a column `into`: the probability of label 1, of each whole text. If there is one of
+    that name, the new one gets underscores in front (common.fresh). Null counts as empty; a text without words
+    gets the score of the bias. Rows keep their places."""
+    into = common.fresh(docs, into)
     told = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     @F.pandas_udf("double")
@@ -168,10 +164,11 @@ def score(docs: DataFrame, model: Classifier) -> DataFrame:
         model.weight, model.bias = told.value
         return pd.Series(model.scores(common.encode(text)))
 
-    return docs.withColumn("score", look(F.col("text").cast("string")))
+    return docs.withColumn(into, look(F.col("text").cast("string")))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, with whether it was held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = score(docs, model)
