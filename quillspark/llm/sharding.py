@@ -1,5 +1,7 @@
 """Uniform shuffle into shards of exact sizes, with DataFrame functions only.
 
+The driver draws the small matrix of counts; rows never meet Python.
+
 Rows lie in source partitions of known sizes. How many rows each partition sends to each shard is
 drawn beforehand: the communication matrix of a uniform permutation follows the multivariate
 hypergeometric law, so each partition draws from what the shards still lack. Then every partition
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,31 +24,27 @@ SEED = 20_26
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: random.Random) -> int:
-    """Number of good ones among `draws` without replacement; exact for any size. It inverts the
-    distribution from its mode outwards, in steps of the order of the standard deviation."""
+    """Number of good ones among `draws` without replacement, for any size.
+
+    Probabilities relative to the mode are products of exact ratios of neighbours; they are taken
+    twelve standard deviations to either side, beyond which less than 1e-30 is left, added up and
+    inverted. So no large logarithms cancel, the probabilities sum to one by construction, and a draw
+    is as fine as the uniform number it is made of.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    lf = lambda n: math.lgamma(n + 1)
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    p = math.exp(
-        lf(good) - lf(mode) - lf(good - mode) + lf(bad) - lf(draws - mode) - lf(bad - draws + mode) - lf(good + bad) + lf(draws) + lf(good + bad - draws)
-    )
-    u, up, down, p_up, p_down = rng.random() - p, mode, mode, p, p
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    share = good / total
+    spread = math.sqrt(draws * share * (1 - share) * ((total - draws) / max(1, total - 1)))
+    reach = int(12 * spread) + 40
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)  # from k to k + 1
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)  # from k to k - 1
+    rise = np.cumprod((good - up) / (up + 1) * ((draws - up) / (bad - draws + up + 1)))
+    fall = np.cumprod(down / (good - down + 1) * ((bad - draws + down) / (draws - down + 1)))
+    sums = np.cumsum(np.concatenate([fall[::-1], [1.0], rise]))
+    return mode - len(fall) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right").clip(0, len(sums) - 1))
 
 
 def communication_matrix(sizes: list[int], shards: int, rng: random.Random) -> list[list[int]]:
@@ -66,38 +65,45 @@ def communication_matrix(sizes: list[int], shards: int, rng: random.Random) -> l
 
 
 def shard_uniform(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Adds shard (0 to shards - 1) and slot (gapless from 0 in each shard).
+    """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard), written: the exchange
+    carries all columns, texts among them, and puts each shard's rows into files of its own.
 
-    rows should be narrow and written: it is read more than once. Keys may be null; rows with equal
-    keys stay separate rows, and which of them gets which place is left open. An empty table gives
-    no rows. Columns named _part, _rank, _cut or _fine must not occur.
+    The law is `rows`: counts of shards differ by one at most. Rows are placed one by one, so equal
+    texts, or rows of one key, are not kept together. rows is read twice. Keys may be null; rows with
+    equal keys stay separate rows, and which of them gets which place is left open. An empty table
+    gives no rows. Where rows has a column shard or slot, the new one gets underscores in front.
     """
+    shard, slot, part, rank, cut_, fine_, base_, at_ = (common.fresh(rows, x) for x in ("shard", "slot", "_part", "_rank", "_cut", "_fine", "_base", "_at"))
     spark = rows.sparkSession
     n = max(1024, 16 * common.parallelism(spark))
     draw = lambda k: F.xxhash64(*key, F.lit(seed), F.lit(k))
-    dealt = rows.withColumn("_part", F.pmod(draw(1), F.lit(n)).cast("int"))
+    dealt = rows.withColumn(part, F.pmod(draw(1), F.lit(n)).cast("int"))
     # One number for each of n partitions reaches the driver.
-    sizes = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    sizes = {r[part]: r["n"] for r in dealt.groupBy(part).agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([sizes.get(p, 0) for p in range(n)], shards, random.Random(seed))
     cuts = [(p, [sum(row[: s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)]
-    cut = spark.createDataFrame(cuts, "_part int, _cut array<long>")
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(draw(2), *key)))
-    sent = ranked.join(F.broadcast(cut), "_part").withColumn("shard", F.size(F.filter("_cut", lambda c: c < F.col("_rank"))).cast("int"))
+    cut = spark.createDataFrame(cuts, f"{part} int, {cut_} array<long>")  # n rows of `shards` numbers
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(draw(2), *key)))
+    sent = ranked.join(F.broadcast(cut), part).withColumn(shard, F.size(F.filter(cut_, lambda c: c < F.col(rank))).cast("int"))
     # The second permutation orders a shard by random keys; ranges of the key are ranked apart.
-    fine = sent.withColumn("_fine", F.pmod(F.shiftrightunsigned(draw(3), 20), F.lit(max(64, n // shards))).cast("int"))
-    fine = common.materialize(fine.drop("_rank", "_cut", "_part"), "exchanged")
-    before = Window.partitionBy("shard").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    base = fine.groupBy("shard", "_fine").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("shard", "_fine").orderBy(draw(3), *key))
-    placed = fine.withColumn("_at", at).join(base.drop("_n"), ["shard", "_fine"])
-    return placed.select(*rows.columns, "shard", (F.col("_base") + F.col("_at") - 1).alias("slot"))
+    fine = sent.withColumn(fine_, F.pmod(F.shiftrightunsigned(draw(3), 20), F.lit(max(64, n // shards))).cast("int"))
+    fine = common.materialize(fine.drop(rank, cut_, part), "exchanged")
+    before = Window.partitionBy(shard).orderBy(fine_).rowsBetween(Window.unboundedPreceding, -1)
+    base = fine.groupBy(shard, fine_).agg(F.count("*").alias("n")).select(shard, fine_, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base_))
+    at = F.row_number().over(Window.partitionBy(shard, fine_).orderBy(draw(3), *key))
+    placed = fine.withColumn(at_, at).join(base, [shard, fine_])
+    placed = placed.select(*rows.columns, shard, (F.col(base_) + F.col(at_) - 1).alias(slot))
+    path = common.scratch(spark, "shards")
+    placed.write.partitionBy(shard).parquet(path)
+    return spark.read.schema(placed.schema).parquet(path).select(*placed.columns)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    narrow = docs.select(
-        F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    placed = shard_uniform(common.materialize(narrow, "sizes"), ["doc_id", "text_crc32", "size"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents in 16 shards; size and checksum are those of the texts in the shards."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    placed = shard_uniform(docs, ["doc_id", "text"])
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
