@@ -23,6 +23,8 @@ from . import common
 from .components import connected_components
 
 BITS = 64
+#: Fingerprints of a bucket that one task joins; a fuller bucket is split.
+BUCKET = 200_000
 #: Lower-cases A-Z only; bytes.split() without arguments cuts at x20 and x09 to x0D.
 _SHINGLES = 1_000_000
 
@@ -66,44 +68,79 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return pd.Series(fingerprints(common.encode(text)).view(np.int64))
 
 
-def trie_links(values: np.ndarray, depth: int, budget: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of sorted distinct values that share all bits above `depth` and differ
-    in at most budget bits. Nodes are ranges of the sorted values."""
+#: Pairs of nodes that are followed at a time.
+PAIRS = 1 << 17
+
+
+def trie_forest(values: np.ndarray, depth: int, budget: int = 3) -> np.ndarray:
+    """For each of sorted distinct values that share all bits above `depth`, in groups, the smallest
+    index that it reaches over links of at most budget bits. Nodes of the trie are ranges of values.
+
+    Pairs of nodes lie on a stack and are followed in bounded pieces; links are united as they are
+    found, and a pair of nodes whose values are known to be connected already is dropped. So neither
+    pairs of values nor of nodes pile up, however many are close together.
+    """
     n = len(values)
+    forest = _Forest(n)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return forest.root
     top = values >> np.uint64(depth) if depth < 64 else np.zeros(n, np.uint64)
     start = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
     end = np.append(start[1:], n)
-    a0 = b0 = start
-    a1 = b1 = end
-    err = np.zeros(len(start), np.int64)
-    found_a, found_b = [], []
-    for level in range(depth - 1, -2, -1):
-        # Pairs of single values are settled at once, a lone value paired with itself is dropped.
-        same = a0 == b0
-        keep = ~(same & (a1 - a0 == 1))
-        a0, a1, b0, b1, err, same = (x[keep] for x in (a0, a1, b0, b1, err, same))
+    stack = [(depth - 1, start, end, start, end, np.zeros(len(start), np.int64))]
+    while stack:
+        level, *pairs = stack.pop()
+        if len(pairs[0]) > PAIRS:
+            stack.append((level, *(x[PAIRS:] for x in pairs)))
+            pairs = [x[:PAIRS] for x in pairs]
+        open_ = ~forest.connected(*pairs[:4])
+        a0, a1, b0, b1, err = (x[open_] for x in pairs)
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():
             i, j = a0[single], b0[single]
             near = np.bitwise_count(values[i] ^ values[j]) <= budget
-            found_a.append(i[near])
-            found_b.append(j[near])
-            a0, a1, b0, b1, err, same = (x[~single] for x in (a0, a1, b0, b1, err, same))
+            forest.unite(i[near], j[near])
+            a0, a1, b0, b1, err = (x[~single] for x in (a0, a1, b0, b1, err))
         if not len(a0) or level < 0:
-            break
-        one = (values >> np.uint64(level) & np.uint64(1)).astype(np.int64)
-        ones = common.offsets(one)
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-        off = np.flatnonzero(~same)
+            continue
+        am, bm = (_half(values, x0, x1, level) for x0, x1 in ((a0, a1), (b0, b1)))
+        off = np.flatnonzero(a0 != b0)
         parts = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), tuple(x[off] for x in (am, a1, b0, bm, err + 1))]
         a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*parts))
-        keep = (a1 > a0) & (b1 > b0) & (err <= budget)
-        a0, a1, b0, b1, err = (x[keep] for x in (a0, a1, b0, b1, err))
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        keep = (a1 > a0) & (b1 > b0) & (err <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
+        stack.append((level - 1, *(x[keep] for x in (a0, a1, b0, b1, err))))
+    return forest.root
+
+
+def _half(values: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
+    """Where the bit at `level` turns to one in each range of values, by bisection."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        one = (values[np.minimum(mid, len(values) - 1)] >> np.uint64(level) & np.uint64(1)).astype(bool)
+        high = np.where(open_ & one, mid, high)
+        low = np.where(open_ & ~one, mid + 1, low)
+    return low
+
+
+class _Forest:
+    """Components of indexes, with a quick test whether ranges are connected."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self._turns = None
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.root = spanning(len(self.root), np.concatenate([a, np.arange(len(self.root))]), np.concatenate([b, self.root]))
+            self._turns = None
+
+    def connected(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Whether all values of both ranges are in one component."""
+        if self._turns is None:
+            self._turns = common.offsets(self.root[1:] != self.root[:-1])
+        even = (self._turns[a1 - 1] == self._turns[a0]) & (self._turns[b1 - 1] == self._turns[b0])
+        return even & (self.root[a0] == self.root[b0])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,18 +165,45 @@ def _gather(values: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int = 4) -> DataFrame:
+def _choices(bits: list[int], blocks: int, budget: int) -> list[list[int]]:
+    """The bits (highest first) of each choice of blocks of `bits` that may agree wholly."""
+    edges = [round(len(bits) * i / blocks) for i in range(blocks + 1)]
+    return [[b for k in kept for b in bits[edges[k] : edges[k + 1]]] for kept in combinations(range(blocks), blocks - budget)]
+
+
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits) - ((1 << 64) if BITS - 1 in bits else 0)
+
+
+def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """prints (fp long, distinct) -> links (a, b) whose components are those of all pairs within
-    budget bits. More blocks give more copies (blocks choose budget) of longer keys: 4 fit about a
-    million fingerprints a task, 5 or 6 larger tables."""
-    edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
-    choices = []
-    for kept in combinations(range(blocks), blocks - budget):
-        front = [b for k in kept for b in range(edges[k + 1] - 1, edges[k] - 1, -1)]
-        choices.append((front, [b for b in range(BITS - 1, -1, -1) if b not in front]))
-    mask = lambda bits: sum(1 << b for b in bits) - ((1 << 64) if BITS - 1 in bits else 0)
-    keys = [F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask(front))).alias("key")) for c, (front, _) in enumerate(choices)]
-    copies = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.choice", "k.key", "fp")
+    budget bits.
+
+    More blocks give more copies (blocks choose budget) with longer keys; by default there are as many
+    as the number of fingerprints asks for. A bucket of more than `bucket` fingerprints is dealt out
+    once more by blocks of the bits that its key lacks, which loses no link for the same reason.
+    """
+    if blocks is None:
+        n = prints.count()
+        blocks = budget + (1 if n <= 1 << 24 else 2 if n <= 1 << 32 else 3)
+    every = list(range(BITS - 1, -1, -1))
+    fronts = _choices(every, blocks, budget)
+    finer = [_choices([b for b in every if b not in front], budget + 1, budget) for front in fronts]
+    key = lambda c, bits: F.struct(F.lit(c).alias("choice"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("key"))
+    copies = prints.select("fp", F.explode(F.array(*(key(c, front) for c, front in enumerate(fronts)))).alias("k")).select("k.choice", "k.key", "fp")
+    # Full buckets: map-side counts, one row for each; few, as each has over `bucket` of the copies.
+    full = copies.groupBy("choice", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+    full = common.materialize(full.select("choice", "key", F.lit(True).alias("full")), "full-buckets")
+    split, lists = [], list(fronts)
+    for c, front in enumerate(fronts):
+        for more in finer[c]:
+            split.append((c, len(lists)))
+            lists.append(front + more)
+    if full.limit(1).count():
+        marked = copies.join(full, ["choice", "key"], "left")
+        turned = F.array(*(F.when(F.col("choice") == c, key(to, lists[to])) for c, to in split))
+        again = marked.where("full").select("fp", F.explode(F.filter(turned, lambda x: x.isNotNull())).alias("k")).select("k.choice", "k.key", "fp")
+        copies = marked.where("full IS NULL").select("choice", "key", "fp").unionByName(again)
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f[["choice", "fp"]] for f in frames]
@@ -148,21 +212,21 @@ def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int = 4) -> Da
         held = pd.concat(held)
         for choice, part in held.groupby("choice"):
             values = np.unique(part["fp"].to_numpy(np.int64).view(np.uint64))
-            front, rest = choices[choice]
+            front = lists[choice]
+            rest = [b for b in every if b not in front]
             turned = _gather(values, front + rest)
             order = np.argsort(turned)
             values, turned = values[order], turned[order]
-            a, b = trie_links(turned, len(rest), budget)
-            if len(a):
-                root = spanning(len(values), a, b)
-                moved = np.flatnonzero(root != np.arange(len(values)))
+            root = trie_forest(turned, len(rest), budget)
+            moved = np.flatnonzero(root != np.arange(len(values)))
+            if len(moved):
                 yield pd.DataFrame({"a": values[moved].view(np.int64), "b": values[root[moved]].view(np.int64)})
 
     n = 2 * common.parallelism(prints.sparkSession)
     return copies.repartition(n, "choice", "key").mapInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, fp (long), component_id (smallest doc_id reachable over links of
     at most `budget` bits, itself included).
 
@@ -182,5 +246,6 @@ def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int = 4, carry: tu
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the component it is in."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
