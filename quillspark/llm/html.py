@@ -22,20 +22,19 @@ from . import common
 
 PATHS, WORDS, MEASURES = 1024, 1024, 4
 PATH_DIM, WORD_DIM, HIDDEN = 12, 6, 16
-#: Pages to learn from, about.
+#: Bounds of what is learned from: pages, and bytes of them.
 SAMPLE = 600
+SAMPLE_BYTES = 4_000_000
 EPOCHS = 12
 
-# Elements without text for readers. math and object are not among them: what they hold is shown.
-_RAW = r"script|style|noscript|template|textarea|iframe|title"
-# svg may be empty (<svg/>); one that is never closed hides nothing.
-_SVG = r"<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?</svg\s*>)"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|{_SVG}|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
-_MARK = re.compile(r"\b(?:class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# Elements without text for readers. math and object are not among them: what they hold
+# is shown.
+RAW_TAGS = set("script style noscript template textarea iframe title".split())
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+# Attributes up to the end of a tag: a quote opens a value only after =. No two parts of the pattern
+# can take the same character, and the groups are possessive, so a tag is read in one pass.
+_ATTRIBUTES = re.compile(r"""(?:[^>=]++|=[\t\n\f\r ]*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])|(?=\Z)))*+>""")
+_MARK = re.compile(r"(?<![\w-])(class|id|role|hidden)(?![\w-])(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
 # Elements that break the text into blocks.
@@ -61,21 +60,87 @@ ARTICLE_TAGS = {"article", "main"}
 ARTICLE_NAMES = set("article content entry post story main body".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text in links) of each leaf block with text, in page order. White
+class Place:
+    """An open element: its own features (tag, and names of class, id and role with a dot), the element
+    around it, and what the path down to it tells. Blocks of one element share its place, and a place
+    holds no list of its path, so a page costs what it is long however deep it is."""
+
+    __slots__ = ("tag", "names", "parent", "other", "article", "depth")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: "Place | None"):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.depth = parent.depth + 1 if parent else 0
+        plain = [x[1:] for x in names if x[0] == "."]
+        self.other = bool(parent and parent.other) or tag in OTHER_TAGS or any(x in ("hidden", "hidden!") or x in OTHER_NAMES for x in plain)
+        self.article = bool(parent and parent.article) or tag in ARTICLE_TAGS or any(x in ARTICLE_NAMES for x in plain)
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None:
+            out.append(at.names)
+            at = at.parent
+        return tuple(x for names in reversed(out) for x in names)
+
+
+def place(path: tuple[str, ...]) -> Place:
+    """The place with this path: a tag and its names, then the next tag and its names."""
+    at = None
+    for x in path:
+        if x[0] != ".":
+            at = Place(x, (x,), at)
+        else:
+            at = Place(at.tag, (*at.names, x), at.parent)
+    return at or Place("", (), None)
+
+
+class _Ends:
+    """Finds the end of elements and tags; what does not occur any more is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
+        self.quoted = True
+
+    def element(self, tag: str, at: int) -> int:
+        """The place behind the end tag from `at` on, or -1."""
+        if tag in self.none:
+            return -1
+        found = _END.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I | re.A)).search(self.page, at)
+        if found is None:
+            self.none.add(tag)
+            return -1
+        return found.end()
+
+    def tag(self, at: int) -> int:
+        """The place behind the > that ends a tag whose name ends at `at`, or -1."""
+        if self.quoted:
+            found = _ATTRIBUTES.match(self.page, at)
+            if found:
+                return found.end()
+            self.quoted = False  # a value is never closed: from here on the next > ends a tag
+        return self.page.find(">", at) + 1 or -1
+
+
+_END: dict[str, re.Pattern] = {}
+
+
+def blocks(page: str) -> list[tuple[Place, str, float]]:
+    """(place, text, share of the text in links) of each leaf block with text, in page order. White
     space is one space, character references are decoded."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Place, str, float]] = []
+    root = Place("", (), None)
+    stack: list[Place] = [root]
+    opened: dict[str, int] = {}
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
+    ends = _Ends(page)
 
     def end() -> None:
         nonlocal linked
         if text:
             plain = " ".join(html.unescape("".join(text)).split())
             if plain:
-                path = tuple(x for _, names in stack for x in names)
-                out.append((path, plain, min(1.0, linked / len(plain))))
+                out.append((stack[-1], plain, min(1.0, linked / len(plain))))
             text.clear()
             linked = 0
 
@@ -85,14 +150,38 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if in_link:
             linked += len(piece)
 
-    for m in _TOKEN.finditer(page):
+    def pop() -> None:
+        opened[stack.pop().tag] -= 1
+
+    while m := _OPEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
+            if m[0] == "<!--":
+                found = page.find("-->", m.end())
+                at = found + 3 if found >= 0 else len(page)
+            else:
+                at = page.find(">", m.end()) + 1 or len(page)
+            continue
+        closing, begin = m[1], m.end()
+        if page[begin : begin + 1] not in _AFTER_NAME:
+            add(page[m.start() : begin])
+            at = begin
+            continue
+        at = ends.tag(begin)
+        if at < 0:  # no > any more: text
+            at = m.start()
+            break
+        marks = page[begin : at - 1]
+        if tag in RAW_TAGS and not closing:
+            found = ends.element(tag, at)
+            at = found if found >= 0 else len(page)
+            continue
+        if tag == "svg" and not closing and not marks.endswith("/"):
+            found = ends.element(tag, at)
+            at = found if found >= 0 else at  # one that is never closed hides nothing
             continue
-        closing, marks = (m[2], m[4]) if m[3] else (m[5], m[7])
         if tag == "a":
             in_link = 0 if closing else 1
         if tag == "br":
@@ -101,37 +190,45 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         end()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
         else:
-            if stack and (stack[-1][0] in CLOSED_BY_NEXT.get(tag, ()) or stack[-1][0] == "p"):
-                stack.pop()
-            if tag not in VOID_TAGS and not (marks or "").endswith("/"):
+            last = stack[-1].tag
+            if last and (last in CLOSED_BY_NEXT.get(tag, ()) or last == "p"):
+                pop()
+            if tag not in VOID_TAGS and not marks.endswith("/"):
                 names = (tag,)
                 if marks and ("=" in marks or "hidden" in marks.lower()):
                     for k in _MARK.finditer(marks):
-                        said = k[1] or k[2] or k[3]
-                        names += tuple("." + x for x in _NAME.findall(said.lower())) if said else (".hidden",) * (k[0].lower() == "hidden")
-                stack.append((tag, names))
+                        said = k[2] or k[3] or k[4]
+                        if k[1].lower() == "hidden":
+                            names += (".hidden!",)
+                        elif said:
+                            names += tuple("." + x for x in _NAME.findall(said.lower()))
+                stack.append(Place(tag, names, stack[-1]))
+                opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         add(page[at:])
     end()
     return out
 
 
-def weak_label(path: tuple[str, ...], text: str, links: float) -> int:
+#: What may follow a tag's name.
+_AFTER_NAME = set("\t\n\f\r />")
+
+
+def weak_label(at: Place, text: str, links: float) -> int:
     """1 for main text by plain rules about the path; outside of articles, by length and links."""
-    for x in path:
-        if x in OTHER_TAGS or x == ".hidden" or x[:1] == "." and x[1:] in OTHER_NAMES:
-            return 0
-    if any(x in ARTICLE_TAGS or x[:1] == "." and x[1:] in ARTICLE_NAMES for x in path):
+    if at.other:
+        return 0
+    if at.article:
         return 1
-    return int(links < 0.3 and (len(text) >= 60 or path[-1:] in (("p",), ("h1",), ("h2",), ("h3",))))
+    return int(links < 0.3 and (len(text) >= 60 or at.tag in ("p", "h1", "h2", "h3")))
 
 
-def _varied(page: list, rng: np.random.Generator) -> list[tuple[tuple[str, ...], str, float, int]]:
+def _varied(page: list, rng: np.random.Generator) -> list[tuple[Place, str, float, int]]:
     """The page with labels; mostly with foreign blocks added and its article in another container."""
     labelled = [(p, t, k, weak_label(p, t, k)) for p, t, k in page]
     if rng.random() < 0.4 or not labelled:
@@ -140,12 +237,12 @@ def _varied(page: list, rng: np.random.Generator) -> list[tuple[tuple[str, ...],
     frame = frames[rng.integers(len(frames))]
     leaf = ("p", "p", "p", "li", "blockquote", "h2", "h3", "td", "pre", "div", "dd", "figcaption")
     out = []
-    for path, text, links, label in labelled:
+    for at, text, links, label in labelled:
         if label:
-            kind = path[-1] if path and path[-1] in ("p", "h1") and rng.random() < 0.7 else leaf[rng.integers(len(leaf))]
+            kind = at.tag if at.tag in ("p", "h1") and rng.random() < 0.7 else leaf[rng.integers(len(leaf))]
             wrap = ("ul",) if kind == "li" else ("table", "tr") if kind == "td" else ()
-            path = ("html", "body", *frame, *wrap, kind)
-        out.append((path, text, links, label))
+            at = place(("html", "body", *frame, *wrap, kind))
+        out.append((at, text, links, label))
     texts = [t for _, t, _, _ in labelled]
     tags, names = sorted(OTHER_TAGS), sorted(OTHER_NAMES)
     for _ in range(rng.integers(1, 5)):
@@ -154,7 +251,7 @@ def _varied(page: list, rng: np.random.Generator) -> list[tuple[tuple[str, ...],
         kind = (*(("ul",) if rng.random() < 0.3 else ()), leaf[rng.integers(len(leaf))])
         at = rng.integers(0, len(out) + 1)
         links = float(rng.random() < 0.4)
-        out[at:at] = [(("html", "body", *inside, *outer, *kind), texts[rng.integers(len(texts))], links, 0) for _ in range(rng.integers(1, 6))]
+        out[at:at] = [(place(("html", "body", *inside, *outer, *kind)), texts[rng.integers(len(texts))], links, 0) for _ in range(rng.integers(1, 6))]
     return out
 
 
@@ -171,21 +268,54 @@ def _row(word: str, rows: int) -> int:
 
 
 class Page:
-    """Features of a page's blocks: hashed path and words as flat rows with bounds, and measures."""
+    """Features of a page's blocks: measures, hashed words as flat rows with bounds, and the path. That is
+    the sum over the elements around a block, so it is kept as the tree: own rows of each place (`own`,
+    with bounds), the place around it (`parent`, before it), places by depth (`levels`), and each
+    block's place (`at`)."""
 
     def __init__(self, page: list):
         n = len(page)
-        paths, words = [], []
+        words = []
         self.measures = np.zeros((n, MEASURES), np.float32)
-        for i, (path, text, links, *_) in enumerate(page):
-            paths.append([_row(x, PATHS) for x in path] or [0])
+        number: dict[int, int] = {}
+        places: list[Place] = []
+        self.at = np.zeros(n, np.int64)
+        for i, (at, text, links, *_) in enumerate(page):
+            new = []
+            while at is not None and id(at) not in number:
+                new.append(at)
+                at = at.parent
+            for x in reversed(new):
+                number[id(x)] = len(places)
+                places.append(x)
+            self.at[i] = number[id(page[i][0])]
             own = text.split(" ")
             words.append([_row(w, WORDS) for w in own])
             self.measures[i] = (np.log1p(len(own)) / 5, links, (text[-1] in ".!?:;\"'") * 1.0, i / max(1, n - 1))
-        self.path = (np.array([x for p in paths for x in p], np.int64), common.offsets([len(p) for p in paths]))
+        rows = [[_row(x, PATHS) for x in p.names] or [0] for p in places]
+        self.own = (np.array([x for r in rows for x in r], np.int64), common.offsets([len(r) for r in rows]))
+        self.parent = np.array([number[id(p.parent)] if p.parent is not None else -1 for p in places], np.int64)
+        depth = np.array([p.depth for p in places], np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
         self.words = (np.array([x for w in words for x in w], np.int64), common.offsets([len(w) for w in words]))
         self.size = n
 
+    def path(self, table: np.ndarray) -> np.ndarray:
+        """The sum of the rows of each block's path."""
+        sums = _sums(table, *self.own)
+        for level in self.levels[1:]:
+            sums[level] += sums[self.parent[level]]
+        return sums[self.at]
+
+    def path_gradient(self, each: np.ndarray, grad: np.ndarray) -> None:
+        """Adds to grad what the blocks' gradients come to for the rows of their paths."""
+        sums = np.zeros((len(self.parent), each.shape[1]), np.float32)
+        np.add.at(sums, self.at, each)
+        for level in reversed(self.levels[1:]):
+            np.add.at(sums, self.parent[level], sums[level])
+        np.add.at(grad, self.own[0], np.repeat(sums, np.diff(self.own[1]), axis=0))
+
 
 def _sums(table: np.ndarray, rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.add.reduceat(table[rows], cut[:-1], axis=0)
@@ -206,7 +336,7 @@ class Labeller:
             self.p[f"c{side}"][HIDDEN : 2 * HIDDEN] = 1
 
     def inputs(self, pages: list[Page]) -> list[np.ndarray]:
-        return [np.concatenate([_sums(self.p["path"], *x.path), _sums(self.p["words"], *x.words) / np.diff(x.words[1])[:, None], x.measures], axis=1) for x in pages]
+        return [np.concatenate([x.path(self.p["path"]), _sums(self.p["words"], *x.words) / np.diff(x.words[1])[:, None], x.measures], axis=1) for x in pages]
 
     def _lstm(self, side: str, x: np.ndarray, keep: list | None) -> np.ndarray:
         """x (block, page, feature) in reading order -> hidden states; keep gets what the gradient needs."""
@@ -306,13 +436,12 @@ class Labeller:
                 column = np.arange(d.shape[1])
                 dx = d_every[:, :, 2 * HIDDEN :] + self._back("f", keep["f"], d_every[:, :, :HIDDEN], grads)
                 dx = dx + self._back("b", keep["b"], d_every[:, :, HIDDEN : 2 * HIDDEN][keep["turn"], column], grads)[keep["turn"], column]
-                for name, dim, lo in (("path", PATH_DIM, 0), ("words", WORD_DIM, PATH_DIM)):
-                    grads[name] = np.zeros_like(self.p[name])
-                    for j, page in enumerate(own):
-                        rows, cut = getattr(page, name)
-                        n = np.diff(cut)
-                        each = dx[: page.size, j, lo : lo + dim] / (n[:, None] if name == "words" else 1)
-                        np.add.at(grads[name], rows, np.repeat(each, n, axis=0))
+                grads["path"], grads["words"] = np.zeros_like(self.p["path"]), np.zeros_like(self.p["words"])
+                for j, page in enumerate(own):
+                    page.path_gradient(dx[: page.size, j, :PATH_DIM], grads["path"])
+                    rows, cut = page.words
+                    n = np.diff(cut)
+                    np.add.at(grads["words"], rows, np.repeat(dx[: page.size, j, PATH_DIM : PATH_DIM + WORD_DIM] / n[:, None], n, axis=0))
                 t += 1
                 for k, v in grads.items():
                     first[k] += 0.1 * (v - first[k])
@@ -321,23 +450,23 @@ class Labeller:
         return self
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Learn from about `sample` pages, chosen by a hash; only they reach the driver."""
-    own = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).where("html is not null")
-    n = own.count()
-    rate = int((1 << 40) * min(1.0, sample / max(1, n)))
-    got = own.where(F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(1 << 40)) < rate).limit(2 * sample).toPandas().sort_values(["page_id", "html"], kind="stable")
+def train(pages: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Labeller:
+    """Learn from up to `rows` pages and `size` bytes of them, whole ones (see common.sample)."""
+    own = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string"), F.lit(0).alias("all"))
+    got = common.sample(own, "page_id", "html", "all", rows, size)
     rng = np.random.default_rng(4)
-    varied = [v for v in (_varied(blocks(h), rng) for h in got["html"]) if v]
+    varied = [v for v in (_varied(blocks(h), rng) for h in got["text"]) if v]
     model = Labeller()
     if varied:
         model.train([Page(v) for v in varied], [np.array([x[3] for x in v], np.float32) for v in varied])
     return model
 
 
-def extract(pages: DataFrame, model: Labeller) -> DataFrame:
-    """pages, whose columns stay, with `main_text`: the blocks labelled main text, one a line. Null
-    and empty html give an empty text. Rows keep their places; nothing is cut."""
+def extract(pages: DataFrame, model: Labeller, into: str = "main_text") -> DataFrame:
+    """pages, whose columns stay, with a column `into`: the blocks labelled main text, one a line. If there is one of
+    that name, the new one gets underscores in front (common.fresh). Null and empty html give an empty text.
+    Rows keep their places, repeated ones are told alike; nothing is cut."""
+    into = common.fresh(pages, into)
     told = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -350,10 +479,11 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
                 out.append("\n".join(b[1] for b, k in zip(page, keep) if k))
         return pd.Series(out, dtype=object)
 
-    return pages.withColumn("main_text", look(F.col("html").cast("string")))
+    return pages.withColumn(into, look(F.col("html").cast("string")))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long"), "url", "html")
     found = extract(pages, train(pages))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
