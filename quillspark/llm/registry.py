@@ -19,4 +19,4 @@ QUERIES = {
         language.op10_language_id,
     )
 }
-ORACLES = {"op9_exact_topk": knn.OP9_SQL}
+ORACLES = {"op8_benchmark_decontamination": decontaminate.OP8_SQL, "op9_exact_topk": knn.OP9_SQL}
