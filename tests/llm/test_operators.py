@@ -11,13 +11,14 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillspark.llm import common, components, decontaminate, html, knn, language, packing, quality, sharding, simhash, suffixes, token_files, tokens
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards pack a box with jugs of liquor; "
 TEXTS = [
     None, "", "a", " \n ", PASSAGE * 3, PASSAGE * 3, "start " + PASSAGE * 2 + "end", "x" * 300, "x" * 120, "é" * 70, "naïve ñandú " * 40,
-    "long " * 9000, "long " * 9000 + "tail", PASSAGE[:49], PASSAGE[:50], "<|endoftext|> a  b\t\nc ’tis 12 ½ 日本", "😀" * 30,
+    "long " * 9000, "long " * 9000 + "tail", PASSAGE[:49], PASSAGE[:50], "a <|endoftext|> b\t\nc ’tis 12 ½ 日本 <|EndOfText|>", "😀" * 30,
 ]
 
 
@@ -45,14 +46,17 @@ def listed(docs):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_ids_are_those_of_whole_texts(name):
-    encoder = tokens.Encoder(common.tokenizer_path(name))
-    check = lambda t: [x.tolist() for x in encoder.ids(t)] == [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in t]
+    encoder, plain = tokens.Encoder(common.tokenizer_path(name)), Tokenizer.from_file(common.tokenizer_path(name))
+    check = lambda t: [x.tolist() for x in encoder.ids(t)] == [plain.encode(x, add_special_tokens=False).ids for x in t]
+    special = plain.token_to_id("<|endoftext|>")
+    assert special in encoder.ids(["a <|endoftext|> b"])[0].tolist()
     assert check([t or "" for t in TEXTS])
 
     @settings(max_examples=150, deadline=None)
     @given(st.lists(st.text(alphabet="aBé1 \n\t'_.,$ßſµ²ª  –€İ\x1c\x85日", max_size=30), max_size=4))
     def some(texts):
         assert check(texts)
+        assert check([f"{t}<|endoftext|>{t}" for t in texts])
 
     some()
 
@@ -73,13 +77,12 @@ def test_fullest_is_fullest():
 
 def test_packing(docs, empty):
     got = packing.pack_documents(docs, capacity=256).toPandas()
-    encoder = tokens.Encoder(common.tokenizer_path(packing.TOKENIZER))
-    whole = {i: encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(TEXTS)}
+    plain = Tokenizer.from_file(common.tokenizer_path(packing.TOKENIZER))
+    whole = {i: plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(TEXTS)}
     for i, part in got[got["doc_id"].notna() & (got["doc_id"] != 3)].groupby("doc_id"):
         part = part.sort_values("piece")
-        assert [x for ids in part["ids"] for x in ids] == whole[i]
-        assert (part["length"].iloc[:-1] == 256).all()
-        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in part["ids"]] == part["ids_crc32"].tolist()
+        assert np.frombuffer(b"".join(part["ids"]), "<u4").tolist() == whole[i]
+        assert (part["length"].iloc[:-1] == 256).all() and [len(x) // 4 for x in part["ids"]] == part["length"].tolist()
     assert (got["doc_id"] == 3).sum() == 2 and got["doc_id"].isna().sum() == 1
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert part["offset"].tolist() == [0, *np.cumsum(part["length"])[:-1]] and part["length"].sum() <= 256
@@ -90,11 +93,11 @@ def test_packing(docs, empty):
 def test_token_files_round_trip(spark, docs, empty):
     folder = common.scratch(spark, "t")
     got = token_files.read_tokens(token_files.write_tokens(docs, folder, parts=4), folder).toPandas().sort_values("start")
-    encoder = tokens.Encoder(common.tokenizer_path(token_files.TOKENIZER))
+    plain = Tokenizer.from_file(common.tokenizer_path(token_files.TOKENIZER))
     held = sorted(listed(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
     for (doc, text), row in zip(held, got.itertuples()):
-        ids = np.array(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         assert (row.start, row.n_tokens, row.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert len(got) == len(held)
@@ -106,12 +109,15 @@ def test_token_files_round_trip(spark, docs, empty):
 
 
 def test_sharding(docs, empty):
-    narrow = common.materialize(docs.select("doc_id", F.length("text").alias("size")), "n")
-    got = sharding.shard_uniform(narrow, ["doc_id", "size"], 4).toPandas()
-    assert len(got) == docs.count()
+    got = sharding.shard_uniform(docs, ["doc_id", "text"], 4)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(listed(got), key=str) == sorted(listed(docs), key=str)
+    got = got.toPandas()
     sizes = got.groupby("shard")["slot"].agg(list)
     assert sorted(map(len, sizes)) == [4, 5, 5, 5] and all(sorted(s) == list(range(len(s))) for s in sizes)
-    assert sharding.shard_uniform(narrow.limit(0), ["doc_id"], 4).count() == 0
+    assert sharding.shard_uniform(docs.limit(0), ["doc_id"], 4).count() == 0
+    clash = sharding.shard_uniform(docs.withColumns({"Shard": F.lit(-1), "_rank": F.lit("r")}), ["doc_id"], 4)
+    assert clash.columns[-4:] == ["Shard", "_rank", "_shard", "slot"] and {(r["Shard"], r["_rank"]) for r in clash.collect()} == {(-1, "r")}
 
 
 def test_communication_matrix():
@@ -121,6 +127,11 @@ def test_communication_matrix():
     for sizes in ([], [0, 0], [1], [5, 0, 7, 100, 3]):
         m = sharding.communication_matrix(sizes, 4, rng)
         assert [sum(r) for r in m] == sizes and (not m or max(map(sum, zip(*m))) - min(map(sum, zip(*m))) <= 1)
+    for good, bad, draws in ((10**12 // 16, 10**12 * 15 // 16, 10**9), (7 * 10**10, 10**6, 10**7)):
+        mean = draws * good / (good + bad)
+        var = mean * bad / (good + bad) * (good + bad - draws) / (good + bad - 1)
+        got = [sharding.hypergeometric(good, bad, draws, rng) for _ in range(1500)]
+        assert abs(np.mean(got) - mean) < 5 * (var / 1500) ** 0.5 and 0.8 < np.var(got) / var < 1.2
     draws = [sharding.hypergeometric(30, 70, 20, rng) for _ in range(20_000)]
     assert abs(np.mean(draws) - 6) < 0.06 and abs(np.var(draws) - 20 * 0.3 * 0.7 * 80 / 99) < 0.15
 
@@ -140,20 +151,28 @@ def test_fingerprints():
     assert simhash.fingerprints([raw(t) for t in texts]).tolist() == [plain_fingerprint(t) for t in texts]
 
 
-@pytest.mark.parametrize("blocks", [4, 5])
-def test_links_connect_what_is_near(spark, blocks):
+@pytest.mark.parametrize("blocks, bucket", [(4, 1 << 20), (5, 1 << 20), (None, 3)])
+def test_links_connect_what_is_near(spark, blocks, bucket):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(x) for x in rng.integers(0, 64, int(rng.integers(0, 6))))) for b in base for _ in range(8)]
     values = np.unique(np.concatenate([base, np.array(near, np.uint64), [np.uint64(0), np.uint64(7), np.uint64(2**64 - 1)]]))
     a, b = np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3, 1))
     want = simhash.spanning(len(values), a, b)
-    links = simhash.link_fingerprints(spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long"), 3, blocks).toPandas()
+    links = simhash.link_fingerprints(spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long"), 3, blocks, bucket).toPandas()
     at = {int(v): i for i, v in enumerate(values.view(np.int64))}
     got = simhash.spanning(len(values), np.array([at[x] for x in links["a"]]), np.array([at[x] for x in links["b"]]))
     assert (got == want).all()
 
 
+def test_many_near_ones_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 64)
+    near = np.unique(np.array([(1 << a | 1 << b) ^ (1 << 40) for a in range(30) for b in range(30)] + [15 << 55, 255 << 50], np.uint64))
+    a, b = np.nonzero(np.triu(np.bitwise_count(near[:, None] ^ near[None, :]) <= 3, 1))
+    root = simhash.trie_forest(near, 64, 3)
+    assert (root == simhash.spanning(len(near), a, b)).all() and len(set(root)) == 3
+
+
 def test_near_duplicates(docs, empty):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert {(4, 4), (5, 4), (None, 4), (0, 0), (1, 0), (3, 0)} <= got and len(got) == len(TEXTS) + 1
@@ -309,6 +328,7 @@ PAGE = (
 
 def test_html_blocks():
     found = html.blocks(PAGE)
+    assert found[3][0].path == ("html", "body", "article", "p") and found[1][0].path == ("html", "body", "div", ".ad")
     assert [t for _, t, _ in found] == ["Menu", "Buy now", "Head & line", "First one. Still first line.", "Second é.", "I disagree with that one.", "© all"]
     assert [html.weak_label(*b) for b in found] == [0, 0, 1, 1, 1, 0, 0]
     assert html.blocks("") == html.blocks("<script>x") == [] and html.blocks("a < b")[0][1] == "a < b"
@@ -328,7 +348,7 @@ def test_html_elements_that_hide_no_text():
 def test_html_extraction(spark):
     bodies = ["Short.", "A longer paragraph of text that goes on for a while, as they do.", "Middle sized words, here."]
     rows = [(i, PAGE.replace("Second &eacute;.", "</p><p>".join(bodies[(i + k) % 3] for k in range(1 + i % 5)))) for i in range(120)]
-    pages = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "<p>")], "page_id long, html string").withColumn("text", F.lit("clash"))
+    pages = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "<p>")], "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("found", F.lit(1))
     model = html.train(pages)
     got = {r["page_id"]: r["main_text"] for r in html.extract(pages, model).collect()}
     for i, source in rows:
@@ -346,7 +366,7 @@ def test_decontamination(spark, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [None, "", f"aa {item.upper().replace(' ', '--')} bb", " ".join(item.split()[2:12]), " ".join(item.split()[:9]), "a short-one: HERE short one here", "null id text é", "xshort one here"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("hit", F.lit(1)).withColumn("found0", F.lit(2))
-    for part_bytes in (1 << 20, 10):
+    for part_bytes in (1 << 25, 10):
         got = {r["doc_id"]: r for r in decontaminate.find(table, bench, part_bytes=part_bytes).collect()}
         assert [len(got[i]["found"]["hit"]) for i in range(8)] == [0, 0, 14, 10, 0, 6, 3, 0]
         assert got[2]["found"]["items"] == ["1", "5"] and got[5]["found"]["items"] == ["2"] and got[6]["found"]["items"] == []
@@ -354,6 +374,28 @@ def test_decontamination(spark, empty):
         assert spans == [b"short-one: HERE short one here"] and got[5]["found"]["n_words"] == 7
     assert {len(r["found"]["hit"]) for r in decontaminate.find(table, bench.limit(0)).collect()} == {0}
     assert decontaminate.find(empty, bench).count() == 0
+    both = decontaminate.find(table.withColumn("found", F.lit("own")), bench).where("doc_id = 2").first()
+    assert both["found"] == "own" and len(both["_found"]["hit"]) == 14
+
+
+def test_the_automaton_of_many_items():
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(rng.choice(["a", "bb", "c", "dd", "e"], n))
+    items = [word(int(rng.integers(0, 16))).encode() for _ in range(150)]
+    texts = [word(int(rng.integers(0, 400))).encode() for _ in range(20)] + [b"", b"..", items[0]]
+    _, auto = decontaminate.build(items, 4)
+    got = list(decontaminate.found_in(decontaminate.Words(texts), [(0, auto | {"items": len(items)})]))
+    for text, (n, hit, found) in zip(texts, got):
+        w, want, own = text.replace(b".", b" ").split(), set(), set()
+        for i, item in enumerate(items):
+            v = item.split()
+            size = min(4, len(v))
+            for k in range(len(v) - size + 1) if v else ():
+                for at in range(len(w) - size + 1):
+                    if w[at : at + size] == v[k : k + size]:
+                        want.update(range(at, at + size))
+                        own.add(i)
+        assert (n, hit.tolist(), found.tolist()) == (len(w), sorted(want), sorted(own))
 
 
 # --- kNN
@@ -370,7 +412,7 @@ def test_knn(spark):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(len(v)) if j != i)[:5]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     for block in (50, 7):  # the smaller one also cuts the queries of a group
-        got = knn.knn_join(held, held.where("vec_id % 7 = 0"), 5, pivots=8, block=block).collect()
+        got = knn.knn_join(held, held.where("vec_id % 7 = 0"), 5, pivots=(8, 8), block=block).collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
     few = held.where("vec_id < 3")
     assert sorted((r["query_id"], r["rank"]) for r in knn.knn_join(few, few, 5).collect()) == [(i, r) for i in range(3) for r in (1, 2)]
