@@ -11,22 +11,32 @@ from quillspark.llm import common, decontaminate, language, packing, simhash, su
 LEAST_SCORE = 0.5
 
 
+#: Bytes of row numbers that may be broadcast; beyond it the rows to drop are joined by a shuffle.
+MOST_BROADCAST = 64 << 20
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the classifier tells: no und (null, or without letters) and a
     score of at least LEAST_SCORE. It learns from the labelled rows of docs."""
-    found = language.identify(docs, language.train(docs))
-    kept = (F.col("language.lang_pred") != language.UNKNOWN) & (F.col("language.score") >= LEAST_SCORE)
+    told = common.fresh(docs, "language")
+    found = language.identify(docs, language.train(docs), told)
+    kept = (F.col(f"{told}.lang_pred") != language.UNKNOWN) & (F.col(f"{told}.score") >= LEAST_SCORE)
     return found.where(kept).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of near duplicates one row: that with the smallest doc_id, null last; of
-    several rows with it, that with the smallest hash of the text, then any."""
-    rows = common.materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_salt": F.xxhash64("text")}), "rows")
-    found = simhash.near_duplicates(rows, carry=("_row", "_salt"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_salt", "_row")).alias("first")
-    kept = found.groupBy("class").agg(first).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    several rows with it, that with the smallest hash of the text, then any. Only the numbers of the
+    rows that go are joined with the texts, which stay where they are if these numbers are few."""
+    row, salt = common.fresh(docs, "row"), common.fresh(docs, "salt")
+    rows = common.materialize(docs.withColumns({row: F.monotonically_increasing_id(), salt: F.xxhash64("text")}), "rows")
+    found = common.materialize(simhash.near_duplicates(rows, carry=(row, salt)), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(salt).alias("salt"), F.col(row).alias("row"))).alias("first")
+    kept = found.groupBy("class").agg(first).select(F.col("first.row").alias(row))
+    dropped = common.materialize(found.select(row).join(kept, row, "left_anti"), "dropped")
+    if dropped.count() * 16 <= MOST_BROADCAST:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +47,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("found.hit") == 0).select(*docs.columns)
+    told = common.fresh(docs, "found")
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into=told)
+    return found.where(F.size(f"{told}.hit") == 0).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens: one row a piece, with its place."""
-    return packing.pack_documents(docs, keep_ids=False)
+    """Packs what is left into sequences of 2048 tokens: one row a piece, with its ids and its place."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
@@ -59,8 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written and read back, and what a stage wrote on the
+    way, its input among it, goes when its result stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = common.scratch(spark, name.replace(" ", "-"))
+        with common.temporary(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        common.delete(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
