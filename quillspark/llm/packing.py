@@ -12,6 +12,7 @@ and not by the corpus. Spark counts the lengths, ranks the pieces within their l
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """Token pieces of each document: doc_id, piece, start, length and ids (binary: little-endian
-    unsigned 32-bit ids). Null and empty texts have the end id alone; a text of more than `capacity`
+    unsigned ids of 2 bytes if all ids of the vocabulary fit, else 4: its size over length tells). Null and empty texts have the end id alone; a text of more than `capacity`
     ids is cut into pieces of that length, the last one shorter. Other columns are left out."""
     path = common.tokenizer_path(tokenizer)
 
@@ -90,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
             for lo, hi in common.batches([len(t) for t in texts], 2_000_000):
                 out = []
                 for doc, ids in zip(frame["doc_id"].iloc[lo:hi], encoder.ids(texts[lo:hi])):
-                    ids = np.append(ids, END_ID).astype("<u4")
+                    ids = np.append(ids, END_ID).astype(encoder.kind)
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         out.append((doc, piece, start, len(part), part.tobytes()))
@@ -161,7 +162,13 @@ def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     return pack(common.materialize(pieces(docs, tokenizer, capacity), "pieces"), capacity)
 
 
+@F.pandas_udf("long")
+def ids_crc32(ids: pd.Series, length: pd.Series) -> pd.Series:
+    """Checksum of packed ids as unsigned 32-bit integers."""
+    return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes()) for x, n in zip(ids, length)], dtype="int64")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens; the checksum is that of the packed ids."""
     packed = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", ids_crc32("ids", "length").alias("ids_crc32"), "sequence_id", "offset")

@@ -69,30 +69,43 @@ def shard_uniform(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: i
     carries all columns, texts among them, and puts each shard's rows into files of its own.
 
     The law is `rows`: counts of shards differ by one at most. Rows are placed one by one, so equal
-    texts, or rows of one key, are not kept together. rows is read twice. Keys may be null; rows with
-    equal keys stay separate rows, and which of them gets which place is left open. An empty table
-    gives no rows. Where rows has a column shard or slot, the new one gets underscores in front.
+    texts, or rows of one key, are not kept together. rows is read three times: twice for counts, by
+    hashes of the key alone, and once whole. Keys may be null; rows with equal keys stay separate rows,
+    and which of them gets which place is left open. An empty table gives no rows. Where rows has a
+    column shard or slot, the new one gets underscores in front.
     """
-    shard, slot, part, rank, cut_, fine_, base_, at_ = (common.fresh(rows, x) for x in ("shard", "slot", "_part", "_rank", "_cut", "_fine", "_base", "_at"))
+    names = ("shard", "slot", "_part", "_rank", "_cut", "_fine", "_base", "_one", "_two", "_three")
+    shard, slot, part, rank, cut_, fine, base, one, two, three = (common.fresh(rows, x) for x in names)
     spark = rows.sparkSession
     n = max(1024, 16 * common.parallelism(spark))
-    draw = lambda k: F.xxhash64(*key, F.lit(seed), F.lit(k))
-    dealt = rows.withColumn(part, F.pmod(draw(1), F.lit(n)).cast("int"))
+    draws = {c: F.xxhash64(*key, F.lit(seed), F.lit(k)) for k, c in enumerate((one, two, three), 1)}
+
+    def deal(df: DataFrame) -> DataFrame:
+        """With its source partition; df has the draws."""
+        return df.withColumn(part, F.pmod(one, F.lit(n)).cast("int"))
+
+    def send(dealt: DataFrame) -> DataFrame:
+        """Permutes each source partition, deals it out by its row of the matrix and cuts the shards into
+        ranges of the second random key, which are permuted apart."""
+        ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(two, one)))
+        sent = ranked.join(F.broadcast(cut), part).withColumn(shard, F.size(F.filter(cut_, lambda c: c < F.col(rank))).cast("int"))
+        return sent.withColumn(fine, F.pmod(F.shiftrightunsigned(three, 20), F.lit(max(64, n // shards))).cast("int")).drop(rank, cut_, part)
+
+    narrow = common.materialize(rows.select(*(v.alias(c) for c, v in draws.items())), "draws")
     # One number for each of n partitions reaches the driver.
-    sizes = {r[part]: r["n"] for r in dealt.groupBy(part).agg(F.count("*").alias("n")).collect()}
+    sizes = {r[part]: r["n"] for r in deal(narrow).groupBy(part).agg(F.count("*").alias("n")).collect()}
     matrix = communication_matrix([sizes.get(p, 0) for p in range(n)], shards, random.Random(seed))
     cuts = [(p, [sum(row[: s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)]
     cut = spark.createDataFrame(cuts, f"{part} int, {cut_} array<long>")  # n rows of `shards` numbers
-    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(draw(2), *key)))
-    sent = ranked.join(F.broadcast(cut), part).withColumn(shard, F.size(F.filter(cut_, lambda c: c < F.col(rank))).cast("int"))
-    # The second permutation orders a shard by random keys; ranges of the key are ranked apart.
-    fine = sent.withColumn(fine_, F.pmod(F.shiftrightunsigned(draw(3), 20), F.lit(max(64, n // shards))).cast("int"))
-    fine = common.materialize(fine.drop(rank, cut_, part), "exchanged")
-    before = Window.partitionBy(shard).orderBy(fine_).rowsBetween(Window.unboundedPreceding, -1)
-    base = fine.groupBy(shard, fine_).agg(F.count("*").alias("n")).select(shard, fine_, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base_))
-    at = F.row_number().over(Window.partitionBy(shard, fine_).orderBy(draw(3), *key))
-    placed = fine.withColumn(at_, at).join(base, [shard, fine_])
-    placed = placed.select(*rows.columns, shard, (F.col(base_) + F.col(at_) - 1).alias(slot))
+    # Rows that tie in both draws have equal keys, so the counts are those of the whole rows' exchange.
+    before = Window.partitionBy(shard).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
+    counts = send(deal(narrow)).groupBy(shard, fine).agg(F.count("*").alias("n"))
+    counts = common.materialize(counts.select(shard, fine, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base)), "ranges")
+    sent = send(deal(rows.withColumns(draws)))
+    place = F.row_number().over(Window.partitionBy(shard, fine).orderBy(three, one))
+    # About n rows.
+    placed = sent.withColumn(rank, place).join(F.broadcast(counts), [shard, fine])
+    placed = placed.select(*rows.columns, shard, (F.col(base) + F.col(rank) - 1).alias(slot))
     path = common.scratch(spark, "shards")
     placed.write.partitionBy(shard).parquet(path)
     return spark.read.schema(placed.schema).parquet(path).select(*placed.columns)

@@ -81,8 +81,8 @@ def test_packing(docs, empty):
     whole = {i: plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(TEXTS)}
     for i, part in got[got["doc_id"].notna() & (got["doc_id"] != 3)].groupby("doc_id"):
         part = part.sort_values("piece")
-        assert np.frombuffer(b"".join(part["ids"]), "<u4").tolist() == whole[i]
-        assert (part["length"].iloc[:-1] == 256).all() and [len(x) // 4 for x in part["ids"]] == part["length"].tolist()
+        assert np.frombuffer(b"".join(part["ids"]), "<u2").tolist() == whole[i]
+        assert (part["length"].iloc[:-1] == 256).all() and [len(x) // 2 for x in part["ids"]] == part["length"].tolist()
     assert (got["doc_id"] == 3).sum() == 2 and got["doc_id"].isna().sum() == 1
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert part["offset"].tolist() == [0, *np.cumsum(part["length"])[:-1]] and part["length"].sum() <= 256
