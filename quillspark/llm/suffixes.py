@@ -1,27 +1,33 @@
-"""Substrings that repeat across documents, found by suffix sorting with difference covers.
-
-A string of `size` bytes that occurs in two documents has the same minimizer in both: the smallest
-of the hashes of its k-byte parts, the leftmost of equal ones. So all places of a repeated string
-meet under the hash of one part, and the work is dealt out by these hashes:
-
-1. Texts are packed into compressed rows of some megabytes, so that no later step moves one row for
-   each document or position.
-2. Each row sends the sorted hashes of its minimizers, with the mark "in several documents"; a task
-   that holds a range of hashes answers which of them occur in two documents or more.
-3. For those, each row sends the distinct contexts (all strings that share one minimizer) with the
-   smallest doc_id that has them. A task sorts the suffixes of its contexts with the difference
-   cover {1, 2} modulo 3: sampled triples get names, names are sorted recursively until they stand
-   for `size` bytes, the remaining suffixes are merged in; adjacent suffixes with equal prefixes
-   then give each string's smallest doc_id. A hash with more contexts than HOT_BYTES is not sorted in
-   one task: its strings are sent one by one, once a row, and dealt out by the hash of the string.
+"""Substrings that repeat across documents, by a distributed difference-cover suffix sort.
+
+Texts are packed into compressed rows of some megabytes, and what rows exchange are blobs for ranges of
+keys, so that no step moves one record for each document or position.
+
+1. What can't matter is left out first. Texts are cut into segments at places that their content names;
+   of equal segments (128-bit digests) only one of the smallest doc_id is sorted, since all strings of
+   the others start in that document too. A string of `size` bytes that occurs in two documents has the
+   same minimizer in both (the smallest of the hashes of its `part`-byte parts), so strings whose
+   minimizer occurs in one document only are not sorted. Neither loses a repeat.
+2. What is left is sorted. Positions 1 and 2 modulo 3 are the sample. A triple of blocks covers `short`
+   bytes; the sampled triples of all rows are sorted, range by range, and get names: ranks, made global
+   by prefix sums over the ranges. The same is done once more on the names: triples of names cover
+   `size` - 2 bytes. Strings none of whose sampled triples occurs in several documents are dropped on
+   the way, for two equal strings share a sampled triple at one place or another.
+3. The remaining suffixes are merged in: in each range of strings those at position 0 modulo 3 are
+   compared by their first byte or two and the sample's rank behind. Adjacent suffixes with equal
+   prefixes of `size` bytes then give each string's smallest doc_id. All comparisons are exact.
 4. Each row marks the bytes covered by strings that start in a document with a smaller doc_id.
 
-No step drops anything: hashes that collide only send contexts that turn out to be different.
+Ranges are parted by sampled strings and compare all `size` bytes, so a frequent phrase with many
+continuations fills many ranges; a row sends a string once, so a frequent string has at most one record a
+row. A row sends nothing to ranges in which it has no records, so blobs never outnumber records.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,111 +40,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: At least 8 bytes; parts are shorter.
+#: Bytes of a repeated string (32 at least), of the parts whose hashes are minimized, and of a packed row.
 SIZE = 50
 PART = 20
 PACK_BYTES = 6 << 20
 BLOCK_BYTES = 64 << 10
 HASH_BITS = 48
-#: A hash whose contexts may exceed this is split by string; a task then gets about so many strings.
-HOT_BYTES = 2 << 20
-HOT_STRINGS = 200_000
-#: Up to so many places of a hash in a packed row are not looked at for equal contexts.
-FEW = 16
-NO_ID = (1 << 63) - 1  # a null doc_id counts as larger than all others
+#: Segments have about so many string starts, and at most SEGMENT_MOST.
+SEGMENT, SEGMENT_MOST = 512, 4096
+#: Bytes of text whose segments, or minimizers, make up a range; string starts that make up one.
+SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 1_500_000
+#: Strings drawn for each range, of which one parts it from the next.
+DRAWN = 24
+NO_ID = (1 << 63) - 1  # a null doc_id counts as the largest, as 2^63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-# --- difference cover -------------------------------------------------------------------------
-
-
-def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """The name (rank among distinct ones, from 1) of each key, and their number."""
-    order = np.argsort(keys)
-    held = keys[order]
-    rank = np.cumsum(np.concatenate([[True], held[1:] != held[:-1]])[: len(keys)])
-    name = np.empty(len(keys), np.int64)
-    name[order] = rank
-    return name, int(rank[-1]) if len(rank) else 0
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
-    """_names for pairs of numbers from 0; long ones are named before they are joined."""
-    wide = int(b.max(initial=0)).bit_length()
-    if int(a.max(initial=0)).bit_length() + wide > 62:
-        (a, _), (b, n) = _names(a), _names(b)
-        wide = n.bit_length()
-    return _names(a << wide | b)
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of text (integers from 1) sorted by at least the first `depth` characters of their
-    suffixes; the end sorts before every character. Suffixes equal so far stay in any order."""
-    n = len(text)
-    if n < 3:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    t = np.concatenate([text.astype(np.int64), np.zeros(4, np.int64)])
-    wide = int(t.max()).bit_length()
-    i12 = np.concatenate([np.arange(1, n + 1, 3), np.arange(2, n + 1, 3)])  # one past the end keeps the halves apart
-    if 3 * wide <= 62:
-        name, distinct = _names((t[i12] << (2 * wide)) | (t[i12 + 1] << wide) | t[i12 + 2])
-    else:
-        name, distinct = _pairs(_pairs(t[i12], t[i12 + 1])[0], t[i12 + 2])
-    if distinct < len(i12) and depth > 3:
-        # Each half read in order is the text in steps of three; a zero parts the halves.
-        half = (n + 2) // 3
-        below = suffix_order(np.concatenate([name[:half] + 1, [1], name[half:] + 1]), -(-depth // 3) + 1)
-        below = below[below != half]
-        order = np.where(below > half, below - 1, below)
-    else:
-        order = np.argsort(name)
-    rank = np.zeros(n + 4, np.int64)
-    rank[i12[order]] = np.arange(1, len(i12) + 1)
-    s12 = i12[order]
-    s12 = s12[s12 < n]
-    i0 = np.arange(0, n, 3)
-    base = np.int64(len(i12) + 2)
-    s0 = i0[np.argsort(t[i0] * base + rank[i0 + 1])]
-    # Merge: for the rest, how many sampled suffixes of either kind come before.
-    s1, s2 = s12[s12 % 3 == 1], s12[s12 % 3 == 2]
-    # Suffixes equal as far as they are sorted may count either way; the running maximum keeps such
-    # a group together, so the merge is right up to `depth` characters.
-    c1 = np.searchsorted(np.sort(t[s1] * base + rank[s1 + 1]), t[s0] * base + rank[s0 + 1])
-    two, _ = _pairs(np.concatenate([t[s2], t[s0]]), np.concatenate([t[s2 + 1], t[s0 + 1]]))
-    c2 = np.searchsorted(np.sort(two[: len(s2)] * base + rank[s2 + 2]), two[len(s2) :] * base + rank[s0 + 2])
-    out = np.empty(n, np.int64)
-    at = np.arange(len(s0)) + np.maximum.accumulate(c1 + c2)
-    taken = np.zeros(n, bool)
-    taken[at] = True
-    out[at] = s0
-    out[~taken] = s12
-    return out
-
-
-def smallest_owner(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """data: bytes of contexts, each followed by a separator; starts: where strings of `size` bytes
-    begin; owner: their doc_ids. For each, the smallest doc_id among equal strings."""
-    order = suffix_order(data.astype(np.int64) + 1, size)
-    which = np.full(len(data), -1, np.int64)
-    which[starts] = np.arange(len(starts))
-    line = which[order]
-    line = line[line >= 0]
-    place = starts[line]
-    same = np.ones(max(0, len(place) - 1), bool)
-    # Eight bytes at a time, the last ones ending with the string.
-    words = np.ndarray(max(0, len(data) - 7), "<u8", np.ascontiguousarray(data), strides=(1,))
-    for k in [*range(0, size - 8, 8), size - 8]:
-        held = words[place + k]
-        same &= held[1:] == held[:-1]
-    head = np.flatnonzero(np.concatenate([[True], ~same])) if len(place) else np.zeros(0, np.int64)
-    out = np.empty(len(starts), np.int64)
-    if len(place):
-        least = np.minimum.reduceat(owner[line], head)
-        out[line] = np.repeat(least, np.diff(np.append(head, len(line))))
-    return out
-
-
 # --- minimizers -------------------------------------------------------------------------------
 
 
@@ -208,7 +126,7 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
 
 
 def pack_texts(docs: DataFrame, most: int = PACK_BYTES) -> DataFrame:
-    """Rows (g, blob): some megabytes of documents each, with all their columns, as compressed Arrow
+    """Rows (g, size, blob): some megabytes of documents each, with all their columns, as compressed Arrow
     streams in no special order."""
     names = docs.columns
 
@@ -221,10 +139,11 @@ def pack_texts(docs: DataFrame, most: int = PACK_BYTES) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "blob"])
+                values = [pa.array([g], pa.int64()), pa.array([sum(sizes[lo:hi])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(values, ["g", "size", "blob"])
                 g += 1
 
-    return common.materialize(docs.mapInArrow(pack, "g long, blob binary"), "texts")
+    return common.materialize(docs.mapInArrow(pack, "g long, size long, blob binary"), "texts")
 
 
 def _table(blob: bytes) -> pa.Table:
@@ -252,65 +171,6 @@ def _distinct(m: Minimizers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return held, low != high, place
 
 
-def _kinds(m: Minimizers, data: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """How many contexts each distinct hash has here, at most: equal ones count once if there are many."""
-    count = np.bincount(place)
-    many = np.flatnonzero(count[place] > FEW)
-    if len(many):
-        h = _context_hash(data, m.low[many], m.high[many] + size)
-        order = np.lexsort((h, place[many]))
-        k, h = place[many][order], h[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
-        count[k] = np.bincount(k[new], minlength=len(count))[k]
-    return count
-
-
-def _words(data: np.ndarray, size: int, step: int) -> list[np.ndarray]:
-    """The strings of `size` bytes that begin every `step` bytes, as numbers of eight bytes; the last ends with the string."""
-    n = max(0, (len(data) - size) // step + 1)
-    data = np.ascontiguousarray(data)
-    return [np.ndarray(n, "<u8", data, k, (step,)) if n else np.zeros(0, "<u8") for k in [*range(0, size - 8, 8), size - 8]]
-
-
-class Strings:
-    """The strings of some minimizers, for hashes that are split: where each begins (`start`), its
-    document index (`doc`) and its place among the row's distinct ones (`own`); of those, where one
-    begins (`first`), its hash (`hash`, sorted) and the smallest doc_id (`least`)."""
-
-    def __init__(self, data: np.ndarray, m: Minimizers, some: np.ndarray, doc: np.ndarray, size: int):
-        count = m.high[some] - m.low[some] + 1
-        self.start, self.doc = _ranges(m.low[some], count), np.repeat(m.doc[some], count)
-        h = _context_hash(data, self.start, self.start + size)
-        order = np.argsort(h, kind="stable")
-        at, h = self.start[order], h[order]
-        same = h[1:] == h[:-1]
-        for w in _words(data, size, 1):
-            same &= w[at[1:]] == w[at[:-1]]
-        new = np.concatenate([[True], ~same]) if len(at) else np.zeros(0, bool)
-        self.own = np.empty(len(at), np.int64)
-        self.own[order] = np.cumsum(new) - 1
-        self.first, self.hash = at[new], h[new]
-        self.least = np.full(len(self.first), NO_ID)
-        np.minimum.at(self.least, self.own, doc[self.doc])
-
-    def bounds(self, tasks: int) -> np.ndarray:
-        """Bounds among the distinct strings of the share of each task."""
-        return np.searchsorted((self.hash >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32), np.arange(tasks + 1, dtype=np.uint64))
-
-
-def _smallest(data: np.ndarray, least: np.ndarray, size: int) -> np.ndarray:
-    """data: strings of `size` bytes end to end; for each, the smallest of `least` among equal ones."""
-    words = _words(data, size, size)
-    order = np.lexsort(words)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for w in words:
-        same &= w[order[1:]] == w[order[:-1]]
-    head = np.flatnonzero(np.concatenate([[True], ~same]))
-    out = np.empty_like(least)
-    out[order] = np.repeat(np.minimum.reduceat(least[order], head), np.diff(np.append(head, len(order))))
-    return out
-
-
 def _dealt(held: np.ndarray, n: int) -> np.ndarray:
     """Bounds in sorted hashes of n equal ranges of hashes."""
     return np.searchsorted(held, (np.arange(n + 1, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // n)))
@@ -322,160 +182,475 @@ def _bounds(held: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, hot_bytes: int = HOT_BYTES):
+# --- segments ---------------------------------------------------------------------------------
+
+
+class Segments:
+    """Ranges of string starts of a packed row's texts: `start`, `end`, document index (`doc`), and `kind`,
+    the place among the row's distinct ones; of these the digest (`high`, `low`, sorted) and the
+    smallest doc_id (`least`)."""
+
+    def __init__(self, doc: np.ndarray, cut: np.ndarray, data: np.ndarray, size: int):
+        lengths = np.maximum(np.diff(cut) - size + 1, 0)
+        some = np.flatnonzero(lengths)
+        begin, stop = cut[:-1][some], cut[:-1][some] + lengths[some]
+        word = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+        at = np.flatnonzero((word * _MIX) >> np.uint64(64 - SEGMENT.bit_length() + 1) == 0)
+        of = np.searchsorted(begin, at, side="right") - 1
+        inside = (of >= 0) & (at < stop[of]) if len(begin) else np.zeros(len(at), bool)
+        start = np.unique(np.concatenate([begin, at[inside]]))
+        of = np.searchsorted(begin, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], stop[-1:]), stop[of]) if len(start) else start
+        many = -(-(end - start) // SEGMENT_MOST)
+        more = _ranges(np.zeros(len(many), np.int64), many) * SEGMENT_MOST
+        self.start = np.repeat(start, many) + more
+        self.end = np.minimum(self.start + SEGMENT_MOST, np.repeat(end, many))
+        self.doc = some[np.repeat(of, many)] if len(some) else np.zeros(0, np.int64)
+        view, digest = memoryview(np.ascontiguousarray(data)), partial(hashlib.blake2b, digest_size=16)
+        raw = b"".join([digest(view[a:b]).digest() for a, b in zip(self.start.tolist(), (self.end + size - 1).tolist())])
+        keys = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
+        self.kind, first = _kinds([keys[:, 0], keys[:, 1]])
+        self.high, self.low = keys[first, 0], keys[first, 1]
+        self.least = np.full(len(first), NO_ID)
+        np.minimum.at(self.least, self.kind, doc[self.doc])
+
+    def bounds(self, n: int) -> np.ndarray:
+        """Bounds among the distinct ones of n ranges of digests."""
+        return np.searchsorted((self.high >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of keys, the first key first: each one's place among the distinct ones in order, and
+    where one of each is."""
+    order = np.lexsort(keys[::-1])
+    new = _new([k[order] for k in keys])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
+
+
+def _new(keys: list[np.ndarray]) -> np.ndarray:
+    """Which sorted rows differ from the one before."""
+    same = np.ones(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        same &= k[1:] == k[:-1]
+    return np.concatenate([[True], ~same])[: len(keys[0])]
+
+
+# --- the strings that are sorted --------------------------------------------------------------
+
+
+class Plan:
+    """The sizes of the two levels of names for strings of `size` bytes."""
+
+    def __init__(self, size: int):
+        if size < 32:
+            raise ValueError("strings of 32 bytes at least")
+        self.size, self.long = size, size - 2
+        self.short = -(-self.long // 3)
+        self.short += (self.long - self.short) % 3
+        back = self.long - self.short
+        self.middle, self.last = 3 * ((back // 3 + 1) // 2), back
+
+
+class Left:
+    """The strings of a packed row that are left to be sorted, as runs of their starts: bytes (`text`),
+    and for each run where it starts here (`at`) and in the row (`of`), how many starts it has (`count`)
+    and whose it is (`owner`)."""
+
+    def __init__(self, blob: bytes, size: int):
+        self.of, self.count, self.owner, self.text = _unsqueeze(blob)
+        self.of, self.count, self.size = self.of.astype(np.int64), self.count.astype(np.int64), size
+        self.at = common.offsets(self.count + size - 1)[:-1]
+
+    def starts(self, wide: int, sample: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of strings of `wide` bytes, all or those of the sample, and their owners."""
+        many = self.count + self.size - wide
+        place, owner = _ranges(self.at, many), np.repeat(self.owner, many)
+        if sample:
+            keep = place % 3 > 0
+            place, owner = place[keep], owner[keep]
+        return place, owner
+
+    def words(self, place: np.ndarray, wide: int) -> list[np.ndarray]:
+        """The strings at these places as numbers that sort like them."""
+        view = np.ndarray(max(0, len(self.text) - 7), ">u8", np.ascontiguousarray(self.text), strides=(1,))
+        return [view[place + k].astype(np.uint64) for k in (*range(0, wide - 8, 8), wide - 8)]
+
+
+def _route(words: list[np.ndarray], splits: list[np.ndarray]) -> np.ndarray:
+    """For each string the number of splits that are not greater, by bisection."""
+    low, high = np.zeros(len(words[0]), np.int64), np.full(len(words[0]), len(splits[0]), np.int64)
+    while (on := np.flatnonzero(low < high)).size:
+        mid = (low[on] + high[on]) // 2
+        right, open_ = np.ones(len(on), bool), np.arange(len(on))
+        for w, s in zip(words, splits):  # only ties look at the next word
+            a, b = w[on[open_]], s[mid[open_]]
+            right[open_] = a >= b
+            open_ = open_[a == b]
+            if not len(open_):
+                break
+        low[on[right]] = mid[right] + 1
+        high[on[~right]] = mid[~right]
+    return low
+
+
+def _send(g: int, route: np.ndarray, keys: list[np.ndarray], owner: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, list[tuple]]:
+    """(each one's place among the row's distinct ones, which are ordered by range and keys; rows (b, g,
+    blob) with keys, smallest owner, whether there are several, and more of one of each)."""
+    kind, first = _kinds([route, *keys])
+    low, high = np.full(len(first), NO_ID), np.full(len(first), -NO_ID)
+    np.minimum.at(low, kind, owner)
+    np.maximum.at(high, kind, owner)
+    rows = []
+    held = route[first]
+    for b in np.unique(held):
+        a, z = np.searchsorted(held, [b, b + 1])
+        own = first[a:z]
+        rows.append((int(b), g, _squeeze(*(_narrow(k[own]) for k in keys), _narrow(low[a:z]), np.packbits(low[a:z] != high[a:z]), *(_narrow(m[own]) for m in more))))
+    return kind, rows
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as the values need."""
+    if x.dtype == np.int64 and len(x) and x.min() >= 0:
+        top = int(x.max())
+        return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+    return x
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names)
+
+
+def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
+    """One range of sorted triples: named by their rank, from 1, with the mark "in several documents".
+    `n` is the number of names."""
+    got = [_unsqueeze(x) for x in frame["blob"]]
+    cut = common.offsets([len(x[0]) for x in got])
+    keys = [np.concatenate([x[k].astype(np.uint64) for x in got]) for k in range(width)]
+    low = np.concatenate([x[width].astype(np.int64) for x in got])
+    several = np.concatenate([np.unpackbits(x[width + 1])[: len(x[0])] for x in got]).astype(bool)
+    kind, first = _kinds(keys)
+    least, most, many = np.full(len(first), NO_ID), np.full(len(first), -NO_ID), np.zeros(len(first), bool)
+    np.minimum.at(least, kind, low)
+    np.maximum.at(most, kind, low)
+    np.logical_or.at(many, kind, several)
+    many |= least != most
+    blobs = [_squeeze(_narrow(kind[a:b] + 1), np.packbits(many[kind[a:b]])) for a, b in zip(cut, cut[1:])]
+    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "n": len(first), "blob": blobs})
+
+
+def _names_of(told: pd.DataFrame, base: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Global names of a row's distinct triples, whose ranges are `held` (sorted), and which of them
+    occur in several documents."""
+    name, several = np.zeros(len(held), np.int64), np.zeros(len(held), bool)
+    for b, blob in zip(told["b"], told["blob"]):
+        local, bits = _unsqueeze(blob)
+        a = np.searchsorted(held, b)
+        name[a : a + len(local)] = local.astype(np.int64) + base[b]
+        several[a : a + len(local)] = np.unpackbits(bits)[: len(local)]
+    return name, several
+
+
+def merge(one: list[np.ndarray], two: list[np.ndarray], zero: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the strings of a range (numbers into one, two, zero end to end) and which differ
+    from the one before. Each class has t0, t1 (first bytes), y, z (last bytes), r0, r1, r2: the
+    sample's ranks at the string's first three places, of which class one lacks r2, two r1, zero r0."""
+    t0, t1, y, z, r0, r1, r2 = (np.concatenate(x) for x in zip(one, two, zero))
+    n1, n2, n0 = len(one[0]), len(two[0]), len(zero[0])
+    sampled = np.lexsort((z[: n1 + n2], y[: n1 + n2], r0[: n1 + n2]))
+    rest = n1 + n2 + np.lexsort((z[n1 + n2 :], r1[n1 + n2 :], t0[n1 + n2 :]))
+    by_one, by_two = (t0, r1, z), (t0, t1, r2)
+    first, second = sampled[sampled < n1], sampled[sampled >= n1]
+    before = _below([k[first] for k in by_one], [k[rest] for k in by_one]) + _below([k[second] for k in by_two], [k[rest] for k in by_two])
+    order = np.empty(n1 + n2 + n0, np.int64)
+    at = np.arange(n0) + before
+    taken = np.zeros(len(order), bool)
+    taken[at] = True
+    order[at], order[~taken] = rest, sampled
+    kind = np.repeat([1, 2, 0], [n1, n2, n0])[order]
+    a, b = order[:-1], order[1:]
+    same = lambda *keys: np.logical_and.reduce([k[a] == k[b] for k in keys])
+    none, two_in = (kind[:-1] == 0) | (kind[1:] == 0), (kind[:-1] == 2) | (kind[1:] == 2)
+    equal = np.where(~none, same(r0, y, z), np.where(two_in, same(t0, t1, r2), same(t0, r1, z)))
+    return order, np.concatenate([[True], ~equal])[: len(order)]
+
+
+def _below(sorted_keys: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """For each of sorted keys, how many of sorted_keys are smaller."""
+    n = len(sorted_keys[0])
+    every = [np.concatenate([b, a]) for a, b in zip(sorted_keys, keys)]
+    order = np.lexsort(every[::-1])  # stable: of equal ones, those of keys come first
+    return np.flatnonzero(order < len(keys[0])) - np.arange(len(keys[0])) if n else np.zeros(len(keys[0]), np.int64)
+
+
+def _owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """One range of strings: sorted, and each one's smallest owner told where it is another."""
+    classes: list[list] = [[], [], []]
+    owner, counts = [], []
+    for blob in frame["blob"]:
+        kind, t0, t1, y, z, ra, rb, low, _ = (x.astype(np.int64) for x in _unsqueeze(blob))
+        cut = np.searchsorted(kind, np.arange(4))
+        none = np.zeros(len(kind), np.int64)
+        for c, (r0, r1, r2) in enumerate(((none, ra, rb), (ra, rb, none), (ra, none, rb))):
+            classes[c].append([x[cut[c] : cut[c + 1]] for x in (t0, t1, y, z, r0, r1, r2)])
+        owner.append([low[cut[c] : cut[c + 1]] for c in range(3)])
+        counts.append(np.diff(cut))
+    zero, one, two = ([np.concatenate(x) for x in zip(*c)] for c in classes)
+    low = np.concatenate([np.concatenate([o[c] for o in owner]) for c in (1, 2, 0)])
+    order, new = merge(one, two, zero)
+    head = np.flatnonzero(new)
+    least = np.empty(len(order), np.int64)
+    if len(head):
+        least[order] = np.repeat(np.minimum.reduceat(low[order], head), np.diff(np.append(head, len(order))))
+    # Back to the rows, whose records are ordered by class.
+    at = dict(zip((1, 2, 0), common.offsets([len(one[0]), len(two[0]), len(zero[0])])))
+    blobs = []
+    for count in counts:
+        mine = np.concatenate([np.arange(at[c], at[c] + count[c]) for c in range(3)])
+        for c in range(3):
+            at[c] += count[c]
+        less = np.flatnonzero(least[mine] < low[mine])
+        blobs.append(_squeeze(_narrow(less), least[mine][less]))
+    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "blob": blobs})
+
+
+def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataFrame:
+    """left (g, blob, drawn) -> g, blob with the runs (start in the row, length) of string starts that a
+    smaller doc_id has too."""
+    spark = left.sparkSession
+    ranges = max(common.parallelism(spark), -(-total // starts))
+    rate = min(1.0, DRAWN * ranges / max(1, total))
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, blob in zip(frame["g"], frame["blob"]):
+                held = Left(blob, plan.size)
+                place, _ = held.starts(plan.size, False)
+                place = np.sort(np.random.default_rng(g & 0xFFFFFFFF).choice(place, min(len(place), max(1, int(len(place) * rate))), replace=False))
+                yield pd.DataFrame({"string": [held.text[p : p + plan.size].tobytes() for p in place]})
+
+    drawn = sorted(bytes(r["string"]) for r in left.select("g", "blob").mapInPandas(draw, "string binary").collect())
+    picked = np.frombuffer(b"".join(drawn[len(drawn) * k // ranges] for k in range(1, ranges)) if drawn else b"", np.uint8)
+    told = Left.__new__(Left)
+    told.text = picked
+    told_at = np.arange(0, len(picked), plan.size)
+    splits = {wide: told.words(told_at, wide) for wide in (plan.short, plan.long, plan.size)}
+    sent, reply = "b int, g long, blob binary", "g long, b int, n long, blob binary"
+    base: dict[str, np.ndarray] = {}
+
+    def bases(names: DataFrame) -> np.ndarray:
+        """Prefix sums of the ranges' numbers of names: one number a range."""
+        out = np.zeros(ranges, np.int64)
+        for r in names.groupBy("b").agg(F.first("n").alias("n")).collect():
+            out[r["b"]] = r["n"]
+        return common.offsets(out)
+
+    def short_triples(held: Left, g: int):
+        place, owner = held.starts(plan.short, True)
+        words = held.words(place, plan.short)
+        return place, *_send(g, _route(words, splits[plan.short]), words, owner, [])
+
+    def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, blob in zip(frame["g"], frame["blob"]):
+                yield _frame(short_triples(Left(blob, plan.size), g)[2], ["b", "g", "blob"])
+
+    def ranges_of(rows: list[tuple]) -> np.ndarray:
+        """The range of each distinct triple of rows."""
+        return np.concatenate([np.full(len(_unsqueeze(x)[0]), b) for b, _, x in rows]) if rows else np.zeros(0, np.int64)
+
+    def used(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the two sampled triples lie that a string's place is compared by."""
+        kind = place % 3
+        return np.where(kind == 0, place + 1, place), np.where(kind == 1, place + 1, place + 2)
+
+    def long_triples(held: Left, g: int, told: pd.DataFrame):
+        """Names of the short triples in place; then the long triples of strings that may repeat."""
+        place, kind, rows = short_triples(held, g)
+        name, several = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        if len(place):
+            name[place], several[place] = (x[kind] for x in _names_of(told, base["short"], ranges_of(rows)))
+        place, owner = held.starts(plan.long, True)
+        may = np.zeros(len(held.text), bool)
+        may[place] = several[place] & several[place + plan.middle] & several[place + plan.last]
+        a, b = used(held.starts(plan.size, False)[0])
+        open_ = may[a] | may[b]
+        need = np.zeros(len(held.text), bool)
+        need[a[open_]] = need[b[open_]] = True
+        keep = need[place]
+        place, owner = place[keep], owner[keep]
+        triple = [name[place], name[place + plan.middle], name[place + plan.last]]
+        return place, *_send(g, _route(held.words(place, plan.long), splits[plan.long]), triple, owner, [])
+
+    def send_long(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        g, held = int(left["g"].iloc[0]), Left(left["blob"].iloc[0], plan.size)
+        return _frame(long_triples(held, g, told)[2], ["b", "g", "blob"])
+
+    def strings(left: pd.DataFrame, told: pd.DataFrame):
+        g, held = int(left["g"].iloc[0]), Left(left["blob"].iloc[0], plan.size)
+        place, kind, rows = long_triples(held, g, told[told["level"] == 1])
+        rank, several = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        if len(place):
+            rank[place], several[place] = (x[kind] for x in _names_of(told[told["level"] == 2], base["long"], ranges_of(rows)))
+        place, owner = held.starts(plan.size, False)
+        a, b = used(place)
+        keep = several[a] | several[b]
+        place, owner, ra, rb = place[keep], owner[keep], rank[a[keep]], rank[b[keep]]
+        kind = place % 3
+        ends = [held.text[place + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1)]
+        own, rows = _send(g, _route(held.words(place, plan.size), splits[plan.size]), [kind, *ends, ra, rb], owner, [])
+        return held, place, owner, own, rows
+
+    def send_strings(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        return _frame(strings(left, told)[4], ["b", "g", "blob"])
+
+    def runs(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        held, place, owner, own, rows = strings(left, told[told["level"] < 3])
+        found, at = told[told["level"] == 3].set_index("b"), 0
+        least = np.full(int(own.max(initial=-1)) + 1, NO_ID)
+        for b, _, blob in rows:
+            low = _unsqueeze(blob)[7]
+            least[at : at + len(low)] = low
+            if b in found.index:
+                less, to = _unsqueeze(found["blob"][b])
+                least[at + less.astype(np.int64)] = to
+            at += len(low)
+        hit = place[least[own] < owner]
+        run = np.searchsorted(held.at, hit, side="right") - 1
+        start = np.sort(hit - held.at[run] + held.of[run])
+        new = np.flatnonzero(np.concatenate([[True], np.diff(start) > 1])[: len(start)])
+        return pd.DataFrame({"g": [int(left["g"].iloc[0])], "blob": [_squeeze(_narrow(start[new]), _narrow(np.diff(np.append(new, len(start)))))]})
+
+    words = len(splits[plan.short])
+    short = common.materialize(left.select("g", "blob").mapInPandas(send_short, sent).groupBy("b").applyInPandas(lambda k, f: _name(k, f, words), reply), "short-names")
+    base["short"] = bases(short)
+    pair = lambda told, f, kind: left.select("g", "blob").groupBy("g").cogroup(told.groupBy("g")).applyInPandas(f, kind)
+    long = pair(short, send_long, sent).groupBy("b").applyInPandas(lambda k, f: _name(k, f, 3), reply)
+    long = common.materialize(long, "long-names")
+    base["long"] = bases(long)
+    told = short.select("g", "b", "blob", F.lit(1).alias("level")).unionByName(long.select("g", "b", "blob", F.lit(2).alias("level")))
+    found = common.materialize(pair(told, send_strings, sent).groupBy("b").applyInPandas(_owners, "g long, b int, blob binary"), "owners")
+    return pair(told.unionByName(found.withColumn("level", F.lit(3))), runs, "g long, blob binary")
+
+
+# --- packed rows to marks ---------------------------------------------------------------------
+
+
+def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, starts: int = STARTS):
     """(packed texts, findings by g, function that marks a packed row's bytes); see dedup_substrings."""
     spark = docs.sparkSession
+    plan = Plan(size)
     packed = pack_texts(docs, pack_bytes)
-    # Ranges of hashes: so many that one holds the minimizers of about two packed rows.
-    n = max(common.parallelism(spark), packed.count() // 2)
+    total = packed.agg(F.sum("size")).first()[0] or 0
+    n_segments, n_hashes = (max(common.parallelism(spark), -(-total // one)) for one in (SEGMENT_RANGE, HASH_RANGE))
 
-    def send_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Digests of segments, and hashes of minimizers with the mark "in several documents"."""
         for frame in frames:
             for g, blob in zip(frame["g"], frame["blob"]):
                 doc, cut, data = _unpack(blob)
+                rows, own = [], Segments(doc, cut, data, size)
+                bound = own.bounds(n_segments)
+                for b in np.flatnonzero(np.diff(bound)):
+                    a, z = bound[b], bound[b + 1]
+                    rows.append((0, b, g, _squeeze(np.diff(own.high[a:z], prepend=np.uint64(0)), own.low[a:z], _narrow(own.least[a:z]))))
                 m = Minimizers(data, cut, size, part)
-                held, several, place = _distinct(m, doc)
-                count = _kinds(m, data, place, size)
-                bound = _bounds(held, n)
-                full = np.flatnonzero(np.diff(bound))
-                blobs = []
-                for b in full:
-                    own = slice(bound[b], bound[b + 1])
-                    more = np.flatnonzero(count[own] > 1)
-                    blobs.append(_squeeze(np.diff(held[own], prepend=np.uint64(0)), np.packbits(several[own]), more.astype(np.uint32), count[own][more].astype(np.uint32)))
-                yield pd.DataFrame({"b": full, "g": g, "blob": blobs})
+                held, several, _ = _distinct(m, doc)
+                bound = _bounds(held, n_hashes)
+                for b in np.flatnonzero(np.diff(bound)):
+                    a, z = bound[b], bound[b + 1]
+                    rows.append((1, b, g, _squeeze(np.diff(held[a:z], prepend=np.uint64(0)), np.packbits(several[a:z]))))
+                yield _frame(rows, ["what", "b", "g", "blob"])
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = [_unsqueeze(x) for x in frame["blob"]]
-        hashes = [np.cumsum(x[0], dtype=np.uint64) for x in got]
-        several = np.concatenate([np.unpackbits(x[1])[: len(h)] for h, x in zip(hashes, got)]).astype(bool)
-        _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        # Rows are cut anywhere between documents, so two rows with a hash are two documents, unless
-        # a doc_id occurs twice; that only sends contexts in vain.
-        again = count > 1
-        again[place[several]] = True
-        flags = again[place]
-        cut = common.offsets([len(h) for h in hashes])
-        kinds = np.ones(len(place), np.int64)
-        for a, x in zip(cut, got):
-            kinds[a + x[2].astype(np.int64)] = x[3]
-        hot = (again & (np.bincount(place, kinds) * (2 * size - part + 1) > hot_bytes))[place]
-        blobs = [np.packbits(flags[a:b]).tobytes() + np.flatnonzero(hot[a:b]).astype("<u4").tobytes() for a, b in zip(cut, cut[1:])]
-        strings = [int(kinds[a:b][hot[a:b]].sum()) * (size - part + 1) for a, b in zip(cut, cut[1:])]
-        return pd.DataFrame({"g": frame["g"], "kind": -1, "b": frame["b"], "blob": blobs, "strings": strings})
-
-    kind = "g long, kind int, b int, blob binary"
-    sent = packed.mapInPandas(send_hashes, "b int, g long, blob binary")
-    flags = common.materialize(sent.groupBy("b").applyInPandas(answer, f"{kind}, strings long"), "flags")
-    # Tasks for the strings of split hashes; they come after the n ranges.
-    tasks = max(1, -(-(flags.agg(F.sum("strings")).first()[0] or 0) // HOT_STRINGS))
-    flags = flags.drop("strings")
-
-    def contexts(left: pd.DataFrame, flags: pd.DataFrame):
-        """The row's texts, minimizers of repeated hashes, and for each the place of its context
-        among the row's distinct ones, which are sorted by hash and bytes' hash. The strings of split
-        hashes are apart."""
+        cut = common.offsets([len(x[0]) for x in got])
+        first = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
+        if key[0] == 0:
+            kind, one = _kinds([first, np.concatenate([x[1] for x in got])])
+            least = np.full(len(one), NO_ID)
+            np.minimum.at(least, kind, np.concatenate([x[2].astype(np.int64) for x in got]))
+            blobs = [_squeeze(_narrow(least[kind[a:b]])) for a, b in zip(cut, cut[1:])]
+        else:
+            several = np.concatenate([np.unpackbits(x[1])[: len(x[0])] for x in got]).astype(bool)
+            _, place, count = np.unique(first, return_inverse=True, return_counts=True)
+            # Rows are cut between documents, so two rows with a hash are two documents, unless a
+            # doc_id occurs twice; that only has strings sorted in vain.
+            again = count > 1
+            again[place[several]] = True
+            blobs = [np.packbits(again[place[a:b]]).tobytes() for a, b in zip(cut, cut[1:])]
+        return pd.DataFrame({"g": frame["g"], "what": frame["what"], "b": frame["b"], "blob": blobs})
+
+    sent = packed.select("g", "blob").mapInPandas(send, "what int, b int, g long, blob binary")
+    told = common.materialize(sent.groupBy("what", "b").applyInPandas(answer, "g long, what int, b int, blob binary"), "told")
+
+    def least_of(own: Segments, told: pd.DataFrame) -> np.ndarray:
+        """The smallest doc_id anywhere of each distinct segment."""
+        bound, out = own.bounds(n_segments), own.least.copy()
+        for b, blob in zip(told["b"], told["blob"]):
+            out[bound[b] : bound[b + 1]] = _unsqueeze(blob)[0]
+        return out
+
+    def remaining(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """The strings that are left to be sorted, as runs of starts within a document."""
         doc, cut, data = _unpack(left["blob"].iloc[0])
+        own = Segments(doc, cut, data, size)
+        least = least_of(own, told[told["what"] == 0])
+        mine = np.flatnonzero(doc[own.doc] == least[own.kind])
+        _, first = np.unique(own.kind[mine], return_index=True)
+        mine = mine[first]
         m = Minimizers(data, cut, size, part)
         held, _, place = _distinct(m, doc)
-        bound = _bounds(held, n)
-        again, hot = np.zeros(len(held), bool), np.zeros(len(held), bool)
-        for b, blob in zip(flags["b"], flags["blob"]):
-            bits = -(-(bound[b + 1] - bound[b]) // 8)
-            again[bound[b] : bound[b + 1]] = np.unpackbits(np.frombuffer(blob[:bits], np.uint8))[: bound[b + 1] - bound[b]]
-            if len(blob) > bits:
-                hot[bound[b] + np.frombuffer(blob[bits:], "<u4").astype(np.int64)] = True
-        strings = Strings(data, m, np.flatnonzero(hot[place]), doc, size)
-        keep = np.flatnonzero((again & ~hot)[place])
-        h = _context_hash(data, m.low[keep], m.high[keep] + size)
-        order = np.lexsort((h, m.hash[keep]))
-        k, h = m.hash[keep][order], h[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.zeros(0, bool)
-        own = np.empty(len(keep), np.int64)
-        own[order] = np.cumsum(new) - 1
-        return doc, cut, data, m, keep, own, keep[order][new], strings
-
-    def send_contexts(left: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(flags):
-            return pd.DataFrame({"b": [], "g": [], "blob": []})
-        doc, _, data, m, keep, own, first, strings = contexts(left, flags)
-        least = np.full(len(first), NO_ID)
-        np.minimum.at(least, own, doc[m.doc[keep]])
-        bound = _bounds(m.hash[first], n)
-        rows = []
-        for b in np.flatnonzero(np.diff(bound)):
-            own = first[bound[b] : bound[b + 1]]
-            sizes = m.high[own] + size - m.low[own]
-            raw = data[_ranges(m.low[own], sizes)]
-            rows.append((b, left["g"].iloc[0], _squeeze(np.diff(m.hash[own], prepend=np.uint64(0)), sizes.astype(np.uint32), least[bound[b] : bound[b + 1]], raw)))
-        bound = strings.bounds(tasks)
-        for b in np.flatnonzero(np.diff(bound)):
-            at = strings.first[bound[b] : bound[b + 1]]
-            raw = data[_ranges(at, np.full(len(at), size))]
-            rows.append((n + b, left["g"].iloc[0], _squeeze(strings.least[bound[b] : bound[b + 1]], raw)))
-        return pd.DataFrame(rows, columns=["b", "g", "blob"])
-
-    def owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        got = [_unsqueeze(x) for x in frame["blob"]]
-        if key[0] >= n:
-            least = np.concatenate([x[0] for x in got])
-            found = _smallest(np.concatenate([x[1] for x in got]), least, size)
-            blobs = []
-            cut = common.offsets([len(x[0]) for x in got])
-            for a, b, x in zip(cut, cut[1:], got):
-                less = np.flatnonzero(found[a:b] < x[0])
-                blobs.append(_squeeze(less.astype(np.uint32), found[a:b][less]))
-            return pd.DataFrame({"g": frame["g"], "kind": 2, "b": frame["b"], "blob": blobs})
-        hashes = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
-        sizes = np.concatenate([x[1] for x in got]).astype(np.int64)
-        least = np.concatenate([x[2] for x in got])
-        data = np.concatenate([x[3] for x in got])
-        runs = _owner_runs(hashes, sizes, least, data, size)
-        cut = common.offsets([len(x[0]) for x in got])
-        blobs = []
-        for a, b in zip(cut, cut[1:]):
-            lo, hi = np.searchsorted(runs[0], [a, b])
-            blobs.append(_squeeze((runs[0][lo:hi] - a).astype(np.uint32), runs[1][lo:hi].astype(np.uint32), runs[2][lo:hi].astype(np.uint32), runs[3][lo:hi]))
-        return pd.DataFrame({"g": frame["g"], "kind": 1, "b": frame["b"], "blob": blobs})
-
-    pairs = packed.groupBy("g").cogroup(flags.groupBy("g"))
-    sent = pairs.applyInPandas(send_contexts, "b int, g long, blob binary")
-    runs = common.materialize(sent.groupBy("b").applyInPandas(owners, kind), "owners")
-
-    def mark(left: pd.DataFrame, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        bound, again = _bounds(held, n_hashes), np.zeros(len(held), bool)
+        for b, blob in zip(told["b"][told["what"] == 1], told["blob"][told["what"] == 1]):
+            again[bound[b] : bound[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8))[: bound[b + 1] - bound[b]]
+        keep = np.flatnonzero(again[place])
+        live = _covered(len(data), own.start[mine], own.end[mine]) & _covered(len(data), m.low[keep], m.high[keep] + 1)
+        at = np.flatnonzero(live)
+        whose = np.searchsorted(cut, at, side="right") - 1
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(whose) > 0)])[: len(at)])
+        of, count = at[new], np.diff(np.append(new, len(at)))
+        text = data[_ranges(of, count + size - 1)]
+        return pd.DataFrame({"g": left["g"], "starts": [len(at)], "blob": [_squeeze(_narrow(of), _narrow(count), doc[whose[new]], text)]})
+
+    left = packed.select("g", "blob").groupBy("g").cogroup(told.groupBy("g")).applyInPandas(remaining, "g long, starts long, blob binary")
+    left = common.materialize(left, "left").where("starts > 0")
+    count = left.agg(F.sum("starts")).first()[0] or 0
+    runs = told.where("what = 0")
+    if count:
+        found = _sort_strings(left.select("g", "blob"), count, plan, starts)
+        runs = runs.unionByName(common.materialize(found.select("g", F.lit(2).alias("what"), F.lit(0).alias("b"), "blob"), "runs"))
+
+    def mark(blob: bytes, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """doc_ids, bounds and bytes of a row, and which bytes are covered."""
-        flags = told[told["kind"] == -1]
-        if not len(flags):
-            doc, cut, data = _unpack(left["blob"].iloc[0])
-            return doc, cut, data, np.zeros(len(data), bool)
-        doc, cut, data, m, keep, own, first, strings = contexts(left, flags)
-        bound = _bounds(m.hash[first], n)
-        found = [(bound[b], _unsqueeze(x)) for b, k, x in zip(told["b"], told["kind"], told["blob"]) if k == 1]
-        edge = np.zeros(len(data) + 1, np.int64)
-        if found:
-            entry = np.concatenate([x[0].astype(np.int64) + base for base, x in found])
-            low, high, least = (np.concatenate([x[i] for _, x in found]) for i in (1, 2, 3))
-            order = np.argsort(entry, kind="stable")
-            entry, low, high, least = entry[order], low[order].astype(np.int64), high[order].astype(np.int64), least[order]
-            # Each minimizer takes all runs of its context.
-            a, b = np.searchsorted(entry, own, "left"), np.searchsorted(entry, own, "right")
-            run = _ranges(a, b - a)
-            who = np.repeat(keep, b - a)
-            smaller = least[run] < doc[m.doc[who]]
-            run, who = run[smaller], who[smaller]
-            np.add.at(edge, m.low[who] + low[run], 1)
-            np.add.at(edge, m.low[who] + high[run] + size, -1)
-        least, bound = strings.least.copy(), strings.bounds(tasks)
-        for b, k, x in zip(told["b"], told["kind"], told["blob"]):
-            if k == 2:
-                less, to = _unsqueeze(x)
-                least[bound[b - n] + less.astype(np.int64)] = to
-        start = strings.start[least[strings.own] < doc[strings.doc]]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + size, -1)
-        return doc, cut, data, np.cumsum(edge)[:-1] > 0
-
-    return packed, flags.unionByName(runs), mark
+        doc, cut, data = _unpack(blob)
+        own = Segments(doc, cut, data, size)
+        least = least_of(own, told[told["what"] == 0])
+        here = doc[own.doc] == least[own.kind]
+        start = _covered(len(data), own.start[~here], own.end[~here])
+        for blob in told["blob"][told["what"] == 2]:
+            at, n = (x.astype(np.int64) for x in _unsqueeze(blob))
+            start |= _covered(len(data), at, at + n)
+        # Segments that one document has twice: what holds for the first holds for the others.
+        mine = np.flatnonzero(here)
+        kinds, first = np.unique(own.kind[mine], return_index=True)
+        others = np.setdiff1d(mine, mine[first])
+        for i, j in zip(others, mine[first][np.searchsorted(kinds, own.kind[others])]):
+            start[own.start[i] : own.end[i]] |= start[own.start[j] : own.end[j]]
+        at = np.flatnonzero(start)
+        return doc, cut, data, _covered(len(data), at, at + size)
+
+    return packed.select("g", "blob"), runs, mark
+
+
+def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in any of the ranges."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -483,93 +658,32 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - common.offsets(sizes)[:-1], sizes) + np.arange(sizes.sum())
 
 
-def _context_hash(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """64-bit hash of each range of bytes."""
-    sizes = high - low
-    out = np.zeros(len(sizes), np.uint64)
-    inside = np.arange(sizes.max(initial=0), dtype=np.uint64)
-    mult = (inside * np.uint64(2) + np.uint64(1)) * _MIX
-    mult = (mult ^ mult >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-    for a in range(0, len(sizes), 1024):
-        own = sizes[a : a + 1024]
-        at = common.offsets(own)
-        place = np.arange(at[-1])
-        term = (data[np.repeat(low[a : a + 1024] - at[:-1], own) + place].astype(np.uint64) + np.uint64(1)) * mult[place - np.repeat(at[:-1], own)]
-        term ^= term >> np.uint64(32)
-        out[a : a + 1024] = np.add.reduceat(term * _MIX, at[:-1])
-    return out
-
-
-def _owner_runs(hashes: np.ndarray, sizes: np.ndarray, least: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
-    """Runs (context, first string, last string, smallest doc_id), sorted by context."""
-    at = common.offsets(sizes)
-    h = _context_hash(data, at[:-1], at[1:])
-    order = np.lexsort((h, hashes))
-    k, c = hashes[order], h[order]
-    new_c = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new_c) - 1
-    first = order[new_c]  # one context of each kind
-    low = np.minimum.reduceat(least[order], np.flatnonzero(new_c))
-    # A kind that is alone under its hash has nothing to be compared with.
-    hk = hashes[first]
-    alone = np.concatenate([[True], hk[1:] != hk[:-1]]) & np.concatenate([hk[1:] != hk[:-1], [True]])
-    strings = sizes[first] - size + 1
-    rows = [np.flatnonzero(alone), np.zeros(alone.sum(), np.int64), strings[alone] - 1, low[alone]]
-    every = np.flatnonzero(~alone)
-    # Equal strings have one hash, so runs of whole hashes are sorted apart, as much at a time as the
-    # processor's cache holds.
-    group = np.flatnonzero(np.concatenate([[True], hk[every][1:] != hk[every][:-1]])[: len(every)])
-    total = np.add.reduceat(sizes[first[every]] + 1, group) if len(group) else group
-    edge = np.append(group, len(every))
-    parts = [tuple(rows)]
-    for lo, hi in common.batches(total.tolist(), 2 * BLOCK_BYTES):
-        many = every[edge[lo] : edge[hi]]
-        # Contexts end to end, each followed by a separator that no UTF-8 text holds.
-        wide = sizes[first[many]] + 1
-        line = np.full(wide.sum(), 255, np.uint8)
-        to = common.offsets(wide)[:-1]
-        line[_ranges(to, wide - 1)] = data[_ranges(at[first[many]], wide - 1)]
-        starts = _ranges(to, strings[many])
-        owner = smallest_owner(line, starts, np.repeat(low[many], strings[many]), size)
-        whose = np.repeat(many, strings[many])
-        inside = starts - np.repeat(to, strings[many])
-        head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (whose[1:] != whose[:-1])]))
-        tail = np.append(head[1:], len(owner)) - 1
-        parts.append((whose[head], inside[head], inside[tail], owner[head]))
-    rows = [np.concatenate(x) for x in zip(*parts)]
-    order = np.argsort(rows[0], kind="stable")
-    of_kind, first_s, last_s, owner = (x[order] for x in rows)
-    # From kinds back to the contexts in the order in which they came.
-    a, b = np.searchsorted(of_kind, kind, "left"), np.searchsorted(of_kind, kind, "right")
-    run = _ranges(a, b - a)
-    return [np.repeat(np.arange(len(kind)), b - a), first_s[run], last_s[run], owner[run]]
-
-
-def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_bytes: int = PACK_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_bytes: int = PACK_BYTES, starts: int = STARTS) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal runs of covered bytes), kept (binary:
     the remaining bytes of the UTF-8 text).
 
     A byte is covered if a string of `size` bytes over it also starts in a document with a smaller
     doc_id; strings are judged on the input. Null and empty texts and those shorter than `size` keep
-    all. Rows with one doc_id do not cover each other; a null doc_id counts as the largest. Other
-    columns are left out; an empty table gives no rows.
+    all. Rows with one doc_id do not cover each other; a null doc_id counts as the largest, beside
+    2^63 - 1. Other columns are left out; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed, told, mark = repeated_spans(docs, size, part, pack_bytes, hot_bytes)
+    packed, told, mark = repeated_spans(docs, size, part, pack_bytes, starts)
 
     def out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "spans": [], "kept": []})
-        doc, cut, data, covered = mark(left, right)
+        blob = left["blob"].iloc[0]
+        doc, cut, data, covered = mark(blob, right)
+        ids = _table(blob)["doc_id"].to_pylist()
         rows = []
-        for d, a, b in zip(doc.tolist(), cut, cut[1:]):
+        for a, b in zip(cut, cut[1:]):
             own = covered[a:b]
             turn = np.flatnonzero(np.diff(own, prepend=False, append=False))
             spans = [{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())]
-            rows.append((None if d == NO_ID else d, int(b - a), spans, (data[a:b][~own] if spans else data[a:b]).tobytes()))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
-        return frame.astype({"doc_id": "Int64"})
+            rows.append((int(b - a), spans, (data[a:b][~own] if spans else data[a:b]).tobytes()))
+        frame = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
+        return frame.assign(doc_id=pd.array(ids, "Int64"))[["doc_id", "n_bytes", "spans", "kept"]]
 
     kind = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return packed.groupBy("g").cogroup(told.groupBy("g")).applyInPandas(out, kind)
@@ -584,8 +698,9 @@ def cut_documents(docs: DataFrame, size: int = SIZE, part: int = PART, pack_byte
     names = docs.columns
 
     def out(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = _table(left["blob"][0].as_py())
-        doc, cut, data, covered = mark(left.to_pandas(), right.to_pandas())
+        blob = left["blob"][0].as_py()
+        held = _table(blob)
+        doc, cut, data, covered = mark(blob, right.to_pandas())
         text, stay = held["text"].to_pylist(), []
         count = held["n_chars"].to_pylist() if "n_chars" in names else None
         for i, (a, b) in enumerate(zip(cut, cut[1:])):
@@ -606,6 +721,7 @@ def cut_documents(docs: DataFrame, size: int = SIZE, part: int = PART, pack_byte
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document also starts in one with a smaller doc_id, and the digest of the rest."""
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(

@@ -189,15 +189,6 @@ def test_components(spark):
 # --- suffixes
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 3), max_size=50), st.integers(1, 60))
-def test_suffix_order(text, depth):
-    got = suffixes.suffix_order(np.array(text, np.int64), depth).tolist()
-    assert sorted(got) == list(range(len(text)))
-    heads = [text[i : i + depth] for i in got]
-    assert heads == sorted(heads)
-
-
 def plain_spans(held, size):
     first = {}
     for doc, text in held:
@@ -215,42 +206,65 @@ def plain_spans(held, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("pack_bytes", [200, 1 << 20])
-def test_substrings(docs, empty, pack_bytes):
-    got = suffixes.dedup_substrings(docs, pack_bytes=pack_bytes).collect()
-    mine = sorted([(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in got], key=str)
-    assert mine == plain_spans(listed(docs), 50)
+def removed(got):
+    return sorted([(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in got], key=str)
+
+
+@pytest.mark.parametrize("pack_bytes, starts", [(200, 300), (1 << 20, 1 << 20)])
+def test_substrings(docs, empty, pack_bytes, starts):
+    got = suffixes.dedup_substrings(docs, pack_bytes=pack_bytes, starts=starts).collect()
+    assert removed(got) == plain_spans(listed(docs), 50)
     assert suffixes.dedup_substrings(empty).count() == 0
 
 
-def test_substrings_of_a_common_phrase(spark, docs):
+def test_substrings_at_every_distance(spark, monkeypatch):
+    """Passages at all places modulo 3, edited copies, a common phrase, repeated and extreme doc_ids."""
+    monkeypatch.setattr(suffixes, "SEGMENT", 64)
     rng = np.random.default_rng(5)
-    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
-    ends = [word(35) for _ in range(4)]
-    rows = [(i, word(45) + ends[i % 4][: 5 + i % 31] + " one phrase in all texts " + ends[i % 3][: i % 36] + word(45)) for i in range(300)]
-    held = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
-    want = plain_spans(listed(held), 50)
-    assert sum(x[2] > 0 for x in want) > 100
-    for hot in (2000, 0):
-        got = suffixes.dedup_substrings(held, pack_bytes=5000, hot_bytes=hot).collect()
-        assert sorted([(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in got], key=str) == want
-
-
-def test_strings_of_a_split_hash_go_to_many_tasks(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_STRINGS", 500, raising=False)
-    rng = np.random.default_rng(6)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 45))
-    line = "".join(rng.choice(list("abcdefghij"), 2000))
-    at = int(suffixes.Minimizers(np.frombuffer(line.encode(), np.uint8), np.array([0, 2000]), 2000, 20).at[0])
-    phrase = line[at : at + 20]  # its hash is smaller than those around it
-    rows = [(i, word() + phrase + word()) for i in range(400)]
-    held = spark.createDataFrame(rows, "doc_id long, text string")
-    # No string repeats; unsplit, all contexts of the phrase are in one task.
-    _, told, _ = suffixes.repeated_spans(held, 50, 20, 5000, 5000)
-    tasks = {r["b"] for r in told.where("kind = 2").select("b").collect()}
-    assert len(tasks) > 5
-    whole = told.where("kind = 1").selectExpr("b", "blob").collect()
-    assert sum(len(suffixes._unsqueeze(bytes(r["blob"]))[0]) for r in whole) < 200
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    passages = [word(int(n)) for n in rng.integers(45, 140, 12)]
+    rows = []
+    for i in range(240):
+        text = word(int(rng.integers(0, 90)))
+        for _ in range(int(rng.integers(0, 3))):
+            text += passages[int(rng.integers(12))] + word(int(rng.integers(0, 60)))
+        if i % 5 == 0 and rows:
+            other = rows[int(rng.integers(len(rows)))][1]
+            at = int(rng.integers(len(other) + 1))
+            text = other[:at] + word(int(rng.integers(0, 4))) + other[at:]
+        rows.append((i if i % 11 else 7, text + " one phrase that stands in all of them " + word(i % 40)))
+    rows += [((1 << 63) - 1, passages[0] * 2), (-5, passages[1] * 3), (None, passages[0] * 3)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_spans(rows, 50)
+    assert sum(x[2] > 0 for x in want) > 80
+    for pack_bytes, starts in ((2000, 400), (1 << 20, 1 << 20), (8000, 50)):
+        assert removed(suffixes.dedup_substrings(held, pack_bytes=pack_bytes, starts=starts).collect()) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=5, max_size=7), min_size=1, max_size=40))
+def test_merge_sorts_all_classes(strings):
+    """Strings of five characters, their ranks those of the three in the middle or at either end."""
+    names = {x: i for i, x in enumerate(sorted({s[k : k + 3] for s in strings for k in range(3)}))}
+    classes = [[], [], []]
+    for i, s in enumerate(strings):
+        s = s[:5]
+        r = [names[s[k : k + 3]] for k in range(3)]
+        kept = {0: (0, r[1], r[2]), 1: (r[0], r[1], 0), 2: (r[0], 0, r[2])}[i % 3]
+        classes[i % 3].append((ord(s[0]), ord(s[1]), ord(s[3]), ord(s[4]), *kept, s))
+    zero, one, two = ([np.array([row[k] for row in c], np.int64) for k in range(7)] for c in classes)
+    text = [row[7] for c in (1, 2, 0) for row in classes[c]]
+    order, new = suffixes.merge(one, two, zero)
+    line = [text[i] for i in order]
+    assert line == sorted(text) and new.tolist() == [k == 0 or line[k] != line[k - 1] for k in range(len(line))]
+
+
+def test_ranges_part_a_common_prefix():
+    """Strings with one prefix, and one string alone, go to many ranges and to one."""
+    words = [np.full(1000, 5, np.uint64), np.arange(1000, dtype=np.uint64)]
+    splits = [np.full(9, 5, np.uint64), np.arange(100, 1000, 100, dtype=np.uint64)]
+    assert np.bincount(suffixes._route(words, splits)).tolist() == [100] * 10
+    assert len(set(suffixes._route([words[0], np.full(1000, 7, np.uint64)], splits))) == 1
 
 
 def test_cut_documents_keeps_columns(docs, empty):
