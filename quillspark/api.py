@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import logging
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .errors import ConfigError, ModelMismatch, NotFound
+from .errors import ConfigError, EngineError, ModelMismatch, NotFound, Unreadable
 from .functions import text as tx
 from .operators import reports, search
 from .plans import refresh_plan as plan
@@ -39,8 +44,11 @@ class Engine:
         return alias, self.catalog.where(F.col("alias") == alias).first()["full_name"]
 
     def list_projects(self) -> DataFrame:
-        held = self.catalog.select(F.col("full_name").alias("repo"), "alias", "description").join(self.sources["meta"].drop("description"), "repo", "left")
-        return reports.list_projects(held, self.store.runs())
+        """All projects of the catalog, in its order; one without metadata has an error instead."""
+        meta = self.sources["meta"].drop("description").withColumn("_known", F.lit(True))
+        held = self.catalog.select(F.col("full_name").alias("repo"), "alias", "description", "ordinal").join(meta, "repo", "left")
+        error = F.when(F.col("_known").isNull(), F.concat(F.lit("not found, or not visible to the token: "), "repo"))
+        return reports.list_projects(held.withColumn("error", error).drop("_known"), self.store.runs()).orderBy("ordinal").drop("ordinal")
 
     def _status(self) -> DataFrame:
         s = self.sources
@@ -68,10 +76,11 @@ class Engine:
         models = sorted(r["model"] for r in search.in_scope(self.store.runs(), name).select("model").distinct().collect())
         if models != [self.indexer.model]:
             raise ModelMismatch(f"indexed with {', '.join(models)}, asked with {self.indexer.model}; refresh the index")
-        q = np.asarray(self.indexer.provider([query])[0], float)
+        q = np.asarray(self.indexer.ask([query])[0], float)
         norm = float(np.sqrt((q * q).sum()))
         asked = self.spark.createDataFrame([(0, query, [float(x) for x in (q / norm if norm > 0 and np.isfinite(norm) else q)])], "query_id long, query string, q array<double>")
-        return search.hybrid_search(asked, self.store.chunks(), limit, name, branch).drop("query_id")
+        terms = [r["term"] for r in search.terms_of(asked).select("term").collect()]  # those of one question
+        return search.hybrid_search(asked, self.store.chunks(), limit, name, branch, self.store.index(terms)).drop("query_id")
 
     def _empty(self, repo: str | None, branch: str | None) -> str:
         found = [r["branch"] for r in search.in_scope(self.store.runs(), repo).select("branch").distinct().orderBy("branch").collect()]
@@ -102,9 +111,12 @@ class Engine:
         else:
             held = held.join(self.sources["meta"].select("repo", F.col("default_branch").alias("branch")), ["repo", "branch"], "left_semi")
         held = plan.size_filter(held, MAX_READ_BYTES)
-        if not held.limit(1).count():
+        told = held.select("skipped").first()
+        if told is None:
             raise NotFound(f"{name}/{clean}")
-        return held
+        if told["skipped"]:
+            raise Unreadable(f"{name}/{clean} is not read: {told['skipped']}")
+        return held.drop("skipped")
 
     def compare_status(self, repos: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """(projects, newest activity first and unknown names failed, summary)."""
@@ -116,4 +128,23 @@ class Engine:
             requested = named.select(F.coalesce("full_name", "reference").alias("repo"))
         status = self._status().select("repo", F.try_to_timestamp("last_activity").alias("last_activity"), F.col("last_commit.date").alias("last_commit_at"), "open_pull_requests", "open_issues")
         compared = reports.compare_status(requested, status, F.current_timestamp())
-        return compared.orderBy(F.asc_nulls_last("days_since_activity"), "repo"), reports.compare_summary(compared)
+        return compared.orderBy(F.asc_nulls_last("days_since_activity"), "repo"), reports.compare_summary(compared).withColumn("checked_at", F.current_timestamp())
+
+
+def as_json(result: DataFrame | dict | tuple) -> str:
+    """A result of the operations as JSON text: rows become objects, times ISO text. For served results,
+    which are small; tables are written by Spark."""
+    plain = lambda r: [x.asDict(True) for x in r.collect()] if isinstance(r, DataFrame) else r
+    held = [plain(r) for r in result] if isinstance(result, tuple) else plain(result)
+    return json.dumps(held, ensure_ascii=False, indent=2, default=lambda x: x.isoformat() if isinstance(x, (dt.date, dt.datetime)) else str(x))
+
+
+def guarded(run: Callable[[], DataFrame | dict | tuple]) -> tuple[bool, str]:
+    """(whether it went well, JSON text or the error's message). Unexpected errors are logged whole."""
+    try:
+        return True, as_json(run())
+    except EngineError as e:
+        return False, str(e)
+    except Exception as e:
+        logging.getLogger(__name__).exception("unexpected error")
+        return False, f"unexpected error: {e}"

@@ -17,21 +17,25 @@ MARKDOWN = r"(?i)\.(md|mdx|markdown)$"
 
 
 def _fold_table() -> tuple[str, str]:
-    """Letters that lose a diacritic when decomposed, and what is left of them."""
-    pairs = []
-    for code in range(0xC0, 0x250):
+    """Letters that lose a diacritic when decomposed, and the ASCII letter that is left of them; and
+    what the full-text index does in its own way."""
+    # Other forms of a letter, and a letter that keeps its diacritics.
+    pairs, kept = [("\u00b5", "\u03bc"), ("\u017f", "s"), ("\u1e9b", "s")], "\u01e1"
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code):
+        if len(plain) == 1 and plain.isascii() and chr(code) not in kept:
             pairs.append((chr(code), plain))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 _FOLD = _fold_table()
+#: Combining marks.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), *_FOLD)
+    """Lower case without diacritics, whether they are part of a letter or marks behind it."""
+    return F.translate(F.lower(text), _FOLD[0] + MARKS, _FOLD[1])
 
 
 def tokens(text: Column) -> Column:

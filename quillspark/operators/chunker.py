@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 MAX_CHARS, OVERLAP = 1200, 150
 # White space as a browser's script counts it.
 _WS = "\t\n\x0b\x0c\r    -     　﻿"
-_HEADING = re.compile(rf"(#{{1,6}})[{_WS}]+([^\n\r  ]*)\Z")
-_FENCE = re.compile(rf"[{_WS}]*(?:```|~~~)")
+_INLINE = _WS.replace("\n", "")
+#: Fence markers, and headings that fill their line.
+_MARK = re.compile(rf"^(?:(?P<fence>[{_INLINE}]*+(?:```|~~~))|#{{1,6}}[{_INLINE}]++(?P<title>[^\n\r\u2028\u2029]*+)$)", re.M)
+_PARAGRAPH = re.compile(r"\n{2,}")
 _ENDS = re.compile(rf"\A[{_WS}]+|[{_WS}]+\Z")
 
 
@@ -21,38 +25,47 @@ def _strip(text: str) -> str:
 
 
 def sections(text: str) -> list[tuple[str, str]]:
-    """(heading, body) pairs; the body of a section has its heading line. Headings inside fences are
-    plain text, and any fence marker closes an open fence."""
-    out: list[tuple[str, list[str]]] = [("", [])]
-    fenced = False
-    for line in text.split("\n"):
-        if _FENCE.match(line):
-            fenced = not fenced
-        elif not fenced and (m := _HEADING.match(line)):
-            out.append((_strip(m[2]), []))
-        out[-1][1].append(line)
-    return [(h, body) for h, lines in out if (body := _strip("\n".join(lines)))]
+    """(heading, body) pairs; the body of a section has its heading line. A section begins at a heading
+    with an even number of fence markers before it, since any marker closes an open fence."""
+    fences, heads = 0, [(0, "")]
+    for m in _MARK.finditer(text):
+        if m["fence"] is not None:
+            fences += 1
+        elif fences % 2 == 0:
+            heads.append((m.start(), _strip(m["title"])))
+    ends = [at for at, _ in heads[1:]] + [len(text)]
+    return [(title, body) for (at, title), end in zip(heads, ends) if (body := _strip(text[at:end]))]
+
+
+def ranges(ends: list[int], starts: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Where the pieces of a text lie, given where its paragraphs start and end. A piece runs over as
+    many paragraphs as fit, one at least, and reaches back over the end of the piece before; paragraphs
+    of more than `most` are cut into strides, and pieces do not reach over them."""
+    out: list[tuple[int, int]] = []
+    long = [i for i in range(len(ends)) if ends[i] - starts[i] > most] + [len(ends)]
+    at = 0
+    for stop in long:
+        back = None
+        while at < stop:
+            first = starts[at] if back is None else max(back, out[-1][0])
+            at = max(at + 1, bisect_right(ends, first + most, at, stop))
+            out.append((first, ends[at - 1]))
+            back = ends[at - 1] - overlap if overlap else None
+        if stop < len(ends):
+            out += [(i, min(i + most, ends[stop])) for i in range(starts[stop], ends[stop], max(1, most - overlap))]
+        at = stop + 1
+    return out
 
 
 def split_body(body: str, most: int, overlap: int) -> list[str]:
-    """Pieces of a section: whole if it fits, else paragraphs packed in order, each piece opening
-    with the last characters of the one before; a paragraph that is too long is sliced."""
+    """Pieces of a section: whole if it fits, else by ranges over its paragraphs, which two line breaks
+    part."""
     if len(body) <= most:
         return [body]
-    done: list[str] = []
-    held, carried = "", 0
-    for paragraph in re.split(r"\n{2,}", body):
-        long = len(paragraph) > most
-        if long or held and len(held) + 2 + len(paragraph) > most:
-            if len(held) > carried:
-                done.append(held)
-            held = held[-overlap:] if overlap and not long else ""
-            carried = len(held)
-        if long:
-            done.extend(paragraph[i : i + most] for i in range(0, len(paragraph), max(1, most - overlap)))
-        else:
-            held = f"{held}\n\n{paragraph}" if held else paragraph
-    return done + [held] * (len(held) > carried)
+    paragraphs = _PARAGRAPH.split(body)
+    ends = [n - 2 for n in accumulate(len(p) + 2 for p in paragraphs)]
+    joined = "\n\n".join(paragraphs)
+    return [joined[a:b] for a, b in ranges(ends, [e - len(p) for e, p in zip(ends, paragraphs)], most, overlap)]
 
 
 def chunk_markdown(source: str | None, most: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, str, str]]:

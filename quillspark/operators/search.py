@@ -1,27 +1,36 @@
 """Hybrid retrieval: cosine and field-weighted BM25, one hit for each text, fused by reciprocal rank.
 
-All of it works on a set of queries at once, so no window runs over the whole table in one task.
-chunks: chunk_id, repo, alias, branch, path, heading, content, and for the semantic side embedding
-(normalized). queries: query_id, query and, for the semantic side, q (normalized vector).
+All of it works on a set of queries at once. chunks: chunk_id, repo, alias, branch, path, heading,
+content, and for the semantic side embedding (normalized). queries: query_id, query and, for the
+semantic side, q (normalized vector). The keyword side reads an Index, which the store keeps; without
+one it is built for the queries' terms alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from . import nearest
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 WEIGHTS = {"heading": 3.0, "path": 1.0, "content": 1.0}
 KEYWORD_LIMIT = 200
 RRF_K = 60
-#: Queries that are broadcast at once; more are taken in blocks.
-QUERY_BLOCK = 512
+
+
+@dataclass
+class Index:
+    """postings: term, chunk_id, wtf (weighted frequency), tf, dl (words of the chunk); stats: one row
+    with n (all chunks) and avgdl."""
+
+    postings: DataFrame
+    stats: DataFrame
 
 
 def in_scope(df: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
@@ -32,35 +41,49 @@ def in_scope(df: DataFrame, repo: str | None = None, branch: str | None = None)
     return df
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, wtf (weighted term frequency), tf."""
+def _words(column: str):
+    return tx.tokens(F.coalesce(F.col(column), F.lit("")))
 
-    def weighted(column: str, weight: float):
-        return F.transform(tx.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
-    parts = [weighted(*item) for item in WEIGHTS.items()]
-    each = chunks.select("chunk_id", F.explode(F.concat(*parts)).alias("t"))
-    return each.groupBy(F.col("t.term").alias("term"), "chunk_id").agg(F.sum("t.w").alias("wtf"), F.count("*").alias("tf"))
+def _weighted(words: str, weight: float):
+    return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
-def document_lengths(index: DataFrame) -> DataFrame:
-    return index.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The postings of an index; with `only` (term), of these terms. A chunk's length comes from its own
+    row, so lengths need no join, and words that nobody asks for are not shuffled."""
+    parts = [_weighted(f"_{c}", w) for c, w in WEIGHTS.items()]
+    held = chunks.select("chunk_id", *(_words(c).alias(f"_{c}") for c in WEIGHTS))
+    length = sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).cast("long")
+    each = held.select("chunk_id", length.alias("dl"), F.explode(F.concat(*parts)).alias("t")).select("chunk_id", "dl", "t.*")
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, lengths: DataFrame) -> DataFrame:
+def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n (all chunks), avgdl."""
-    return chunks.agg(F.count("*").alias("n")).join(lengths.agg(F.sum("dl").alias("total")), how="cross").select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-
-
-def bm25(queries: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks;
-    terms that fold to one word count once each."""
-    terms = queries.select("query_id", F.explode(tx.query_terms(F.col("query"))).alias("raw")).select("query_id", tx.fold(F.col("raw")).alias("term"))
-    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    lengths = document_lengths(index)
-    stats = corpus_stats(chunks, lengths)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    matched = index.join(terms, "term").join(df, "term").join(lengths, "chunk_id").join(stats, how="cross")
+    length = sum((F.size(_words(c)) for c in WEIGHTS), F.lit(0)).cast("long")
+    return chunks.select(length.alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+
+
+def index_of(chunks: DataFrame, only: DataFrame | None = None) -> Index:
+    return Index(postings(chunks, only), corpus_stats(chunks))
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """query_id, term, times: terms that fold to one word count once each."""
+    raw = queries.select("query_id", F.explode(tx.query_terms(F.col("query"))).alias("raw"))
+    return raw.groupBy("query_id", tx.fold(F.col("raw")).alias("term")).agg(F.count("*").alias("times"))
+
+
+def bm25(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks; how
+    many chunks have a term is counted on the terms that are asked for alone."""
+    terms = terms_of(queries)
+    df = F.count("*").over(Window.partitionBy("term"))
+    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi").withColumn("df", df)
+    matched = asked.join(terms, "term").join(F.broadcast(index.stats), how="cross")
     raw_idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf <= 0, F.lit(LEAST_IDF)).otherwise(raw_idf)
     part = F.col("times") * idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -75,82 +98,51 @@ def keyword_ranks(scored: DataFrame, scope: DataFrame, limit: int = KEYWORD_LIMI
     return held.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= limit)
 
 
-def blocks_of(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[DataFrame]:
-    """The queries in blocks of bounded size, small enough to broadcast."""
-    held = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield queries.sparkSession.createDataFrame(held, queries.schema)
-            held = []
-    if held:
-        yield queries.sparkSession.createDataFrame(held, queries.schema)
-
-
-def semantic_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Columns of chunks without embedding, query_id, semantic: each query of a stated set against
-    all chunks of its dimension, in blocks."""
-    out = None
-    for block in blocks_of(queries.select("query_id", "q")):
-        both = chunks.join(F.broadcast(block), F.size("embedding") == F.size("q"))
-        part = both.withColumn("semantic", vx.dot(F.col("embedding"), F.col("q"))).drop("embedding", "q")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return chunks.drop("embedding").withColumns({"query_id": F.lit(None).cast("long"), "semantic": F.lit(None).cast("double")}).limit(0)
-    return out
-
-
-def dedup_hits(scored: DataFrame, keyword: DataFrame) -> DataFrame:
-    """One row for each query and (repo, path, content): all branches that hold the text, best
-    semantic score, best keyword rank (null if none), first alias, heading and chunk_id. Texts are
-    grouped by their hash, so the shuffle carries no text."""
-    held = scored.join(keyword.select("query_id", "chunk_id", "keyword_rank"), ["query_id", "chunk_id"], "left")
-    first = F.min_by(F.struct("alias", "heading"), "chunk_id")
-    grouped = held.groupBy("query_id", "repo", "path", F.col("content_hash")).agg(
-        tx.ordered_branches(F.col("branch")).alias("branches"),
-        F.max("semantic").alias("semantic"),
-        F.min("keyword_rank").alias("keyword_rank"),
-        first.alias("_first"),
-        F.min("chunk_id").alias("chunk_id"),
-    )
-    return grouped.select("*", "_first.alias", "_first.heading").drop("_first")
-
-
-def fuse(hits: DataFrame, limit: int) -> DataFrame:
-    """Reciprocal rank fusion and the best `limit` of each query. A hit without a semantic score has
-    its keyword rank alone."""
-    by_meaning = Window.partitionBy("query_id").orderBy(F.desc(F.round("semantic", 9)), "chunk_id")
-    ranked = hits.withColumn("semantic_rank", F.when(F.col("semantic").isNotNull(), F.row_number().over(by_meaning)))
-    score = F.coalesce(1 / (RRF_K + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
-    matched = F.when(F.col("keyword_rank").isNull(), "semantic").when(F.col("semantic").isNull(), "keyword").otherwise("both")
-    ranked = ranked.withColumn("score", score).withColumn("matched_by", matched)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc(F.round("semantic", 9)), "chunk_id")
-    return ranked.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+def texts_of(chunks: DataFrame) -> DataFrame:
+    """One row for each (repo, path, content): all branches that hold it, and chunk_id, alias, heading
+    and embedding of its first chunk (chunks of one text have one vector). Texts are grouped by their
+    hash, so the shuffle carries no text."""
+    first = F.min_by(F.struct("alias", "heading", "embedding"), "chunk_id")
+    grouped = chunks.groupBy("repo", "path", "content_hash").agg(tx.ordered_branches(F.col("branch")).alias("branches"), F.min("chunk_id").alias("chunk_id"), first.alias("f"))
+    return grouped.select("repo", "path", "content_hash", "branches", "chunk_id", "f.*")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 5, repo: str | None = None, branch: str | None = None, vectors_only: bool = False) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 5, repo: str | None = None, branch: str | None = None, index: Index | None = None) -> DataFrame:
     """query_id, position, repo, alias, branches, path, heading, score (5 places), semantic_score (4
-    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id. A chunk without a vector (null) is found
-    by its words alone, unless vectors_only; one of another dimension is of another model and no hit."""
-    keyed = chunks.withColumn("content_hash", F.sha2("content", 256)) if "content_hash" not in chunks.columns else chunks
+    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id.
+
+    A text without a vector (null) is found by its words alone; one of another dimension is of another
+    model and no hit. A text without a keyword rank can only be among the best `limit` if its semantic
+    rank is, so candidates are the nearest `limit` and the texts of the keyword ranks; the semantic
+    ranks of the latter are counted, without ranking all texts.
+    """
+    keyed = chunks if "content_hash" in chunks.columns else chunks.withColumn("content_hash", F.sha2("content", 256))
     scope = in_scope(keyed, repo, branch)
-    keyword = keyword_ranks(bm25(queries, keyed, postings(keyed)), scope)
-    scored = semantic_scores(queries, scope.where(F.col("embedding").isNotNull()).drop("content"))
-    if not vectors_only:
-        bare = keyword.join(scope.where(F.col("embedding").isNull()), "chunk_id").withColumn("semantic", F.lit(None).cast("double"))
-        scored = scored.unionByName(bare.select(scored.columns))
-    best = fuse(dedup_hits(scored, keyword), limit)
-    return best.select(
+    index = index or index_of(keyed, terms_of(queries))
+    texts = texts_of(scope)
+    vectors = texts.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    asked = queries.select("query_id", "q")
+    ranked = keyword_ranks(bm25(queries, index), scope)
+    by_word = ranked.join(scope.select("chunk_id", "repo", "path", "content_hash"), "chunk_id")
+    by_word = by_word.groupBy("query_id", "repo", "path", "content_hash").agg(F.min("keyword_rank").alias("keyword_rank"))
+    by_word = by_word.join(texts.select("repo", "path", "content_hash", "chunk_id", "embedding"), ["repo", "path", "content_hash"]).join(asked, "query_id")
+    by_word = by_word.where(F.col("embedding").isNull() | (F.size("embedding") == F.size("q")))
+    by_word = by_word.select("query_id", "chunk_id", "keyword_rank", vx.dot(F.col("embedding"), F.col("q")).alias("semantic"))
+    by_meaning = nearest.top(asked, vectors, limit).select("query_id", "chunk_id", "semantic")
+    hits = by_word.join(by_meaning.withColumnRenamed("semantic", "near"), ["query_id", "chunk_id"], "full")
+    hits = hits.select("query_id", "chunk_id", "keyword_rank", F.coalesce("semantic", "near").alias("semantic"))
+    hits = nearest.with_ranks(asked, vectors, hits)
+    score = F.coalesce(1 / (RRF_K + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
+    matched = F.when(F.col("keyword_rank").isNull(), "semantic").when(F.col("semantic").isNull(), "keyword").otherwise("both")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc(F.round("semantic", 9)), "chunk_id")
+    best = hits.withColumn("score", score).withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    return best.join(texts.drop("embedding", "content_hash"), "chunk_id").select(
         "query_id", "position", "repo", "alias", "branches", "path", "heading", F.round("score", 5).alias("score"),
-        F.round("semantic", 4).alias("semantic_score"), "keyword_rank", "matched_by", "chunk_id",
+        F.round("semantic", 4).alias("semantic_score"), "keyword_rank", matched.alias("matched_by"), "chunk_id",
     )
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """Pure vector search: query_id, rank, chunk_id, score (4 places)."""
-    scored = semantic_scores(queries, vectors.select("chunk_id", vx.normalized(F.col("embedding")).alias("embedding")))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("semantic", 9)), "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = nearest.top(queries.select("query_id", "q"), vectors.select("chunk_id", vx.normalized(F.col("embedding")).alias("embedding")), k)
     return best.select("query_id", "rank", "chunk_id", F.round("semantic", 4).alias("score"))
-
-

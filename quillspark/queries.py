@@ -179,9 +179,8 @@ st AS (SELECT (SELECT count(*) FROM corpus) AS n, (SELECT sum(dl) FROM len) / (S
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, any_value(n) AS n, round(any_value(avgdl), 4) AS avgdl FROM post, st GROUP BY term""")
 def q_bm25_stats(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
-    index = search.postings(chunks)
-    terms = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return terms.join(search.corpus_stats(chunks, search.document_lengths(index)), how="cross").withColumn("avgdl", F.round("avgdl", 4))
+    terms = search.postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return terms.join(F.broadcast(search.corpus_stats(chunks)), how="cross").withColumn("avgdl", F.round("avgdl", 4))
 
 
 def bm25_sql(scope: str) -> str:
@@ -199,7 +198,7 @@ kw AS (SELECT * FROM (SELECT sc.*, CAST(row_number() OVER (PARTITION BY query_id
 def q_bm25_topk(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    best = search.keyword_ranks(search.bm25(asked, chunks, search.postings(chunks)), chunks)
+    best = search.keyword_ranks(search.bm25(asked, search.index_of(chunks, search.terms_of(asked))), chunks)
     return best.select("query_id", "chunk_id", "keyword_rank", F.round("bm25", 5).alias("score"))
 
 
@@ -212,22 +211,24 @@ def q_dedup_branches(spark, sf_dir):
 
 def hybrid_sql(scope: str) -> str:
     return f"""WITH {CORPUS}, {INDEX}, {TERMS}, {bm25_sql(scope)}, {UNIT},
-sem AS (SELECT item_id AS query_id, c.*, list_dot_product(v.e, q.e) AS semantic
-        FROM benchmark JOIN v q ON q.vec_id = item_id CROSS JOIN corpus c JOIN v ON v.vec_id = c.doc_id WHERE {scope}),
-grp AS (SELECT s.query_id, repo, path, sha256(content) AS h, string_agg(branch, ',' ORDER BY ord) AS branches, max(semantic) AS semantic,
-          min(keyword_rank) AS keyword_rank, min(s.chunk_id) AS chunk_id
+asked AS (SELECT item_id AS query_id, v.e FROM benchmark JOIN v ON v.vec_id = item_id),
+sem AS (SELECT query_id, c.*, list_dot_product(v.e, asked.e) AS semantic FROM asked CROSS JOIN corpus c JOIN v ON v.vec_id = c.doc_id WHERE {scope}
+        UNION ALL SELECT query_id, c.*, NULL FROM asked JOIN kw USING (query_id) JOIN corpus c USING (chunk_id) WHERE c.doc_id NOT IN (SELECT vec_id FROM v)),
+grp AS (SELECT s.query_id, repo, path, sha256(content) AS h, max(semantic) AS semantic, min(keyword_rank) AS keyword_rank
         FROM sem s LEFT JOIN kw ON kw.query_id = s.query_id AND kw.chunk_id = s.chunk_id GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC, chunk_id) AS sr FROM grp),
-fu AS (SELECT *, 1.0::DOUBLE / (60 + sr) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM rk),
-po AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, round(semantic, 9) DESC, chunk_id) AS INTEGER) AS position FROM fu)
+txt AS (SELECT repo, path, sha256(content) AS h, string_agg(branch, ',' ORDER BY ord) AS branches, min(chunk_id) AS chunk_id FROM corpus WHERE {scope} GROUP BY ALL),
+rk AS (SELECT *, CASE WHEN semantic IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC NULLS LAST, chunk_id) END AS sr
+       FROM grp JOIN txt USING (repo, path, h)),
+fu AS (SELECT *, coalesce(1.0::DOUBLE / (60 + sr), 0) + coalesce(1.0::DOUBLE / (60 + keyword_rank), 0) AS score FROM rk),
+po AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, round(semantic, 9) DESC NULLS LAST, chunk_id) AS INTEGER) AS position FROM fu)
 SELECT query_id, position, repo, path, branches, round(score, 5) AS score, round(semantic, 4) AS semantic_score, keyword_rank,
-       CASE WHEN keyword_rank IS NULL THEN 'semantic' ELSE 'both' END AS matched_by
+       CASE WHEN keyword_rank IS NULL THEN 'semantic' WHEN semantic IS NULL THEN 'keyword' ELSE 'both' END AS matched_by
 FROM po WHERE position <= 5"""
 
 
 def _hybrid(spark, sf_dir, branch=None):
-    """As its SQL says, only documents with a vector are hits here; hybrid_search finds the others too."""
-    hits = search.hybrid_search(questions(spark, sf_dir), embedded(spark, sf_dir), branch=branch, vectors_only=True)
+    """Documents without a vector are found by their words alone."""
+    hits = search.hybrid_search(questions(spark, sf_dir), embedded(spark, sf_dir), branch=branch)
     return hits.select("query_id", "position", "repo", "path", F.array_join("branches", ",").alias("branches"), "score", "semantic_score", "keyword_rank", "matched_by")
 
 
@@ -311,17 +312,19 @@ def q_recent_commits(spark, sf_dir):
 
 
 def status(spark, sf_dir):
-    when = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
-    n = lambda kind: F.count_if(F.col("event_type") == kind).alias
-    held = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max("ts").alias("a"), when("purchase").alias("c"), n("signup")("open_pull_requests"), n("error")("open_issues")
-    )
-    return held.select(F.col("user_id").cast("string").alias("repo"), stamp("a").alias("last_activity"), stamp("c").alias("last_commit_at"), "open_pull_requests", "open_issues")
+    """Users as repositories: sign-ups are their pull requests, errors their issues, purchases commits."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo"), "event_type", stamp("ts").alias("date"))
+    meta = events.groupBy("repo").agg(F.max("date").alias("last_activity"))
+    commits = events.where("event_type = 'purchase'").withColumn("sha", F.lit(None).cast("string"))
+    pulls = events.where("event_type = 'signup'").withColumn("state", F.lit("open"))
+    issues = events.where("event_type = 'error'").withColumns({"state": F.lit("open"), "is_pull": F.lit(False)})
+    held = reports.project_status(meta, commits, pulls, issues)
+    return held.select("repo", "last_activity", F.col("last_commit.date").alias("last_commit_at"), "open_pull_requests", "open_issues")
 
 
 STATUS = f"""
 s AS (SELECT CAST(user_id AS VARCHAR) AS repo, max(ts) AS a, max(ts) FILTER (event_type = 'purchase') AS c,
-        least(count(*) FILTER (event_type = 'signup'), 100) AS open_pull_requests, least(count(*) FILTER (event_type = 'error'), 100) AS open_issues
+        count(*) FILTER (event_type = 'signup') AS open_pull_requests, count(*) FILTER (event_type = 'error') AS open_issues
       FROM events GROUP BY user_id),
 d AS (SELECT *, greatest(0, CAST(floor(epoch(TIMESTAMP '{NOW}' - a) / 86400) AS BIGINT)) AS da,
         CASE WHEN c IS NOT NULL THEN greatest(0, CAST(floor(epoch(TIMESTAMP '{NOW}' - c) / 86400) AS BIGINT)) END AS dc FROM s),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import threading
 from collections.abc import Callable
 from concurrent.futures import Future
@@ -10,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import cache, chunker, reports
+from . import errors
+from .operators import cache, chunker
 from .plans import refresh_plan as plan
 from .sources.catalog import Catalog
 from .sources.store import Store
@@ -30,10 +32,15 @@ class Indexer:
     branches: Callable[[], DataFrame]
     provider: Callable = cache.word_provider
     model: str = "words-v1"
+    ask_provider: Callable | None = None  # for questions, where it is another
     _queue: threading.Lock = field(default_factory=threading.Lock)
     _running: dict = field(default_factory=dict)
     _guard: threading.Lock = field(default_factory=threading.Lock)
 
+    def ask(self, questions: list[str]):
+        """Vectors of questions."""
+        return (self.ask_provider or self.provider)(questions)
+
     def refresh(self, repo: str | None = None) -> dict:
         """Refresh all or one repository (full name). Callers of a scope that is being refreshed get
         that run's result; different scopes wait for each other."""
@@ -55,46 +62,115 @@ class Indexer:
                 self._running.pop(repo, None)
 
     def _run(self, repo: str | None) -> dict:
+        """All branches of the scope in one job. If that fails, repositories are tried one by one, and the
+        branches of one that fails too; what fails alone is reported and keeps its old chunks. A rate
+        limit ends the run: what is left is reported as skipped."""
         spark = self.store.spark
         known = self.catalog.frame(spark)
         if repo:
             known = known.where(F.col("full_name") == repo)
-        named = known.select(F.col("full_name").alias("repo"), "alias", "doc_patterns", "branches")
-        planned = plan.plan_branches(self.branches(), named.select("repo", "branches"), F.current_timestamp(), self.catalog.active_branch_days, self.catalog.max_active_branches)
-        states = planned.collect()  # a few branches for each repository of the catalog
+        named = known.select(F.col("full_name").alias("repo"), "alias", "doc_patterns", "branches", "ordinal")
+        states, results = [], {}
+        # A few branches for each repository of the catalog.
+        try:
+            states = self._planned(named)
+        except Exception as e:
+            for r in named.collect():
+                one = named.where(F.col("repo") == r["repo"])
+                try:
+                    if not errors.is_rate_limit(e):
+                        states += self._planned(one)
+                        continue
+                except Exception as own:
+                    e = own
+                results[r["repo"], None] = _failed(e)
         chosen = [(r["repo"], r["branch"]) for r in states if r["state"] != "missing"]
-        missing = [f"{r['repo']}@{r['branch']}" for r in states if r["state"] == "missing"]
-        if not chosen:
-            return {"repos": named.count(), "branches": 0, "files": 0, "chunks": 0, "embedded": 0, "reused": 0, "failed": 0, "missing": missing, "pruned": 0}
+        results |= self._indexed(named, chosen)
+        done = [c for c in chosen if results[c]["error"] is None]
+        keep: dict[str, list[str]] = {}
+        for r in states:  # planned branches stay, also those that failed or are missing for now
+            keep.setdefault(r["repo"], []).append(r["branch"])
+        pruned = self.store.prune({r: keep[r] for r in {r for r, _ in done}})
+        if done or pruned:
+            self.store.rebuild_postings()
+        return self._report(named, states, results, pruned)
+
+    def _planned(self, named: DataFrame) -> list:
+        """The planned branches, in the order of the catalog, configured ones first."""
+        planned = plan.plan_branches(self.branches(), named.select("repo", "branches"), F.current_timestamp(), self.catalog.active_branch_days, self.catalog.max_active_branches)
+        order = F.col("state") == "active", "ordinal"
+        return planned.join(named.select("repo", F.col("ordinal").alias("_r")), "repo").orderBy("_r", *order).collect()
+
+    def _indexed(self, named: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, str], dict]:
+        """(repo, branch) -> files, chunks, embedded, reused, skipped, error."""
+        out: dict[tuple[str, str], dict] = {}
+        waiting, stopped = [chosen] if chosen else [], None
+        while waiting:
+            scope = waiting.pop(0)
+            try:
+                if stopped:
+                    raise stopped
+                out |= self._index(named, scope)
+            except Exception as e:
+                repos = sorted({r for r, _ in scope}, key=[r for r, _ in scope].index)
+                if errors.is_rate_limit(e):
+                    stopped = stopped or errors.RateLimited(f"skipped: {errors.short(e)}", getattr(e, "reset_at", None))
+                    out |= {c: _failed(e) for c in scope}
+                elif len(repos) > 1:
+                    waiting = [[c for c in scope if c[0] == r] for r in repos] + waiting
+                elif len(scope) > 1:
+                    waiting = [[c] for c in scope] + waiting
+                else:
+                    out[scope[0]] = _failed(e)
+        return out
+
+    def _index(self, named: DataFrame, chosen: list[tuple[str, str]]) -> dict[tuple[str, str], dict]:
+        """One job for the given branches; chunks are cut once and written before they are read."""
+        spark, store = self.store.spark, self.store
         scope = spark.createDataFrame([(*c, i) for i, c in enumerate(chosen)], "repo string, branch string, ord int")
-        patterns = named.select("repo", F.explode("doc_patterns").alias("pattern"))
-        wanted = plan.match_paths(self.files().select("repo", "path").distinct(), patterns)
-        held = self.files().join(F.broadcast(scope), ["repo", "branch"]).join(wanted, ["repo", "path"], "left_semi")
-        sized = plan.size_filter(held, MAX_FILE_BYTES)
+        mine = named.join(scope.select("repo").distinct(), "repo", "left_semi")
+        files = self.files().join(F.broadcast(scope), ["repo", "branch"])
+        wanted = plan.match_paths(files.select("repo", "path").distinct(), mine.select("repo", F.explode("doc_patterns").alias("pattern")))
+        sized = store.stage("files", plan.size_filter(files.join(wanted, ["repo", "path"], "left_semi"), MAX_FILE_BYTES))
         cut = chunker.chunks(sized.where("skipped IS NULL").select("repo", "branch", "ord", "path", "content"))
-        cut = cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash())
+        cut = store.stage("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()))
         # The provider runs once for each text that the cache lacks, before anything reads the vectors.
-        counts = cache.first_occurrence_counts(cut.withColumn("_o", F.col("ord")), ["_o", "path", "chunk_index"], ["repo", "branch"])
-        misses = cache.cache_misses(cut, self.store.cache(), self.model)
+        misses = store.stage("misses", cache.cache_misses(cut, store.cache(), self.model))
         new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, misses).collect()}
-        self.store.append_cache(cache.embed(misses, self.provider), self.model)
-        rows = cache.with_vectors(cut.join(named.select("repo", "alias"), "repo"), self.store.cache(), self.model)
+        store.append_cache(cache.embed(misses, self.provider), self.model)
+        rows = cache.with_vectors(cut.join(mine.select("repo", "alias"), "repo"), store.cache(), self.model)
         key = F.xxhash64("repo", "branch", "path", "chunk_index")
-        stored = rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()})
-        self.store.replace_branches(stored, chosen)
-        self.store.rebuild_postings()
-        files = self.store.chunks().groupBy("repo", "branch").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
-        runs = scope.join(files, ["repo", "branch"], "left").fillna(0, ["files", "chunks"])
-        self.store.upsert_runs(runs.select("repo", "branch", F.lit(self.model).alias("model"), "files", "chunks", F.current_timestamp().alias("indexed_at")))
-        keep: dict[str, list[str]] = {}
-        for r in states:  # planned branches stay, also those that failed or are missing for now
-            keep.setdefault(r["repo"], []).append(r["branch"])
-        pruned = self.store.prune(keep)
-        made = spark.createDataFrame([(*c, new_texts.get(c, 0)) for c in chosen], "repo string, branch string, embedded long")
-        distinct = counts.select("repo", "branch", (F.col("embedded") + F.col("reused")).alias("texts"))
-        results = runs.drop("ord").join(distinct, ["repo", "branch"], "left").join(made, ["repo", "branch"]).withColumn("reused", F.coalesce("texts", F.lit(0)) - F.col("embedded"))
-        summary = reports.refresh_summary(results.withColumn("error", F.lit(None).cast("string"))).first().asDict()
-        return summary | {"missing": missing, "pruned": pruned}
+        store.replace_branches(rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()}), chosen)
+        held = store.chunks().join(F.broadcast(scope.select("repo", "branch")), ["repo", "branch"], "left_semi")
+        counts = held.groupBy("repo", "branch").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"), F.countDistinct("content_hash").alias("texts"))
+        runs = scope.join(counts, ["repo", "branch"], "left").fillna(0, ["files", "chunks", "texts"])
+        store.upsert_runs(runs.select("repo", "branch", F.lit(self.model).alias("model"), "files", "chunks", F.current_timestamp().alias("indexed_at")))
+        told = F.concat("path", F.lit(" ("), "skipped", F.lit(")"))
+        skipped = {(r["repo"], r["branch"]): r["s"] for r in sized.where("skipped IS NOT NULL").groupBy("repo", "branch").agg(F.array_sort(F.collect_list(told)).alias("s")).collect()}
+        out = {}
+        for r in runs.collect():
+            c = r["repo"], r["branch"]
+            new = new_texts.get(c, 0)
+            out[c] = {"files": r["files"], "chunks": r["chunks"], "embedded": new, "reused": r["texts"] - new, "skipped": skipped.get(c, []), "error": None}
+        return out
+
+    def _report(self, named: DataFrame, states: list, results: dict, pruned: dict[str, int]) -> dict:
+        """Totals, and under results each repository with its branches and what was skipped."""
+        nested = []
+        for r in named.orderBy("ordinal").collect():
+            name, own = r["repo"], [s for s in states if s["repo"] == r["repo"]]
+            branches = [{"branch": s["branch"], "active": s["state"] == "active", **results[name, s["branch"]]} for s in own if s["state"] != "missing"]
+            sums = {k: sum(b[k] for b in branches) for k in COUNTS}
+            missing = [s["branch"] for s in own if s["state"] == "missing"]
+            error = results.get((name, None), {}).get("error")
+            nested.append({"repo": name, "alias": r["alias"], "branches": branches, **sums, "missing": missing, "pruned": pruned.get(name, 0), "error": error})
+        bad = [b["error"] for n in nested for b in ({"error": n["error"]}, *n["branches"]) if b["error"]]
+        return {
+            "model": self.model, "indexed_at": dt.datetime.now(dt.timezone.utc).isoformat(), "repos": len(nested),
+            "branches": sum(b["error"] is None for n in nested for b in n["branches"]), **{k: sum(n[k] for n in nested) for k in COUNTS},
+            "failed": len({n["repo"] for n in nested if n["error"] or any(b["error"] for b in n["branches"])}), "first_error": bad[0] if bad else None,
+            "missing": [f"{n['repo']}@{b}" for n in nested for b in n["missing"]], "pruned": sum(n["pruned"] for n in nested), "results": nested,
+        }
 
     @staticmethod
     def _first_of(cut: DataFrame, misses: DataFrame) -> DataFrame:
@@ -109,7 +185,8 @@ class Indexer:
 
     def refresh_stale(self, setting: str | None, log: Callable[[str], None] = print) -> dict[str, str]:
         """Refresh what is older than the setting (hours; bad values count as the default, 0 turns it
-        off). One repository's failure does not stop the others: repo -> ok or the error."""
+        off). One repository's failure does not stop the others: repo -> ok or its first error, be it
+        of a branch."""
         try:
             hours = float(setting) if setting not in (None, "") else DEFAULT_MAX_AGE_HOURS
             if not 0 <= hours < float("inf"):
@@ -120,9 +197,17 @@ class Indexer:
         out = {}
         for repo in self.stale(hours):
             try:
-                self.refresh(repo)
-                out[repo] = "ok"
+                report = self.refresh(repo)
+                out[repo] = "ok" if not report.get("first_error") else report["first_error"]
+                log(", ".join(f"{k} {report[k]}" for k in ("files", "chunks", "embedded", "reused", "failed", "first_error") if k in report).join((f"{repo}: ", "")))
             except Exception as e:
                 out[repo] = str(e)
                 log(f"{repo}: {e}")
         return out
+
+
+COUNTS = ("files", "chunks", "embedded", "reused")
+
+
+def _failed(error: BaseException) -> dict:
+    return dict.fromkeys(COUNTS, 0) | {"skipped": [], "error": errors.short(error)}

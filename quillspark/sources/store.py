@@ -1,8 +1,11 @@
-"""The index on shared storage: Parquet tables chunks, runs, cache and postings.
+"""The index on shared storage: Parquet tables chunks, runs, cache, postings and stats.
 
 Chunks are partitioned by repository and branch, so replacing a branch rewrites that partition alone.
 Writes go in the order cache, chunks, postings, runs: a branch counts as indexed once its run stands.
-The index is derived data; another schema version makes it start anew, an unreadable one is set aside.
+The index is derived data; another schema version makes it start anew, an unreadable table is set aside
+when the store is opened. A crash loses nothing: a small table is replaced by renaming, the old one
+first, and new chunks stand complete beside the old ones before these are touched; opening the store
+finishes what was left undone.
 """
 
 from __future__ import annotations
@@ -14,14 +17,17 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 
-VERSION = 1
+VERSION = 2
 CHUNKS = (
     "chunk_id long, alias string, path string, chunk_index int, heading string, content string, content_hash string, "
     "embedding array<float>, dimensions int, indexed_at timestamp, repo string, branch string"
 )
 RUNS = "repo string, branch string, model string, files long, chunks long, indexed_at timestamp"
 CACHE = "content_hash string, embedding array<float>, dimensions int, created_at timestamp, model string"
-POSTINGS = "term string, chunk_id long, wtf double, tf long"
+POSTINGS = "term string, chunk_id long, wtf double, tf long, dl long"
+STATS = "n long, avgdl double"
+SCHEMAS = {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS, "stats": STATS}
+SCOPES = "repo string, branch string"
 
 
 class Store:
@@ -32,6 +38,8 @@ class Store:
         if self._exists(self.root) and not self._exists(marker):
             self._move(self.root, f"{self.root}.old-{int(time.time() * 1000)}")
         self._fs.mkdirs(self._path(marker))
+        self._recover()
+        self.set_aside = [aside for name in SCHEMAS if (aside := self.quarantine(name))]
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -46,12 +54,35 @@ class Store:
         at = f"{self.root}/{name}"
         return self.spark.read.schema(schema).parquet(at) if self._exists(at) else self.spark.createDataFrame([], schema)
 
-    def _swap(self, name: str, df: DataFrame) -> None:
-        """Write a small table beside the old one, then put it in its place."""
-        fresh = f"{self.root}/{name}.new"
-        df.write.mode("overwrite").parquet(fresh)
+    def _whole(self, name: str) -> bool:
+        return self._exists(f"{self.root}/{name}/_SUCCESS")
+
+    def _drop_table(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
-        self._move(fresh, f"{self.root}/{name}")
+
+    def _swap(self, name: str, df: DataFrame) -> None:
+        """Write a table beside the old one, then put it in its place: the old one is set aside first."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}.new")
+        self._put(name)
+
+    def _put(self, name: str) -> None:
+        at = f"{self.root}/{name}"
+        if self._exists(at):
+            self._drop_table(f"{name}.old")
+            self._move(at, f"{at}.old")
+        self._move(f"{at}.new", at)
+        self._drop_table(f"{name}.old")
+
+    def _recover(self) -> None:
+        """Finish what a crash left: a new table that is whole takes its place, else the old one comes
+        back; chunks that stand ready are taken over."""
+        for name in ("runs", "postings", "stats"):
+            if self._whole(f"{name}.new"):
+                self._put(name)
+            elif self._exists(f"{self.root}/{name}.old") and not self._exists(f"{self.root}/{name}"):
+                self._move(f"{self.root}/{name}.old", f"{self.root}/{name}")
+        if self._whole("chunks.new") and self._whole("chunks.scopes"):
+            self._take_over()
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
@@ -65,13 +96,23 @@ class Store:
     def postings(self) -> DataFrame:
         return self._read("postings", POSTINGS)
 
+    def index(self, terms: list[str] | None = None) -> search.Index:
+        """The keyword index; with terms, only their postings are read, which lie together."""
+        held = self.postings()
+        return search.Index(held if terms is None else held.where(F.col("term").isin(terms)), self._read("stats", STATS))
+
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """df written as a table of the run, to be read more than once."""
+        df.write.mode("overwrite").parquet(f"{self.root}/run.{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/run.{name}")
+
     def quarantine(self, name: str) -> str | None:
         """Set a table aside if it can't be read; the path it went to, or None if it is sound."""
         try:
-            self._read(name, {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS}[name]).limit(1).count()
+            self._read(name, SCHEMAS[name]).limit(1).collect()
             return None
         except Exception as e:
-            if "CANNOT_READ" not in str(e) and "is not a Parquet file" not in str(e):
+            if not any(x in str(e) for x in ("CANNOT_READ", "is not a Parquet file", "FAILED_READ_FILE", "FAILED_TO_READ")):
                 raise
         aside = f"{self.root}/{name}.corrupt-{int(time.time() * 1000)}"
         self._move(f"{self.root}/{name}", aside)
@@ -86,16 +127,21 @@ class Store:
 
     def replace_branches(self, chunks: DataFrame, scopes: list[tuple[str, str]]) -> None:
         """Put chunks in place of all chunks of the given (repo, branch) pairs, also where none are left."""
-        ready = f"{self.root}/chunks.new"
-        chunks.select(*(c.split(" ")[0] for c in CHUNKS.split(", "))).write.mode("overwrite").parquet(ready)
-        staged = self.spark.read.schema(CHUNKS).parquet(ready)
-        # An overwrite leaves partitions without rows as they were, so those go first.
-        full = {(r["repo"], r["branch"]) for r in staged.select("repo", "branch").distinct().collect()}
-        for scope in scopes:
-            if scope not in full:
-                self._drop(*scope)
+        self._drop_table("chunks.scopes")
+        chunks.select(*(c.split(" ")[0] for c in CHUNKS.split(", "))).write.mode("overwrite").parquet(f"{self.root}/chunks.new")
+        self.spark.createDataFrame(scopes, SCOPES).coalesce(1).write.parquet(f"{self.root}/chunks.scopes")
+        self._take_over()
+
+    def _take_over(self) -> None:
+        """From here on a crash is made good by doing this once more."""
+        staged = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks.new")
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "branch").parquet(f"{self.root}/chunks")
-        self._fs.delete(self._path(ready), True)
+        # An overwrite leaves partitions without rows as they were.
+        full = staged.select("repo", "branch").distinct()
+        for r in self.spark.read.schema(SCOPES).parquet(f"{self.root}/chunks.scopes").join(full, ["repo", "branch"], "left_anti").collect():
+            self._drop(r["repo"], r["branch"])
+        self._drop_table("chunks.scopes")
+        self._drop_table("chunks.new")
 
     def _drop(self, repo: str, branch: str) -> None:
         name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
@@ -108,21 +154,27 @@ class Store:
         both = self.runs().withColumn("_new", F.lit(0)).unionByName(runs.withColumn("_new", F.lit(1)))
         self._swap("runs", both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new"))
 
-    def prune(self, keep: dict[str, list[str]]) -> int:
-        """Drop branches that are not kept, with their runs; the number of chunks that went. A
+    def prune(self, keep: dict[str, list[str]]) -> dict[str, int]:
+        """Drop branches that are not kept, with their runs; how many branches went, by repository. A
         repository that would keep nothing is left alone."""
-        held = self.chunks().groupBy("repo", "branch").count().collect()
+        held = self.chunks().select("repo", "branch").distinct().collect()
         gone = [r for r in held if keep.get(r["repo"]) and r["branch"] not in keep[r["repo"]]]
         for r in gone:
             self._drop(r["repo"], r["branch"])
         pairs = [(repo, b) for repo, kept in keep.items() for b in kept]
         if pairs:
-            kept = self.spark.createDataFrame(pairs, "repo string, branch string")
+            kept = self.spark.createDataFrame(pairs, SCOPES)
             others = self.runs().join(kept.select("repo").distinct(), "repo", "left_anti")
             self._swap("runs", others.unionByName(self.runs().join(kept, ["repo", "branch"], "left_semi")))
-        return sum(r["count"] for r in gone)
+        out: dict[str, int] = {}
+        for r in gone:
+            out[r["repo"]] = out.get(r["repo"], 0) + 1
+        return out
 
     def rebuild_postings(self) -> None:
-        """The keyword index, once for each refresh, sorted by term so that lookups skip row groups."""
-        built = search.postings(self.chunks()).select("term", "chunk_id", F.col("wtf").cast("double").alias("wtf"), F.col("tf").cast("long").alias("tf"))
-        self._swap("postings", built.sort("term"))
+        """The keyword index, once for each refresh, sorted by term so that look-ups skip row groups, and
+        the statistics that go with it."""
+        chunks = self.chunks()
+        kinds = dict(c.split(" ") for c in POSTINGS.split(", "))
+        self._swap("postings", search.postings(chunks).select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())).sort("term"))
+        self._swap("stats", search.corpus_stats(chunks))

@@ -1,18 +1,21 @@
 """Store, refresh, planning and the served operations, end to end on small tables."""
 
 import datetime as dt
+import http.server
 import json
+import os
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import errors
+from quillspark import api, errors, settings
 from quillspark.api import Engine
 from quillspark.operators import cache, reports
 from quillspark.plans import refresh_plan as plan
 from quillspark.refresh import Indexer
 from quillspark.sources.catalog import parse_catalog
+from quillspark.sources.http_embeddings import http_provider
 from quillspark.sources.files import read_checkouts
 from quillspark.sources.store import Store
 from quillspark.streaming.ingest import refresh_on_arrival
@@ -92,9 +95,136 @@ def test_reports(engine):
     with pytest.raises(errors.NotFound):
         engine.get_file_content("turnos", "none.md")
     compared, total = engine.compare_status(["turnos", "tramites", "unknown"])
-    assert total.first().asDict() == {"requested": 3, "succeeded": 2, "failed": 1, "open_pull_requests": 2, "open_issues": 1}
+    assert total.columns[-1] == "checked_at" and total.drop("checked_at").first().asDict() == {"requested": 3, "succeeded": 2, "failed": 1, "open_pull_requests": 2, "open_issues": 1}
     assert [r["repo"] for r in compared.where("NOT ok").collect()] == ["unknown"]
-    assert len(engine.list_projects().collect()) == 2
+    listed = engine.list_projects().collect()
+    assert [(r["alias"], r["error"]) for r in listed] == [("turnos", None), ("tramites", None)]
+    engine.sources["meta"] = engine.sources["meta"].where("repo = 'o/turnos'")
+    assert "o/tramites" in engine.list_projects().collect()[1]["error"]
+
+
+def test_large_and_binary_files_are_refused(engine, spark):
+    rows = [("o/turnos", "main", "big.md", "x" * 400_001), ("o/turnos", "main", "bin.md", "a\0b"), ("o/turnos", "main", "ok.md", "x" * 400_000)]
+    engine.indexer.files = lambda: spark.createDataFrame(rows, "repo string, branch string, path string, content string")
+    for name, why in (("big.md", "too large: 400001"), ("bin.md", "binary")):
+        with pytest.raises(errors.Unreadable, match=why):
+            engine.get_file_content("turnos", name)
+    assert engine.get_file_content("turnos", "ok.md").first()["size_bytes"] == 400_000
+
+
+def test_failures_stay_where_they_are(engine, spark):
+    assert engine.refresh_index()["failed"] == 0
+    schema = "repo string, branch string, path string, content string"
+    bad = [("o/turnos", "dev", "README.md", "# Turnos\n\nfail here"), ("o/turnos", "main", "docs/big.md", "y" * 300_001), ("o/turnos", "main", "README.md", "# New\n\ntexto nuevo")]
+    engine.indexer.files = lambda: spark.createDataFrame([*bad, FILES[-1]], schema)
+
+    def provider(texts):
+        if any("fail here" in t for t in texts):
+            raise ValueError("no vector today")
+        return cache.word_provider(texts)
+
+    engine.indexer.provider = provider
+    report = engine.refresh_index()
+    turnos = report["results"][0]
+    by_name = {b["branch"]: b for b in turnos["branches"]}
+    assert "no vector today" in by_name["dev"]["error"] and by_name["main"]["error"] is None and report["failed"] == 1
+    assert by_name["main"]["skipped"] == ["docs/big.md (too large: 300001)"] and by_name["main"]["chunks"] == 1 and by_name["feat/new"]["active"]
+    assert report["results"][1]["branches"][0]["error"] is None and "no vector today" in report["first_error"]
+    held = {(r["branch"], r["heading"]) for r in engine.store.chunks().where("repo = 'o/turnos'").collect()}
+    assert held == {("main", "New"), ("dev", "Turnos"), ("dev", "Pago")}  # dev keeps its old chunks
+
+    def limited(texts):
+        raise errors.RateLimited("come back later")
+
+    engine.indexer.provider = limited
+    engine.indexer.files = lambda: spark.createDataFrame([("o/turnos", "main", "README.md", "# Other\n\nunseen"), ("o/tramites", "main", "README.md", "# Unseen")], schema)
+    report = engine.refresh_index()
+    assert report["failed"] == 2 and all("come back later" in b["error"] for r in report["results"] for b in r["branches"])
+    assert engine.store.chunks().count() == 4
+    said = []
+    engine.indexer.model = "other"
+    assert all("come back later" in x for x in engine.indexer.refresh_stale("1", said.append).values()) and "failed 1" in said[0]
+
+
+def test_a_broken_source_of_branches(engine, spark):
+    whole = engine.indexer.branches()
+
+    def broken():
+        fail = F.when(F.col("repo") == "o/turnos", F.raise_error(F.lit("no such host"))).otherwise(F.col("branch"))
+        return whole.withColumn("branch", fail.cast("string"))
+
+    engine.indexer.branches = broken
+    report = engine.refresh_index()
+    assert "no such host" in report["results"][0]["error"] and report["results"][1]["error"] is None and report["chunks"] == 1
+
+
+def test_the_store_after_a_crash(engine, spark):
+    engine.refresh_index()
+    store, root = engine.store, engine.store.root
+    before = sorted(map(str, store.chunks().collect()))
+    # New chunks stand ready, and the store is opened again before they were taken over.
+    take, store._take_over = store._take_over, lambda: None
+    store.replace_branches(store.chunks().where("branch = 'main'").withColumn("heading", F.lit("h")), [("o/turnos", "main"), ("o/turnos", "dev")])
+    assert sorted(map(str, store.chunks().collect())) == before
+    again = Store(spark, root)
+    assert {(r["branch"], r["heading"]) for r in again.chunks().where("repo = 'o/turnos'").collect()} == {("main", "h"), ("feat/new", "Login")}
+    # A table was set aside and its follower never came.
+    store._move(f"{root}/runs", f"{root}/runs.old")
+    assert Store(spark, root).runs().count() == 4
+    # A table that can't be read is set aside on opening.
+    path = f"{root}/postings".removeprefix("file://")
+    for name in os.listdir(path):
+        if name.endswith(".parquet"):
+            with open(f"{path}/{name}", "wb") as f:
+                f.write(b"no parquet at all")
+        if name.endswith(".crc"):
+            os.remove(f"{path}/{name}")
+    opened = Store(spark, root)
+    assert len(opened.set_aside) == 1 and "postings.corrupt" in opened.set_aside[0] and opened.postings().count() == 0
+
+
+def test_results_as_json(engine):
+    ok, told = api.guarded(lambda: engine.get_recent_commits("turnos", 1))
+    assert ok and json.loads(told)[0]["short_sha"] == "abcdef1" and json.loads(told)[0]["date"][:4] == str(NOW.year)
+    assert api.guarded(lambda: engine.get_recent_commits("nope")) == (False, "unknown repository 'nope'; known: tramites, turnos")
+    assert api.guarded(lambda: 1 / 0) == (False, "unexpected error: division by zero")
+
+
+def test_settings():
+    assert settings.read("A", "x", {"A": "  "}) == "x" and settings.read("A", "x", {"A": " y "}) == "y"
+    with pytest.raises(errors.ConfigError, match="QUILLSPARK_STORE"):
+        settings.Settings.from_env({"QUILLSPARK_CATALOG": "secret"})
+    assert settings.Settings.from_env({"QUILLSPARK_CATALOG": "c", "QUILLSPARK_STORE": "s"}).model == "words-v1"
+
+
+def test_http_provider():
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["content-length"])))))
+            texts = seen[-1][1]["input"]
+            body = {"bad": b"<html>"}.get(texts[0]) or json.dumps({"embeddings": [[1.0, len(t)] for t in texts if t != "lost"]}).encode()
+            self.send_response(500 if texts[0] == "fail" else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}//"
+    assert http_provider(url, "m")(["a", "bcd"]).tolist() == [[1, 1], [1, 3]] and seen[0][0] == "/api/embed"
+    http_provider(url, "nomic-embed-text", "search_query")(["a"])
+    assert seen[-1][1]["input"] == ["search_query: a"] and http_provider(url, "m")([]).size == 0
+    for text, why in (("fail", "answered 500"), ("bad", "no JSON"), ("lost", "0 vectors for 1")):
+        with pytest.raises(errors.EmbeddingsUnavailable, match=why):
+            http_provider(url, "m")([text])
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(errors.EmbeddingsUnavailable, match="can't be reached"):
+        http_provider(url, "m", timeout=5)(["a"])
 
 
 def test_single_flight_and_failures(engine):
@@ -135,8 +265,8 @@ def test_store_replaces_also_by_nothing(engine, spark):
     none = engine.store.chunks().limit(0)
     engine.store.replace_branches(none, [("o/turnos", "feat/new")])
     assert engine.store.chunks().where("branch = 'feat/new'").count() == 0
-    assert engine.store.prune({}) == 0
-    assert engine.store.prune({"o/turnos": ["main"]}) == 2
+    assert engine.store.prune({}) == {}
+    assert engine.store.prune({"o/turnos": ["main"]}) == {"o/turnos": 1}
     assert {(r["repo"], r["branch"]) for r in engine.store.runs().collect()} == {("o/turnos", "main"), ("o/tramites", "main")}
     assert engine.store.quarantine("chunks") is None
 

@@ -33,10 +33,47 @@ def test_bm25_is_that_of_fts5(spark, chunks):
     con.execute("create virtual table f using fts5(heading, path, content, tokenize='unicode61 remove_diacritics 2')")
     con.executemany("insert into f(rowid, heading, path, content) values (?, ?, ?, ?)", [(r[0], r[5], r[4], r[6]) for r in ROWS])
     want = dict(con.execute("select rowid, -bm25(f, 3.0, 1.0, 1.0) from f where f match '\"pago\" OR \"tarjeta\" OR \"docs\"'").fetchall())
-    got = {r["chunk_id"]: r["bm25"] for r in search.bm25(ask(spark, "pago tarjeta docs"), chunks, search.postings(chunks)).collect()}
+    got = {r["chunk_id"]: r["bm25"] for r in search.bm25(ask(spark, "pago tarjeta docs"), search.index_of(chunks)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_words_are_folded_as_fts5_folds_them(spark):
+    """Letters of the Latin blocks, and letters followed by combining marks."""
+    letters = [chr(c) for c in (*range(0x41, 0x250), *range(0x1E00, 0x1F00)) if chr(c).isalpha()]
+    texts = [*(f"x{c}y" for c in letters), "pa\u0301gina tie\u0302\u0301ng", "tiếng página Ñandú"]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table f using fts5(t, tokenize='unicode61 remove_diacritics 2')")
+    con.execute("create virtual table v using fts5vocab(f, 'instance')")
+    con.executemany("insert into f(rowid, t) values (?, ?)", list(enumerate(texts, 1)))
+    want: dict[int, list[str]] = {}
+    for term, doc in con.execute("select term, doc from v order by doc, offset"):
+        want.setdefault(doc, []).append(term)
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "n int, t string")
+    got = {r["n"]: r["w"] for r in rows.select("n", tx.tokens(F.col("t")).alias("w")).collect()}
+    assert got[len(texts) - 1] == ["pagina", "tieng"] and got[len(texts)] == ["tieng", "pagina", "nandu"]
+    other = [(texts[n - 1], got[n], want.get(n)) for n in got if got[n] != want.get(n)]
+    assert other == []
+
+
+def test_semantic_ranks_are_counted(spark):
+    import numpy as np
+
+    from quillspark.operators import nearest
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 5)).round(1)
+    q = rng.normal(size=(7, 5)).round(1)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0]), (901, None)], "chunk_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, q array<double>")
+    scores = np.round(v @ q.T, 9)
+    order = [sorted(range(300), key=lambda j: (-scores[j, i], j)) for i in range(7)]
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in nearest.top(asked, vectors, 4).collect()}
+    assert got == {(i, r + 1): order[i][r] for i in range(7) for r in range(4)}
+    hits = spark.createDataFrame([(i, j, float(v[j] @ q[i])) for i in range(7) for j in (0, 17, 150)] + [(0, 900, None)], "query_id long, chunk_id long, semantic double")
+    ranks = {(r["query_id"], r["chunk_id"]): r["semantic_rank"] for r in nearest.with_ranks(asked, vectors, hits).collect()}
+    assert ranks == {(i, j): order[i].index(j) + 1 for i in range(7) for j in (0, 17, 150)} | {(0, 900): None}
+
+
 def test_hits_of_one_text_are_one(spark, chunks):
     hits = search.hybrid_search(ask(spark, "como se hace el pago"), chunks).orderBy("position").collect()
     assert hits[0]["branches"] == ["main", "dev"] and hits[0]["matched_by"] == "both"
