@@ -647,10 +647,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
 
 def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge)[:-1] > 0
+    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:-1] > 0
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
