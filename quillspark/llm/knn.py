@@ -184,7 +184,8 @@ def _join_one(vectors: DataFrame, asked: DataFrame, wide: int, n: int, k: int, p
     spark = vectors.sparkSession
     m = min(pivots[1], max(pivots[0], int(n**0.5 / 2)))
     sample = vectors.orderBy(F.xxhash64("q", F.lit(5)), "vec_id").limit(m).collect()
-    of = Pivots(np.unique(np.array([r["q"] for r in sample], np.int64).reshape(-1, wide), axis=0).astype(np.float64))
+    rows = np.array([r["q"] for r in sample], np.int64).reshape(len(sample), wide)
+    of = Pivots((np.unique(rows, axis=0) if wide else rows[:1]).astype(np.float64))
 
     @F.pandas_udf("struct<cell: int, distance: double, along: double, across: double, square: double>")
     def place(q: pd.Series) -> pd.DataFrame:
