@@ -25,6 +25,7 @@ PATH_DIM, WORD_DIM, HIDDEN = 12, 6, 16
 #: Bounds of what is learned from: pages, and bytes of them.
 SAMPLE = 600
 SAMPLE_BYTES = 4_000_000
+VARIED = 1200
 EPOCHS = 12
 
 # Elements without text for readers. math and object are not among them: what they hold
@@ -231,7 +232,7 @@ def weak_label(at: Place, text: str, links: float) -> int:
 def _varied(page: list, rng: np.random.Generator) -> list[tuple[Place, str, float, int]]:
     """The page with labels; mostly with foreign blocks added and its article in another container."""
     labelled = [(p, t, k, weak_label(p, t, k)) for p, t, k in page]
-    if rng.random() < 0.4 or not labelled:
+    if rng.random() < 0.2 or not labelled:
         return labelled
     frames = [("main",), ("article", ".post"), ("div", ".content"), ("div", ".entry"), ("section", ".story"), ("main", "article"), ("article", "section")]
     frame = frames[rng.integers(len(frames))]
@@ -245,7 +246,7 @@ def _varied(page: list, rng: np.random.Generator) -> list[tuple[Place, str, floa
         out.append((at, text, links, label))
     texts = [t for _, t, _, _ in labelled]
     tags, names = sorted(OTHER_TAGS), sorted(OTHER_NAMES)
-    for _ in range(rng.integers(1, 5)):
+    for _ in range(rng.integers(3, 10)):
         inside = ("article",) if rng.random() < 0.5 else ()
         outer = (tags[rng.integers(len(tags))],) if rng.random() < 0.5 else (("div", "section", "ul", "aside", "p")[rng.integers(5)], "." + names[rng.integers(len(names))])
         kind = (*(("ul",) if rng.random() < 0.3 else ()), leaf[rng.integers(len(leaf))])
@@ -451,11 +452,13 @@ class Labeller:
 
 
 def train(pages: DataFrame, rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Labeller:
-    """Learn from up to `rows` pages and `size` bytes of them, whole ones (see common.sample)."""
+    """Learn from up to `rows` pages and `size` bytes of them, whole ones (see common.sample), each varied
+    so often that they make up VARIED pages, though eight times at most."""
     own = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string"), F.lit(0).alias("all"))
     got = common.sample(own, "page_id", "html", "all", rows, size)
     rng = np.random.default_rng(4)
-    varied = [v for v in (_varied(blocks(h), rng) for h in got["text"]) if v]
+    times = min(8, max(1, VARIED // max(1, len(got))))
+    varied = [v for v in (_varied(blocks(h), rng) for _ in range(times) for h in got["text"]) if v]
     model = Labeller()
     if varied:
         model.train([Page(v) for v in varied], [np.array([x[3] for x in v], np.float32) for v in varied])
