@@ -109,9 +109,30 @@ def q_chunk_stride(spark, sf_dir):
     return pieces.select("doc_id", "chunk_index", F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("digest"))
 
 
-@query()
+# Sections of q_chunk_markdown: the first has the source as heading and the first line as its second
+# paragraph, the others are of one paragraph each, as long as no line of a text is a heading or a fence.
+WS = r"[\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+CHUNK_SQL = rf"""
+WITH t AS (SELECT doc_id, source, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(160), ' '), chr(10)) AS lines
+           FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM t),
+s AS (SELECT doc_id, k, CASE WHEN k = 1 THEN source ELSE 'part' END AS heading, '# ' || source AS head, regexp_replace(line, '{WS}$', '') AS line,
+        regexp_replace(CASE WHEN k = 1 THEN '# ' || source || chr(10) || chr(10) || line ELSE '## part' || chr(10) || line END, '{WS}$', '') AS body FROM l),
+p AS (SELECT doc_id, k, 0 AS j, heading, body AS piece FROM s WHERE length(body) <= 1200
+  UNION ALL SELECT doc_id, k, -1, heading, head FROM s WHERE length(body) > 1200 AND k = 1
+  UNION ALL SELECT doc_id, k, 0, heading, head || chr(10) || chr(10) || line FROM s WHERE length(body) > 1200 AND k = 1 AND length(line) <= 1200
+  UNION ALL SELECT doc_id, k, j, heading, substr(whole, j + 1, 1200) FROM (
+    SELECT doc_id, k, heading, CASE WHEN k = 1 THEN line ELSE body END AS whole,
+      unnest(range(0, length(CASE WHEN k = 1 THEN line ELSE body END), 1050)) AS j
+    FROM s WHERE length(body) > 1200 AND (k > 1 OR length(line) > 1200))),
+c AS (SELECT doc_id, k, j, heading, regexp_replace(piece, '^{WS}|{WS}$', '', 'g') AS piece FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INTEGER) AS chunk_index, heading, length(piece) AS n_chars, md5(piece) AS digest
+FROM c WHERE piece <> ''"""
+
+
+@query(CHUNK_SQL)
 def q_chunk_markdown(spark, sf_dir):
-    """The full chunker, on documents whose lines become sections: tests hold it against its rules."""
+    """The full chunker, on documents whose lines become sections."""
     docs = table(spark, sf_dir, "documents")
     source = F.concat(F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n## part\n"))
     found = chunker.chunks(docs.select("doc_id", source.alias("content")))
