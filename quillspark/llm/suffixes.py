@@ -47,7 +47,7 @@ PACK_BYTES = 6 << 20
 BLOCK_BYTES = 64 << 10
 HASH_BITS = 48
 #: Segments have about so many string starts, and at most SEGMENT_MOST.
-SEGMENT, SEGMENT_MOST = 512, 4096
+SEGMENT, SEGMENT_MOST = 128, 4096
 #: Bytes of text whose segments, or minimizers, make up a range; string starts that make up one.
 SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 1_500_000
 #: Strings drawn for each range, of which one parts it from the next.
@@ -220,10 +220,19 @@ class Segments:
 
 
 def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of keys, the first key first: each one's place among the distinct ones in order, and
-    where one of each is."""
-    order = np.lexsort(keys[::-1])
-    new = _new([k[order] for k in keys])
+    """For rows of keys (not negative), the first key first: each one's place among the distinct ones in
+    order, and where one of each is. Narrow neighbours are joined into one number before sorting."""
+    packed, room = [], 0
+    for k in keys:
+        wide = int(k.max(initial=0)).bit_length()
+        if packed and wide <= room:
+            packed[-1] = packed[-1] << np.uint64(wide) | k.astype(np.uint64)
+        else:
+            packed.append(k.astype(np.uint64))
+            room = 64
+        room -= wide
+    order = np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+    new = _new([k[order] for k in packed])
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     return kind, order[new]
@@ -295,20 +304,33 @@ def _route(words: list[np.ndarray], splits: list[np.ndarray]) -> np.ndarray:
     return low
 
 
-def _send(g: int, route: np.ndarray, keys: list[np.ndarray], owner: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, list[tuple]]:
-    """(each one's place among the row's distinct ones, which are ordered by range and keys; rows (b, g,
-    blob) with keys, smallest owner, whether there are several, and more of one of each)."""
-    kind, first = _kinds([route, *keys])
-    low, high = np.full(len(first), NO_ID), np.full(len(first), -NO_ID)
-    np.minimum.at(low, kind, owner)
-    np.maximum.at(high, kind, owner)
-    rows = []
-    held = route[first]
-    for b in np.unique(held):
-        a, z = np.searchsorted(held, [b, b + 1])
-        own = first[a:z]
-        rows.append((int(b), g, _squeeze(*(_narrow(k[own]) for k in keys), _narrow(low[a:z]), np.packbits(low[a:z] != high[a:z]), *(_narrow(m[own]) for m in more))))
-    return kind, rows
+class Distinct:
+    """The distinct ones of a row's strings: `kind`, each string's place among them; `first`, where one
+    of each is; `low`, the smallest owner, and `several`, whether there are more; `turn`, in which order
+    they lie by range, and the bounds of the ranges in it."""
+
+    def __init__(self, keys: list[np.ndarray], owner: np.ndarray, route, ranges: int, in_order: bool = True):
+        self.kind, self.first = _kinds(keys)
+        self.low, high = np.full(len(self.first), NO_ID), np.full(len(self.first), -NO_ID)
+        np.minimum.at(self.low, self.kind, owner)
+        np.maximum.at(high, self.kind, owner)
+        self.several = self.low != high
+        to = route(self.first)
+        self.turn = np.arange(len(to)) if in_order else np.argsort(to, kind="stable")
+        self.bound = np.searchsorted(to[self.turn], np.arange(ranges + 1))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each range that has some, and which of the distinct ones these are."""
+        for b in np.flatnonzero(np.diff(self.bound)):
+            yield int(b), self.turn[self.bound[b] : self.bound[b + 1]]
+
+    def rows(self, g: int, columns: list[np.ndarray]) -> pd.DataFrame:
+        """Rows (b, g, blob): the columns, smallest owner and whether there are several of one of each."""
+        out = []
+        for b, own in self.parts():
+            at = self.first[own]
+            out.append((b, g, _squeeze(*(_narrow(c[at]) for c in columns), _narrow(self.low[own]), np.packbits(self.several[own]))))
+        return pd.DataFrame(out, columns=["b", "g", "blob"])
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -319,10 +341,6 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names)
-
-
 def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
     """One range of sorted triples: named by their rank, from 1, with the mark "in several documents".
     `n` is the number of names."""
@@ -341,15 +359,14 @@ def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.DataFrame({"g": frame["g"], "b": frame["b"], "n": len(first), "blob": blobs})
 
 
-def _names_of(told: pd.DataFrame, base: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Global names of a row's distinct triples, whose ranges are `held` (sorted), and which of them
-    occur in several documents."""
-    name, several = np.zeros(len(held), np.int64), np.zeros(len(held), bool)
+def _names_of(told: pd.DataFrame, base: np.ndarray, own: Distinct) -> tuple[np.ndarray, np.ndarray]:
+    """Global names of a row's distinct triples, and which of them occur in several documents."""
+    name, several = np.zeros(len(own.first), np.int64), np.zeros(len(own.first), bool)
     for b, blob in zip(told["b"], told["blob"]):
         local, bits = _unsqueeze(blob)
-        a = np.searchsorted(held, b)
-        name[a : a + len(local)] = local.astype(np.int64) + base[b]
-        several[a : a + len(local)] = np.unpackbits(bits)[: len(local)]
+        at = own.turn[own.bound[b] : own.bound[b + 1]]
+        name[at] = local.astype(np.int64) + base[b]
+        several[at] = np.unpackbits(bits)[: len(local)]
     return name, several
 
 
@@ -447,77 +464,74 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
             out[r["b"]] = r["n"]
         return common.offsets(out)
 
-    def short_triples(held: Left, g: int):
+    def short_triples(held: Left) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
         place, owner = held.starts(plan.short, True)
         words = held.words(place, plan.short)
-        return place, *_send(g, _route(words, splits[plan.short]), words, owner, [])
-
-    def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for g, blob in zip(frame["g"], frame["blob"]):
-                yield _frame(short_triples(Left(blob, plan.size), g)[2], ["b", "g", "blob"])
-
-    def ranges_of(rows: list[tuple]) -> np.ndarray:
-        """The range of each distinct triple of rows."""
-        return np.concatenate([np.full(len(_unsqueeze(x)[0]), b) for b, _, x in rows]) if rows else np.zeros(0, np.int64)
+        return place, Distinct(words, owner, lambda at: _route([w[at] for w in words], splits[plan.short]), ranges), words
 
     def used(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the two sampled triples lie that a string's place is compared by."""
         kind = place % 3
         return np.where(kind == 0, place + 1, place), np.where(kind == 1, place + 1, place + 2)
 
-    def long_triples(held: Left, g: int, told: pd.DataFrame):
+    def long_triples(held: Left, told: pd.DataFrame) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
         """Names of the short triples in place; then the long triples of strings that may repeat."""
-        place, kind, rows = short_triples(held, g)
-        name, several = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
-        if len(place):
-            name[place], several[place] = (x[kind] for x in _names_of(told, base["short"], ranges_of(rows)))
+        place, own, _ = short_triples(held)
+        name, several = _names_of(told, base["short"], own)
+        local, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        local[place], many[place] = own.kind, several[own.kind]
         place, owner = held.starts(plan.long, True)
         may = np.zeros(len(held.text), bool)
-        may[place] = several[place] & several[place + plan.middle] & several[place + plan.last]
+        may[place] = many[place] & many[place + plan.middle] & many[place + plan.last]
         a, b = used(held.starts(plan.size, False)[0])
         open_ = may[a] | may[b]
         need = np.zeros(len(held.text), bool)
         need[a[open_]] = need[b[open_]] = True
         keep = need[place]
         place, owner = place[keep], owner[keep]
-        triple = [name[place], name[place + plan.middle], name[place + plan.last]]
-        return place, *_send(g, _route(held.words(place, plan.long), splits[plan.long]), triple, owner, [])
-
-    def send_long(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        g, held = int(left["g"].iloc[0]), Left(left["blob"].iloc[0], plan.size)
-        return _frame(long_triples(held, g, told)[2], ["b", "g", "blob"])
-
-    def strings(left: pd.DataFrame, told: pd.DataFrame):
-        g, held = int(left["g"].iloc[0]), Left(left["blob"].iloc[0], plan.size)
-        place, kind, rows = long_triples(held, g, told[told["level"] == 1])
-        rank, several = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
-        if len(place):
-            rank[place], several[place] = (x[kind] for x in _names_of(told[told["level"] == 2], base["long"], ranges_of(rows)))
+        # Names are in the order of the row's own distinct triples, whose places are smaller numbers.
+        triple = [local[place], local[place + plan.middle], local[place + plan.last]]
+        route = lambda at: _route(held.words(place[at], plan.long), splits[plan.long])
+        return place, Distinct(triple, owner, route, ranges), [name[t] for t in triple]
+
+    def strings(held: Left, told: pd.DataFrame):
+        place, own, _ = long_triples(held, told[told["level"] == 1])
+        name, several = _names_of(told[told["level"] == 2], base["long"], own)
+        rank, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        rank[place], many[place] = name[own.kind], several[own.kind]
         place, owner = held.starts(plan.size, False)
         a, b = used(place)
-        keep = several[a] | several[b]
+        keep = many[a] | many[b]
         place, owner, ra, rb = place[keep], owner[keep], rank[a[keep]], rank[b[keep]]
         kind = place % 3
-        ends = [held.text[place + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1)]
-        own, rows = _send(g, _route(held.words(place, plan.size), splits[plan.size]), [kind, *ends, ra, rb], owner, [])
-        return held, place, owner, own, rows
+        t0, t1, y, z = (held.text[place + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1))
+        # What tells strings of a class apart: the sample's rank and the bytes that it does not cover.
+        keys = [kind << 8 | np.where(kind == 0, t0, 0), ra, np.where(kind == 0, 0, y) << 8 | z]
+        route = lambda at: _route(held.words(place[at], plan.size), splits[plan.size])
+        return place, owner, Distinct(keys, owner, route, ranges, in_order=False), [kind, t0, t1, y, z, ra, rb]
+
+    def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for g, blob in zip(frame["g"], frame["blob"]):
+                _, own, columns = short_triples(Left(blob, plan.size))
+                yield own.rows(g, columns)
+
+    def send_long(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        _, own, columns = long_triples(Left(left["blob"].iloc[0], plan.size), told)
+        return own.rows(int(left["g"].iloc[0]), columns)
 
     def send_strings(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return _frame(strings(left, told)[4], ["b", "g", "blob"])
+        *_, own, columns = strings(Left(left["blob"].iloc[0], plan.size), told)
+        return own.rows(int(left["g"].iloc[0]), columns)
 
     def runs(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        held, place, owner, own, rows = strings(left, told[told["level"] < 3])
-        found, at = told[told["level"] == 3].set_index("b"), 0
-        least = np.full(int(own.max(initial=-1)) + 1, NO_ID)
-        for b, _, blob in rows:
-            low = _unsqueeze(blob)[7]
-            least[at : at + len(low)] = low
-            if b in found.index:
-                less, to = _unsqueeze(found["blob"][b])
-                least[at + less.astype(np.int64)] = to
-            at += len(low)
-        hit = place[least[own] < owner]
+        held = Left(left["blob"].iloc[0], plan.size)
+        place, owner, own, _ = strings(held, told[told["level"] < 3])
+        least, found = own.low.copy(), told[told["level"] == 3]
+        for b, blob in zip(found["b"], found["blob"]):
+            less, to = _unsqueeze(blob)
+            least[own.turn[own.bound[b] : own.bound[b + 1]][less.astype(np.int64)]] = to
+        hit = place[least[own.kind] < owner]
         run = np.searchsorted(held.at, hit, side="right") - 1
         start = np.sort(hit - held.at[run] + held.of[run])
         new = np.flatnonzero(np.concatenate([[True], np.diff(start) > 1])[: len(start)])
@@ -562,7 +576,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
                 for b in np.flatnonzero(np.diff(bound)):
                     a, z = bound[b], bound[b + 1]
                     rows.append((1, b, g, _squeeze(np.diff(held[a:z], prepend=np.uint64(0)), np.packbits(several[a:z]))))
-                yield _frame(rows, ["what", "b", "g", "blob"])
+                yield pd.DataFrame(rows, columns=["what", "b", "g", "blob"])
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         got = [_unsqueeze(x) for x in frame["blob"]]
