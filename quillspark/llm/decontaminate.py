@@ -3,7 +3,7 @@
 Normalising is byte-wise: A-Z become a-z, and every ASCII byte that is no letter or digit separates
 words; bytes of other characters belong to words. Items give windows of ten words (shorter items one
 window). The words of the benchmark are numbered, and the windows' trie with its failure links is held
-in flat sorted arrays, about 16 bytes a node. The driver writes them to the shared folder once, Spark
+in flat sorted arrays, 17 bytes a node. The driver writes them to the shared folder once, Spark
 hands the file to every executor, and the workers of a machine map the same copy into memory: what a
 worker holds does not grow with the benchmark. A batch of documents is scanned once: its words run
 through the automaton side by side in strips, each opened by the nine words before it.
@@ -28,9 +28,9 @@ from .token_files import store_of
 WINDOW = 10
 #: Item bytes whose automaton the driver builds at a time; a larger benchmark has several in its file,
 #: and the one scan of a document goes through each.
-PART_BYTES = 32 << 20
-#: Words in a strip.
-STRIP = 64
+PART_BYTES = 24 << 20
+#: Words in a strip, and words that are hashed at a time.
+STRIP, WORDS = 64, 1 << 18
 
 _TO = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _SPACE = np.frombuffer(_TO, np.uint8) == 32
@@ -51,17 +51,20 @@ class Words:
         self.cut = np.searchsorted(self.start, self.text_at)
 
     def hashes(self, seed: int) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        x = self.line.astype(np.uint64) + np.uint64(1)
-        begin = np.zeros(len(x), np.int64)
-        begin[self.start] = self.start
-        place = (np.arange(len(x)) - np.maximum.accumulate(begin)).astype(np.uint64)
-        mixed = (x + place * np.uint64(0x632BE59BD9B4E019)) * _M
+        """A 64-bit hash of each word, some words at a time."""
+        parts = [self._hashes(seed, a, min(a + WORDS, len(self.start))) for a in range(0, len(self.start), WORDS)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+    def _hashes(self, seed: int, first: int, last: int) -> np.ndarray:
+        start = self.start[first:last] - self.start[first]
+        line = self.line[self.start[first] : self.start[last - 1] + self.size[last - 1]]
+        begin = np.zeros(len(line), np.int64)
+        begin[start] = start
+        place = (np.arange(len(line)) - np.maximum.accumulate(begin)).astype(np.uint64)
+        mixed = (line.astype(np.uint64) + np.uint64(1) + place * np.uint64(0x632BE59BD9B4E019)) * _M
         mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed[_SPACE[self.line]] = 0
-        total = np.add.reduceat(mixed, self.start) ^ (self.size.astype(np.uint64) + np.uint64(seed)) * _M
+        mixed[_SPACE[line]] = 0
+        total = np.add.reduceat(mixed, start) ^ (self.size[first:last].astype(np.uint64) + np.uint64(seed)) * _M
         total = (total ^ total >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
         return total ^ total >> np.uint64(31)
 
@@ -71,7 +74,7 @@ class Words:
         return b" ".join(self.line[a:b].tobytes().split())
 
 
-ARRAYS = ("vocabulary", "root", "key", "fail", "depth", "out", "item_at", "item", "window_at", "window")
+ARRAYS = ("vocabulary", "root", "key", "fail", "depth", "out", "end", "item_at", "item", "window_at", "window")
 
 
 def build(texts: list[bytes], size: int = WINDOW) -> tuple[int, dict[str, np.ndarray]]:
@@ -80,8 +83,8 @@ def build(texts: list[bytes], size: int = WINDOW) -> tuple[int, dict[str, np.nda
     Words have numbers from 0, the places of their hashes in `vocabulary`. Nodes have numbers from 1, by
     level; 0 is the root. `key` holds (node before, word) of each node from 1, ascending, so a step is a
     binary search; `root` is the root's step for each word. `out` is the nearest node on a node's way of
-    failure links, itself included, where a window ends (0: none). `item` lists the items of each
-    window's end, `window` its bytes, against which a finding is checked.
+    failure links, itself included, where a window ends (0: none). `end` lists these nodes; for each of
+    them `item` has the items, `window` the bytes, against which a finding is checked.
     """
     words = Words(texts)
     for seed in range(64):
@@ -134,13 +137,10 @@ def build(texts: list[bytes], size: int = WINDOW) -> tuple[int, dict[str, np.nda
     pair_new = np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (own[order][1:] != own[order][:-1])])[: len(order)]
     order = order[pair_new]
     ends, first = np.unique(node[order], return_index=True)
-    item_at = np.zeros(total + 2, np.int64)
-    item_at[ends.astype(np.int64) + 1] = np.diff(np.append(first, len(order)))
     texts_of = [words.joined(begin[i], begin[i] + wide[i] - 1) for i in order[first]]
-    window_at = np.zeros(total + 2, np.int64)
-    window_at[ends.astype(np.int64) + 1] = [len(t) for t in texts_of]
-    auto |= {"vocabulary": vocabulary, "depth": depth, "out": out, "item_at": np.cumsum(item_at), "item": own[order].astype(np.int64)}
-    return seed, auto | {"window_at": np.cumsum(window_at), "window": np.frombuffer(b"".join(texts_of), np.uint8)}
+    auto |= {"vocabulary": vocabulary, "depth": depth, "out": out, "end": ends.astype(np.uint32), "item": own[order].astype(np.uint32)}
+    auto |= {"item_at": np.append(first, len(order)).astype(np.int64), "window_at": common.offsets([len(t) for t in texts_of])}
+    return seed, auto | {"window": np.frombuffer(b"".join(texts_of), np.uint8)}
 
 
 def advance(auto: dict[str, np.ndarray], node: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -205,18 +205,18 @@ def found_in(words: Words, parts: list[tuple[int, dict[str, np.ndarray]]]) -> It
     for seed, auto in parts:
         place, node = scan(words, seed, auto)
         wide = auto["depth"][node].astype(np.int64)
-        at, window = auto["window_at"], auto["window"]
+        end, at, window = np.searchsorted(auto["end"], node), auto["window_at"], auto["window"]
         # Equal hashes of words are likely, not certain, to be equal words.
-        sure = np.array([window[at[k] : at[k + 1]].tobytes() == words.joined(p - w + 1, p) for p, k, w in zip(place, node, wide)], bool)
-        place, node, wide = place[sure], node[sure], wide[sure]
+        sure = np.array([window[at[k] : at[k + 1]].tobytes() == words.joined(p - w + 1, p) for p, k, w in zip(place, end, wide)], bool)
+        place, end, wide = place[sure], end[sure], wide[sure]
         of = np.searchsorted(words.cut, place, side="right") - 1
         first.append(place - wide + 1)
         last.append(place)
         # Items by text, each pair of text and window once.
-        pair = np.unique(np.stack([of, node]), axis=1) if len(node) else np.zeros((2, 0), np.int64)
+        pair = np.unique(np.stack([of, end]), axis=1) if len(end) else np.zeros((2, 0), np.int64)
         many = auto["item_at"][pair[1] + 1] - auto["item_at"][pair[1]]
         rows = np.repeat(auto["item_at"][pair[1]] - common.offsets(many)[:-1], many) + np.arange(many.sum())
-        item.append(auto["item"][rows] + base)
+        item.append(auto["item"][rows].astype(np.int64) + base)
         doc.append(np.repeat(pair[0], many))
         base += int(auto["items"])
     edge = np.zeros(len(words.start) + 1, np.int64)
