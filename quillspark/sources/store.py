@@ -90,6 +90,10 @@ class Store:
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
 
+    def stats(self, repo: str | None = None) -> DataFrame:
+        """The runs of all or one repository, in order."""
+        return search.in_scope(self.runs(), repo).orderBy("repo", "branch")
+
     def cache(self) -> DataFrame:
         return self._read("cache", CACHE)
 

@@ -68,7 +68,8 @@ def test_refresh_and_search(engine, spark):
     assert engine.search_project_docs("token login", "turnos", "feat/new").first()["heading"] == "Login"
     again = engine.refresh_index("TURNOS")
     assert again["embedded"] == 0 and again["chunks"] == 5 and engine.store.chunks().count() == 6
-    assert engine.store.cache().count() == 4 and engine.store.runs().count() == 4
+    assert engine.store.cache().count() == 4 and [r["branch"] for r in engine.store.stats("o/turnos").collect()] == ["dev", "feat/new", "main"]
+    assert [r["repo"] for r in engine.store.stats().collect()] == ["o/tramites"] + ["o/turnos"] * 3
     assert engine.indexer.stale(12) == [] and engine.indexer.stale(0) == []
     with pytest.raises(errors.NotFound, match="feat/zzz"):
         engine.search_project_docs("pago", "turnos", "feat/zzz")
