@@ -221,7 +221,8 @@ class Segments:
 
 def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For rows of keys (not negative), the first key first: each one's place among the distinct ones in
-    order, and where one of each is. Narrow neighbours are joined into one number before sorting."""
+    order, and where one of each is. Narrow neighbours are joined into one number before sorting; if
+    the rows' numbers fit behind it, plain numbers are sorted, which is several times faster."""
     packed, room = [], 0
     for k in keys:
         wide = int(k.max(initial=0)).bit_length()
@@ -231,9 +232,15 @@ def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             packed.append(k.astype(np.uint64))
             room = 64
         room -= wide
-    order = np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
-    new = _new([k[order] for k in packed])
-    kind = np.empty(len(order), np.int64)
+    n = len(packed[0])
+    place = np.uint64(n.bit_length())
+    if len(packed) == 1 and n.bit_length() <= room:
+        line = np.sort(packed[0] << place | np.arange(n, dtype=np.uint64))
+        order, new = (line & np.uint64((1 << n.bit_length()) - 1)).astype(np.int64), _new([line >> place])
+    else:
+        order = np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
+        new = _new([k[order] for k in packed])
+    kind = np.empty(n, np.int64)
     kind[order] = np.cumsum(new) - 1
     return kind, order[new]
 
@@ -281,6 +288,26 @@ class Left:
             place, owner = place[keep], owner[keep]
         return place, owner
 
+    def names(self, place: np.ndarray, wide: int) -> list[np.ndarray]:
+        """Two keys that sort like the strings at these places: names, within this row, of strings half as
+        long. Those of a few characters are numbers themselves, and names of two strings side by side,
+        or over each other, make those of a longer one."""
+        symbols = np.flatnonzero(np.bincount(self.text, minlength=256))
+        code = np.zeros(256, np.uint64)
+        code[symbols] = np.arange(1, len(symbols) + 1, dtype=np.uint64)
+        bits = len(symbols).bit_length()
+        have = max(1, min(wide // 2, (64 - len(self.text).bit_length()) // bits))
+        line = np.concatenate([code[self.text], np.zeros(wide, np.uint64)])
+        key = np.zeros(len(self.text), np.uint64)
+        for k in range(have):
+            key = key << np.uint64(bits) | line[k : k + len(key)]
+        kind, _ = _kinds([key])
+        kind = np.concatenate([kind, np.zeros(wide, np.int64)])
+        while 2 * have < wide:
+            kind[: len(key)], _ = _kinds([kind[: len(key)], kind[have : have + len(key)]])
+            have *= 2
+        return [kind[place], kind[place + wide - have]]
+
     def words(self, place: np.ndarray, wide: int) -> list[np.ndarray]:
         """The strings at these places as numbers that sort like them."""
         view = np.ndarray(max(0, len(self.text) - 7), ">u8", np.ascontiguousarray(self.text), strides=(1,))
@@ -467,7 +494,7 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
     def short_triples(held: Left) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
         place, owner = held.starts(plan.short, True)
         words = held.words(place, plan.short)
-        return place, Distinct(words, owner, lambda at: _route([w[at] for w in words], splits[plan.short]), ranges), words
+        return place, Distinct(held.names(place, plan.short), owner, lambda at: _route([w[at] for w in words], splits[plan.short]), ranges), words
 
     def used(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the two sampled triples lie that a string's place is compared by."""
@@ -491,24 +518,25 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         place, owner = place[keep], owner[keep]
         # Names are in the order of the row's own distinct triples, whose places are smaller numbers.
         triple = [local[place], local[place + plan.middle], local[place + plan.last]]
+        pair, _ = _kinds(triple[:2])
         route = lambda at: _route(held.words(place[at], plan.long), splits[plan.long])
-        return place, Distinct(triple, owner, route, ranges), [name[t] for t in triple]
+        return place, Distinct([pair, triple[2]], owner, route, ranges), [name[t] for t in triple]
 
     def strings(held: Left, told: pd.DataFrame):
         place, own, _ = long_triples(held, told[told["level"] == 1])
         name, several = _names_of(told[told["level"] == 2], base["long"], own)
-        rank, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
-        rank[place], many[place] = name[own.kind], several[own.kind]
+        local, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        local[place], many[place] = own.kind, several[own.kind]
         place, owner = held.starts(plan.size, False)
         a, b = used(place)
         keep = many[a] | many[b]
-        place, owner, ra, rb = place[keep], owner[keep], rank[a[keep]], rank[b[keep]]
+        place, owner, ra, rb = place[keep], owner[keep], local[a[keep]], local[b[keep]]
         kind = place % 3
         t0, t1, y, z = (held.text[place + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1))
         # What tells strings of a class apart: the sample's rank and the bytes that it does not cover.
         keys = [kind << 8 | np.where(kind == 0, t0, 0), ra, np.where(kind == 0, 0, y) << 8 | z]
         route = lambda at: _route(held.words(place[at], plan.size), splits[plan.size])
-        return place, owner, Distinct(keys, owner, route, ranges, in_order=False), [kind, t0, t1, y, z, ra, rb]
+        return place, owner, Distinct(keys, owner, route, ranges, in_order=False), [kind, t0, t1, y, z, name[ra], name[rb]]
 
     def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
