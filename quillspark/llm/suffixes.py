@@ -26,7 +26,7 @@ row. A row sends nothing to ranges in which it has no records, so blobs never ou
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -314,37 +314,44 @@ class Left:
         return [view[place + k].astype(np.uint64) for k in (*range(0, wide - 8, 8), wide - 8)]
 
 
-def _route(words: list[np.ndarray], splits: list[np.ndarray]) -> np.ndarray:
-    """For each string the number of splits that are not greater, by bisection."""
-    low, high = np.zeros(len(words[0]), np.int64), np.full(len(words[0]), len(splits[0]), np.int64)
-    while (on := np.flatnonzero(low < high)).size:
-        mid = (low[on] + high[on]) // 2
-        right, open_ = np.ones(len(on), bool), np.arange(len(on))
-        for w, s in zip(words, splits):  # only ties look at the next word
-            a, b = w[on[open_]], s[mid[open_]]
-            right[open_] = a >= b
-            open_ = open_[a == b]
-            if not len(open_):
-                break
-        low[on[right]] = mid[right] + 1
-        high[on[~right]] = mid[~right]
-    return low
+def _smaller(words: list[np.ndarray], splits: list[np.ndarray]) -> np.ndarray:
+    """Whether each string sorts before its split."""
+    out, on = np.zeros(len(splits[0]), bool), np.arange(len(splits[0]))
+    for w, s in zip(words, splits):  # only ties look at the next word
+        out[on] = w[on] < s[on]
+        on = on[w[on] == s[on]]
+    return out
 
 
 class Distinct:
-    """The distinct ones of a row's strings: `kind`, each string's place among them; `first`, where one
-    of each is; `low`, the smallest owner, and `several`, whether there are more; `turn`, in which order
-    they lie by range, and the bounds of the ranges in it."""
+    """The distinct ones of a row's strings of `wide` bytes at `place`: `kind`, each string's place among
+    them; `at`, where one of each is; `low`, the smallest owner, and `several`, whether there are more.
+    `turn` is their order by range, `bound` the bounds of the ranges in it.
+
+    keys must sort like the strings, within each class if there are classes, which come one after
+    another. So the ranges' bounds are found by bisection, and no string is compared for its own range."""
 
-    def __init__(self, keys: list[np.ndarray], owner: np.ndarray, route, ranges: int, in_order: bool = True):
-        self.kind, self.first = _kinds(keys)
-        self.low, high = np.full(len(self.first), NO_ID), np.full(len(self.first), -NO_ID)
+    def __init__(self, held: Left, place: np.ndarray, wide: int, keys: list[np.ndarray], owner: np.ndarray, splits: list[np.ndarray], classes: bool = False):
+        self.kind, first = _kinds(keys)
+        self.at = place[first]
+        self.low, high = np.full(len(first), NO_ID), np.full(len(first), -NO_ID)
         np.minimum.at(self.low, self.kind, owner)
         np.maximum.at(high, self.kind, owner)
         self.several = self.low != high
-        to = route(self.first)
-        self.turn = np.arange(len(to)) if in_order else np.argsort(to, kind="stable")
-        self.bound = np.searchsorted(to[self.turn], np.arange(ranges + 1))
+        ends = np.searchsorted(self.at % 3, np.arange(4)) if classes else np.array([0, len(first)])
+        cuts = []
+        for a, z in zip(ends, ends[1:]):
+            low, high = np.full(len(splits[0]), a), np.full(len(splits[0]), z)
+            while (on := np.flatnonzero(low < high)).size:
+                mid = (low[on] + high[on]) // 2
+                less = _smaller(held.words(self.at[mid], wide), [s[on] for s in splits])
+                low[on[less]] = mid[less] + 1
+                high[on[~less]] = mid[~less]
+            cuts.append(np.concatenate([[a], low, [z]]))
+        cuts = np.array(cuts)
+        sizes = np.diff(cuts, axis=1).T
+        self.turn = _ranges(cuts[:, :-1].T.ravel(), sizes.ravel())
+        self.bound = common.offsets(sizes.sum(1))
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each range that has some, and which of the distinct ones these are."""
@@ -352,11 +359,8 @@ class Distinct:
             yield int(b), self.turn[self.bound[b] : self.bound[b + 1]]
 
     def rows(self, g: int, columns: list[np.ndarray]) -> pd.DataFrame:
-        """Rows (b, g, blob): the columns, smallest owner and whether there are several of one of each."""
-        out = []
-        for b, own in self.parts():
-            at = self.first[own]
-            out.append((b, g, _squeeze(*(_narrow(c[at]) for c in columns), _narrow(self.low[own]), np.packbits(self.several[own]))))
+        """Rows (b, g, blob): columns of the distinct ones, smallest owner and whether there are several."""
+        out = [(b, g, _squeeze(*(_narrow(c[own]) for c in columns), _narrow(self.low[own]), np.packbits(self.several[own]))) for b, own in self.parts()]
         return pd.DataFrame(out, columns=["b", "g", "blob"])
 
 
@@ -388,7 +392,7 @@ def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
 
 def _names_of(told: pd.DataFrame, base: np.ndarray, own: Distinct) -> tuple[np.ndarray, np.ndarray]:
     """Global names of a row's distinct triples, and which of them occur in several documents."""
-    name, several = np.zeros(len(own.first), np.int64), np.zeros(len(own.first), bool)
+    name, several = np.zeros(len(own.at), np.int64), np.zeros(len(own.at), bool)
     for b, blob in zip(told["b"], told["blob"]):
         local, bits = _unsqueeze(blob)
         at = own.turn[own.bound[b] : own.bound[b + 1]]
@@ -491,19 +495,18 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
             out[r["b"]] = r["n"]
         return common.offsets(out)
 
-    def short_triples(held: Left) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
+    def short_triples(held: Left) -> tuple[np.ndarray, Distinct]:
         place, owner = held.starts(plan.short, True)
-        words = held.words(place, plan.short)
-        return place, Distinct(held.names(place, plan.short), owner, lambda at: _route([w[at] for w in words], splits[plan.short]), ranges), words
+        return place, Distinct(held, place, plan.short, held.names(place, plan.short), owner, splits[plan.short])
 
     def used(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the two sampled triples lie that a string's place is compared by."""
         kind = place % 3
         return np.where(kind == 0, place + 1, place), np.where(kind == 1, place + 1, place + 2)
 
-    def long_triples(held: Left, told: pd.DataFrame) -> tuple[np.ndarray, Distinct, list[np.ndarray]]:
+    def long_triples(held: Left, told: pd.DataFrame) -> tuple[np.ndarray, Distinct, Callable]:
         """Names of the short triples in place; then the long triples of strings that may repeat."""
-        place, own, _ = short_triples(held)
+        place, own = short_triples(held)
         name, several = _names_of(told, base["short"], own)
         local, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
         local[place], many[place] = own.kind, several[own.kind]
@@ -519,8 +522,8 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         # Names are in the order of the row's own distinct triples, whose places are smaller numbers.
         triple = [local[place], local[place + plan.middle], local[place + plan.last]]
         pair, _ = _kinds(triple[:2])
-        route = lambda at: _route(held.words(place[at], plan.long), splits[plan.long])
-        return place, Distinct([pair, triple[2]], owner, route, ranges), [name[t] for t in triple]
+        triple_names = lambda own: [name[local[own.at + k]] for k in (0, plan.middle, plan.last)]
+        return place, Distinct(held, place, plan.long, [pair, triple[2]], owner, splits[plan.long]), triple_names
 
     def strings(held: Left, told: pd.DataFrame):
         place, own, _ = long_triples(held, told[told["level"] == 1])
@@ -532,21 +535,26 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         keep = many[a] | many[b]
         place, owner, ra, rb = place[keep], owner[keep], local[a[keep]], local[b[keep]]
         kind = place % 3
-        t0, t1, y, z = (held.text[place + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1))
+        t0, y, z = (held.text[place + k].astype(np.int64) for k in (0, plan.size - 2, plan.size - 1))
         # What tells strings of a class apart: the sample's rank and the bytes that it does not cover.
         keys = [kind << 8 | np.where(kind == 0, t0, 0), ra, np.where(kind == 0, 0, y) << 8 | z]
-        route = lambda at: _route(held.words(place[at], plan.size), splits[plan.size])
-        return place, owner, Distinct(keys, owner, route, ranges, in_order=False), [kind, t0, t1, y, z, name[ra], name[rb]]
+        own = Distinct(held, place, plan.size, keys, owner, splits[plan.size], classes=True)
+        a, b = used(own.at)
+        ends = [held.text[own.at + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1)]
+        return place, owner, own, [own.at % 3, *ends, name[local[a]], name[local[b]]]
 
     def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for g, blob in zip(frame["g"], frame["blob"]):
-                _, own, columns = short_triples(Left(blob, plan.size))
-                yield own.rows(g, columns)
+                held = Left(blob, plan.size)
+                _, own = short_triples(held)
+                *words, last = held.words(own.at, plan.short)
+                new = np.uint64((1 << 8 * (plan.short - 8 * len(words))) - 1)  # what is not in the word before
+                yield own.rows(g, [*words, (last & new).astype(np.int64)])
 
     def send_long(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        _, own, columns = long_triples(Left(left["blob"].iloc[0], plan.size), told)
-        return own.rows(int(left["g"].iloc[0]), columns)
+        _, own, names = long_triples(Left(left["blob"].iloc[0], plan.size), told)
+        return own.rows(int(left["g"].iloc[0]), names(own))
 
     def send_strings(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         *_, own, columns = strings(Left(left["blob"].iloc[0], plan.size), told)

@@ -259,12 +259,32 @@ def test_merge_sorts_all_classes(strings):
     assert line == sorted(text) and new.tolist() == [k == 0 or line[k] != line[k - 1] for k in range(len(line))]
 
 
-def test_ranges_part_a_common_prefix():
-    """Strings with one prefix, and one string alone, go to many ranges and to one."""
-    words = [np.full(1000, 5, np.uint64), np.arange(1000, dtype=np.uint64)]
-    splits = [np.full(9, 5, np.uint64), np.arange(100, 1000, 100, dtype=np.uint64)]
-    assert np.bincount(suffixes._route(words, splits)).tolist() == [100] * 10
-    assert len(set(suffixes._route([words[0], np.full(1000, 7, np.uint64)], splits))) == 1
+@pytest.mark.parametrize("wide, classes", [(18, False), (48, False), (50, True)])
+def test_ranges_part_a_common_prefix(wide, classes):
+    """Strings with one prefix of 16 bytes go to many ranges, in order, and equal ones to one range."""
+    rng = np.random.default_rng(3)
+    texts = ["sixteen bytes .." + "".join(rng.choice(list("ab"), 40)) for _ in range(120)]
+    text = np.frombuffer("".join(t + t[:43] for t in texts).encode(), np.uint8)
+    held = suffixes.Left(suffixes._squeeze(np.arange(120) * 200, np.full(120, 50), np.arange(120) % 7, text), 50)
+    place, owner = held.starts(wide, False)
+    string = [text[p : p + wide].tobytes() for p in place]
+    picked = sorted(string)[40::100]
+    splits = suffixes.Left.words(type("", (), {"text": np.frombuffer(b"".join(picked), np.uint8)}), np.arange(len(picked)) * wide, wide)
+    keys = held.names(place, wide)
+    own = suffixes.Distinct(held, place, wide, [place % 3, *keys] if classes else keys, owner, splits, classes)
+    seen = set()
+    for b, part in own.parts():
+        mine = [text[p : p + wide].tobytes() for p in own.at[part]]
+        assert all((b == 0 or x >= picked[b - 1]) and (b == len(picked) or x < picked[b]) for x in mine)
+        kinds = (own.at[part] % 3).tolist() if classes else [0] * len(mine)
+        assert list(zip(kinds, mine)) == sorted(set(zip(kinds, mine)))
+        seen.update(mine)
+    assert seen == set(string) and sum(len(p) for _, p in own.parts()) == len(own.at)
+    assert len([b for b, p in own.parts() if any(text[x : x + 16].tobytes() == b"sixteen bytes .." for x in own.at[p])]) > (1 if wide > 18 else 0)
+    least = {}
+    for x, p, o in zip(string, place, owner):
+        least[x, p % 3 if classes else 0] = min(o, least.get((x, p % 3 if classes else 0), o))
+    assert all(own.low[k] == least[text[p : p + wide].tobytes(), p % 3 if classes else 0] for k, p in enumerate(own.at))
 
 
 def test_cut_documents_keeps_columns(docs, empty):
