@@ -19,7 +19,12 @@ def main(catalog: str, root: str, store: str, repo: str | None = None) -> int:
     branches = lambda: files().groupBy("repo", "branch").agg(F.lit(None).cast("timestamp").alias("last_commit_at"))
     report = Indexer(Store(spark, store), load_catalog(catalog), files, branches).refresh(repo)
     for name, value in report.items():
-        print(f"{name}: {value}")
+        if name != "results":
+            print(f"{name}: {value}")
+    for result in report["results"]:
+        print(f"{result['repo']}: {result['error'] or 'ok'}")
+        for b in result["branches"]:
+            print(f"  {b['branch']}: {b['error'] or str(b['chunks']) + ' chunks'}", *(f"\n    skipped {x}" for x in b["skipped"]))
     return int(report["failed"] > 0)
 
 
