@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pandas as pd
@@ -214,6 +214,23 @@ class Segments:
         self.least = np.full(len(first), NO_ID)
         np.minimum.at(self.least, self.kind, doc[self.doc])
 
+    def packed(self) -> bytes:
+        """What later steps need, so that digests are taken once."""
+        return _squeeze(*map(_narrow, (np.diff(self.start, prepend=0), self.end - self.start, np.diff(self.doc, prepend=0), self.kind)))
+
+    @classmethod
+    def again(cls, told: pd.DataFrame) -> "Segments":
+        """start, end, doc and kind as packed, and for each distinct one the smallest doc_id anywhere
+        (`least`): the answers for ranges of digests follow one another."""
+        out = cls.__new__(cls)
+        state, answers = told["blob"][told["what"] == 2], told[told["what"] == 0].sort_values("b")["blob"]
+        none = [np.zeros(0, np.int64)]
+        start, size, doc, kind = (x.astype(np.int64) for x in _unsqueeze(state.iloc[0])) if len(state) else none * 4
+        out.start, out.doc, out.kind = np.cumsum(start), np.cumsum(doc), kind
+        out.end = out.start + size
+        out.least = np.concatenate(none + [_unsqueeze(x)[0].astype(np.int64) for x in answers])
+        return out
+
     def bounds(self, n: int) -> np.ndarray:
         """Bounds among the distinct ones of n ranges of digests."""
         return np.searchsorted((self.high >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
@@ -334,10 +351,7 @@ class Distinct:
     def __init__(self, held: Left, place: np.ndarray, wide: int, keys: list[np.ndarray], owner: np.ndarray, splits: list[np.ndarray], classes: bool = False):
         self.kind, first = _kinds(keys)
         self.at = place[first]
-        self.low, high = np.full(len(first), NO_ID), np.full(len(first), -NO_ID)
-        np.minimum.at(self.low, self.kind, owner)
-        np.maximum.at(high, self.kind, owner)
-        self.several = self.low != high
+        self.owner = owner
         ends = np.searchsorted(self.at % 3, np.arange(4)) if classes else np.array([0, len(first)])
         cuts = []
         for a, z in zip(ends, ends[1:]):
@@ -353,6 +367,18 @@ class Distinct:
         self.turn = _ranges(cuts[:, :-1].T.ravel(), sizes.ravel())
         self.bound = common.offsets(sizes.sum(1))
 
+    @cached_property
+    def low(self) -> np.ndarray:
+        out = np.full(len(self.at), NO_ID)
+        np.minimum.at(out, self.kind, self.owner)
+        return out
+
+    @cached_property
+    def several(self) -> np.ndarray:
+        high = np.full(len(self.at), -NO_ID)
+        np.maximum.at(high, self.kind, self.owner)
+        return self.low != high
+
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each range that has some, and which of the distinct ones these are."""
         for b in np.flatnonzero(np.diff(self.bound)):
@@ -606,6 +632,7 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
                 for b in np.flatnonzero(np.diff(bound)):
                     a, z = bound[b], bound[b + 1]
                     rows.append((0, b, g, _squeeze(np.diff(own.high[a:z], prepend=np.uint64(0)), own.low[a:z], _narrow(own.least[a:z]))))
+                rows.append((2, g % (1 << 31), g, own.packed()))  # comes back as it is
                 m = Minimizers(data, cut, size, part)
                 held, several, _ = _distinct(m, doc)
                 bound = _bounds(held, n_hashes)
@@ -615,6 +642,8 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
                 yield pd.DataFrame(rows, columns=["what", "b", "g", "blob"])
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == 2:
+            return frame[["g", "what", "b", "blob"]]
         got = [_unsqueeze(x) for x in frame["blob"]]
         cut = common.offsets([len(x[0]) for x in got])
         first = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in got])
@@ -636,23 +665,15 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
     sent = packed.select("g", "blob").mapInPandas(send, "what int, b int, g long, blob binary")
     told = common.materialize(sent.groupBy("what", "b").applyInPandas(answer, "g long, what int, b int, blob binary"), "told")
 
-    def least_of(own: Segments, told: pd.DataFrame) -> np.ndarray:
-        """The smallest doc_id anywhere of each distinct segment."""
-        bound, out = own.bounds(n_segments), own.least.copy()
-        for b, blob in zip(told["b"], told["blob"]):
-            out[bound[b] : bound[b + 1]] = _unsqueeze(blob)[0]
-        return out
-
     def remaining(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """The strings that are left to be sorted, as runs of starts within a document."""
         doc, cut, data = _unpack(left["blob"].iloc[0])
-        own = Segments(doc, cut, data, size)
-        least = least_of(own, told[told["what"] == 0])
-        mine = np.flatnonzero(doc[own.doc] == least[own.kind])
+        own = Segments.again(told)
+        mine = np.flatnonzero(doc[own.doc] == own.least[own.kind])
         _, first = np.unique(own.kind[mine], return_index=True)
         mine = mine[first]
         m = Minimizers(data, cut, size, part)
-        held, _, place = _distinct(m, doc)
+        held, place = np.unique(m.hash, return_inverse=True)
         bound, again = _bounds(held, n_hashes), np.zeros(len(held), bool)
         for b, blob in zip(told["b"][told["what"] == 1], told["blob"][told["what"] == 1]):
             again[bound[b] : bound[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8))[: bound[b + 1] - bound[b]]
@@ -668,19 +689,18 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
     left = packed.select("g", "blob").groupBy("g").cogroup(told.groupBy("g")).applyInPandas(remaining, "g long, starts long, blob binary")
     left = common.materialize(left, "left").where("starts > 0")
     count = left.agg(F.sum("starts")).first()[0] or 0
-    runs = told.where("what = 0")
+    runs = told.where("what != 1")
     if count:
         found = _sort_strings(left.select("g", "blob"), count, plan, starts)
-        runs = runs.unionByName(common.materialize(found.select("g", F.lit(2).alias("what"), F.lit(0).alias("b"), "blob"), "runs"))
+        runs = runs.unionByName(common.materialize(found.select("g", F.lit(3).alias("what"), F.lit(0).alias("b"), "blob"), "runs"))
 
     def mark(blob: bytes, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """doc_ids, bounds and bytes of a row, and which bytes are covered."""
         doc, cut, data = _unpack(blob)
-        own = Segments(doc, cut, data, size)
-        least = least_of(own, told[told["what"] == 0])
-        here = doc[own.doc] == least[own.kind]
+        own = Segments.again(told)
+        here = doc[own.doc] == own.least[own.kind]
         start = _covered(len(data), own.start[~here], own.end[~here])
-        for blob in told["blob"][told["what"] == 2]:
+        for blob in told["blob"][told["what"] == 3]:
             at, n = (x.astype(np.int64) for x in _unsqueeze(blob))
             start |= _covered(len(data), at, at + n)
         # Segments that one document has twice: what holds for the first holds for the others.
