@@ -43,13 +43,13 @@ from . import common
 #: Bytes of a repeated string (32 at least), of the parts whose hashes are minimized, and of a packed row.
 SIZE = 50
 PART = 20
-PACK_BYTES = 6 << 20
+PACK_BYTES = 4 << 20
 BLOCK_BYTES = 64 << 10
 HASH_BITS = 48
 #: Segments have about so many string starts, and at most SEGMENT_MOST.
 SEGMENT, SEGMENT_MOST = 128, 4096
 #: Bytes of text whose segments, or minimizers, make up a range; string starts that make up one.
-SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 1_500_000
+SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 1_000_000
 #: Strings drawn for each range, of which one parts it from the next.
 DRAWN = 24
 NO_ID = (1 << 63) - 1  # a null doc_id counts as the largest, as 2^63 - 1
@@ -257,7 +257,7 @@ def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     else:
         order = np.argsort(packed[0]) if len(packed) == 1 else np.lexsort(packed[::-1])
         new = _new([k[order] for k in packed])
-    kind = np.empty(n, np.int64)
+    kind = np.empty(n, np.int32)
     kind[order] = np.cumsum(new) - 1
     return kind, order[new]
 
@@ -299,7 +299,7 @@ class Left:
     def starts(self, wide: int, sample: bool) -> tuple[np.ndarray, np.ndarray]:
         """Places of strings of `wide` bytes, all or those of the sample, and their owners."""
         many = self.count + self.size - wide
-        place, owner = _ranges(self.at, many), np.repeat(self.owner, many)
+        place, owner = _ranges(self.at, many).astype(np.int32), np.repeat(self.owner, many)
         if sample:
             keep = place % 3 > 0
             place, owner = place[keep], owner[keep]
@@ -319,7 +319,8 @@ class Left:
         for k in range(have):
             key = key << np.uint64(bits) | line[k : k + len(key)]
         kind, _ = _kinds([key])
-        kind = np.concatenate([kind, np.zeros(wide, np.int64)])
+        kind = np.concatenate([kind, np.zeros(wide, np.int32)])
+        del line
         while 2 * have < wide:
             kind[: len(key)], _ = _kinds([kind[: len(key)], kind[have : have + len(key)]])
             have *= 2
@@ -392,7 +393,7 @@ class Distinct:
 
 def _narrow(x: np.ndarray) -> np.ndarray:
     """In as few bytes as the values need."""
-    if x.dtype == np.int64 and len(x) and x.min() >= 0:
+    if x.dtype.kind == "i" and len(x) and x.min() >= 0:
         top = int(x.max())
         return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
     return x
@@ -403,7 +404,7 @@ def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
     `n` is the number of names."""
     got = [_unsqueeze(x) for x in frame["blob"]]
     cut = common.offsets([len(x[0]) for x in got])
-    keys = [np.concatenate([x[k].astype(np.uint64) for x in got]) for k in range(width)]
+    keys = [np.concatenate([x[k] for x in got]) for k in range(width)]
     low = np.concatenate([x[width].astype(np.int64) for x in got])
     several = np.concatenate([np.unpackbits(x[width + 1])[: len(x[0])] for x in got]).astype(bool)
     kind, first = _kinds(keys)
@@ -464,12 +465,12 @@ def _owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     classes: list[list] = [[], [], []]
     owner, counts = [], []
     for blob in frame["blob"]:
-        kind, t0, t1, y, z, ra, rb, low, _ = (x.astype(np.int64) for x in _unsqueeze(blob))
+        kind, t0, t1, y, z, ra, rb, low, _ = _unsqueeze(blob)
         cut = np.searchsorted(kind, np.arange(4))
-        none = np.zeros(len(kind), np.int64)
+        none = np.zeros(len(kind), np.uint8)
         for c, (r0, r1, r2) in enumerate(((none, ra, rb), (ra, rb, none), (ra, none, rb))):
             classes[c].append([x[cut[c] : cut[c + 1]] for x in (t0, t1, y, z, r0, r1, r2)])
-        owner.append([low[cut[c] : cut[c + 1]] for c in range(3)])
+        owner.append([low[cut[c] : cut[c + 1]].astype(np.int64) for c in range(3)])
         counts.append(np.diff(cut))
     zero, one, two = ([np.concatenate(x) for x in zip(*c)] for c in classes)
     low = np.concatenate([np.concatenate([o[c] for o in owner]) for c in (1, 2, 0)])
@@ -534,7 +535,7 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         """Names of the short triples in place; then the long triples of strings that may repeat."""
         place, own = short_triples(held)
         name, several = _names_of(told, base["short"], own)
-        local, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        local, many = np.zeros(len(held.text), np.int32), np.zeros(len(held.text), bool)
         local[place], many[place] = own.kind, several[own.kind]
         place, owner = held.starts(plan.long, True)
         may = np.zeros(len(held.text), bool)
@@ -554,14 +555,14 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
     def strings(held: Left, told: pd.DataFrame):
         place, own, _ = long_triples(held, told[told["level"] == 1])
         name, several = _names_of(told[told["level"] == 2], base["long"], own)
-        local, many = np.zeros(len(held.text), np.int64), np.zeros(len(held.text), bool)
+        local, many = np.zeros(len(held.text), np.int32), np.zeros(len(held.text), bool)
         local[place], many[place] = own.kind, several[own.kind]
         place, owner = held.starts(plan.size, False)
         a, b = used(place)
         keep = many[a] | many[b]
         place, owner, ra, rb = place[keep], owner[keep], local[a[keep]], local[b[keep]]
         kind = place % 3
-        t0, y, z = (held.text[place + k].astype(np.int64) for k in (0, plan.size - 2, plan.size - 1))
+        t0, y, z = (held.text[place + k].astype(np.int32) for k in (0, plan.size - 2, plan.size - 1))
         # What tells strings of a class apart: the sample's rank and the bytes that it does not cover.
         keys = [kind << 8 | np.where(kind == 0, t0, 0), ra, np.where(kind == 0, 0, y) << 8 | z]
         own = Distinct(held, place, plan.size, keys, owner, splits[plan.size], classes=True)
