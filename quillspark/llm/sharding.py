@@ -69,10 +69,11 @@ def shard_uniform(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: i
     carries all columns, texts among them, and puts each shard's rows into files of its own.
 
     The law is `rows`: counts of shards differ by one at most. Rows are placed one by one, so equal
-    texts, or rows of one key, are not kept together. rows is read three times: twice for counts, by
-    hashes of the key alone, and once whole. Keys may be null; rows with equal keys stay separate rows,
-    and which of them gets which place is left open. An empty table gives no rows. Where rows has a
-    column shard or slot, the new one gets underscores in front.
+    texts, or rows of one key, are not kept together. rows is read twice: the matrix, both permutations
+    and the exchange work on hashes of the key, and the whole rows then fetch their places, in one
+    shuffle. Keys may be null; rows with equal keys stay separate rows, which meet in one task, and which
+    of them gets which place is left open. An empty table gives no rows. Where rows has a column shard or
+    slot, the new one gets underscores in front.
     """
     names = ("shard", "slot", "_part", "_rank", "_cut", "_fine", "_base", "_one", "_two", "_three")
     shard, slot, part, rank, cut_, fine, base, one, two, three = (common.fresh(rows, x) for x in names)
@@ -97,15 +98,17 @@ def shard_uniform(rows: DataFrame, key: list[str], shards: int = SHARDS, seed: i
     matrix = communication_matrix([sizes.get(p, 0) for p in range(n)], shards, random.Random(seed))
     cuts = [(p, [sum(row[: s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)]
     cut = spark.createDataFrame(cuts, f"{part} int, {cut_} array<long>")  # n rows of `shards` numbers
-    # Rows that tie in both draws have equal keys, so the counts are those of the whole rows' exchange.
     before = Window.partitionBy(shard).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
     counts = send(deal(narrow)).groupBy(shard, fine).agg(F.count("*").alias("n"))
     counts = common.materialize(counts.select(shard, fine, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base)), "ranges")
-    sent = send(deal(rows.withColumns(draws)))
     place = F.row_number().over(Window.partitionBy(shard, fine).orderBy(three, one))
-    # About n rows.
-    placed = sent.withColumn(rank, place).join(F.broadcast(counts), [shard, fine])
-    placed = placed.select(*rows.columns, shard, (F.col(base) + F.col(rank) - 1).alias(slot))
+    # About n rows of counts.
+    placed = send(deal(narrow)).withColumn(rank, place).join(F.broadcast(counts), [shard, fine])
+    places = placed.groupBy(one, two).agg(F.collect_list(F.struct(F.col(shard).alias("shard"), (F.col(base) + F.col(rank) - 1).alias("slot"))).alias(cut_))
+    # Places and rows are dealt out by the same two hashes, so the join moves nothing once more.
+    numbered = rows.withColumns(draws).withColumn(rank, F.row_number().over(Window.partitionBy(one, two).orderBy(three)))
+    own = F.element_at(cut_, F.col(rank))
+    placed = numbered.join(places, [one, two]).select(*rows.columns, own["shard"].alias(shard), own["slot"].alias(slot))
     path = common.scratch(spark, "shards")
     placed.write.partitionBy(shard).parquet(path)
     return spark.read.schema(placed.schema).parquet(path).select(*placed.columns)
