@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, knn, language, packing, quality, sharding, simhash, suffixes, token_files
+from . import decontaminate, html, knn, language, merkle, packing, quality, sharding, simhash, suffixes, token_files
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         decontaminate.op8_benchmark_decontamination,
         knn.op9_exact_topk,
         language.op10_language_id,
+        merkle.op11_merkle_manifest,
     )
 }
-ORACLES = {"op8_benchmark_decontamination": decontaminate.OP8_SQL, "op9_exact_topk": knn.OP9_SQL}
+ORACLES = {"op8_benchmark_decontamination": decontaminate.OP8_SQL, "op9_exact_topk": knn.OP9_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
