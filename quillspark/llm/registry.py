@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, knn, language, merkle, packing, quality, sharding, simhash, suffixes, token_files, transducer
+from . import decontaminate, html, knn, language, merkle, negatives, packing, quality, sharding, simhash, suffixes, token_files, transducer
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         knn.op9_exact_topk,
         language.op10_language_id,
         merkle.op11_merkle_manifest,
+        negatives.op12_hard_negatives,
         transducer.op13_bpe_transducer,
     )
 }
-ORACLES = {"op8_benchmark_decontamination": decontaminate.OP8_SQL, "op9_exact_topk": knn.OP9_SQL, "op11_merkle_manifest": merkle.OP11_SQL}
+ORACLES = {"op8_benchmark_decontamination": decontaminate.OP8_SQL, "op9_exact_topk": knn.OP9_SQL, "op11_merkle_manifest": merkle.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}
