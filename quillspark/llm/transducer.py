@@ -39,7 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a text that are split at a time, and bytes of a piece merged beyond the lookahead.
 CHUNK, STEP = 1 << 16, 1 << 11
 #: Pieces a worker keeps the ids of, and characters up to which a piece is kept.
-CACHE, SHORT = 500_000, 48
+CACHE, SHORT = 200_000, 48
 
 # The split pattern of the vocabulary.
 CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
@@ -101,13 +101,25 @@ def newer_letters(path: str) -> tuple[int, ...]:
     return tuple(c for k, c in enumerate(doubtful) if 3 * k not in known)
 
 
+def _told(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def byte_table(path: str) -> dict[int, bytes]:
+    """The bytes of every id; an added token is written out as bytes where all of its characters stand for
+    some, else as it is."""
+    told, byte = _told(path), byte_letters()
+    tokens = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+    return {i: bytes(map(byte.__getitem__, t)) if all(c in byte for c in t) else t.encode() for i, t in tokens.items()}
+
+
 class Vocabulary:
     """Merges, ids and split of a byte-level vocabulary file; `newer` is newer_letters() of it."""
 
     def __init__(self, path: str, newer: tuple[int, ...]):
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        model, split, byte = told["model"], told["pre_tokenizer"] or {}, byte_letters()
+        told, byte = _told(path), byte_letters()
+        model, split = told["model"], told["pre_tokenizer"] or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         if not plain or told["normalizer"] or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError(f"{path} is no plain byte-level vocabulary")
@@ -122,8 +134,6 @@ class Vocabulary:
         self.made = [ids[a + x] for a, x in merges]
         self.size = {i: len(t) for t, i in ids.items()}
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
-        # An added token is written out as bytes where all of its characters stand for some, else as it is.
-        self.bytes = {i: t for t, i in ids.items()} | {i: raw(t) if all(c in byte for c in t) else t.encode() for t, i in self.added.items()}
         inside = _ranges(list(newer))
         self.newest = regex.compile(f"[\\U{min(newer):08x}-\\U{sys.maxunicode:08x}]").search if newer else lambda text: None
         self.runs = {}
@@ -309,8 +319,8 @@ class Decoder:
     become U+FFFD, one for each part that no character begins with; ids out of the vocabulary are left
     out."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.bytes = vocabulary.bytes
+    def __init__(self, table: dict[int, bytes]):
+        self.bytes = table
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: bytes) -> str:
@@ -328,6 +338,7 @@ class Decoder:
 
 
 _held: dict[str, Vocabulary] = {}
+_tables: dict[str, dict[int, bytes]] = {}
 
 
 def vocabulary(path: str, newer: tuple[int, ...]) -> Vocabulary:
@@ -363,11 +374,12 @@ def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", tokenizer:
     """Adds the text of a column of ids as encode() writes them, special tokens included; null and no ids
     give an empty text. Where rows has a column `into`, the new one gets underscores in front."""
     path = common.tokenizer_path(tokenizer)
-    newer = newer_letters(path)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        stream = Decoder(vocabulary(path, newer))
+        if path not in _tables:
+            _tables[path] = byte_table(path)
+        stream = Decoder(_tables[path])
         for each in batches:
             out = []
             for raw in each:
