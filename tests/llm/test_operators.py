@@ -109,14 +109,14 @@ def test_token_files_round_trip(spark, docs, empty):
 
 
 def test_sharding(docs, empty):
-    got = sharding.shard_uniform(docs, ["doc_id", "text"], 4)
+    got = sharding.shard_uniform(docs, 4)
     assert got.columns == [*docs.columns, "shard", "slot"]
     assert sorted(listed(got), key=str) == sorted(listed(docs), key=str)
     got = got.toPandas()
     sizes = got.groupby("shard")["slot"].agg(list)
     assert sorted(map(len, sizes)) == [4, 5, 5, 5] and all(sorted(s) == list(range(len(s))) for s in sizes)
-    assert sharding.shard_uniform(docs.limit(0), ["doc_id"], 4).count() == 0
-    clash = sharding.shard_uniform(docs.withColumns({"Shard": F.lit(-1), "_rank": F.lit("r")}), ["doc_id"], 4)
+    assert sharding.shard_uniform(docs.limit(0), 4).count() == 0
+    clash = sharding.shard_uniform(docs.withColumns({"Shard": F.lit(-1), "_rank": F.lit("r")}), 4)
     assert clash.columns[-4:] == ["Shard", "_rank", "_shard", "slot"] and {(r["Shard"], r["_rank"]) for r in clash.collect()} == {(-1, "r")}
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import common, html, registry
+from quillspark.llm import common, html, registry, sharding
 from test_operators import PASSAGE, TEXTS, plain_fingerprint, plain_spans, raw
 
 DATA = "/root/testdata/sf0.01"
@@ -99,6 +99,31 @@ def test_op4_is_uniform(spark, tmp_path):
     assert abs(np.corrcoef([k[1] for k in pairs], list(pairs.values()))[0, 1]) < 0.05
 
 
+def test_op4_deals_out_equal_rows_apart(spark, tmp_path):
+    """A thousand equal rows among five thousand are spread over every shard and over its slots, and the
+    files of a shard are ranges of its slots in order."""
+    rows = spark.range(5000).selectExpr("if(id % 5 = 0, NULL, id) AS doc_id", "if(id % 5 = 0, NULL, 't') AS text")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(spark, "op4", str(tmp_path))
+    equal = [(r["shard"], r["slot"]) for r in got if r["doc_id"] is None]
+    sizes = {s: sum(r["shard"] == s for r in got) for s in range(16)}
+    assert set(sizes.values()) == {312, 313} and len(equal) == 1000
+    assert all(35 < sum(s == k for s, _ in equal) < 95 for k in range(16))
+    # Slots by tenths: the squared distances from an even spread follow their law.
+    tenth = np.bincount([min(9, slot * 10 // sizes[s]) for s, slot in equal], minlength=10)
+    assert sum((tenth - 100) ** 2 / 100) < 27.9
+    # Neighbours are as often equal as in a random order: 16 x 311 pairs, a 25th of them.
+    there = set(equal)
+    pairs = sum((s, slot + 1) in there for s, slot in equal)
+    assert 150 < pairs < 250
+    placed = sharding.shard_uniform(spark.read.parquet(f"{tmp_path}/documents.parquet"), stored=True)
+    files = placed.selectExpr("_metadata.file_path AS f", "_metadata.row_index AS r", "shard", "slot").orderBy("f", "r").collect()
+    held = {}
+    for r in files:
+        held.setdefault(r["f"], []).append((r["shard"], r["slot"]))
+    assert all(slots == [(slots[0][0], slots[0][1] + k) for k in range(len(slots))] for slots in held.values())
+
+
 def components(prints):
     root = list(range(len(prints)))
     changed = True
