@@ -3,9 +3,9 @@
 Normalising is byte-wise: A-Z become a-z, and every ASCII byte that is no letter or digit separates
 words; bytes of other characters belong to words. Items give windows of ten words (shorter items one
 window). The words of the benchmark are numbered, and the windows' trie with its failure links is held
-in flat sorted arrays, 17 bytes a node. The driver writes them to the shared folder once, Spark
-hands the file to every executor, and the workers of a machine map the same copy into memory: what a
-worker holds does not grow with the benchmark. A batch of documents is scanned once: its words run
+in flat sorted arrays, 17 bytes a node. The driver writes them to the shared folder once, and workers,
+also those of executors that come later, map the file there into memory: what a worker holds does not
+grow with the benchmark. A batch of documents is scanned once: its words run
 through the automaton side by side in strips, each opened by the nine words before it.
 """
 
@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .token_files import store_of
+from .token_files import mapped, store_of
 
 WINDOW = 10
 #: Item bytes whose automaton the driver builds at a time; a larger benchmark has several in its file,
@@ -259,8 +258,8 @@ def _items(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, b
 
 
 def publish(benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYTES) -> str:
-    """Build the automaton on the driver, write it to the shared folder and hand it to the executors;
-    returns the file's name. Layout: for each part the seed, the number of items and the arrays, each
+    """Build the automaton on the driver and write it to the shared folder; returns the file's place, where
+    it must stay while rows are looked at. Layout: for each part the seed, the number of items and the arrays, each
     with its type and length, from a place divisible by 8; then the items' ids."""
     spark = benchmark.sparkSession
     folder = common.scratch(spark, "automaton")
@@ -277,19 +276,18 @@ def publish(benchmark: DataFrame, size: int = WINDOW, part_bytes: int = PART_BYT
                 raw = np.ascontiguousarray(auto[a])
                 out.write(raw.dtype.str.encode().ljust(8) + np.array([len(raw)], "<i8").tobytes())
                 out.write(raw.tobytes() + bytes(-raw.nbytes % 8))
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
+    return f"{folder}/{name}"
 
 
 _mapped: dict[str, list] = {}
 
 
-def load(name: str) -> list[tuple[int, dict[str, np.ndarray]]]:
-    """The parts of the file on this machine, mapped into memory."""
-    if name not in _mapped:
+def load(path: str) -> list[tuple[int, dict[str, np.ndarray]]]:
+    """The parts of the file, mapped into memory; where the shared folder is not mounted, a worker reads
+    it once."""
+    if path not in _mapped:
         _mapped.clear()
-        path = SparkFiles.get(name)
-        raw = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        raw = mapped(*store_of(path), np.uint8)
         parts, at = [], 0
         while at < len(raw):
             seed, items = raw[at : at + 16].view("<i8").tolist()
@@ -301,8 +299,8 @@ def load(name: str) -> list[tuple[int, dict[str, np.ndarray]]]:
                 auto[a] = raw[at : at + n * kind.itemsize].view(kind)
                 at += n * kind.itemsize + -(n * kind.itemsize) % 8
             parts.append((seed, auto))
-        _mapped[name] = parts
-    return _mapped[name]
+        _mapped[path] = parts
+    return _mapped[path]
 
 
 def _names(parts: list, items: np.ndarray) -> list[str]:
@@ -328,11 +326,11 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_bytes:
     finds nothing. Items that repeat an id count as one, those that repeat a text each by its id.
     """
     into = common.fresh(docs, into)
-    name = publish(benchmark, size, part_bytes)
+    path = publish(benchmark, size, part_bytes)
 
     @F.pandas_udf("struct<n_words: long, hit: array<int>, items: array<string>, spans: array<struct<start: int, end: int>>>")
     def look(text: pd.Series) -> pd.DataFrame:
-        parts, rows = load(name), []
+        parts, rows = load(path), []
         raw = common.encode(text)
         for lo, hi in common.batches([len(t) for t in raw], 2 << 20):
             for t, (n, hit, items) in zip(raw[lo:hi], found_in(Words(raw[lo:hi]), parts)):

@@ -84,7 +84,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
         for frame in frames:
             for path, width, base in zip(frame["path"], frame["width"], frame["base"]):
                 store, at = store_of(f"{folder}/{path}")
-                ids, index = (_mapped(store, at + end, kind) for end, kind in ((".bin", f"<u{width}"), (".idx", "<i8")))
+                ids, index = (mapped(store, at + end, kind) for end, kind in ((".bin", f"<u{width}"), (".idx", "<i8")))
                 n = int(index[0])
                 doc, cut = np.array(index[1 : n + 1]), np.array(index[n + 1 :])
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:])]
@@ -95,7 +95,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
+def mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
+    """A file as an array: mapped where it is mounted, else read whole."""
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
     with store.open_input_file(path) as f:
