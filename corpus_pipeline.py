@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,30 @@ LEAST_SCORE = 0.5
 MOST_BROADCAST = 64 << 20
 
 
+_held = threading.local()
+
+
+def stage(number: int) -> Callable:
+    """A stage begins by deleting what the one before it wrote on its way: stages are run in order, each
+    result is written, and docs is read from there. What docs still reads, if it was not, stays; so does
+    what the last stage wrote, and what a stage wrote that the next one doesn't follow."""
+
+    def add(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def with_a_clean_start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            held = _held.paths = getattr(_held, "paths", {})
+            if paths := held.pop(number - 1, None):
+                read = docs.inputFiles()
+                common.delete(spark, [p for p in paths if not any(p.rsplit("/", 1)[1] in f for f in read)])
+            with common.noted(held.setdefault(number, [])):
+                return run(spark, docs, sf_dir)
+
+        return with_a_clean_start
+
+    return add
+
+
+@stage(0)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the classifier tells: no und (null, or without letters) and a
     score of at least LEAST_SCORE. It learns from the labelled rows of docs."""
@@ -24,6 +52,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(kept).select(*docs.columns)
 
 
+@stage(1)
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of near duplicates one row: that with the smallest doc_id, null last; of
     several rows with it, that with the smallest hash of the text, then any. Only the numbers of the
@@ -39,12 +68,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(dropped, row, "left_anti").select(*docs.columns)
 
 
+@stage(2)
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 50 bytes and more that also stand in a document with a smaller doc_id. A
     character goes with any of its bytes; a document of which nothing is left goes."""
     return suffixes.cut_documents(docs)
 
 
+@stage(3)
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark."""
     told = common.fresh(docs, "found")
@@ -52,6 +83,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(F.size(f"{told}.hit") == 0).select(*docs.columns)
 
 
+@stage(4)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens: one row a piece, with its ids and its place."""
     return packing.pack_documents(docs)
@@ -73,10 +105,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read back, and what a stage wrote on the
     way, its input among it, goes when its result stands."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
+    for name, function in STAGES[:-1]:
         path = common.scratch(spark, name.replace(" ", "-"))
         with common.temporary(spark):
-            made = stage(spark, docs, sf_dir)
+            made = function(spark, docs, sf_dir)
             made.write.parquet(path)
         common.delete(spark, before)
         docs, before = spark.read.schema(made.schema).parquet(path), [path]

@@ -57,6 +57,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def noted(paths: list[str]):
+    """Adds to `paths` what scratch() names inside and outside of temporary()."""
+    before = set(_left)
+    try:
+        yield
+    finally:
+        paths += [p for p in _left if p not in before]
+
+
 @contextmanager
 def temporary(spark: SparkSession):
     """Deletes what scratch() and materialize() made inside; what is to stay must be written to a path

@@ -44,6 +44,18 @@ def test_stages(spark):
     assert cp.run(spark, DATA).count() == len(packed)
 
 
+def test_a_stage_clears_up_after_the_one_before(spark):
+    docs = common.materialize(spark.read.parquet(f"{DATA}/documents.parquet").limit(50), "docs")
+    deduped = cp.near_dedup(spark, docs, DATA)
+    used = [p for p in cp._held.paths[1]]
+    again = cp.near_dedup(spark, docs, DATA)
+    assert deduped.count() == again.count()  # another call of the same stage takes nothing away
+    here = lambda: sum(spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p)) for p in used)
+    assert used and here() == len(used)
+    cp.substring_dedup(spark, deduped, DATA).count()  # not written: what docs reads stays
+    assert 0 < here() < len(used)
+
+
 def test_the_whole_against_plain_python(spark):
     """All rows of run() from the stages' rules in plain Python; of the language network only its answers
     for single texts are taken."""
