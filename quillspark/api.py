@@ -18,6 +18,8 @@ from .plans import refresh_plan as plan
 from .refresh import Indexer
 
 MAX_READ_BYTES = 400_000
+HITS_NOTE = "As of the last refresh, not of this moment. A text that is on a feature branch alone is not released yet: see branches."
+NO_HITS_NOTE = "Nothing was found: the documents do not cover it, or the index is out of date and wants a refresh."
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -82,6 +84,16 @@ class Engine:
         terms = [r["term"] for r in search.terms_of(asked).select("term").collect()]  # those of one question
         return search.hybrid_search(asked, self.store.chunks(), limit, name, branch, self.store.index(terms)).drop("query_id")
 
+    def search(self, query: str, repo: str | None = None, branch: str | None = None, limit: int = 5) -> dict:
+        """What search_project_docs finds, as it is served: with the scope, the model, the hits' texts and a
+        word on what they are."""
+        found = self.search_project_docs(query, repo, branch, limit)
+        held = self.store.chunks().select("chunk_id", "content", "indexed_at")
+        # At most 20 hits.
+        hits = [r.asDict(True) for r in found.join(held, "chunk_id").orderBy("position").drop("position", "chunk_id", "keyword_rank").collect()]
+        scope = {"repo": self._resolve(repo)[1] if repo else "all repositories", "branch": branch or "all indexed branches"}
+        return {"query": query, "scope": scope, "model": self.indexer.model, "results": hits, "note": HITS_NOTE if hits else NO_HITS_NOTE}
+
     def _empty(self, repo: str | None, branch: str | None) -> str:
         found = [r["branch"] for r in search.in_scope(self.store.runs(), repo).select("branch").distinct().orderBy("branch").collect()]
         if not found:

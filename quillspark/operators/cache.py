@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EmbeddingsUnavailable, RateLimited
 from ..functions import vectors as vx
 
 
@@ -22,21 +23,56 @@ def cache_misses(incoming: DataFrame, cache: DataFrame, model: str) -> DataFrame
     return incoming.join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.first("content").alias("content"))
 
 
+#: Errors after which the provider is asked no more.
+FATAL = (RateLimited, EmbeddingsUnavailable)
+
+
+def _vectors(provider: Callable[[list[str]], np.ndarray], texts: list[str]) -> list[np.ndarray]:
+    got = np.asarray(provider(texts), np.float32)
+    if got.ndim != 2 or len(got) != len(texts) or not got.shape[1] or not np.isfinite(got).all():
+        raise ValueError("the embedding provider gave an empty or non-finite vector")
+    return list(got)
+
+
 def embed(texts: DataFrame, provider: Callable[[list[str]], np.ndarray], batch: int = 16) -> DataFrame:
-    """texts (content_hash, content) -> content_hash, embedding (array<float>), through a provider that
-    takes lists of texts. Empty and non-finite vectors are errors."""
-
-    @F.pandas_udf("array<float>")
-    def run(content: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(content), batch):
-            got = np.asarray(provider(content.iloc[i : i + batch].tolist()), np.float32)
-            if got.ndim != 2 or not got.shape[1] or not np.isfinite(got).all():
-                raise ValueError("the embedding provider gave an empty or non-finite vector")
-            out.extend(got)
-        return pd.Series(out, dtype=object)
-
-    return texts.select("content_hash", run("content").alias("embedding"))
+    """texts (content_hash, content) -> content_hash, embedding (array<float>), error and fatal, through a
+    provider that takes lists of texts.
+
+    No text fails another: a batch that fails is asked for text by text, and a text that fails alone,
+    or has an empty or non-finite vector, has a null embedding and its error. A rate limit, or a provider
+    that can't be reached, is told as `fatal` (the error's name) by every text from there on, without
+    another call in this task; nothing is raised, so Spark repeats no task for it."""
+
+    @F.pandas_udf("struct<embedding: array<float>, error: string, fatal: string>")
+    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        stopped: Exception | None = None
+
+        def ask(some: list[str]) -> list[tuple]:
+            nonlocal stopped
+            try:
+                if stopped:
+                    raise stopped
+                return [(v, None, None) for v in _vectors(provider, some)]
+            except FATAL as e:
+                stopped = e
+                return [(None, str(e), type(e).__name__)] * len(some)
+            except Exception as e:
+                if len(some) > 1:
+                    return [x for t in some for x in ask([t])]
+                return [(None, str(e) or type(e).__name__, None)]
+
+        for content in frames:
+            rows = [x for i in range(0, len(content), batch) for x in ask(content.iloc[i : i + batch].tolist())]
+            yield pd.DataFrame(rows, columns=["embedding", "error", "fatal"])
+
+    return texts.select("content_hash", run("content").alias("_v")).select("content_hash", "_v.*")
+
+
+def stop_if_fatal(embedded: DataFrame) -> None:
+    """Raises what stopped the provider, if anything did."""
+    told = embedded.where("fatal IS NOT NULL").select("fatal", "error").first()
+    if told:
+        raise {k.__name__: k for k in FATAL}[told["fatal"]](told["error"])
 
 
 def with_vectors(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:

@@ -76,14 +76,26 @@ def chunk_markdown(source: str | None, most: int = MAX_CHARS, overlap: int = OVE
     return [(i, h, piece) for i, (h, piece) in enumerate(found)]
 
 
-def chunks(files: DataFrame, content: str = "content", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """files with one row for each chunk instead: content goes, chunk_index, heading and text come."""
+def cut(files: DataFrame, content: str = "content", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """files with one row for each chunk instead: content goes, chunk_index, heading, text and error come. A
+    file that can't be cut has one row with its error and no chunk; the others are not touched."""
+
+    def told(source: str | None) -> list[dict]:
+        try:
+            return [dict(zip(("chunk_index", "heading", "text"), c)) for c in chunk_markdown(source, most, overlap)]
+        except Exception as e:
+            return [{"error": str(e) or type(e).__name__}]
+
+    @F.pandas_udf("array<struct<chunk_index: int, heading: string, text: string, error: string>>")
+    def run(source: pd.Series) -> pd.Series:
+        return source.map(told)
 
-    @F.pandas_udf("array<struct<chunk_index: int, heading: string, text: string>>")
-    def cut(source: pd.Series) -> pd.Series:
-        return source.map(lambda s: [dict(zip(("chunk_index", "heading", "text"), c)) for c in chunk_markdown(s, most, overlap)])
+    return files.withColumn("_c", F.explode(run(content))).select(*(c for c in files.columns if c != content), "_c.*")
 
-    return files.withColumn("_c", F.explode(cut(content))).select(*(c for c in files.columns if c != content), "_c.*")
+
+def chunks(files: DataFrame, content: str = "content", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """files with one row for each chunk instead: content goes, chunk_index, heading and text come."""
+    return cut(files, content, most, overlap).where("error IS NULL").drop("error")
 
 
 def stride_slices(docs: DataFrame, key: str, text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:

@@ -60,7 +60,10 @@ def prunable(chunks: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def size_filter(files: DataFrame, most: int = 300_000, content: str = "content") -> DataFrame:
-    """files with size_bytes and skipped: the reason a file is not indexed, or null."""
+    """files with size_bytes and skipped: the reason a file is not indexed, or null. Where the source tells
+    an error for a file (a column `error`), that is the reason."""
     size = F.octet_length(F.coalesce(F.col(content), F.lit("")))
     reason = F.when(size > most, F.concat(F.lit("too large: "), size.cast("string"))).when(F.locate("\0", F.col(content)) > 0, F.lit("binary"))
+    if "error" in files.columns:
+        reason = F.coalesce(F.col("error"), reason)
     return files.withColumns({"size_bytes": size.cast("long"), "skipped": reason})

@@ -132,12 +132,16 @@ class Indexer:
         files = self.files().join(F.broadcast(scope), ["repo", "branch"])
         wanted = plan.match_paths(files.select("repo", "path").distinct(), mine.select("repo", F.explode("doc_patterns").alias("pattern")))
         sized = store.stage("files", plan.size_filter(files.join(wanted, ["repo", "path"], "left_semi"), MAX_FILE_BYTES))
-        cut = chunker.chunks(sized.where("skipped IS NULL").select("repo", "branch", "ord", "path", "content"))
-        cut = store.stage("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()))
+        cut = chunker.cut(sized.where("skipped IS NULL").select("repo", "branch", "ord", "path", "content"))
+        tried = store.stage("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()))
+        cut = tried.where("error IS NULL").drop("error")
         # The provider runs once for each text that the cache lacks, before anything reads the vectors.
-        misses = store.stage("misses", cache.cache_misses(cut, store.cache(), self.model))
-        new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, misses).collect()}
-        store.append_cache(cache.embed(misses, self.provider), self.model)
+        misses = cache.cache_misses(cut, store.cache(), self.model)
+        asked = store.stage("vectors", cache.embed(misses, self.provider))
+        cache.stop_if_fatal(asked)
+        fresh = asked.where("error IS NULL")
+        new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, fresh).collect()}
+        store.append_cache(fresh.select("content_hash", "embedding"), self.model)
         rows = cache.with_vectors(cut.join(mine.select("repo", "alias"), "repo"), store.cache(), self.model)
         key = F.xxhash64("repo", "branch", "path", "chunk_index")
         store.replace_branches(rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()}), chosen)
@@ -145,8 +149,7 @@ class Indexer:
         counts = held.groupBy("repo", "branch").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"), F.countDistinct("content_hash").alias("texts"))
         runs = scope.join(counts, ["repo", "branch"], "left").fillna(0, ["files", "chunks", "texts"])
         store.upsert_runs(runs.select("repo", "branch", F.lit(self.model).alias("model"), "files", "chunks", F.current_timestamp().alias("indexed_at")))
-        told = F.concat("path", F.lit(" ("), "skipped", F.lit(")"))
-        skipped = {(r["repo"], r["branch"]): r["s"] for r in sized.where("skipped IS NOT NULL").groupBy("repo", "branch").agg(F.array_sort(F.collect_list(told)).alias("s")).collect()}
+        skipped = {(r["repo"], r["branch"]): r["s"] for r in self._skipped(sized, tried, cut, asked).collect()}
         out = {}
         for r in runs.collect():
             c = r["repo"], r["branch"]
@@ -172,6 +175,18 @@ class Indexer:
             "missing": [f"{n['repo']}@{b}" for n in nested for b in n["missing"]], "pruned": sum(n["pruned"] for n in nested), "results": nested,
         }
 
+    @staticmethod
+    def _skipped(sized: DataFrame, tried: DataFrame, cut: DataFrame, asked: DataFrame) -> DataFrame:
+        """repo, branch, s: each file that is not indexed, or not whole, with the reason: its source or size,
+        the chunker, or texts for which the provider has no vector."""
+        bad = asked.where("error IS NOT NULL").select("content_hash", "error")
+        texts = cut.join(bad, "content_hash").groupBy("repo", "branch", "path").agg(F.count("*").alias("n"), F.min("error").alias("e"))
+        texts = texts.select("repo", "branch", "path", F.concat(F.col("n").cast("string"), F.lit(" chunks without a vector: "), "e").alias("why"))
+        files = sized.where("skipped IS NOT NULL").select("repo", "branch", "path", F.col("skipped").alias("why"))
+        pieces = tried.where("error IS NOT NULL").select("repo", "branch", "path", F.col("error").alias("why"))
+        told = files.unionByName(pieces).unionByName(texts)
+        return told.groupBy("repo", "branch").agg(F.array_sort(F.collect_list(F.concat("path", F.lit(" ("), "why", F.lit(")")))).alias("s"))
+
     @staticmethod
     def _first_of(cut: DataFrame, misses: DataFrame) -> DataFrame:
         """How many of the missing texts occur first in each branch."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from .errors import ConfigError
+from .operators import cache
+from .sources.http_embeddings import http_provider
 
 
 def read(name: str, default: str, env: Mapping[str, str] | None = None) -> str:
@@ -24,6 +26,7 @@ def require(name: str, env: Mapping[str, str] | None = None) -> str:
 @dataclass
 class Settings:
     catalog: str
+    files: str
     store: str
     embeddings_url: str = ""
     model: str = "words-v1"
@@ -32,4 +35,11 @@ class Settings:
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> "Settings":
         get = lambda name, default="": read(f"QUILLSPARK_{name}", default, env)
-        return cls(require("QUILLSPARK_CATALOG", env), require("QUILLSPARK_STORE", env), get("EMBEDDINGS_URL"), get("MODEL", "words-v1"), get("MAX_AGE_HOURS"))
+        needed = (require(f"QUILLSPARK_{name}", env) for name in ("CATALOG", "FILES", "STORE"))
+        return cls(*needed, get("EMBEDDINGS_URL"), get("MODEL", "words-v1"), get("MAX_AGE_HOURS"))
+
+    def providers(self) -> tuple[Callable, Callable]:
+        """(for texts, for questions): the server's if an address is set, else words."""
+        if not self.embeddings_url:
+            return cache.word_provider, cache.word_provider
+        return http_provider(self.embeddings_url, self.model), http_provider(self.embeddings_url, self.model, "search_query")

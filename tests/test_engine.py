@@ -9,9 +9,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import __main__ as command
 from quillspark import api, errors, settings
 from quillspark.api import Engine
-from quillspark.operators import cache, reports
+from quillspark.operators import cache, chunker, reports
 from quillspark.plans import refresh_plan as plan
 from quillspark.refresh import Indexer
 from quillspark.sources.catalog import parse_catalog
@@ -128,11 +129,12 @@ def test_failures_stay_where_they_are(engine, spark):
     report = engine.refresh_index()
     turnos = report["results"][0]
     by_name = {b["branch"]: b for b in turnos["branches"]}
-    assert "no vector today" in by_name["dev"]["error"] and by_name["main"]["error"] is None and report["failed"] == 1
+    # One text without a vector is left out; its branch stands.
+    assert by_name["dev"]["error"] is None and by_name["dev"]["skipped"] == ["README.md (1 chunks without a vector: no vector today)"] and report["failed"] == 0
     assert by_name["main"]["skipped"] == ["docs/big.md (too large: 300001)"] and by_name["main"]["chunks"] == 1 and by_name["feat/new"]["active"]
-    assert report["results"][1]["branches"][0]["error"] is None and "no vector today" in report["first_error"]
+    assert report["results"][1]["branches"][0]["error"] is None and report["first_error"] is None
     held = {(r["branch"], r["heading"]) for r in engine.store.chunks().where("repo = 'o/turnos'").collect()}
-    assert held == {("main", "New"), ("dev", "Turnos"), ("dev", "Pago")}  # dev keeps its old chunks
+    assert held == {("main", "New")}
 
     def limited(texts):
         raise errors.RateLimited("come back later")
@@ -141,12 +143,46 @@ def test_failures_stay_where_they_are(engine, spark):
     engine.indexer.files = lambda: spark.createDataFrame([("o/turnos", "main", "README.md", "# Other\n\nunseen"), ("o/tramites", "main", "README.md", "# Unseen")], schema)
     report = engine.refresh_index()
     assert report["failed"] == 2 and all("come back later" in b["error"] for r in report["results"] for b in r["branches"])
-    assert engine.store.chunks().count() == 4
+    assert engine.store.chunks().count() == 2
     said = []
     engine.indexer.model = "other"
     assert all("come back later" in x for x in engine.indexer.refresh_stale("1", said.append).values()) and "failed 1" in said[0]
 
 
+def test_a_bad_file_is_skipped_alone(engine, spark, monkeypatch):
+    rows = [("o/turnos", "main", "README.md", "# Fine\n\ntexto", None), ("o/turnos", "main", "docs/cut.md", "# Bad\n\nexplode", None), ("o/turnos", "main", "docs/gone.md", None, "no route to host"), ("o/turnos", "dev", "README.md", "# Dev", None)]
+    engine.indexer.files = lambda: spark.createDataFrame(rows, "repo string, branch string, path string, content string, error string")
+    whole = chunker.cut
+
+    def cut(files):
+        bad = F.col("content").contains("explode")
+        return whole(files.where(~bad)).unionByName(whole(files.where(bad), most=None))  # no limit at all: an error
+
+    monkeypatch.setattr(chunker, "cut", cut)
+    report = engine.refresh_index("turnos")
+    branches = {b["branch"]: b for b in report["results"][0]["branches"]}
+    assert report["failed"] == 0 and branches["main"]["files"] == 1 and branches["dev"]["skipped"] == []
+    assert [x.split(" (")[0] for x in branches["main"]["skipped"]] == ["docs/cut.md", "docs/gone.md"] and "no route to host" in branches["main"]["skipped"][1]
+
+
+def test_the_command(spark, tmp_path, capsys):
+    at = tmp_path / "files" / "o" / "turnos" / "main"
+    at.mkdir(parents=True)
+    (at / "README.md").write_text(SHARED)
+    (tmp_path / "catalog.json").write_text(json.dumps(CONFIG))
+    env = {f"QUILLSPARK_{k}": f"{tmp_path}/{v}" for k, v in (("CATALOG", "catalog.json"), ("FILES", "files"), ("STORE", "store"))}
+    held = settings.Settings.from_env(env)
+    assert command.main(spark, held, "search", "pago con tarjeta") == 1 and "refresh it first" in capsys.readouterr().out
+    assert command.main(spark, held, "refresh") == 0 and "main: 2 chunks" in capsys.readouterr().out
+    assert command.main(spark, held, "search", "pago con tarjeta", "turnos") == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["scope"] == {"repo": "o/turnos", "branch": "all indexed branches"} and told["model"] == "words-v1" and told["note"] == api.HITS_NOTE
+    assert told["results"][0]["heading"] == "Pago" and told["results"][0]["content"].endswith("tarjeta")
+    spark.createDataFrame([("o/turnos", "main", "x.md", "# x")], "repo string, branch string, path string, content string").write.parquet(f"{tmp_path}/landing")
+    assert command.main(spark, held, "listen", f"{tmp_path}/landing", f"{tmp_path}/check") == 0
+    assert command.main(spark, held, "stale") == 0 and command.main(spark, held) == 2
+
+
 def test_a_broken_source_of_branches(engine, spark):
     whole = engine.indexer.branches()
 
@@ -194,8 +230,36 @@ def test_results_as_json(engine):
 def test_settings():
     assert settings.read("A", "x", {"A": "  "}) == "x" and settings.read("A", "x", {"A": " y "}) == "y"
     with pytest.raises(errors.ConfigError, match="QUILLSPARK_STORE"):
-        settings.Settings.from_env({"QUILLSPARK_CATALOG": "secret"})
-    assert settings.Settings.from_env({"QUILLSPARK_CATALOG": "c", "QUILLSPARK_STORE": "s"}).model == "words-v1"
+        settings.Settings.from_env({"QUILLSPARK_CATALOG": "secret", "QUILLSPARK_FILES": "f"})
+    held = settings.Settings.from_env({"QUILLSPARK_CATALOG": "c", "QUILLSPARK_STORE": "s", "QUILLSPARK_FILES": "f"})
+    assert held.model == "words-v1" and held.providers() == (cache.word_provider, cache.word_provider)
+
+
+def test_older_servers_and_missing_models():
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["content-length"])))
+            seen.append(self.path)
+            lost = asked["model"] == "lost"
+            self.send_response(404 if lost or self.path == "/api/embed" else 200)
+            self.end_headers()
+            self.wfile.write(b'{"error": "model lost not found"}' if lost else json.dumps({"embedding": [1.0, len(asked.get("prompt", ""))]}).encode() if self.path != "/api/embed" else b"no such page")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    provide = http_provider(url, "m")
+    assert provide(["a", "bcd"]).tolist() == [[1, 1], [1, 3]] and provide(["ab"]).tolist() == [[1, 2]]
+    assert seen == ["/api/embed"] + ["/api/embeddings"] * 3  # found out once
+    with pytest.raises(errors.EmbeddingsUnavailable, match="pull it"):
+        http_provider(url, "lost")(["a"])
+    server.shutdown()
+    server.server_close()
 
 
 def test_http_provider():
@@ -306,8 +370,29 @@ def test_compare_days(spark):
 
 def test_provider_faults(spark):
     texts = spark.createDataFrame([("h", "x")], "content_hash string, content string")
-    with pytest.raises(Exception, match="non-finite"):
-        cache.embed(texts, lambda t: [[float("nan")]] * len(t)).collect()
+    told = cache.embed(texts, lambda t: [[float("nan")]] * len(t)).first()
+    assert told["embedding"] is None and "non-finite" in told["error"] and told["fatal"] is None
+    many = spark.range(40).selectExpr("CAST(id AS STRING) content_hash", "CAST(id AS STRING) content").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def picky(some):
+        calls.add(1)
+        if "17" in some:
+            raise ValueError("not this one")
+        return [[1.0]] * len(some)
+
+    got = {r["content_hash"]: r["error"] for r in cache.embed(many, picky).collect()}
+    assert [h for h, e in got.items() if e] == ["17"] and got["17"] == "not this one" and calls.value == 3 + 16
+
+    def down(some):
+        calls.add(1)
+        raise errors.EmbeddingsUnavailable("no answer")
+
+    calls.value = 0
+    held = cache.embed(many, down)
+    assert {r["fatal"] for r in held.collect()} == {"EmbeddingsUnavailable"} and calls.value == 1
+    with pytest.raises(errors.EmbeddingsUnavailable, match="no answer"):
+        cache.stop_if_fatal(held)
     assert cache.embed(texts.limit(0), cache.word_provider).collect() == []
 
 
