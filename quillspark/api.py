@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .errors import ConfigError, EngineError, ModelMismatch, NotFound, Unreadable
 from .functions import text as tx
 from .operators import reports, search
@@ -82,7 +83,9 @@ class Engine:
         norm = float(np.sqrt((q * q).sum()))
         asked = self.spark.createDataFrame([(0, query, [float(x) for x in (q / norm if norm > 0 and np.isfinite(norm) else q)])], "query_id long, query string, q array<double>")
         terms = [r["term"] for r in search.terms_of(asked).select("term").collect()]  # those of one question
-        return search.hybrid_search(asked, self.store.chunks(), limit, name, branch, self.store.index(terms)).drop("query_id")
+        with shared.temporary(self.spark):
+            found = search.hybrid_search(asked, None, limit, name, branch, self.store.index(terms), self.store.texts()).drop("query_id")
+            return self.spark.createDataFrame(found.collect(), found.schema)  # at most 20 rows
 
     def search(self, query: str, repo: str | None = None, branch: str | None = None, limit: int = 5) -> dict:
         """What search_project_docs finds, as it is served: with the scope, the model, the hits' texts and a

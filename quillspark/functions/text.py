@@ -99,3 +99,8 @@ def branch_order(name: Column) -> Column:
 def ordered_branches(branch: Column) -> Column:
     """Aggregate: the distinct branches of a group in branch order."""
     return F.transform(F.array_sort(F.collect_set(branch_order(branch))), lambda b: b["name"])
+
+
+def in_branch_order(branches: Column) -> Column:
+    """The distinct branches of an array in branch order."""
+    return F.transform(F.array_sort(F.array_distinct(F.transform(branches, branch_order))), lambda b: b["name"])

@@ -2,8 +2,8 @@
 
 All of it works on a set of queries at once. chunks: chunk_id, repo, alias, branch, path, heading,
 content, and for the semantic side embedding (normalized). queries: query_id, query and, for the
-semantic side, q (normalized vector). The keyword side reads an Index, which the store keeps; without
-one it is built for the queries' terms alone.
+semantic side, q (normalized vector). The keyword side reads an Index, the semantic side Texts; the
+store keeps both, and without one they are built for the queries.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as tx
 from ..functions import vectors as vx
 from . import nearest
@@ -22,14 +23,17 @@ LEAST_IDF = 1e-6
 WEIGHTS = {"heading": 3.0, "path": 1.0, "content": 1.0}
 KEYWORD_LIMIT = 200
 RRF_K = 60
+#: Rows of query terms that are broadcast; more of them meet the postings by a shuffle.
+MOST_TERMS = 1 << 19
 
 
 @dataclass
 class Index:
-    """postings: term, chunk_id, wtf (weighted frequency), tf, dl (words of the chunk); stats: one row
-    with n (all chunks) and avgdl."""
+    """postings: term, chunk_id, wtf (weighted frequency), tf, dl (words of the chunk); terms: term, df
+    (chunks that have it); stats: one row with n (all chunks) and avgdl."""
 
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
 
 
@@ -49,26 +53,41 @@ def _weighted(words: str, weight: float):
     return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
-def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """The postings of an index; with `only` (term), of these terms. A chunk's length comes from its own
-    row, so lengths need no join, and words that nobody asks for are not shuffled."""
+def _tokenized(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """chunk_id, dl and one array of words for each field."""
+    held = chunks.select("chunk_id", *carry, *(_words(c).alias(f"_{c}") for c in WEIGHTS))
+    return held.withColumn("dl", sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).cast("long"))
+
+
+def postings(chunks: DataFrame, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The postings of an index, with the chunks' columns `carry`; with `only` (term), of these terms. A chunk's length comes from its own
+    row, so lengths need no join, and words that nobody asks for go no further. Rows are dealt out by
+    chunk, which is how scores add up too."""
     parts = [_weighted(f"_{c}", w) for c, w in WEIGHTS.items()]
-    held = chunks.select("chunk_id", *(_words(c).alias(f"_{c}") for c in WEIGHTS))
-    length = sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).cast("long")
-    each = held.select("chunk_id", length.alias("dl"), F.explode(F.concat(*parts)).alias("t")).select("chunk_id", "dl", "t.*")
+    dealt = _tokenized(chunks.select("chunk_id", *WEIGHTS, *carry).repartition("chunk_id"), carry)
+    each = dealt.select("chunk_id", "dl", *carry, F.explode(F.concat(*parts)).alias("t")).select("chunk_id", "dl", *carry, "t.*")
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in carry))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n (all chunks), avgdl."""
-    length = sum((F.size(_words(c)) for c in WEIGHTS), F.lit(0)).cast("long")
-    return chunks.select(length.alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    return _tokenized(chunks).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
 def index_of(chunks: DataFrame, only: DataFrame | None = None) -> Index:
-    return Index(postings(chunks, only), corpus_stats(chunks))
+    """An index that is not stored. Document frequencies, the number of chunks and their mean length are
+    counted in one pass, written; counts are summed where the chunks lie."""
+    words = F.array_distinct(F.concat(*(f"_{c}" for c in WEIGHTS)))
+    none = F.array(F.lit(None).cast("string"))  # stands for the chunk itself
+    each = _tokenized(chunks).select("dl", F.explode(F.concat(none, words)).alias("term"))
+    if only is not None:
+        asked = only.select("term").distinct().withColumn("_asked", F.lit(True))
+        each = each.join(F.broadcast(asked) if asked.count() <= MOST_TERMS else asked, "term", "left").where("_asked OR term IS NULL")
+    counts = shared.materialize(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
+    whole = counts.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    return Index(postings(chunks, only), counts.where("term IS NOT NULL").select("term", "df"), whole)
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -78,65 +97,79 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks; how
-    many chunks have a term is counted on the terms that are asked for alone."""
-    terms = terms_of(queries)
-    df = F.count("*").over(Window.partitionBy("term"))
-    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi").withColumn("df", df)
-    matched = asked.join(terms, "term").join(F.broadcast(index.stats), how="cross")
-    raw_idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks."""
+    whole = index.stats.first()
+    n, avgdl = (whole["n"], whole["avgdl"]) if whole else (0, None)
+    raw_idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf <= 0, F.lit(LEAST_IDF)).otherwise(raw_idf)
-    part = F.col("times") * idf * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matched.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    asked = terms_of(queries).join(index.terms, "term").select("query_id", "term", "times", idf.alias("idf"))
+    if asked.count() <= MOST_TERMS:
+        asked = F.broadcast(asked)
+    part = F.col("times") * F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
 def keyword_ranks(scored: DataFrame, scope: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
-    """query_id, chunk_id, keyword_rank of the best chunks in scope. Sums in another order may differ
-    in the last digits, so ranks go by nine decimals, then chunk_id."""
+    """scope (chunk_id and what is to come along) -> query_id, chunk_id, keyword_rank of the best chunks in
+    it. Sums in another order may differ in the last digits, so ranks go by nine decimals, then
+    chunk_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
-    held = scored.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    return held.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= limit)
+    return scored.join(scope, "chunk_id").withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= limit)
+
+
+MEMBER = "struct<chunk_id: bigint, branch: string, alias: string, heading: string>"
 
 
 def texts_of(chunks: DataFrame) -> DataFrame:
-    """One row for each (repo, path, content): all branches that hold it, and chunk_id, alias, heading
-    and embedding of its first chunk (chunks of one text have one vector). Texts are grouped by their
-    hash, so the shuffle carries no text."""
-    first = F.min_by(F.struct("alias", "heading", "embedding"), "chunk_id")
-    grouped = chunks.groupBy("repo", "path", "content_hash").agg(tx.ordered_branches(F.col("branch")).alias("branches"), F.min("chunk_id").alias("chunk_id"), first.alias("f"))
-    return grouped.select("repo", "path", "content_hash", "branches", "chunk_id", "f.*")
+    """One row for each (repo, path, content): content_hash, members (a struct for each chunk that holds the
+    text, of which there is one a branch as a rule) and the vector of the first of them, since chunks
+    of one text have one vector. Texts are grouped by their hash, so the shuffle carries no text."""
+    keyed = chunks if "content_hash" in chunks.columns else chunks.withColumn("content_hash", F.sha2("content", 256))
+    member = F.struct("chunk_id", "branch", "alias", "heading").cast(MEMBER)
+    return keyed.groupBy("repo", "path", "content_hash").agg(F.array_sort(F.collect_list(member)).alias("members"), F.min_by("embedding", "chunk_id").alias("embedding"))
+
 
+def scoped(texts: DataFrame, repo: str | None = None, branch: str | None = None) -> DataFrame:
+    """text_id (its first chunk in the scope), repo, path, members in the scope, embedding."""
+    held = in_scope(texts, repo)
+    if branch:
+        held = held.withColumn("members", F.filter("members", lambda m: m["branch"] == branch)).where(F.size("members") > 0)
+    return held.select(F.col("members")[0]["chunk_id"].alias("text_id"), "repo", "path", "members", "embedding")
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 5, repo: str | None = None, branch: str | None = None, index: Index | None = None) -> DataFrame:
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame | None = None, limit: int = 5, repo: str | None = None, branch: str | None = None, index: Index | None = None, texts: DataFrame | None = None) -> DataFrame:
     """query_id, position, repo, alias, branches, path, heading, score (5 places), semantic_score (4
-    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id.
+    places), keyword_rank, matched_by, chunk_id. Ties go to the smaller chunk_id. index and texts are
+    those of a store; without them they are built from chunks, texts once, in a written table.
 
     A text without a vector (null) is found by its words alone; one of another dimension is of another
     model and no hit. A text without a keyword rank can only be among the best `limit` if its semantic
     rank is, so candidates are the nearest `limit` and the texts of the keyword ranks; the semantic
-    ranks of the latter are counted, without ranking all texts.
+    ranks of the latter are counted, in the same pass over the vectors, without ranking all texts.
     """
-    keyed = chunks if "content_hash" in chunks.columns else chunks.withColumn("content_hash", F.sha2("content", 256))
-    scope = in_scope(keyed, repo, branch)
-    index = index or index_of(keyed, terms_of(queries))
-    texts = texts_of(scope)
-    vectors = texts.where("embedding IS NOT NULL").select("chunk_id", "embedding")
+    queries = shared.materialize(queries.select("query_id", "query", "q"), "queries")
+    index = index or index_of(chunks, terms_of(queries))
+    if texts is None:
+        texts = shared.materialize(texts_of(chunks), "texts")
+    held = scoped(texts, repo, branch)
     asked = queries.select("query_id", "q")
-    ranked = keyword_ranks(bm25(queries, index), scope)
-    by_word = ranked.join(scope.select("chunk_id", "repo", "path", "content_hash"), "chunk_id")
-    by_word = by_word.groupBy("query_id", "repo", "path", "content_hash").agg(F.min("keyword_rank").alias("keyword_rank"))
-    by_word = by_word.join(texts.select("repo", "path", "content_hash", "chunk_id", "embedding"), ["repo", "path", "content_hash"]).join(asked, "query_id")
+    members = held.select("text_id", F.explode("members.chunk_id").alias("chunk_id"))
+    by_word = keyword_ranks(bm25(queries, index), members).groupBy("query_id", "text_id").agg(F.min("keyword_rank").alias("keyword_rank"))
+    by_word = by_word.join(held.select("text_id", "embedding"), "text_id").join(asked, "query_id")
     by_word = by_word.where(F.col("embedding").isNull() | (F.size("embedding") == F.size("q")))
-    by_word = by_word.select("query_id", "chunk_id", "keyword_rank", vx.dot(F.col("embedding"), F.col("q")).alias("semantic"))
-    by_meaning = nearest.top(asked, vectors, limit).select("query_id", "chunk_id", "semantic")
-    hits = by_word.join(by_meaning.withColumnRenamed("semantic", "near"), ["query_id", "chunk_id"], "full")
-    hits = hits.select("query_id", "chunk_id", "keyword_rank", F.coalesce("semantic", "near").alias("semantic"))
-    hits = nearest.with_ranks(asked, vectors, hits)
+    by_word = by_word.select("query_id", F.col("text_id").alias("chunk_id"), "keyword_rank", F.round(vx.dot(F.col("embedding"), F.col("q")), 9).alias("semantic"))
+    by_word = shared.materialize(by_word, "by-word")  # KEYWORD_LIMIT rows a query at most
+    vectors = held.where("embedding IS NOT NULL").select(F.col("text_id").alias("chunk_id"), "embedding")
+    near = nearest.with_hits(asked, vectors, limit, by_word.where("semantic IS NOT NULL").select("query_id", "chunk_id", "semantic"))
+    hits = by_word.select("query_id", "chunk_id", "keyword_rank", F.col("semantic").alias("own")).join(near, ["query_id", "chunk_id"], "full")
+    hits = hits.select("query_id", "chunk_id", "keyword_rank", F.coalesce("own", "semantic").alias("semantic"), "semantic_rank")
     score = F.coalesce(1 / (RRF_K + F.col("semantic_rank")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("keyword_rank")), F.lit(0.0))
     matched = F.when(F.col("keyword_rank").isNull(), "semantic").when(F.col("semantic").isNull(), "keyword").otherwise("both")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc(F.round("semantic", 9)), "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc("semantic"), "chunk_id")
     best = hits.withColumn("score", score).withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-    return best.join(texts.drop("embedding", "content_hash"), "chunk_id").select(
+    first = F.col("members")[0]
+    told = held.select(F.col("text_id").alias("chunk_id"), "repo", "path", tx.in_branch_order(F.col("members.branch")).alias("branches"), first["alias"].alias("alias"), first["heading"].alias("heading"))
+    return best.join(told, "chunk_id").select(
         "query_id", "position", "repo", "alias", "branches", "path", "heading", F.round("score", 5).alias("score"),
         F.round("semantic", 4).alias("semantic_score"), "keyword_rank", matched.alias("matched_by"), "chunk_id",
     )

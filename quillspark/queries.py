@@ -219,7 +219,7 @@ kw AS (SELECT * FROM (SELECT sc.*, CAST(row_number() OVER (PARTITION BY query_id
 def q_bm25_topk(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    best = search.keyword_ranks(search.bm25(asked, search.index_of(chunks, search.terms_of(asked))), chunks)
+    best = search.keyword_ranks(search.bm25(asked, search.index_of(chunks, search.terms_of(asked))), chunks.select("chunk_id"))
     return best.select("query_id", "chunk_id", "keyword_rank", F.round("bm25", 5).alias("score"))
 
 

@@ -90,9 +90,10 @@ class Indexer:
         keep: dict[str, list[str]] = {}
         for r in states:  # planned branches stay, also those that failed or are missing for now
             keep.setdefault(r["repo"], []).append(r["branch"])
+        gone = self.store.prunable({r: keep[r] for r in {r for r, _ in done}})
         pruned = self.store.prune({r: keep[r] for r in {r for r, _ in done}})
-        if done or pruned:
-            self.store.rebuild_postings()
+        if done or gone:
+            self.store.update_index(done + gone)
         return self._report(named, states, results, pruned)
 
     def _planned(self, named: DataFrame) -> list:

@@ -1,15 +1,24 @@
-"""The index on shared storage: Parquet tables chunks, runs, cache, postings and stats.
+"""The index on shared storage: Parquet tables chunks, runs, cache, and what search reads: postings, terms,
+lengths, live and texts.
 
 Chunks are partitioned by repository and branch, so replacing a branch rewrites that partition alone.
-Writes go in the order cache, chunks, postings, runs: a branch counts as indexed once its run stands.
-The index is derived data; another schema version makes it start anew, an unreadable table is set aside
-when the store is opened. A crash loses nothing: a small table is replaced by renaming, the old one
-first, and new chunks stand complete beside the old ones before these are touched; opening the store
-finishes what was left undone.
+Writes go in the order cache, chunks, index, runs: a branch counts as indexed once its run stands. The
+keyword index grows by segments that are never changed: a refresh tokenizes the branches it replaced
+and writes their postings, term counts and lengths as a new one, and `live` names the segment in which
+each branch is to be read; postings of a branch in other segments are dead. Segments of like size are
+merged, without tokenizing, by copying what lives. texts has one row for each text of a repository with
+all chunks that hold it, and is written anew for the repositories touched.
+
+The index is derived data; a store of an older version is brought up step by step, its cache kept, one of
+an unknown version makes it start anew, an unreadable table is set aside when the store is opened. A
+crash loses nothing: a small table is replaced by renaming, the old one first, and new chunks stand
+complete beside the old ones before these are touched; opening the store finishes what was left undone,
+and builds the index anew if it was being written.
 """
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,16 +26,21 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 
-VERSION = 2
+VERSION = 3
 CHUNKS = (
     "chunk_id long, alias string, path string, chunk_index int, heading string, content string, content_hash string, "
     "embedding array<float>, dimensions int, indexed_at timestamp, repo string, branch string"
 )
 RUNS = "repo string, branch string, model string, files long, chunks long, indexed_at timestamp"
 CACHE = "content_hash string, embedding array<float>, dimensions int, created_at timestamp, model string"
-POSTINGS = "term string, chunk_id long, wtf double, tf long, dl long"
-STATS = "n long, avgdl double"
-SCHEMAS = {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS, "stats": STATS}
+POSTINGS = "term string, chunk_id long, wtf double, tf long, dl long, scope long, segment int"
+TERMS = "term string, scope long, df long, segment int"
+LENGTHS = "scope long, n long, words long, segment int"
+LIVE = "repo string, branch string, scope long, segment int"
+TEXTS = "path string, content_hash string, members array<struct<chunk_id: long, branch: string, alias: string, heading: string>>, embedding array<float>, repo string"
+SCHEMAS = {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS, "live": LIVE, "texts": TEXTS}
+#: Segments of one tier (sizes by powers of FANOUT) that are merged into one.
+FANOUT = 4
 SCOPES = "repo string, branch string"
 
 
@@ -34,12 +48,26 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        marker = f"{self.root}/version={VERSION}"
-        if self._exists(self.root) and not self._exists(marker):
-            self._move(self.root, f"{self.root}.old-{int(time.time() * 1000)}")
-        self._fs.mkdirs(self._path(marker))
+        self._bring_up()
         self._recover()
         self.set_aside = [aside for name in SCHEMAS if (aside := self.quarantine(name))]
+        if self._exists(f"{self.root}/index.pending"):
+            self.rebuild_postings()
+
+    def _bring_up(self) -> None:
+        """From the version that the store has to this one, step by step; each step is marked when it is
+        done, so one that broke off is done once more."""
+        marker = lambda v: f"{self.root}/version={v}"
+        if self._exists(self.root) and not self._exists(marker(VERSION)):
+            own = next((v for v in range(VERSION - 1, 0, -1) if self._exists(marker(v))), None)
+            if own not in MIGRATIONS:
+                self._move(self.root, f"{self.root}.old-{int(time.time() * 1000)}")
+            else:
+                for v in range(own, VERSION):
+                    MIGRATIONS[v](self)
+                    self._fs.mkdirs(self._path(marker(v + 1)))
+                    self._fs.delete(self._path(marker(v)), True)
+        self._fs.mkdirs(self._path(marker(VERSION)))
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -76,7 +104,7 @@ class Store:
     def _recover(self) -> None:
         """Finish what a crash left: a new table that is whole takes its place, else the old one comes
         back; chunks that stand ready are taken over."""
-        for name in ("runs", "postings", "stats"):
+        for name in ("runs", "live"):
             if self._whole(f"{name}.new"):
                 self._put(name)
             elif self._exists(f"{self.root}/{name}.old") and not self._exists(f"{self.root}/{name}"):
@@ -100,10 +128,20 @@ class Store:
     def postings(self) -> DataFrame:
         return self._read("postings", POSTINGS)
 
+    def live(self) -> DataFrame:
+        return self._read("live", LIVE)
+
+    def texts(self) -> DataFrame:
+        return self._read("texts", TEXTS)
+
     def index(self, terms: list[str] | None = None) -> search.Index:
-        """The keyword index; with terms, only their postings are read, which lie together."""
-        held = self.postings()
-        return search.Index(held if terms is None else held.where(F.col("term").isin(terms)), self._read("stats", STATS))
+        """The keyword index; with terms, only their rows are read, which lie together in each segment."""
+        live = self.live().select("scope", "segment")
+        own = lambda df: df if terms is None else df.where(F.col("term").isin(terms))
+        held = own(self.postings()).join(live, ["scope", "segment"], "left_semi").drop("scope", "segment")
+        counts = own(self._read("terms", TERMS)).join(live, ["scope", "segment"], "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+        whole = self._read("lengths", LENGTHS).join(live, ["scope", "segment"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+        return search.Index(held, counts, whole)
 
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """df written as a table of the run, to be read more than once."""
@@ -158,27 +196,113 @@ class Store:
         both = self.runs().withColumn("_new", F.lit(0)).unionByName(runs.withColumn("_new", F.lit(1)))
         self._swap("runs", both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new"))
 
+    def prunable(self, keep: dict[str, list[str]]) -> list[tuple[str, str]]:
+        """Branches of the given repositories that are not kept; only these repositories are looked at, and
+        one that would keep nothing is left alone."""
+        held = self.chunks().where(F.col("repo").isin([r for r, kept in keep.items() if kept])).select("repo", "branch").distinct()
+        pairs = [(repo, b) for repo, kept in keep.items() for b in kept]
+        if not pairs:
+            return []
+        return [(r["repo"], r["branch"]) for r in held.join(self.spark.createDataFrame(pairs, SCOPES), ["repo", "branch"], "left_anti").collect()]
+
     def prune(self, keep: dict[str, list[str]]) -> dict[str, int]:
         """Drop branches that are not kept, with their runs; how many branches went, by repository. A
         repository that would keep nothing is left alone."""
-        held = self.chunks().select("repo", "branch").distinct().collect()
-        gone = [r for r in held if keep.get(r["repo"]) and r["branch"] not in keep[r["repo"]]]
-        for r in gone:
-            self._drop(r["repo"], r["branch"])
+        gone = self.prunable(keep)
+        for repo, branch in gone:
+            self._drop(repo, branch)
         pairs = [(repo, b) for repo, kept in keep.items() for b in kept]
         if pairs:
             kept = self.spark.createDataFrame(pairs, SCOPES)
             others = self.runs().join(kept.select("repo").distinct(), "repo", "left_anti")
             self._swap("runs", others.unionByName(self.runs().join(kept, ["repo", "branch"], "left_semi")))
         out: dict[str, int] = {}
-        for r in gone:
-            out[r["repo"]] = out.get(r["repo"], 0) + 1
+        for repo, _ in gone:
+            out[repo] = out.get(repo, 0) + 1
         return out
 
     def rebuild_postings(self) -> None:
-        """The keyword index, once for each refresh, sorted by term so that look-ups skip row groups, and
-        the statistics that go with it."""
-        chunks = self.chunks()
-        kinds = dict(c.split(" ") for c in POSTINGS.split(", "))
-        self._swap("postings", search.postings(chunks).select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())).sort("term"))
-        self._swap("stats", search.corpus_stats(chunks))
+        """The index of all chunks in one new segment."""
+        self.update_index(None)
+
+    def update_index(self, scopes: list[tuple[str, str]] | None) -> None:
+        """Take the given (repo, branch) pairs, also those that have no chunks left, into the index; None
+        takes all. Only their chunks are tokenized. What no branch lives in goes at the next update, so
+        searches under way can finish."""
+        pending = self._path(f"{self.root}/index.pending")
+        self._fs.mkdirs(pending)
+        chunks = self.chunks().withColumn("scope", F.xxhash64("repo", "branch"))
+        live = self.live()
+        self._drop_segments({r["segment"] for r in live.select("segment").distinct().collect()})
+        if scopes is not None:
+            asked = self.spark.createDataFrame(scopes, SCOPES)
+            chunks = chunks.join(F.broadcast(asked), ["repo", "branch"], "left_semi")
+            live = live.join(asked, ["repo", "branch"], "left_anti")
+        segment = self._new_segment()
+        self._add("postings", search.postings(chunks, carry=("scope",)).sort("term"), segment)
+        posted = self.postings().where(F.col("segment") == segment)
+        self._add("terms", posted.groupBy("term", "scope").agg(F.count("*").alias("df")).sort("term"), segment)
+        counted = chunks.groupBy("repo", "branch", "scope").agg(F.count("*").alias("n"))
+        words = posted.groupBy("scope").agg(F.sum("tf").alias("words"))
+        lengths = self.stage("lengths", counted.join(words, "scope", "left").fillna(0, ["words"]))
+        self._add("lengths", lengths.select("scope", "n", "words"), segment)
+        self._write_texts(chunks if scopes is None else asked)
+        kept = live.limit(0) if scopes is None else live
+        self._swap("live", kept.unionByName(lengths.select("repo", "branch", "scope", F.lit(segment).alias("segment"))))
+        self._merge()
+        self._fs.delete(pending, True)
+
+    def _write_texts(self, touched: DataFrame) -> None:
+        repos = touched.select("repo").distinct()
+        texts = search.texts_of(self.chunks().join(repos, "repo", "left_semi"))
+        held = self.stage("texts", texts.select(*(c.strip().split(" ")[0] for c in ("path", "content_hash", "members", "embedding", "repo"))))
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{self.root}/texts")
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for r in repos.join(held.select("repo").distinct(), "repo", "left_anti").collect():  # repositories without a chunk
+            self._fs.delete(self._path(f"{self.root}/texts/{name.getPartitionPathString('repo', r['repo'])}"), True)
+
+    def _segments(self) -> set[int]:
+        held = [self._path(f"{self.root}/{name}") for name in ("postings", "terms", "lengths")]
+        return {int(f.getPath().getName().split("=")[1]) for p in held if self._fs.exists(p) for f in self._fs.listStatus(p) if f.getPath().getName().startswith("segment=")}
+
+    def _new_segment(self) -> int:
+        return max(self._segments(), default=0) + 1
+
+    def _drop_segments(self, living: set[int]) -> None:
+        for segment in self._segments() - living:
+            for name in ("postings", "terms", "lengths"):
+                self._drop_table(f"{name}/segment={segment}")
+
+    def _add(self, name: str, rows: DataFrame, segment: int) -> None:
+        kinds = [c.strip().rsplit(" ", 1) for c in SCHEMAS[name].split(", ")]
+        rows.select(*(F.col(c).cast(t).alias(c) for c, t in kinds if c != "segment")).write.mode("overwrite").parquet(f"{self.root}/{name}/segment={segment}")
+
+    def _merge(self) -> None:
+        """Merge the segments of a tier once there are FANOUT of them; every posting so moves as often as
+        there are tiers."""
+        while True:
+            sizes = self._read("lengths", LENGTHS).join(self.live().select("scope", "segment"), ["scope", "segment"], "left_semi").groupBy("segment").agg(F.sum("words").alias("words"))
+            tiers: dict[int, list[int]] = {}
+            for r in sizes.collect():  # one row a segment
+                tiers.setdefault(int(math.log(max(r["words"], 1), FANOUT)), []).append(r["segment"])
+            full = next((held for _, held in sorted(tiers.items()) if len(held) >= FANOUT), None)
+            if full is None:
+                return
+            old = self.live()
+            living = old.where(F.col("segment").isin(full)).select("scope", "segment")
+            segment = self._new_segment()
+            for name in ("postings", "terms", "lengths"):
+                held = self._read(name, SCHEMAS[name]).where(F.col("segment").isin(full)).join(living, ["scope", "segment"], "left_semi")
+                self._add(name, held if name == "lengths" else held.sort("term"), segment)
+            self._swap("live", old.withColumn("segment", F.when(F.col("segment").isin(full), F.lit(segment)).otherwise(F.col("segment"))))
+
+
+def _from_2(store: Store) -> None:
+    """Version 3 has an index of segments and texts; chunks, runs and cache are as they were."""
+    for name in ("postings", "stats"):
+        store._drop_table(name)
+    store._fs.mkdirs(store._path(f"{store.root}/index.pending"))  # built when the store is open
+
+
+#: From a version to the next one.
+MIGRATIONS = {2: _from_2}

@@ -4,6 +4,7 @@ import datetime as dt
 import http.server
 import json
 import os
+import random
 import threading
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark import __main__ as command
 from quillspark import api, errors, settings
 from quillspark.api import Engine
-from quillspark.operators import cache, chunker, reports
+from quillspark.operators import cache, chunker, reports, search
 from quillspark.plans import refresh_plan as plan
 from quillspark.refresh import Indexer
 from quillspark.sources.catalog import parse_catalog
@@ -209,17 +210,76 @@ def test_the_store_after_a_crash(engine, spark):
     store._move(f"{root}/runs", f"{root}/runs.old")
     assert Store(spark, root).runs().count() == 4
     # A table that can't be read is set aside on opening.
-    path = f"{root}/postings".removeprefix("file://")
-    for name in os.listdir(path):
-        if name.endswith(".parquet"):
-            with open(f"{path}/{name}", "wb") as f:
-                f.write(b"no parquet at all")
-        if name.endswith(".crc"):
-            os.remove(f"{path}/{name}")
+    for path, _, names in os.walk(f"{root}/postings".removeprefix("file://")):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(f"{path}/{name}", "wb") as f:
+                    f.write(b"no parquet at all")
+            if name.endswith(".crc"):
+                os.remove(f"{path}/{name}")
     opened = Store(spark, root)
     assert len(opened.set_aside) == 1 and "postings.corrupt" in opened.set_aside[0] and opened.postings().count() == 0
 
 
+def whole(index):
+    return [sorted(map(tuple, df.select(*sorted(df.columns)).collect())) for df in (index.postings, index.terms, index.stats)]
+
+
+def test_the_index_grows_by_segments(engine, spark):
+    """After random replacements the index and the texts are those that a full rebuild gives, only replaced
+    branches were tokenized, and segments were merged."""
+    store, r = engine.store, random.Random(4)
+    words = [f"word{k}" for k in range(30)]
+    branches = [(f"o/r{k}", b) for k in range(4) for b in ("main", "dev", "x")]
+    seen = set()
+    for step in range(14):
+        some = branches if step == 0 else r.sample(branches, r.choice([1, 1, 2]))
+        rows = []
+        for repo, branch in some:
+            for path in range(r.choice([0, 1, 4]) if step else 5):
+                text = " ".join(r.choice(words) for _ in range(r.choice([1, 20])))
+                rows.append((r.getrandbits(60), repo, branch, f"{path}.md", text))
+        chunks = spark.createDataFrame(rows, "chunk_id long, repo string, branch string, path string, content string")
+        chunks = chunks.selectExpr("*", "repo AS alias", "0 AS chunk_index", "'h' AS heading", "sha2(content, 256) AS content_hash", "array(1F, 2F) AS embedding", "2 AS dimensions", "current_timestamp() AS indexed_at")
+        store.replace_branches(chunks, some)
+        store.update_index(some)
+        seen.add(len({x["segment"] for x in store.live().collect()}))
+        newest = store.postings().where(f"segment = {max(store._segments())}")
+        if step in (1, 2):
+            assert {x["scope"] for x in newest.select("scope").distinct().collect()} <= {x["scope"] for x in store.live().where(F.concat_ws("@", "repo", "branch").isin([f"{a}@{b}" for a, b in some])).collect()}
+    assert max(seen) < 10 and len(seen) > 1
+    grown, texts = whole(store.index()), sorted(map(str, store.texts().select("repo", "path", "content_hash", "members").collect()))
+    some_terms = whole(store.index(["word3", "word4"]))[1]
+    store.rebuild_postings()
+    assert whole(store.index()) == grown and len({x["segment"] for x in store.live().collect()}) == 1
+    assert sorted(map(str, store.texts().select("repo", "path", "content_hash", "members").collect())) == texts
+    assert whole(search.index_of(store.chunks())) == grown and some_terms == [x for x in grown[1] if x[1] in ("word3", "word4")]
+    store.update_index([branches[0]])
+    assert len(store._segments()) < 4  # dead segments went
+
+
+def test_a_store_of_an_older_version(engine, spark):
+    """Version 2 had other tables for its keyword index; chunks, runs and the cache are kept, and no text is
+    embedded anew."""
+    engine.refresh_index()
+    store = engine.store
+    before = whole(store.index())
+    for name in ("postings", "terms", "lengths", "live", "texts"):
+        store._drop_table(name)
+    spark.range(1).write.parquet(f"{store.root}/stats")
+    store._move(f"{store.root}/version=3", f"{store.root}/version=2")
+    engine.indexer.store = engine.store = again = Store(spark, store.root)
+    assert whole(again.index()) == before and again.cache().count() == 4 and not again._exists(f"{store.root}/stats")
+    assert engine.search_project_docs("token login").first()["heading"] == "Login"
+    assert engine.refresh_index()["embedded"] == 0
+    # Broken off while the index was written: it is built anew on opening.
+    again._fs.mkdirs(again._path(f"{store.root}/index.pending"))
+    again._drop_table("live")
+    assert whole(Store(spark, store.root).index()) == before
+    again._move(f"{store.root}/version=3", f"{store.root}/version=99")
+    assert Store(spark, store.root).chunks().count() == 0  # unknown: starts anew
+
+
 def test_results_as_json(engine):
     ok, told = api.guarded(lambda: engine.get_recent_commits("turnos", 1))
     assert ok and json.loads(told)[0]["short_sha"] == "abcdef1" and json.loads(told)[0]["date"][:4] == str(NOW.year)

@@ -55,7 +55,7 @@ def test_words_are_folded_as_fts5_folds_them(spark):
     assert other == []
 
 
-def test_semantic_ranks_are_counted(spark):
+def test_semantic_ranks_are_counted(spark, monkeypatch):
     import numpy as np
 
     from quillspark.operators import nearest
@@ -70,8 +70,13 @@ def test_semantic_ranks_are_counted(spark):
     got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in nearest.top(asked, vectors, 4).collect()}
     assert got == {(i, r + 1): order[i][r] for i in range(7) for r in range(4)}
     hits = spark.createDataFrame([(i, j, float(v[j] @ q[i])) for i in range(7) for j in (0, 17, 150)] + [(0, 900, None)], "query_id long, chunk_id long, semantic double")
-    ranks = {(r["query_id"], r["chunk_id"]): r["semantic_rank"] for r in nearest.with_ranks(asked, vectors, hits).collect()}
-    assert ranks == {(i, j): order[i].index(j) + 1 for i in range(7) for j in (0, 17, 150)} | {(0, 900): None}
+    hits = hits.selectExpr("query_id", "chunk_id", "round(semantic, 9) AS semantic").where("semantic IS NOT NULL")
+    want = {(i, j): order[i].index(j) + 1 for i in range(7) for j in (0, 17, 150)} | {(i, order[i][r]): r + 1 for i in range(7) for r in range(4)}
+    for most in (nearest.MOST_BROADCAST, 0):  # queries broadcast, and met by a join
+        monkeypatch.setattr(nearest, "MOST_BROADCAST", most)
+        assert {(r["query_id"], r["chunk_id"]): r["semantic_rank"] for r in nearest.with_hits(asked, vectors, 4, hits).collect()} == want
+        assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in nearest.top(asked, vectors, 4).collect()} == got
+    assert {r["semantic_rank"] for r in nearest.with_hits(asked, vectors, 1, hits.limit(0)).collect()} == {1}
 
 
 def test_hits_of_one_text_are_one(spark, chunks):
