@@ -28,7 +28,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +40,8 @@ TOKENIZER = "byte_bpe_50k.json"
 CHUNK, STEP = 1 << 16, 1 << 11
 #: Pieces a worker keeps the ids of, and characters up to which a piece is kept.
 CACHE, SHORT = 200_000, 48
+#: Rows that are taken out of an Arrow batch at a time.
+ROWS = 128
 
 # The split pattern of the vocabulary.
 CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
@@ -348,6 +350,14 @@ def vocabulary(path: str, newer: tuple[int, ...]) -> Vocabulary:
     return _held[path]
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[list]:
+    """A few rows at a time, so that of an Arrow batch only these are Python objects, and what comes out of
+    them leaves at once."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS).to_pylist()
+
+
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds the ids of whole texts: binary, little-endian unsigned 32-bit integers, those of the tokenizers
     library without its truncation, padding and template tokens; the string of an added token in a text
@@ -357,15 +367,15 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", tokenizer: st
     path = common.tokenizer_path(tokenizer)
     newer = newer_letters(path)
 
-    @F.pandas_udf("binary")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         stream = Encoder(vocabulary(path, newer))
-        for texts in batches:
+        for texts in _slices(batches):
             out = []
             for t in texts:
-                t = t if isinstance(t, str) else ""
+                t = t or ""
                 out.append(b"".join([stream.feed(t[k : k + CHUNK]) for k in range(0, len(t), CHUNK)] + [stream.finish()]))
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, pa.binary())
 
     return docs.withColumn(common.fresh(docs, into), ids(F.col(text).cast("string")))
 
@@ -375,17 +385,17 @@ def decode(rows: DataFrame, ids: str = "ids", into: str = "decoded", tokenizer:
     give an empty text. Where rows has a column `into`, the new one gets underscores in front."""
     path = common.tokenizer_path(tokenizer)
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if path not in _tables:
             _tables[path] = byte_table(path)
         stream = Decoder(_tables[path])
-        for each in batches:
+        for each in _slices(batches):
             out = []
             for raw in each:
-                raw = raw if isinstance(raw, (bytes, bytearray)) else b""
+                raw = raw or b""
                 out.append("".join([stream.feed(raw[k : k + 4 * CHUNK]) for k in range(0, len(raw), 4 * CHUNK)] + [stream.finish()]))
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, pa.string())
 
     return rows.withColumn(common.fresh(rows, into), text(F.col(ids)))
 
