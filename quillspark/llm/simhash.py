@@ -9,11 +9,13 @@ they exceed the budget. A task keeps only what connects its fingerprints, not al
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +27,34 @@ from .components import connected_components
 BITS = 64
 #: Fingerprints of a bucket that one task joins; a fuller bucket is split.
 BUCKET = 200_000
-#: Lower-cases A-Z only; bytes.split() without arguments cuts at x20 and x09 to x0D.
-_SHINGLES = 1_000_000
+#: Shingle hashes held before they are added up, bytes of a text whose words are taken at a time, and texts
+#: taken out of an Arrow batch.
+SHINGLES, RUN, ROWS = 1 << 18, 1 << 20, 256
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _runs(text: bytes, words: int) -> Iterator[list[bytes]]:
+    """The words of a text in runs that overlap by words - 1, so that every shingle lies in one of them; one
+    run of all words if there are fewer. bytes.lower() changes A-Z only, bytes.split() cuts at x20 and
+    x09 to x0D."""
+    held, at, some = [], 0, False
+    while at < len(text):
+        gap = _GAP.search(text, at + RUN) if len(text) - at > RUN else None
+        end = gap.start() if gap else len(text)
+        held += text[at:end].lower().split()
+        at = end
+        if len(held) >= words:
+            yield held
+            held, some = held[len(held) - words + 1 :], True
+    if held and not some:
+        yield held
 
 
 def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
     """64-bit SimHash of each text: word shingles hashed by XXH64 with seed 42, repeats included; a
-    bit is set if over half of the hashes have it. No words: zero."""
-    out = np.zeros(len(texts), np.uint64)
+    bit is set if over half of the hashes have it. No words: zero. However long a text is, SHINGLES
+    hashes and the words of RUN bytes are held."""
+    over, count = np.zeros((len(texts), BITS), np.int64), np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
     hashes, sizes, owner = [], [], []
 
@@ -45,27 +67,28 @@ def fingerprints(texts: list[bytes], words: int = 3) -> np.ndarray:
             cut = np.unique(np.concatenate([starts[:-1], np.arange(0, len(flat), 255)]))
             part = np.add.reduceat(bits, cut, axis=0, dtype=np.uint8)
             total = np.add.reduceat(part, np.searchsorted(cut, starts[:-1]), axis=0, dtype=np.int64)
-            over = total * 2 > np.asarray(sizes)[:, None]
-            out[owner] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+            np.add.at(over, owner, total)
+            np.add.at(count, owner, sizes)
             hashes.clear(), sizes.clear(), owner.clear()
 
     for i, text in enumerate(texts):
-        w = text.lower().split()
-        if w:
+        for w in _runs(text, words):
             shingles = map(b" ".join, zip(*(w[k:] for k in range(words)))) if len(w) >= words else [b" ".join(w)]
             before = len(hashes)
             hashes.extend([digest(s, 42) for s in shingles])
             sizes.append(len(hashes) - before)
             owner.append(i)
-            if len(hashes) > _SHINGLES:
+            if len(hashes) > SHINGLES:
                 flush()
     flush()
-    return out
+    return np.packbits(over * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint(text: pd.Series) -> pd.Series:
-    return pd.Series(fingerprints(common.encode(text)).view(np.int64))
+@F.arrow_udf(T.LongType())
+def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield pa.array(fingerprints(common.encode(batch.slice(at, ROWS).to_pylist())).view(np.int64))
 
 
 #: Pairs of nodes that are followed at a time.
@@ -131,8 +154,15 @@ class _Forest:
         self._turns = None
 
     def unite(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.root = spanning(len(self.root), np.concatenate([a, np.arange(len(self.root))]), np.concatenate([b, self.root]))
+        """Only the roots of what is linked meet; then every index takes its root's new one."""
+        a, b = self.root[a], self.root[b]
+        apart = a != b
+        if apart.any():
+            a, b = a[apart], b[apart]
+            met = np.unique(np.concatenate([a, b]))
+            new = np.arange(len(self.root))
+            new[met] = met[spanning(len(met), np.searchsorted(met, a), np.searchsorted(met, b))]
+            self.root = new[self.root]
             self._turns = None
 
     def connected(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
@@ -181,7 +211,8 @@ def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int | None = N
 
     More blocks give more copies (blocks choose budget) with longer keys; by default there are as many
     as the number of fingerprints asks for. A bucket of more than `bucket` fingerprints is dealt out
-    once more by blocks of the bits that its key lacks, which loses no link for the same reason.
+    once more by blocks of the bits that its key lacks, which loses no link for the same reason. Tasks take
+    buckets one after another, and there are as many tasks as the fingerprints ask for.
     """
     if blocks is None:
         n = prints.count()
@@ -205,25 +236,37 @@ def link_fingerprints(prints: DataFrame, budget: int = 3, blocks: int | None = N
         again = marked.where("full").select("fp", F.explode(F.filter(turned, lambda x: x.isNotNull())).alias("k")).select("k.choice", "k.key", "fp")
         copies = marked.where("full IS NULL").select("choice", "key", "fp").unionByName(again)
 
+    def linked(choice: int, prints: np.ndarray) -> pd.DataFrame:
+        values = np.unique(prints.view(np.uint64))
+        front = lists[choice]
+        rest = [b for b in every if b not in front]
+        turned = _gather(values, front + rest)
+        order = np.argsort(turned)
+        values, turned = values[order], turned[order]
+        root = trie_forest(turned, len(rest), budget)
+        moved = np.flatnonzero(root != np.arange(len(values)))
+        return pd.DataFrame({"a": values[moved].view(np.int64), "b": values[root[moved]].view(np.int64)})
+
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f[["choice", "fp"]] for f in frames]
-        if not held:
-            return
-        held = pd.concat(held)
-        for choice, part in held.groupby("choice"):
-            values = np.unique(part["fp"].to_numpy(np.int64).view(np.uint64))
-            front = lists[choice]
-            rest = [b for b in every if b not in front]
-            turned = _gather(values, front + rest)
-            order = np.argsort(turned)
-            values, turned = values[order], turned[order]
-            root = trie_forest(turned, len(rest), budget)
-            moved = np.flatnonzero(root != np.arange(len(values)))
-            if len(moved):
-                yield pd.DataFrame({"a": values[moved].view(np.int64), "b": values[root[moved]].view(np.int64)})
-
-    n = 2 * common.parallelism(prints.sparkSession)
-    return copies.repartition(n, "choice", "key").mapInPandas(join, "a long, b long")
+        """Buckets come one after another; those of one choice are joined together, up to `bucket` prints of
+        them, or one fuller bucket."""
+        choice, held, size = -1, [], 0
+        for frame in frames:
+            c, k, fp = (frame[x].to_numpy(np.int64) for x in ("choice", "key", "fp"))
+            cut = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1  # where a bucket begins
+            for at, to in zip([0, *cut], [*cut, len(c)]):
+                new = not held or (c[at], k[at]) != last
+                if held and new and (c[at] != choice or size + to - at > bucket):
+                    yield linked(choice, np.concatenate(held))
+                    held, size = [], 0
+                choice, last = c[at], (c[at], k[at])
+                held.append(fp[at:to])
+                size += to - at
+        if held:
+            yield linked(choice, np.concatenate(held))
+
+    n = max(2 * common.parallelism(prints.sparkSession), prints.count() * len(fronts) // (4 * bucket))
+    return copies.repartition(n, "choice", "key").sortWithinPartitions("choice", "key").mapInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 3, blocks: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
