@@ -15,6 +15,7 @@ from .functions import text as tx
 from .functions import vectors as vx
 from .operators import cache, chunker, reports, search
 from .plans import refresh_plan as plan
+from .sources import projects
 
 NOW = "2024-02-01 00:00:00"
 MODEL = "words-v1"
@@ -428,3 +429,12 @@ def q_resolve(spark, sf_dir):
     catalog = known.select("alias", F.concat(F.lit("repo-"), "alias").alias("repo"), F.concat(F.lit("org/"), "alias").alias("full_name"), "ordinal")
     spelled = F.array(F.concat(F.lit(" "), F.upper("alias"), F.lit(" ")), F.concat(F.lit("ORG/"), "alias"), F.concat("alias", F.lit("?")))
     return plan.resolve(known.select(F.explode(spelled).alias("reference")), catalog)
+
+
+@query("""WITH r AS (SELECT CAST(user_id AS VARCHAR) AS repo, CAST(event_id AS VARCHAR) AS sha, event_type, CAST(ts AS VARCHAR) AS seen FROM events),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY seen DESC, sha) AS INTEGER) AS position FROM r)
+SELECT repo, position, substr(sha, 1, 7) AS short_sha, event_type AS author, event_type AS message FROM n WHERE position <= 3""")
+def q_source_commits(spark, sf_dir):
+    """Events read as commits by the data source of projects."""
+    commits = projects.read(spark, "commits", path=f"{sf_dir}/events.parquet", repo="user_id", field_sha="event_id", field_login="event_type", field_date="ts", field_message="event_type")
+    return reports.recent_commits(commits, 3).drop("date")
