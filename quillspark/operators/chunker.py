@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP = 1200, 150
@@ -76,19 +77,21 @@ def chunk_markdown(source: str | None, most: int = MAX_CHARS, overlap: int = OVE
     return [(i, h, piece) for i, (h, piece) in enumerate(found)]
 
 
+def _told(source: str | None, most: int, overlap: int) -> list[dict]:
+    """The chunks of a document, or its error."""
+    try:
+        return [dict(zip(("chunk_index", "heading", "text"), c)) for c in chunk_markdown(source, most, overlap)]
+    except Exception as e:
+        return [{"error": str(e) or type(e).__name__}]
+
+
 def cut(files: DataFrame, content: str = "content", most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """files with one row for each chunk instead: content goes, chunk_index, heading, text and error come. A
     file that can't be cut has one row with its error and no chunk; the others are not touched."""
 
-    def told(source: str | None) -> list[dict]:
-        try:
-            return [dict(zip(("chunk_index", "heading", "text"), c)) for c in chunk_markdown(source, most, overlap)]
-        except Exception as e:
-            return [{"error": str(e) or type(e).__name__}]
-
     @F.pandas_udf("array<struct<chunk_index: int, heading: string, text: string, error: string>>")
     def run(source: pd.Series) -> pd.Series:
-        return source.map(told)
+        return source.map(lambda s: _told(s, most, overlap))
 
     return files.withColumn("_c", F.explode(run(content))).select(*(c for c in files.columns if c != content), "_c.*")
 
@@ -98,6 +101,25 @@ def chunks(files: DataFrame, content: str = "content", most: int = MAX_CHARS, ov
     return cut(files, content, most, overlap).where("error IS NULL").drop("error")
 
 
+UDTF_KIND = "chunk_index int, heading string, text string, error string"
+
+
+def register_udtf(spark: SparkSession, name: str = "chunk_markdown") -> None:
+    """The chunker for SQL, as a table function whose rows travel in Arrow batches:
+
+        SELECT d.path, c.* FROM files d, LATERAL chunk_markdown(d.content) c
+
+    gives a row for each chunk of a document, and one with its error for one that can't be cut."""
+
+    @F.udtf(returnType=UDTF_KIND, useArrow=True)
+    class ChunkMarkdown:
+        def eval(self, content: str) -> Iterator[tuple]:
+            for r in _told(content, MAX_CHARS, OVERLAP):
+                yield r.get("chunk_index"), r.get("heading"), r.get("text"), r.get("error")
+
+    spark.udtf.register(name, ChunkMarkdown)
+
+
 def stride_slices(docs: DataFrame, key: str, text: str, most: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """What chunks() gives for texts of one paragraph, without Python: key, chunk_index, piece."""
     last = F.greatest(F.length(text) - 1, F.lit(0))

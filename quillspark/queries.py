@@ -140,6 +140,16 @@ def q_chunk_markdown(spark, sf_dir):
     return found.select("doc_id", "chunk_index", "heading", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+@query(CHUNK_SQL)
+def q_chunk_lateral(spark, sf_dir):
+    """The chunker as a table function that SQL calls for each document."""
+    chunker.register_udtf(spark)
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n## part\n")).alias("content"))
+    found = "SELECT d.doc_id, c.chunk_index, c.heading, CAST(length(c.text) AS BIGINT) AS n_chars, md5(c.text) AS digest FROM {docs} d, LATERAL chunk_markdown(d.content) c WHERE c.error IS NULL"
+    return spark.sql(found, docs=docs)
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (label + 1)) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v)
 SELECT vec_id, round(n, 6) AS norm, round(e[1] / n, 6) AS first, round(list_sum(e) / n, 6) AS total FROM n""")
