@@ -50,7 +50,7 @@ class Indexer:
         if not mine:
             return future.result()
         try:
-            with self._queue:
+            with self._queue, self.store.writing():
                 result = self._run(repo)
             future.set_result(result)
             return result

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search
+from .lease import lease
 
 VERSION = 3
 CHUNKS = (
@@ -112,6 +113,10 @@ class Store:
         if self._whole("chunks.new") and self._whole("chunks.scopes"):
             self._take_over()
 
+    def writing(self, **options: float):
+        """Inside, no other driver writes this store; they wait."""
+        return lease(self.spark, f"{self.root}.lease", **options)
+
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNKS)
 

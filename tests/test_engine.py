@@ -17,6 +17,7 @@ from quillspark.operators import cache, chunker, reports, search
 from quillspark.plans import refresh_plan as plan
 from quillspark.refresh import Indexer
 from quillspark.sources.catalog import parse_catalog
+from quillspark.sources import lease
 from quillspark.sources.http_embeddings import http_provider
 from quillspark.sources.files import read_checkouts
 from quillspark.sources.store import Store
@@ -385,6 +386,40 @@ def test_single_flight_and_failures(engine):
     assert engine.indexer.refresh_stale("0") == {}
 
 
+def test_two_drivers_take_turns(engine, spark):
+    """Of two stores on one folder, each writes alone; who is gone gives way, who works does not."""
+    root, said, started = engine.store.root, [], threading.Event()
+
+    def other():
+        with Store(spark, root).writing(ttl=2, every=0.1):
+            said.append("in")
+            started.set()
+            threading.Event().wait(3)  # longer than the lease lasts without a touch
+            said.append("out")
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    started.wait(20)
+    with engine.store.writing(ttl=2, every=0.1):
+        said.append("next")
+    thread.join()
+    assert said == ["in", "out", "next"]
+    path = f"{root}.lease".removeprefix("file://")
+    with open(path, "wb") as f:  # of a driver that died long ago
+        f.write(b"\0\x04gone")
+    os.utime(path, (1, 1))
+    assert engine.refresh_index()["failed"] == 0 and not os.path.exists(path)
+    with pytest.raises(lease.LeaseLost):
+        with engine.store.writing(ttl=60):
+            os.remove(path)
+    with open(path, "wb") as f:
+        f.write(b"\0\x04busy")
+    with pytest.raises(errors.EngineError, match="held by another"):
+        with engine.store.writing(wait=0.3, every=0.1):
+            pass
+    os.remove(path)
+
+
 def test_store_replaces_also_by_nothing(engine, spark):
     engine.refresh_index()
     none = engine.store.chunks().limit(0)
