@@ -8,9 +8,10 @@ store keeps both, and without one they are built for the queries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import shared
@@ -96,17 +97,31 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return raw.groupBy("query_id", tx.fold(F.col("raw")).alias("term")).agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks."""
+def small(rows: DataFrame) -> DataFrame:
+    """Rows of a written table, broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= MOST_TERMS else rows
+
+
+def asked_terms(queries: DataFrame, index: Index) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """query_id, term, times, idf of terms that the index has, and what a posting of such a row adds to
+    its chunk's score, as a function of wtf and dl."""
     whole = index.stats.first()
     n, avgdl = (whole["n"], whole["avgdl"]) if whole else (0, None)
     raw_idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw_idf <= 0, F.lit(LEAST_IDF)).otherwise(raw_idf)
     asked = terms_of(queries).join(index.terms, "term").select("query_id", "term", "times", idf.alias("idf"))
-    if asked.count() <= MOST_TERMS:
-        asked = F.broadcast(asked)
-    part = F.col("times") * F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return index.postings.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+
+    def impact(wtf: Column, dl: Column) -> Column:
+        return F.col("times") * F.col("idf") * wtf * (K1 + 1) / (wtf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+    return asked, impact
+
+
+def bm25(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, chunk_id, bm25 for chunks with any query term. Statistics are those of all chunks."""
+    asked, impact = asked_terms(queries, index)
+    part = impact(F.col("wtf"), F.col("dl"))
+    return index.postings.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
 def keyword_ranks(scored: DataFrame, scope: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import cache, chunker, reports, search
+from .operators import blockmax, cache, chunker, reports, search
 from .plans import refresh_plan as plan
 from .sources import projects
 
@@ -234,6 +235,19 @@ def q_bm25_topk(spark, sf_dir):
     return best.select("query_id", "chunk_id", "keyword_rank", F.round("bm25", 5).alias("score"))
 
 
+@query(f"""WITH {CORPUS}, {INDEX}, {TERMS}, {bm25_sql("branch = 'dev'")} SELECT query_id, chunk_id, keyword_rank, path, round(bm25, 5) AS score FROM kw JOIN corpus USING (chunk_id)""")
+def q_blockmax_topk(spark, sf_dir):
+    """The best keyword hits of a branch from blocks of its postings, weighed as in all branches."""
+    chunks = corpus(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = search.index_of(chunks, search.terms_of(asked))
+    mine = search.in_scope(chunks, branch="dev")
+    posted = shared.materialize(search.postings(mine, search.terms_of(asked), ("repo",)), "postings")
+    blocks = shared.materialize(blockmax.blocks_of(posted, ("repo",)).sortWithinPartitions("term"), "blocks")
+    found = blockmax.top(asked, blocks, index, mine.select("chunk_id", "path"))
+    return found.hits.select("query_id", "chunk_id", "keyword_rank", "path", F.round("bm25", 5).alias("score"))
+
+
 @query(f"""WITH {CORPUS} SELECT repo, path, sha256(content) AS content_hash, string_agg(branch, ',' ORDER BY ord) AS branches, count(*) AS copies
 FROM corpus GROUP BY repo, path, sha256(content)""")
 def q_dedup_branches(spark, sf_dir):
