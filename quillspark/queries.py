@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import blockmax, cache, chunker, reports, search
+from .operators import blockmax, cache, cells, chunker, reports, search
 from .plans import refresh_plan as plan
 from .sources import projects
 
@@ -177,6 +177,38 @@ def q_cosine_topk(spark, sf_dir):
     return search.cosine_topk(questions(spark, sf_dir), vectors)
 
 
+ALL_SCORES = f"""{UNIT},
+s AS (SELECT item_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(v.e, q.e), 9) AS score
+      FROM benchmark JOIN v q ON q.vec_id = item_id CROSS JOIN v),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+"""
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), vx.normalized(F.col("embedding")).alias("embedding"))
+
+
+@query(f"WITH {ALL_SCORES} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 4) AS score FROM r WHERE rank <= 20")
+def q_cells_topk(spark, sf_dir):
+    """The nearest vectors of each question, from stored cells."""
+    held = cells.build(unit_vectors(spark, sf_dir), shared.scratch(spark, "cells"))
+    best, _ = cells.top(questions(spark, sf_dir), held, 20)
+    return best.select("query_id", "rank", "chunk_id", F.round("semantic", 4).alias("score"))
+
+
+@query(f"""WITH {ALL_SCORES}, f AS (SELECT min(vec_id) AS chunk_id FROM embeddings GROUP BY label)
+SELECT query_id, chunk_id, rank AS semantic_rank FROM r JOIN f USING (chunk_id)""")
+def q_cells_ranks(spark, sf_dir):
+    """Where the first vector of every label stands among all vectors, for each question."""
+    vectors = unit_vectors(spark, sf_dir)
+    held = cells.build(vectors, shared.scratch(spark, "cells"))
+    firsts = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min("vec_id").alias("chunk_id")).join(vectors, "chunk_id")
+    asked = shared.materialize(questions(spark, sf_dir).select("query_id", "q"), "asked")
+    hits = asked.join(F.broadcast(firsts), how="cross")  # a row a label
+    hits = hits.select("query_id", "chunk_id", F.round(vx.dot(F.col("embedding"), F.col("q")), 9).alias("semantic"))
+    return cells.ranks(asked, held, hits)[0]
+
+
 @query("""SELECT label, count(*) AS kept FROM embeddings WHERE CASE WHEN label = 3 THEN 32 ELSE len(embedding) END = 64 GROUP BY label""")
 def q_dimension_guard(spark, sf_dir):
     cut = F.when(F.col("label") == 3, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
