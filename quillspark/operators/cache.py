@@ -17,10 +17,14 @@ def content_hash(column: str = "content"):
     return F.sha2(F.coalesce(F.col(column), F.lit("")), 256)
 
 
-def cache_misses(incoming: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """One row for each distinct hash that the model's cache lacks."""
+def cache_misses(incoming: DataFrame, cache: DataFrame, model: str, buckets: int | None = None) -> DataFrame:
+    """One row for each distinct hash that the model's cache lacks. Equal texts become one where they lie;
+    with the number of a bucketed cache's buckets they go to the buckets, and the cache stays where it is."""
     known = cache.where(F.col("model") == model).select("content_hash")
-    return incoming.join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.first("content").alias("content"))
+    texts = incoming.groupBy("content_hash").agg(F.first("content").alias("content"))
+    if buckets:
+        texts = texts.repartition(buckets, "content_hash")
+    return texts.join(known, "content_hash", "left_anti")
 
 
 #: Errors after which the provider is asked no more.

@@ -137,13 +137,13 @@ class Indexer:
         tried = store.stage("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()))
         cut = tried.where("error IS NULL").drop("error")
         # The provider runs once for each text that the cache lacks, before anything reads the vectors.
-        misses = cache.cache_misses(cut, store.cache(), self.model)
+        misses = cache.cache_misses(cut, store.cache(), self.model, store.buckets())
         asked = store.stage("vectors", cache.embed(misses, self.provider))
         cache.stop_if_fatal(asked)
         fresh = asked.where("error IS NULL")
         new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, fresh).collect()}
         store.append_cache(fresh.select("content_hash", "embedding"), self.model)
-        rows = cache.with_vectors(cut.join(mine.select("repo", "alias"), "repo"), store.cache(), self.model)
+        rows = cache.with_vectors(cut.join(mine.select("repo", "alias"), "repo"), store.vectors_of(cut, self.model), self.model)
         key = F.xxhash64("repo", "branch", "path", "chunk_index")
         store.replace_branches(rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()}), chosen)
         held = store.chunks().join(F.broadcast(scope.select("repo", "branch")), ["repo", "branch"], "left_semi")

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import search
+from . import buckets
 from .lease import lease
 
-VERSION = 3
+VERSION = 4
 CHUNKS = (
     "chunk_id long, alias string, path string, chunk_index int, heading string, content string, content_hash string, "
     "embedding array<float>, dimensions int, indexed_at timestamp, repo string, branch string"
@@ -42,6 +43,9 @@ TEXTS = "path string, content_hash string, members array<struct<chunk_id: long,
 SCHEMAS = {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS, "live": LIVE, "texts": TEXTS}
 #: Segments of one tier (sizes by powers of FANOUT) that are merged into one.
 FANOUT = 4
+#: Buckets of a new cache, and the vectors of a bucket above which there are four times as many.
+BUCKETS = 8
+BUCKET_ROWS = 1 << 18
 SCOPES = "repo string, branch string"
 
 
@@ -110,6 +114,7 @@ class Store:
                 self._put(name)
             elif self._exists(f"{self.root}/{name}.old") and not self._exists(f"{self.root}/{name}"):
                 self._move(f"{self.root}/{name}.old", f"{self.root}/{name}")
+        self._old_cache_back()
         if self._whole("chunks.new") and self._whole("chunks.scopes"):
             self._take_over()
 
@@ -128,7 +133,36 @@ class Store:
         return search.in_scope(self.runs(), repo).orderBy("repo", "branch")
 
     def cache(self) -> DataFrame:
-        return self._read("cache", CACHE)
+        """The vectors, in buckets() buckets of their text's hash."""
+        n = self._held_buckets()
+        return buckets.read(self.spark, self._cache_at("cache", n), CACHE, "content_hash", n) if n else self.spark.createDataFrame([], CACHE)
+
+    def buckets(self) -> int:
+        return self._held_buckets() or BUCKETS
+
+    def _held_buckets(self) -> int | None:
+        at = self._path(f"{self.root}/cache")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return next((int(x[3:]) for x in names if x.startswith("of-")), None)
+
+    def _cache_at(self, name: str, n: int) -> str:
+        return f"{self.root}/{name}/of-{n}"
+
+    def _rebucket(self, rows: DataFrame, n: int) -> None:
+        """Put rows, in n buckets, in place of the cache."""
+        old = self._held_buckets()
+        self._drop_table("cache.new")
+        buckets.forget(self.spark, self._cache_at("cache.new", n), n)
+        buckets.append(rows, self._cache_at("cache.new", n), CACHE, "content_hash", n)
+        buckets.forget(self.spark, self._cache_at("cache.new", n), n)
+        if old:
+            buckets.forget(self.spark, self._cache_at("cache", old), old)
+        self._put("cache")
+
+    def _old_cache_back(self) -> None:
+        """After a crash between the two renames of _rebucket."""
+        if self._exists(f"{self.root}/cache.old") and not self._exists(f"{self.root}/cache"):
+            self._move(f"{self.root}/cache.old", f"{self.root}/cache")
 
     def postings(self) -> DataFrame:
         return self._read("postings", POSTINGS)
@@ -167,10 +201,24 @@ class Store:
 
     def append_cache(self, vectors: DataFrame, model: str) -> None:
         """vectors (content_hash, embedding): those that the cache lacks are added, raw."""
+        n = self.buckets()
         known = self.cache().where(F.col("model") == model).select("content_hash")
-        fresh = vectors.dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti")
+        fresh = vectors.dropDuplicates(["content_hash"]).repartition(n, "content_hash").join(known, "content_hash", "left_anti")
         fresh = fresh.select("content_hash", "embedding", F.size("embedding").alias("dimensions"), F.current_timestamp().alias("created_at"), F.lit(model).alias("model"))
-        fresh.write.mode("append").partitionBy("model").parquet(f"{self.root}/cache")
+        buckets.append(self.stage("fresh", fresh), self._cache_at("cache", n), CACHE, "content_hash", n)
+        self._grow()
+
+    def _grow(self) -> None:
+        """Four times the buckets, as often as it takes: each vector so moves a logarithm of times in all."""
+        n, held = self.buckets(), self.cache().count()
+        if held > n * BUCKET_ROWS:
+            self._rebucket(self.cache(), _enough(n, held))
+
+    def vectors_of(self, hashes: DataFrame, model: str) -> DataFrame:
+        """Of the cache, the vectors of the given texts (content_hash, repeated at will), written: the cache
+        itself is read bucket by bucket and not shuffled, and how often a text occurs does not matter."""
+        wanted = hashes.select("content_hash").distinct().repartition(self.buckets(), "content_hash")
+        return self.stage("known", wanted.join(self.cache().where(F.col("model") == model), "content_hash"))
 
     def replace_branches(self, chunks: DataFrame, scopes: list[tuple[str, str]]) -> None:
         """Put chunks in place of all chunks of the given (repo, branch) pairs, also where none are left."""
@@ -309,5 +357,19 @@ def _from_2(store: Store) -> None:
     store._fs.mkdirs(store._path(f"{store.root}/index.pending"))  # built when the store is open
 
 
+def _enough(n: int, rows: int) -> int:
+    while rows > n * BUCKET_ROWS:
+        n *= 4
+    return n
+
+
+def _from_3(store: Store) -> None:
+    """Version 4 has its cache in buckets; it was a folder a model. What was done already is not done again."""
+    store._old_cache_back()
+    if store._exists(f"{store.root}/cache") and not store._held_buckets():
+        held = store.spark.read.schema(CACHE).parquet(f"{store.root}/cache")
+        store._rebucket(held, _enough(BUCKETS, held.count()))
+
+
 #: From a version to the next one.
-MIGRATIONS = {2: _from_2}
+MIGRATIONS = {2: _from_2, 3: _from_3}

@@ -20,7 +20,7 @@ from quillspark.sources.catalog import parse_catalog
 from quillspark.sources import lease
 from quillspark.sources.http_embeddings import http_provider
 from quillspark.sources.files import read_checkouts
-from quillspark.sources.store import Store
+from quillspark.sources.store import VERSION, Store
 from quillspark.streaming.ingest import refresh_on_arrival
 
 CONFIG = {
@@ -268,7 +268,7 @@ def test_a_store_of_an_older_version(engine, spark):
     for name in ("postings", "terms", "lengths", "live", "texts"):
         store._drop_table(name)
     spark.range(1).write.parquet(f"{store.root}/stats")
-    store._move(f"{store.root}/version=3", f"{store.root}/version=2")
+    store._move(f"{store.root}/version={VERSION}", f"{store.root}/version=2")
     engine.indexer.store = engine.store = again = Store(spark, store.root)
     assert whole(again.index()) == before and again.cache().count() == 4 and not again._exists(f"{store.root}/stats")
     assert engine.search_project_docs("token login").first()["heading"] == "Login"
@@ -277,7 +277,7 @@ def test_a_store_of_an_older_version(engine, spark):
     again._fs.mkdirs(again._path(f"{store.root}/index.pending"))
     again._drop_table("live")
     assert whole(Store(spark, store.root).index()) == before
-    again._move(f"{store.root}/version=3", f"{store.root}/version=99")
+    again._move(f"{store.root}/version={VERSION}", f"{store.root}/version=99")
     assert Store(spark, store.root).chunks().count() == 0  # unknown: starts anew
 
 
