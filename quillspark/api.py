@@ -17,6 +17,7 @@ from .functions import text as tx
 from .operators import reports, search
 from .plans import refresh_plan as plan
 from .refresh import Indexer
+from .sources.store import Snapshot
 
 MAX_READ_BYTES = 400_000
 HITS_NOTE = "As of the last refresh, not of this moment. A text that is on a feature branch alone is not released yet: see branches."
@@ -70,13 +71,17 @@ class Engine:
 
     def search_project_docs(self, query: str, repo: str | None = None, branch: str | None = None, limit: int = 5) -> DataFrame:
         """Hybrid search in a scope. An empty scope and an index of another model are errors."""
+        return self._found(self.store.snapshot(), query, repo, branch, limit)
+
+    def _found(self, held: Snapshot, query: str, repo: str | None, branch: str | None, limit: int) -> DataFrame:
+        """All of a search reads one state of the store."""
         _within("limit", limit, 1, 20)
         if len(query) < 3:
             raise ConfigError("a query has three characters or more")
         name = self._resolve(repo)[1] if repo else None
-        if not search.in_scope(self.store.chunks(), name, branch).limit(1).count():
+        if not search.in_scope(held.live(), name, branch).take(1):
             raise NotFound(self._empty(name, branch))
-        models = sorted(r["model"] for r in search.in_scope(self.store.runs(), name).select("model").distinct().collect())
+        models = sorted(r["model"] for r in search.in_scope(held.runs(), name).select("model").distinct().collect())
         if models != [self.indexer.model]:
             raise ModelMismatch(f"indexed with {', '.join(models)}, asked with {self.indexer.model}; refresh the index")
         q = np.asarray(self.indexer.ask([query])[0], float)
@@ -84,14 +89,15 @@ class Engine:
         asked = self.spark.createDataFrame([(0, query, [float(x) for x in (q / norm if norm > 0 and np.isfinite(norm) else q)])], "query_id long, query string, q array<double>")
         terms = [r["term"] for r in search.terms_of(asked).select("term").collect()]  # those of one question
         with shared.temporary(self.spark):
-            found = search.hybrid_search(asked, None, limit, name, branch, self.store.index(terms), self.store.texts()).drop("query_id")
-            return self.spark.createDataFrame(found.collect(), found.schema)  # at most 20 rows
+            found = search.hybrid_search(asked, None, limit, name, branch, held.index(terms), held.texts()).drop("query_id")
+            return self.spark.createDataFrame(sorted(found.collect(), key=lambda r: r["position"]), found.schema)  # at most 20 rows
 
     def search(self, query: str, repo: str | None = None, branch: str | None = None, limit: int = 5) -> dict:
         """What search_project_docs finds, as it is served: with the scope, the model, the hits' texts and a
         word on what they are."""
-        found = self.search_project_docs(query, repo, branch, limit)
-        held = self.store.chunks().select("chunk_id", "content", "indexed_at")
+        now = self.store.snapshot()
+        found = self._found(now, query, repo, branch, limit)
+        held = now.chunks().select("chunk_id", "content", "indexed_at")
         # At most 20 hits.
         hits = [r.asDict(True) for r in found.join(held, "chunk_id").orderBy("position").drop("position", "chunk_id", "keyword_rank").collect()]
         scope = {"repo": self._resolve(repo)[1] if repo else "all repositories", "branch": branch or "all indexed branches"}

@@ -90,10 +90,7 @@ class Indexer:
         keep: dict[str, list[str]] = {}
         for r in states:  # planned branches stay, also those that failed or are missing for now
             keep.setdefault(r["repo"], []).append(r["branch"])
-        gone = self.store.prunable({r: keep[r] for r in {r for r, _ in done}})
         pruned = self.store.prune({r: keep[r] for r in {r for r, _ in done}})
-        if done or gone:
-            self.store.update_index(done + gone)
         return self._report(named, states, results, pruned)
 
     def _planned(self, named: DataFrame) -> list:
@@ -132,27 +129,27 @@ class Indexer:
         mine = named.join(scope.select("repo").distinct(), "repo", "left_semi")
         files = self.files().join(F.broadcast(scope), ["repo", "branch"])
         wanted = plan.match_paths(files.select("repo", "path").distinct(), mine.select("repo", F.explode("doc_patterns").alias("pattern")))
-        sized = store.stage("files", plan.size_filter(files.join(wanted, ["repo", "path"], "left_semi"), MAX_FILE_BYTES))
+        sized, refused = store.counted("files", plan.size_filter(files.join(wanted, ["repo", "path"], "left_semi"), MAX_FILE_BYTES), skipped=F.count("skipped"))
         cut = chunker.cut(sized.where("skipped IS NULL").select("repo", "branch", "ord", "path", "content"))
-        tried = store.stage("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()))
+        tried, broken = store.counted("cut", cut.withColumnRenamed("text", "content").withColumn("content_hash", cache.content_hash()), skipped=F.count("error"))
         cut = tried.where("error IS NULL").drop("error")
         # The provider runs once for each text that the cache lacks, before anything reads the vectors.
         misses = cache.cache_misses(cut, store.cache(), self.model, store.buckets())
-        asked = store.stage("vectors", cache.embed(misses, self.provider))
-        cache.stop_if_fatal(asked)
-        fresh = asked.where("error IS NULL")
-        new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, fresh).collect()}
-        store.append_cache(fresh.select("content_hash", "embedding"), self.model)
+        asked, got = store.counted("vectors", cache.embed(misses, self.provider), skipped=F.count("error"), fatal=F.count("fatal"), fresh=F.count_if(F.col("error").isNull()))
+        if got["fatal"] != 0:
+            cache.stop_if_fatal(asked)
+        # What was counted as none while it was written is not read again.
+        fresh, new_texts, skipped = asked.where("error IS NULL"), {}, {}
+        if got["fresh"] != 0:
+            new_texts = {(r["repo"], r["branch"]): r["n"] for r in self._first_of(cut, fresh).collect()}
+            store.append_cache(fresh.select("content_hash", "embedding"), self.model)
         rows = cache.with_vectors(cut.join(mine.select("repo", "alias"), "repo"), store.vectors_of(cut, self.model), self.model)
         key = F.xxhash64("repo", "branch", "path", "chunk_index")
-        store.replace_branches(rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()}), chosen)
-        held = store.chunks().join(F.broadcast(scope.select("repo", "branch")), ["repo", "branch"], "left_semi")
-        counts = held.groupBy("repo", "branch").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"), F.countDistinct("content_hash").alias("texts"))
-        runs = scope.join(counts, ["repo", "branch"], "left").fillna(0, ["files", "chunks", "texts"])
-        store.upsert_runs(runs.select("repo", "branch", F.lit(self.model).alias("model"), "files", "chunks", F.current_timestamp().alias("indexed_at")))
-        skipped = {(r["repo"], r["branch"]): r["s"] for r in self._skipped(sized, tried, cut, asked).collect()}
+        held = store.replace_branches(rows.withColumns({"chunk_id": key, "dimensions": F.size("embedding"), "indexed_at": F.current_timestamp()}), chosen, self.model)
+        if any(x["skipped"] != 0 for x in (refused, broken, got)):
+            skipped = {(r["repo"], r["branch"]): r["s"] for r in self._skipped(sized, tried, cut, asked).collect()}
         out = {}
-        for r in runs.collect():
+        for r in held:
             c = r["repo"], r["branch"]
             new = new_texts.get(c, 0)
             out[c] = {"files": r["files"], "chunks": r["chunks"], "embedded": new, "reused": r["texts"] - new, "skipped": skipped.get(c, []), "error": None}

@@ -1,62 +1,125 @@
-"""The index on shared storage: Parquet tables chunks, runs, cache, and what search reads: postings, terms,
-lengths, live and texts.
-
-Chunks are partitioned by repository and branch, so replacing a branch rewrites that partition alone.
-Writes go in the order cache, chunks, index, runs: a branch counts as indexed once its run stands. The
-keyword index grows by segments that are never changed: a refresh tokenizes the branches it replaced
-and writes their postings, term counts and lengths as a new one, and `live` names the segment in which
-each branch is to be read; postings of a branch in other segments are dead. Segments of like size are
-merged, without tokenizing, by copying what lives. texts has one row for each text of a repository with
-all chunks that hold it, and is written anew for the repositories touched.
-
-The index is derived data; a store of an older version is brought up step by step, its cache kept, one of
-an unknown version makes it start anew, an unreadable table is set aside when the store is opened. A
-crash loses nothing: a small table is replaced by renaming, the old one first, and new chunks stand
-complete beside the old ones before these are touched; opening the store finishes what was left undone,
-and builds the index anew if it was being written.
+"""The index on shared storage: chunks and what search reads (postings, terms, lengths, texts) in segments,
+snapshots that name them, and a cache of vectors.
+
+A segment is written once and never changed: a refresh writes the chunks of the branches it replaced, their
+postings, term counts and lengths, and the texts of the repositories they belong to, as a new one. A
+snapshot says what is to be read: `live` the segment of each branch, `homes` that of each repository's
+texts, `runs` which run each branch stands for. It counts once its mark stands under commits, one small
+file that names the segments and comes by a rename, so readers see a refresh as a whole or not at all, and
+one that holds a Snapshot sees the same state however often others commit. Segments of like size are
+merged, without tokenizing, by copying what lives.
+
+What no snapshot names that is the last one, or was the last one within `retain` seconds, is deleted when
+the next write starts; so is what a crash left half written. The index is derived data; a store of an older
+version is brought up step by step, its cache kept, one of an unknown version makes it start anew, an
+unreadable table is set aside when the store is opened, and what can be made from the chunks is made anew.
+The cache is read by writers alone, who take turns, and stands outside of the snapshots.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import search
 from . import buckets
 from .lease import lease
 
-VERSION = 4
+VERSION = 5
 CHUNKS = (
     "chunk_id long, alias string, path string, chunk_index int, heading string, content string, content_hash string, "
     "embedding array<float>, dimensions int, indexed_at timestamp, repo string, branch string"
 )
 RUNS = "repo string, branch string, model string, files long, chunks long, indexed_at timestamp"
 CACHE = "content_hash string, embedding array<float>, dimensions int, created_at timestamp, model string"
-POSTINGS = "term string, chunk_id long, wtf double, tf long, dl long, scope long, segment int"
-TERMS = "term string, scope long, df long, segment int"
-LENGTHS = "scope long, n long, words long, segment int"
+POSTINGS = "term string, chunk_id long, wtf double, tf long, dl long, scope long"
+TERMS = "term string, scope long, df long"
+LENGTHS = "repo string, branch string, scope long, n long, words long, files long, texts long"
 LIVE = "repo string, branch string, scope long, segment int"
+HOMES = "repo string, segment int"
 TEXTS = "path string, content_hash string, members array<struct<chunk_id: long, branch: string, alias: string, heading: string>>, embedding array<float>, repo string"
-SCHEMAS = {"chunks": CHUNKS, "runs": RUNS, "cache": CACHE, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS, "live": LIVE, "texts": TEXTS}
+#: Tables in segments, and by what a segment's folder is parted; tables of a snapshot.
+SEGMENTED = {"chunks": CHUNKS, "postings": POSTINGS, "terms": TERMS, "lengths": LENGTHS, "texts": TEXTS}
+PARTED = {"chunks": ("repo", "branch"), "texts": ("repo",)}
+STATE = {"live": LIVE, "homes": HOMES, "runs": RUNS}
+#: By what rows of a segment are known to live.
+LIVING = {"chunks": ("repo", "branch"), "postings": ("scope",), "terms": ("scope",), "lengths": ("scope",)}
 #: Segments of one tier (sizes by powers of FANOUT) that are merged into one.
 FANOUT = 4
+#: Seconds for which readers may go on with a snapshot that is no longer the last one.
+RETAIN = 3600.0
 #: Buckets of a new cache, and the vectors of a bucket above which there are four times as many.
 BUCKETS = 8
 BUCKET_ROWS = 1 << 18
 SCOPES = "repo string, branch string"
 
 
+@dataclass
+class Snapshot:
+    """One state of a store; `live` and `homes` are the segments it names, `last` the largest number that a
+    segment ever had."""
+
+    store: "Store"
+    number: int = 0
+    live_segments: list[int] = field(default_factory=list)
+    home_segments: list[int] = field(default_factory=list)
+    last: int = 0
+
+    def _state(self, name: str) -> DataFrame:
+        return self.store._read(f"snapshots/{self.number}/{name}", STATE[name])
+
+    def live(self) -> DataFrame:
+        return self._state("live")
+
+    def homes(self) -> DataFrame:
+        return self._state("homes")
+
+    def runs(self) -> DataFrame:
+        return self._state("runs")
+
+    def stats(self, repo: str | None = None) -> DataFrame:
+        """The runs of all or one repository, in order."""
+        return search.in_scope(self.runs(), repo).orderBy("repo", "branch")
+
+    def rows(self, name: str) -> DataFrame:
+        """The living rows of chunks, postings, terms or lengths, with their segment."""
+        return self.store._living(name, self.live_segments, self.live())
+
+    def chunks(self) -> DataFrame:
+        return self.rows("chunks").drop("segment")
+
+    def postings(self) -> DataFrame:
+        return self.rows("postings")
+
+    def texts(self) -> DataFrame:
+        """One row for each text of a repository, with all living chunks that hold it."""
+        return self.store._segments_read("texts", self.home_segments).join(self.homes(), ["repo", "segment"], "left_semi").drop("segment").select(*StructType.fromDDL(TEXTS).names)
+
+    def index(self, terms: list[str] | None = None) -> search.Index:
+        """The keyword index; with terms, only their rows are read, which lie together in each segment."""
+        own = lambda df: df if terms is None else df.where(F.col("term").isin(terms))
+        counts = own(self.rows("terms")).groupBy("term").agg(F.sum("df").alias("df"))
+        whole = self.rows("lengths").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
+        return search.Index(own(self.rows("postings")).drop("scope", "segment"), counts, whole)
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, retain: float = RETAIN):
+        self.spark, self.root, self.retain = spark, root.rstrip("/"), retain
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._bring_up()
-        self._recover()
-        self.set_aside = [aside for name in SCHEMAS if (aside := self.quarantine(name))]
-        if self._exists(f"{self.root}/index.pending"):
+        self._old_cache_back()
+        self.set_aside = [aside for name in (*SEGMENTED, *STATE, "cache") if (aside := self.quarantine(name))]
+        lost = {x.removeprefix(f"{self.root}/").split(".corrupt-")[0].split("/")[-1] for x in self.set_aside}
+        if lost & {"chunks", "live"}:
+            self._mark(self.snapshot(), self._empty(LIVE), self._empty(HOMES), self._empty(RUNS))
+        elif lost & {"postings", "terms", "lengths", "texts", "homes"}:
             self.rebuild_postings()
 
     def _bring_up(self) -> None:
@@ -83,9 +146,26 @@ class Store:
     def _move(self, a: str, b: str) -> None:
         self._fs.rename(self._path(a), self._path(b))
 
+    def _names(self, name: str) -> list[str]:
+        at = self._path(f"{self.root}/{name}")
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _empty(self, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema)
+
     def _read(self, name: str, schema: str) -> DataFrame:
         at = f"{self.root}/{name}"
-        return self.spark.read.schema(schema).parquet(at) if self._exists(at) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(at) if self._exists(at) else self._empty(schema)
+
+    def _segments_read(self, name: str, segments: list[int]) -> DataFrame:
+        """All rows of a table's segments. Only their folders are listed, so others may come and go."""
+        schema, at = f"{SEGMENTED[name]}, segment int", f"{self.root}/{name}"
+        held = [p for p in (f"{at}/segment={s}" for s in segments) if self._exists(p)]
+        return self.spark.read.schema(schema).option("basePath", at).parquet(*held) if held else self._empty(schema)
+
+    def _living(self, name: str, segments: list[int], live: DataFrame) -> DataFrame:
+        keys = [*LIVING[name], "segment"]
+        return self._segments_read(name, segments).join(live.select(*keys), keys, "left_semi")
 
     def _whole(self, name: str) -> bool:
         return self._exists(f"{self.root}/{name}/_SUCCESS")
@@ -93,12 +173,8 @@ class Store:
     def _drop_table(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
-    def _swap(self, name: str, df: DataFrame) -> None:
-        """Write a table beside the old one, then put it in its place: the old one is set aside first."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}.new")
-        self._put(name)
-
     def _put(self, name: str) -> None:
+        """What was written beside a table takes its place: the old one is set aside first."""
         at = f"{self.root}/{name}"
         if self._exists(at):
             self._drop_table(f"{name}.old")
@@ -106,31 +182,46 @@ class Store:
         self._move(f"{at}.new", at)
         self._drop_table(f"{name}.old")
 
-    def _recover(self) -> None:
-        """Finish what a crash left: a new table that is whole takes its place, else the old one comes
-        back; chunks that stand ready are taken over."""
-        for name in ("runs", "live"):
-            if self._whole(f"{name}.new"):
-                self._put(name)
-            elif self._exists(f"{self.root}/{name}.old") and not self._exists(f"{self.root}/{name}"):
-                self._move(f"{self.root}/{name}.old", f"{self.root}/{name}")
-        self._old_cache_back()
-        if self._whole("chunks.new") and self._whole("chunks.scopes"):
-            self._take_over()
-
     def writing(self, **options: float):
         """Inside, no other driver writes this store; they wait."""
         return lease(self.spark, f"{self.root}.lease", **options)
 
+    def _commits(self) -> list[int]:
+        return sorted(int(x) for x in self._names("commits") if x.isdigit())
+
+    def _marked(self, number: int) -> Snapshot:
+        held = self._fs.open(self._path(f"{self.root}/commits/{number}"))
+        try:
+            told = json.loads(held.readUTF())
+        finally:
+            held.close()
+        return Snapshot(self, number, told["live"], told["homes"], told["last"])
+
+    def snapshot(self) -> Snapshot:
+        """The state of the store as of now."""
+        commits = self._commits()
+        return self._marked(commits[-1]) if commits else Snapshot(self)
+
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self.snapshot().chunks()
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        return self.snapshot().runs()
+
+    def live(self) -> DataFrame:
+        return self.snapshot().live()
+
+    def postings(self) -> DataFrame:
+        return self.snapshot().postings()
+
+    def texts(self) -> DataFrame:
+        return self.snapshot().texts()
+
+    def index(self, terms: list[str] | None = None) -> search.Index:
+        return self.snapshot().index(terms)
 
     def stats(self, repo: str | None = None) -> DataFrame:
-        """The runs of all or one repository, in order."""
-        return search.in_scope(self.runs(), repo).orderBy("repo", "branch")
+        return self.snapshot().stats(repo)
 
     def cache(self) -> DataFrame:
         """The vectors, in buckets() buckets of their text's hash."""
@@ -164,39 +255,37 @@ class Store:
         if self._exists(f"{self.root}/cache.old") and not self._exists(f"{self.root}/cache"):
             self._move(f"{self.root}/cache.old", f"{self.root}/cache")
 
-    def postings(self) -> DataFrame:
-        return self._read("postings", POSTINGS)
-
-    def live(self) -> DataFrame:
-        return self._read("live", LIVE)
-
-    def texts(self) -> DataFrame:
-        return self._read("texts", TEXTS)
-
-    def index(self, terms: list[str] | None = None) -> search.Index:
-        """The keyword index; with terms, only their rows are read, which lie together in each segment."""
-        live = self.live().select("scope", "segment")
-        own = lambda df: df if terms is None else df.where(F.col("term").isin(terms))
-        held = own(self.postings()).join(live, ["scope", "segment"], "left_semi").drop("scope", "segment")
-        counts = own(self._read("terms", TERMS)).join(live, ["scope", "segment"], "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-        whole = self._read("lengths", LENGTHS).join(live, ["scope", "segment"], "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("n")).alias("avgdl"))
-        return search.Index(held, counts, whole)
-
     def stage(self, name: str, df: DataFrame) -> DataFrame:
         """df written as a table of the run, to be read more than once."""
+        return self.counted(name, df)[0]
+
+    def counted(self, name: str, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int | None]]:
+        """The same, and counts that the job which writes it takes on its way. A stage that is done once more
+        for a lost executor may count twice, so use them for whether there is any; None is not known."""
+        seen = Observation()
+        if counts:
+            df = df.observe(seen, *(v.alias(k) for k, v in counts.items()))
         df.write.mode("overwrite").parquet(f"{self.root}/run.{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/run.{name}")
+        told = seen.get if counts else {}
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/run.{name}"), {k: told.get(k) for k in counts}
 
     def quarantine(self, name: str) -> str | None:
         """Set a table aside if it can't be read; the path it went to, or None if it is sound."""
+        now = self.snapshot()
+        at = f"snapshots/{now.number}/{name}" if name in STATE else name
         try:
-            self._read(name, SCHEMAS[name]).limit(1).collect()
+            if name == "cache":
+                self._read(name, CACHE).limit(1).collect()
+            elif name in STATE:
+                now._state(name).limit(1).collect()
+            else:
+                self._segments_read(name, now.home_segments if name == "texts" else now.live_segments).limit(1).collect()
             return None
         except Exception as e:
             if not any(x in str(e) for x in ("CANNOT_READ", "is not a Parquet file", "FAILED_READ_FILE", "FAILED_TO_READ")):
                 raise
-        aside = f"{self.root}/{name}.corrupt-{int(time.time() * 1000)}"
-        self._move(f"{self.root}/{name}", aside)
+        aside = f"{self.root}/{at}.corrupt-{int(time.time() * 1000)}"
+        self._move(f"{self.root}/{at}", aside)
         return aside
 
     def append_cache(self, vectors: DataFrame, model: str) -> None:
@@ -220,141 +309,158 @@ class Store:
         wanted = hashes.select("content_hash").distinct().repartition(self.buckets(), "content_hash")
         return self.stage("known", wanted.join(self.cache().where(F.col("model") == model), "content_hash"))
 
-    def replace_branches(self, chunks: DataFrame, scopes: list[tuple[str, str]]) -> None:
-        """Put chunks in place of all chunks of the given (repo, branch) pairs, also where none are left."""
-        self._drop_table("chunks.scopes")
-        chunks.select(*(c.split(" ")[0] for c in CHUNKS.split(", "))).write.mode("overwrite").parquet(f"{self.root}/chunks.new")
-        self.spark.createDataFrame(scopes, SCOPES).coalesce(1).write.parquet(f"{self.root}/chunks.scopes")
-        self._take_over()
-
-    def _take_over(self) -> None:
-        """From here on a crash is made good by doing this once more."""
-        staged = self.spark.read.schema(CHUNKS).parquet(f"{self.root}/chunks.new")
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "branch").parquet(f"{self.root}/chunks")
-        # An overwrite leaves partitions without rows as they were.
-        full = staged.select("repo", "branch").distinct()
-        for r in self.spark.read.schema(SCOPES).parquet(f"{self.root}/chunks.scopes").join(full, ["repo", "branch"], "left_anti").collect():
-            self._drop(r["repo"], r["branch"])
-        self._drop_table("chunks.scopes")
-        self._drop_table("chunks.new")
-
-    def _drop(self, repo: str, branch: str) -> None:
-        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        part = "/".join(name.getPartitionPathString(k, v) for k, v in (("repo", repo), ("branch", branch)))
-        self._fs.delete(self._path(f"{self.root}/chunks/{part}"), True)
-
-    def upsert_runs(self, runs: DataFrame) -> None:
-        """The newest run of each (repo, branch) stays."""
-        order = Window.partitionBy("repo", "branch").orderBy(F.desc("indexed_at"), F.desc("_new"))
-        both = self.runs().withColumn("_new", F.lit(0)).unionByName(runs.withColumn("_new", F.lit(1)))
-        self._swap("runs", both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_new"))
-
-    def prunable(self, keep: dict[str, list[str]]) -> list[tuple[str, str]]:
-        """Branches of the given repositories that are not kept; only these repositories are looked at, and
-        one that would keep nothing is left alone."""
-        held = self.chunks().where(F.col("repo").isin([r for r, kept in keep.items() if kept])).select("repo", "branch").distinct()
-        pairs = [(repo, b) for repo, kept in keep.items() for b in kept]
-        if not pairs:
-            return []
-        return [(r["repo"], r["branch"]) for r in held.join(self.spark.createDataFrame(pairs, SCOPES), ["repo", "branch"], "left_anti").collect()]
+    def replace_branches(self, chunks: DataFrame, scopes: list[tuple[str, str]], model: str | None = None) -> list:
+        """Put chunks in place of all chunks of the given (repo, branch) pairs, also where none are left, with
+        their index, texts and, where a model is named, runs: readers see all of it or nothing. Only these
+        chunks are tokenized; those of other branches are left out. Returns repo, branch, files, chunks and texts of each pair."""
+        base, segment = self._begin()
+        asked = self.spark.createDataFrame(scopes, SCOPES)
+        self._add("chunks", chunks.join(F.broadcast(asked), ["repo", "branch"], "left_semi"), segment)
+        self._index(segment)
+        lengths = self._segments_read("lengths", [segment])
+        told = asked.join(lengths.select("repo", "branch", "files", F.col("n").alias("chunks"), "texts"), ["repo", "branch"], "left").fillna(0, ["files", "chunks", "texts"])
+        runs = base.runs()
+        if model is not None:
+            fresh = told.select("repo", "branch", F.lit(model).alias("model"), "files", "chunks", F.current_timestamp().alias("indexed_at"))
+            runs = runs.join(asked, ["repo", "branch"], "left_anti").unionByName(fresh)
+        live = base.live().join(asked, ["repo", "branch"], "left_anti").unionByName(lengths.select("repo", "branch", "scope", "segment"))
+        self._commit(base, segment, live, asked.select("repo").distinct(), runs)
+        self._merge()
+        return told.collect()
 
     def prune(self, keep: dict[str, list[str]]) -> dict[str, int]:
-        """Drop branches that are not kept, with their runs; how many branches went, by repository. A
-        repository that would keep nothing is left alone."""
-        gone = self.prunable(keep)
-        for repo, branch in gone:
-            self._drop(repo, branch)
+        """Drop branches that are not kept, with their runs; how many branches went, by repository. Only the
+        given repositories are looked at, and one that would keep nothing is left alone."""
         pairs = [(repo, b) for repo, kept in keep.items() for b in kept]
-        if pairs:
-            kept = self.spark.createDataFrame(pairs, SCOPES)
-            others = self.runs().join(kept.select("repo").distinct(), "repo", "left_anti")
-            self._swap("runs", others.unionByName(self.runs().join(kept, ["repo", "branch"], "left_semi")))
+        if not pairs:
+            return {}
+        kept = self.spark.createDataFrame(pairs, SCOPES)
+        repos = kept.select("repo").distinct()
+        now = self.snapshot()
+        dead = lambda df: df.join(repos, "repo", "left_semi").join(kept, ["repo", "branch"], "left_anti")
+        gone = [(r["repo"], r["branch"]) for r in dead(now.live()).select("repo", "branch").collect()]
+        if gone or dead(now.runs()).take(1):
+            base, segment = self._begin()
+            going = self.spark.createDataFrame(gone, SCOPES)
+            runs = base.runs().join(repos, "repo", "left_anti").unionByName(base.runs().join(kept, ["repo", "branch"], "left_semi"))
+            self._commit(base, segment, base.live().join(going, ["repo", "branch"], "left_anti"), going.select("repo").distinct(), runs)
+            self._merge()
         out: dict[str, int] = {}
         for repo, _ in gone:
             out[repo] = out.get(repo, 0) + 1
         return out
 
     def rebuild_postings(self) -> None:
-        """The index of all chunks in one new segment."""
-        self.update_index(None)
-
-    def update_index(self, scopes: list[tuple[str, str]] | None) -> None:
-        """Take the given (repo, branch) pairs, also those that have no chunks left, into the index; None
-        takes all. Only their chunks are tokenized. What no branch lives in goes at the next update, so
-        searches under way can finish."""
-        pending = self._path(f"{self.root}/index.pending")
-        self._fs.mkdirs(pending)
-        chunks = self.chunks().withColumn("scope", F.xxhash64("repo", "branch"))
-        live = self.live()
-        self._drop_segments({r["segment"] for r in live.select("segment").distinct().collect()})
-        if scopes is not None:
-            asked = self.spark.createDataFrame(scopes, SCOPES)
-            chunks = chunks.join(F.broadcast(asked), ["repo", "branch"], "left_semi")
-            live = live.join(asked, ["repo", "branch"], "left_anti")
-        segment = self._new_segment()
+        """All chunks, and the index made from them anew, in one segment."""
+        base, segment = self._begin()
+        self._add("chunks", base.chunks(), segment)
+        self._index(segment)
+        live = self._segments_read("lengths", [segment]).select("repo", "branch", "scope", "segment")
+        self._commit(base, segment, live, base.live().select("repo").unionByName(base.homes().select("repo")).distinct(), base.runs())
+
+    def _begin(self) -> tuple[Snapshot, int]:
+        """The state to start from and the number of a new segment; before that, what is not needed goes."""
+        self._sweep()
+        base = self.snapshot()
+        return base, max([base.last, *self._segments()]) + 1
+
+    def _index(self, segment: int) -> None:
+        """Postings, terms and lengths of a segment from its chunks."""
+        chunks = self._segments_read("chunks", [segment]).withColumn("scope", F.xxhash64("repo", "branch"))
         self._add("postings", search.postings(chunks, carry=("scope",)).sort("term"), segment)
-        posted = self.postings().where(F.col("segment") == segment)
+        posted = self._segments_read("postings", [segment])
         self._add("terms", posted.groupBy("term", "scope").agg(F.count("*").alias("df")).sort("term"), segment)
-        counted = chunks.groupBy("repo", "branch", "scope").agg(F.count("*").alias("n"))
+        counted = chunks.groupBy("repo", "branch", "scope").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"), F.countDistinct("content_hash").alias("texts"))
         words = posted.groupBy("scope").agg(F.sum("tf").alias("words"))
-        lengths = self.stage("lengths", counted.join(words, "scope", "left").fillna(0, ["words"]))
-        self._add("lengths", lengths.select("scope", "n", "words"), segment)
-        self._write_texts(chunks if scopes is None else asked)
-        kept = live.limit(0) if scopes is None else live
-        self._swap("live", kept.unionByName(lengths.select("repo", "branch", "scope", F.lit(segment).alias("segment"))))
-        self._merge()
-        self._fs.delete(pending, True)
+        self._add("lengths", counted.join(words, "scope", "left").fillna(0, ["words"]), segment)
 
-    def _write_texts(self, touched: DataFrame) -> None:
-        repos = touched.select("repo").distinct()
-        texts = search.texts_of(self.chunks().join(repos, "repo", "left_semi"))
-        held = self.stage("texts", texts.select(*(c.strip().split(" ")[0] for c in ("path", "content_hash", "members", "embedding", "repo"))))
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{self.root}/texts")
-        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for r in repos.join(held.select("repo").distinct(), "repo", "left_anti").collect():  # repositories without a chunk
-            self._fs.delete(self._path(f"{self.root}/texts/{name.getPartitionPathString('repo', r['repo'])}"), True)
+    def _add(self, name: str, rows: DataFrame, segment: int) -> None:
+        out, parts = _as(SEGMENTED[name], rows), PARTED.get(name, ())
+        if parts:  # few files for each part, several for a large one
+            out = out.hint("rebalance", *(F.col(c) for c in parts))
+        out.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{name}/segment={segment}")
+
+    def _commit(self, base: Snapshot, segment: int, live: DataFrame, repos: DataFrame, runs: DataFrame) -> None:
+        """The state after base: what lives, and in `segment` the texts of the repositories that changed."""
+        live = self._keep(base.number + 1, "live", live)
+        chunks = self._living("chunks", _numbers(live), live)
+        self._add("texts", search.texts_of(chunks.join(repos, "repo", "left_semi")), segment)
+        own = self._segments_read("texts", [segment]).select("repo", "segment").distinct()
+        self._mark(base, live, base.homes().join(repos, "repo", "left_anti").unionByName(own), runs, kept=True)
+
+    def _keep(self, number: int, name: str, df: DataFrame) -> DataFrame:
+        at = f"{self.root}/snapshots/{number}/{name}"
+        _as(STATE[name], df).write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(STATE[name]).parquet(at)
+
+    def _mark(self, base: Snapshot, live: DataFrame, homes: DataFrame, runs: DataFrame, kept: bool = False) -> None:
+        """Write the state after base (live, unless that was kept) and then its mark."""
+        number = base.number + 1
+        if not kept:
+            live = self._keep(number, "live", live)
+        homes = self._keep(number, "homes", homes)
+        self._keep(number, "runs", runs)
+        told = {"live": _numbers(live), "homes": _numbers(homes), "last": max([base.last, *self._segments()], default=0)}
+        at = f"{self.root}/commits/{number}"
+        out = self._fs.create(self._path(f"{at}.new"), True)
+        out.writeUTF(json.dumps(told))
+        out.close()
+        self._move(f"{at}.new", at)
 
     def _segments(self) -> set[int]:
-        held = [self._path(f"{self.root}/{name}") for name in ("postings", "terms", "lengths")]
-        return {int(f.getPath().getName().split("=")[1]) for p in held if self._fs.exists(p) for f in self._fs.listStatus(p) if f.getPath().getName().startswith("segment=")}
-
-    def _new_segment(self) -> int:
-        return max(self._segments(), default=0) + 1
-
-    def _drop_segments(self, living: set[int]) -> None:
-        for segment in self._segments() - living:
-            for name in ("postings", "terms", "lengths"):
+        return {int(x.split("=")[1]) for name in SEGMENTED for x in self._names(name) if x.startswith("segment=")}
+
+    def _sweep(self) -> None:
+        """Delete what no snapshot names that is the last one, or was it within `retain` seconds."""
+        commits = self._commits()
+        since = {n: self._fs.getFileStatus(self._path(f"{self.root}/commits/{n}")).getModificationTime() / 1000 for n in commits}
+        kept = [n for n, after in zip(commits, [*commits[1:], None]) if after is None or since[after] > time.time() - self.retain]
+        named = {s for n in kept for held in (self._marked(n),) for s in (*held.live_segments, *held.home_segments)}
+        for n in set(commits) - set(kept):
+            self._drop_table(f"commits/{n}")
+        for x in self._names("snapshots"):
+            if not (x.isdigit() and int(x) in kept):
+                self._drop_table(f"snapshots/{x}")
+        for segment in self._segments() - named:
+            for name in SEGMENTED:
                 self._drop_table(f"{name}/segment={segment}")
 
-    def _add(self, name: str, rows: DataFrame, segment: int) -> None:
-        kinds = [c.strip().rsplit(" ", 1) for c in SCHEMAS[name].split(", ")]
-        rows.select(*(F.col(c).cast(t).alias(c) for c, t in kinds if c != "segment")).write.mode("overwrite").parquet(f"{self.root}/{name}/segment={segment}")
-
     def _merge(self) -> None:
         """Merge the segments of a tier once there are FANOUT of them; every posting so moves as often as
         there are tiers."""
         while True:
-            sizes = self._read("lengths", LENGTHS).join(self.live().select("scope", "segment"), ["scope", "segment"], "left_semi").groupBy("segment").agg(F.sum("words").alias("words"))
+            now = self.snapshot()
+            sizes = dict.fromkeys(now.home_segments, 0)
+            sizes |= {r["segment"]: r["words"] for r in now.rows("lengths").groupBy("segment").agg(F.sum("words").alias("words")).collect()}  # one row a segment
             tiers: dict[int, list[int]] = {}
-            for r in sizes.collect():  # one row a segment
-                tiers.setdefault(int(math.log(max(r["words"], 1), FANOUT)), []).append(r["segment"])
+            for segment, words in sizes.items():
+                tiers.setdefault(int(math.log(max(words, 1), FANOUT)), []).append(segment)
             full = next((held for _, held in sorted(tiers.items()) if len(held) >= FANOUT), None)
             if full is None:
                 return
-            old = self.live()
-            living = old.where(F.col("segment").isin(full)).select("scope", "segment")
-            segment = self._new_segment()
-            for name in ("postings", "terms", "lengths"):
-                held = self._read(name, SCHEMAS[name]).where(F.col("segment").isin(full)).join(living, ["scope", "segment"], "left_semi")
-                self._add(name, held if name == "lengths" else held.sort("term"), segment)
-            self._swap("live", old.withColumn("segment", F.when(F.col("segment").isin(full), F.lit(segment)).otherwise(F.col("segment"))))
+            base, segment = self._begin()
+            inside = F.col("segment").isin(full)
+            for name in LIVING:
+                held = self._living(name, full, base.live())
+                self._add(name, held.sort("term") if name in ("postings", "terms") else held, segment)
+            self._add("texts", self._segments_read("texts", full).join(base.homes(), ["repo", "segment"], "left_semi"), segment)
+            moved = lambda df: df.withColumn("segment", F.when(inside, F.lit(segment)).otherwise(F.col("segment")))  # noqa: B023, E731
+            self._mark(base, moved(base.live()), moved(base.homes()), base.runs())
+
+
+def _as(schema: str, df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields))
+
+
+def _numbers(df: DataFrame) -> list[int]:
+    """The segments that rows of a state name; merging keeps them few."""
+    return sorted(r["segment"] for r in df.select("segment").distinct().collect())
 
 
 def _from_2(store: Store) -> None:
-    """Version 3 has an index of segments and texts; chunks, runs and cache are as they were."""
+    """Version 3 had another keyword index; it is made from the chunks once they are in a segment."""
     for name in ("postings", "stats"):
         store._drop_table(name)
-    store._fs.mkdirs(store._path(f"{store.root}/index.pending"))  # built when the store is open
 
 
 def _enough(n: int, rows: int) -> int:
@@ -371,5 +477,29 @@ def _from_3(store: Store) -> None:
         store._rebucket(held, _enough(BUCKETS, held.count()))
 
 
+def _from_4(store: Store) -> None:
+    """Version 5 has its chunks in segments and its runs in a snapshot. The folder of chunks becomes the first
+    segment as it is. Branches whose chunks were being replaced lose their runs, so they count as stale."""
+    root, at = store.root, f"{store.root}/chunks"
+    if store._exists(f"{root}/runs.old") and not store._exists(f"{root}/runs"):
+        store._move(f"{root}/runs.old", f"{root}/runs")
+    if not store._exists(f"{at}.v4") and store._exists(at) and not store._exists(f"{at}/segment=1"):
+        store._move(at, f"{at}.v4")
+    if store._exists(f"{at}.v4"):
+        store._fs.mkdirs(store._path(at))
+        store._move(f"{at}.v4", f"{at}/segment=1")
+    for name in ("postings", "terms", "lengths", "texts", "live", "index.pending", "snapshots", "commits"):
+        store._drop_table(name)
+    if store._exists(f"{at}/segment=1"):
+        store._index(1)
+        live = store._segments_read("lengths", [1]).select("repo", "branch", "scope", "segment")
+        runs = store._read("runs", RUNS)
+        if store._whole("chunks.scopes"):
+            runs = runs.join(store._read("chunks.scopes", SCOPES), ["repo", "branch"], "left_anti")
+        store._commit(Snapshot(store), 1, live, live.select("repo").distinct(), runs)
+    for name in ("runs", "runs.new", "chunks.new", "chunks.scopes"):
+        store._drop_table(name)
+
+
 #: From a version to the next one.
-MIGRATIONS = {2: _from_2, 3: _from_3}
+MIGRATIONS = {2: _from_2, 3: _from_3, 4: _from_4}

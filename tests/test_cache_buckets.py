@@ -58,11 +58,11 @@ def test_a_cache_by_model_becomes_one_of_buckets(spark, tmp_path):
     Store(spark, f"file://{root}")
     rows = vectors(spark, 0, 20).select("content_hash", "embedding", F.lit(1).alias("dimensions"), F.current_timestamp().alias("created_at"), F.when(F.col("content") < "5", "m").otherwise("n").alias("model"))
     rows.write.partitionBy("model").parquet(f"file://{root}/cache")
-    (tmp_path / "s/version=4").rename(tmp_path / "s/version=3")
+    (tmp_path / "s/version=5").rename(tmp_path / "s/version=3")
     (tmp_path / "s/cache").rename(tmp_path / "s/cache.old")  # and a crash between two renames
     store = Store(spark, f"file://{root}")
     assert len(held(store)) == 20 and {m for m, *_ in held(store)} == {"m", "n"} and store.buckets() == 8
-    assert (tmp_path / "s/version=4").exists() and not (tmp_path / "s/version=3").exists()
+    assert (tmp_path / "s/version=5").exists() and not (tmp_path / "s/version=3").exists()
     assert store.cache().schema == spark.createDataFrame([], CACHE).schema
     store._rebucket(store.cache(), 2)
     (tmp_path / "s/cache").rename(tmp_path / "s/cache.old")

@@ -197,29 +197,97 @@ def test_a_broken_source_of_branches(engine, spark):
     assert "no such host" in report["results"][0]["error"] and report["results"][1]["error"] is None and report["chunks"] == 1
 
 
-def test_the_store_after_a_crash(engine, spark):
-    engine.refresh_index()
-    store, root = engine.store, engine.store.root
-    before = sorted(map(str, store.chunks().collect()))
-    # New chunks stand ready, and the store is opened again before they were taken over.
-    take, store._take_over = store._take_over, lambda: None
-    store.replace_branches(store.chunks().where("branch = 'main'").withColumn("heading", F.lit("h")), [("o/turnos", "main"), ("o/turnos", "dev")])
-    assert sorted(map(str, store.chunks().collect())) == before
-    again = Store(spark, root)
-    assert {(r["branch"], r["heading"]) for r in again.chunks().where("repo = 'o/turnos'").collect()} == {("main", "h"), ("feat/new", "Login")}
-    # A table was set aside and its follower never came.
-    store._move(f"{root}/runs", f"{root}/runs.old")
-    assert Store(spark, root).runs().count() == 4
-    # A table that can't be read is set aside on opening.
-    for path, _, names in os.walk(f"{root}/postings".removeprefix("file://")):
+def spoil(folder):
+    for path, _, names in os.walk(folder.removeprefix("file://")):
         for name in names:
             if name.endswith(".parquet"):
                 with open(f"{path}/{name}", "wb") as f:
                     f.write(b"no parquet at all")
             if name.endswith(".crc"):
                 os.remove(f"{path}/{name}")
+
+
+def test_the_store_after_a_crash(engine, spark, monkeypatch):
+    engine.refresh_index()
+    store, root = engine.store, engine.store.root
+    before, index, number = sorted(map(str, store.chunks().collect())), whole(store.index()), store.snapshot().number
+    # A refresh breaks off at each of its steps: nobody sees any of it, and the next one clears it away.
+    others = store.chunks().where("branch = 'main'").withColumn("heading", F.lit("h"))
+    for step in ("_index", "_commit", "_mark", "_move"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                store.replace_branches(others, [("o/turnos", "main"), ("o/turnos", "dev")], "m")
+        again = Store(spark, root)
+        assert again.snapshot().number == number and sorted(map(str, again.chunks().collect())) == before and whole(again.index()) == index
+    again.replace_branches(others, [("o/turnos", "main"), ("o/turnos", "dev")], "m")
+    assert {(r["branch"], r["heading"]) for r in again.chunks().where("repo = 'o/turnos'").collect()} == {("main", "h"), ("feat/new", "Login")}
+    assert {(r["branch"], r["model"], r["chunks"]) for r in again.runs().where("repo = 'o/turnos'").collect()} == {("main", "m", 2), ("dev", "m", 0), ("feat/new", "words-v1", 1)}
+    # Tables that can't be read are set aside on opening; what the chunks tell is made anew.
+    index = whole(again.index())
+    spoil(f"{root}/postings")
     opened = Store(spark, root)
-    assert len(opened.set_aside) == 1 and "postings.corrupt" in opened.set_aside[0] and opened.postings().count() == 0
+    assert len(opened.set_aside) == 1 and "postings.corrupt" in opened.set_aside[0] and whole(opened.index()) == index
+    spoil(f"{root}/chunks")
+    opened = Store(spark, root)
+    assert "chunks.corrupt" in opened.set_aside[0] and opened.chunks().count() == opened.runs().count() == opened.texts().count() == 0
+
+
+def test_readers_see_a_refresh_as_a_whole(engine, spark, tmp_path):
+    """Who holds a snapshot goes on reading it, files and all, while others commit and clear away; who asks anew
+    sees chunks, texts, index and runs of one state only."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    scopes = [("o/a", "main"), ("o/a", "dev"), ("o/b", "main")]
+
+    def write(k, some=scopes):
+        rows = [(k * 100 + i, r, b, f"state{k}") for i, (r, b) in enumerate(some)]
+        chunks = spark.createDataFrame(rows, "chunk_id long, repo string, branch string, content string")
+        chunks = chunks.selectExpr("*", "'p' AS path", "repo AS alias", "0 AS chunk_index", "'h' AS heading", "sha2(content, 256) AS content_hash", "array(1F, 2F) AS embedding", "2 AS dimensions", "current_timestamp() AS indexed_at")
+        store.replace_branches(chunks, some, f"m{k}")
+
+    write(0)
+    held, seen, stop = store.snapshot(), [], threading.Event()
+    chunks, texts = held.chunks(), held.texts()
+
+    def read():
+        while not stop.is_set():
+            now = Store(spark, store.root).snapshot()
+            told = {r["content"] for r in now.chunks().select("content").collect()}, {r["term"] for r in now.index().terms.where("term LIKE 'state%'").collect()}, {r["model"].replace("m", "state") for r in now.runs().collect()}
+            seen.append((now.number, now.chunks().count(), now.texts().count(), told))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for k in (1, 2, 3):
+        write(k)
+    stop.set()
+    reader.join()
+    assert len(seen) > 1
+    for _, n, m, (contents, terms, models) in seen:
+        assert n == 3 and m == 2 and len(contents) == 1 and contents == terms == models
+    assert {r["content"] for r in chunks.collect()} == {"state0"} and texts.count() == 2  # planned before, read after
+    assert {r["content"] for r in held.chunks().collect()} == {"state0"}
+    late = Store(spark, store.root, retain=0)
+    late.prune({"o/a": ["main"]})
+    assert {(r["repo"], r["branch"]) for r in late.runs().collect()} == {(r["repo"], r["branch"]) for r in late.live().collect()} == {("o/a", "main"), ("o/b", "main")}
+    assert late.texts().where("repo = 'o/a'").first()["members"][0]["branch"] == "main" and late.texts().count() == 2
+    late.prune({"o/a": ["x"], "o/b": ["main"]})
+    now = late.snapshot()
+    assert late.chunks().count() == late.texts().count() == 1 and len(late._commits()) <= 3
+    late._sweep()
+    assert late._commits() == [now.number] and late._segments() == {*now.live_segments, *now.home_segments}
+
+
+def test_counts_are_taken_by_the_job_that_writes(engine, spark, monkeypatch):
+    """What a refresh counted as none on its way is not looked for again."""
+    told, counted = [], Store.counted
+    monkeypatch.setattr(Store, "counted", lambda *a, **k: told.append((a[1], counted(*a, **k))) or told[-1][1])
+    engine.refresh_index()
+    first = {name: c for name, (_, c) in told if c}
+    assert first == {"files": {"skipped": 0}, "cut": {"skipped": 0}, "vectors": {"skipped": 0, "fatal": 0, "fresh": 4}}
+    told.clear()
+    monkeypatch.setattr(Indexer, "_skipped", None)
+    monkeypatch.setattr(Indexer, "_first_of", None)
+    assert engine.refresh_index()["failed"] == 0 and {name: c for name, (_, c) in told}["vectors"]["fresh"] == 0
 
 
 def whole(index):
@@ -229,7 +297,7 @@ def whole(index):
 def test_the_index_grows_by_segments(engine, spark):
     """After random replacements the index and the texts are those that a full rebuild gives, only replaced
     branches were tokenized, and segments were merged."""
-    store, r = engine.store, random.Random(4)
+    store, r = Store(spark, engine.store.root, retain=0), random.Random(4)
     words = [f"word{k}" for k in range(30)]
     branches = [(f"o/r{k}", b) for k in range(4) for b in ("main", "dev", "x")]
     seen = set()
@@ -243,9 +311,9 @@ def test_the_index_grows_by_segments(engine, spark):
         chunks = spark.createDataFrame(rows, "chunk_id long, repo string, branch string, path string, content string")
         chunks = chunks.selectExpr("*", "repo AS alias", "0 AS chunk_index", "'h' AS heading", "sha2(content, 256) AS content_hash", "array(1F, 2F) AS embedding", "2 AS dimensions", "current_timestamp() AS indexed_at")
         store.replace_branches(chunks, some)
-        store.update_index(some)
         seen.add(len({x["segment"] for x in store.live().collect()}))
         newest = store.postings().where(f"segment = {max(store._segments())}")
+        assert {(x["repo"], x["branch"]) for x in store.live().collect()} == {(x["repo"], x["branch"]) for x in store.chunks().select("repo", "branch").distinct().collect()}
         if step in (1, 2):
             assert {x["scope"] for x in newest.select("scope").distinct().collect()} <= {x["scope"] for x in store.live().where(F.concat_ws("@", "repo", "branch").isin([f"{a}@{b}" for a, b in some])).collect()}
     assert max(seen) < 10 and len(seen) > 1
@@ -255,7 +323,7 @@ def test_the_index_grows_by_segments(engine, spark):
     assert whole(store.index()) == grown and len({x["segment"] for x in store.live().collect()}) == 1
     assert sorted(map(str, store.texts().select("repo", "path", "content_hash", "members").collect())) == texts
     assert whole(search.index_of(store.chunks())) == grown and some_terms == [x for x in grown[1] if x[1] in ("word3", "word4")]
-    store.update_index([branches[0]])
+    store.replace_branches(store.chunks().limit(0), [branches[0]])
     assert len(store._segments()) < 4  # dead segments went
 
 
@@ -265,18 +333,34 @@ def test_a_store_of_an_older_version(engine, spark):
     engine.refresh_index()
     store = engine.store
     before = whole(store.index())
-    for name in ("postings", "terms", "lengths", "live", "texts"):
-        store._drop_table(name)
-    spark.range(1).write.parquet(f"{store.root}/stats")
-    store._move(f"{store.root}/version={VERSION}", f"{store.root}/version=2")
-    engine.indexer.store = engine.store = again = Store(spark, store.root)
-    assert whole(again.index()) == before and again.cache().count() == 4 and not again._exists(f"{store.root}/stats")
+    chunks, runs = sorted(map(str, store.chunks().collect())), sorted(map(str, store.runs().collect()))
+
+    def aged(version):
+        """The store as that version kept it."""
+        store.chunks().write.partitionBy("repo", "branch").parquet(f"{store.root}/of-old")
+        store.runs().write.parquet(f"{store.root}/runs")
+        for name in ("chunks", "postings", "terms", "lengths", "texts", "snapshots", "commits"):
+            store._drop_table(name)
+        store._move(f"{store.root}/of-old", f"{store.root}/chunks")
+        spark.range(1).write.parquet(f"{store.root}/{'stats' if version == 2 else 'live'}")
+        store._move(f"{store.root}/version={VERSION}", f"{store.root}/version={version}")
+
+    for version in (4, 2):
+        aged(version)
+        if version == 4:  # broken off between the renames
+            store._move(f"{store.root}/chunks", f"{store.root}/chunks.v4")
+            store._move(f"{store.root}/runs", f"{store.root}/runs.old")
+        engine.indexer.store = engine.store = again = Store(spark, store.root)
+        assert whole(again.index()) == before and again.cache().count() == 4
+        assert (sorted(map(str, again.chunks().collect())), sorted(map(str, again.runs().collect()))) == (chunks, runs)
+        assert not any(again._exists(f"{store.root}/{name}") for name in ("stats", "live", "runs", "chunks.v4"))
     assert engine.search_project_docs("token login").first()["heading"] == "Login"
     assert engine.refresh_index()["embedded"] == 0
-    # Broken off while the index was written: it is built anew on opening.
-    again._fs.mkdirs(again._path(f"{store.root}/index.pending"))
-    again._drop_table("live")
-    assert whole(Store(spark, store.root).index()) == before
+    # Branches that were being replaced have no run any more, so they are refreshed.
+    aged(4)
+    spark.createDataFrame([("o/turnos", "dev")], "repo string, branch string").write.parquet(f"{store.root}/chunks.scopes")
+    again = Store(spark, store.root)
+    assert again.runs().count() == 3 and again.chunks().count() == 6 and not again._exists(f"{store.root}/chunks.scopes")
     again._move(f"{store.root}/version={VERSION}", f"{store.root}/version=99")
     assert Store(spark, store.root).chunks().count() == 0  # unknown: starts anew
 
