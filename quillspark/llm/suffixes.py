@@ -26,6 +26,7 @@ row. A row sends nothing to ranges in which it has no records, so blobs never ou
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from functools import cached_property, partial
 
@@ -49,12 +50,13 @@ HASH_BITS = 48
 #: Segments have about so many string starts, and at most SEGMENT_MOST.
 SEGMENT, SEGMENT_MOST = 128, 4096
 #: Bytes of text whose segments, or minimizers, make up a range; string starts that make up one.
-SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 1_000_000
+SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 2_000_000
 #: Strings drawn for each range, of which one parts it from the next.
 DRAWN = 24
 NO_ID = (1 << 63) - 1  # a null doc_id counts as the largest, as 2^63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_KINDS = {k.str.encode(): k for k in map(np.dtype, ("u1", "<u2", "<u4", "<u8", "i1", "<i2", "<i4", "<i8"))}
 
 
 # --- minimizers -------------------------------------------------------------------------------
@@ -104,24 +106,41 @@ class Minimizers:
 # --- packed rows ------------------------------------------------------------------------------
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, a line for each place of a byte in them."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+
+
+def _head(kinds: list[bytes], sizes: list[int]) -> bytes:
+    return struct.pack("<q" + "8sq" * len(kinds), len(kinds), *(x for pair in zip(kinds, sizes) for x in pair))
+
+
 def _squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers, byte planes apart, compressed."""
-    parts = [np.array([len(arrays)], "<i8").tobytes()]
-    for a in arrays:
-        parts += [a.dtype.str.encode().ljust(8), np.array([len(a)], "<i8").tobytes()]
-        parts.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-    return zstandard.compress(b"".join(parts), 1)
+    head = _head([a.dtype.str.encode() for a in arrays], [len(a) for a in arrays])
+    return _ZIP.compress(b"".join([head, *(a.tobytes() if a.itemsize == 1 else _planes(a).tobytes() for a in arrays)]))
+
+
+def _squeezed(columns: list[np.ndarray], cut: np.ndarray) -> list[bytes]:
+    """_squeeze of each stretch of columns of one length, whose planes are taken once."""
+    kinds, planes = [c.dtype.str.encode() for c in columns], np.concatenate([_planes(c) for c in columns])
+    return [_ZIP.compress(_head(kinds, [b - a] * len(kinds)) + np.ascontiguousarray(planes[:, a:b]).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def _unsqueeze(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    out, at = [], 8
-    for _ in range(int(np.frombuffer(raw, "<i8", 1)[0])):
-        kind, n = np.dtype(raw[at : at + 8].decode().strip()), int(np.frombuffer(raw, "<i8", 1, at + 8)[0])
-        at += 16
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += n * kind.itemsize
+    raw = _UNZIP.decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    told, at, out = struct.unpack_from("<" + "8sq" * n, raw, 8), 8 + 16 * n, []
+    for kind, size in zip(told[::2], told[1::2]):
+        kind = _KINDS[kind.rstrip(b"\0")]
+        if kind.itemsize == 1:
+            out.append(np.frombuffer(raw, kind, size, at))
+        else:
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size).T).view(kind).ravel())
+        at += size * kind.itemsize
     return out
 
 
@@ -240,7 +259,12 @@ def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For rows of keys (not negative), the first key first: each one's place among the distinct ones in
     order, and where one of each is. Narrow neighbours are joined into one number before sorting; if
     the rows' numbers fit behind it, plain numbers are sorted, which is several times faster."""
-    packed, room = [], 0
+    packed, room, wides = [], 0, [int(k.max(initial=0)).bit_length() for k in keys]
+    if len(keys) > 1 and sum(wides) > 64:  # wide ones by their ranks, since plain numbers sort faster than rows
+        least = len(keys[0]).bit_length()
+        keys = [_kinds([k])[0] if w > least else k for k, w in zip(keys, wides)]
+        while len(keys) > 2:
+            keys = [_kinds(keys[:2])[0], *keys[2:]]
     for k in keys:
         wide = int(k.max(initial=0)).bit_length()
         if packed and wide <= room:
@@ -386,9 +410,11 @@ class Distinct:
             yield int(b), self.turn[self.bound[b] : self.bound[b + 1]]
 
     def rows(self, g: int, columns: list[np.ndarray]) -> pd.DataFrame:
-        """Rows (b, g, blob): columns of the distinct ones, smallest owner and whether there are several."""
-        out = [(b, g, _squeeze(*(_narrow(c[own]) for c in columns), _narrow(self.low[own]), np.packbits(self.several[own]))) for b, own in self.parts()]
-        return pd.DataFrame(out, columns=["b", "g", "blob"])
+        """Rows (b, g, blob): for each range that has some of the distinct ones, these: columns, smallest
+        owner and whether there are several."""
+        some = np.flatnonzero(np.diff(self.bound))
+        blobs = _squeezed([_narrow(c[self.turn]) for c in (*columns, self.low, self.several.view(np.uint8))], np.append(self.bound[some], self.bound[-1]))
+        return pd.DataFrame({"b": some, "g": g, "blob": blobs})
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -399,32 +425,34 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's records lie in the columns of all, and these."""
+    got = [_unsqueeze(x) for x in frame["blob"]]
+    return common.offsets([len(x[0]) for x in got]), [np.concatenate(x) for x in zip(*got)]
+
+
 def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
     """One range of sorted triples: named by their rank, from 1, with the mark "in several documents".
     `n` is the number of names."""
-    got = [_unsqueeze(x) for x in frame["blob"]]
-    cut = common.offsets([len(x[0]) for x in got])
-    keys = [np.concatenate([x[k] for x in got]) for k in range(width)]
-    low = np.concatenate([x[width].astype(np.int64) for x in got])
-    several = np.concatenate([np.unpackbits(x[width + 1])[: len(x[0])] for x in got]).astype(bool)
+    cut, (*keys, low, several) = _gathered(frame)
+    low = low.astype(np.int64)
     kind, first = _kinds(keys)
     least, most, many = np.full(len(first), NO_ID), np.full(len(first), -NO_ID), np.zeros(len(first), bool)
     np.minimum.at(least, kind, low)
     np.maximum.at(most, kind, low)
-    np.logical_or.at(many, kind, several)
+    many[kind[several > 0]] = True
     many |= least != most
-    blobs = [_squeeze(_narrow(kind[a:b] + 1), np.packbits(many[kind[a:b]])) for a, b in zip(cut, cut[1:])]
-    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "n": len(first), "blob": blobs})
+    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "n": len(first), "blob": _squeezed([_narrow(kind + 1), many[kind].view(np.uint8)], cut)})
 
 
 def _names_of(told: pd.DataFrame, base: np.ndarray, own: Distinct) -> tuple[np.ndarray, np.ndarray]:
     """Global names of a row's distinct triples, and which of them occur in several documents."""
     name, several = np.zeros(len(own.at), np.int64), np.zeros(len(own.at), bool)
-    for b, blob in zip(told["b"], told["blob"]):
-        local, bits = _unsqueeze(blob)
-        at = own.turn[own.bound[b] : own.bound[b + 1]]
-        name[at] = local.astype(np.int64) + base[b]
-        several[at] = np.unpackbits(bits)[: len(local)]
+    if len(told):  # every range that has some of them has answered, and these follow one another
+        told = told.sort_values("b")
+        cut, (local, many) = _gathered(told)
+        name[own.turn] = local.astype(np.int64) + np.repeat(base[told["b"]], np.diff(cut))
+        several[own.turn] = many > 0
     return name, several
 
 
@@ -462,32 +490,18 @@ def _below(sorted_keys: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
 
 def _owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One range of strings: sorted, and each one's smallest owner told where it is another."""
-    classes: list[list] = [[], [], []]
-    owner, counts = [], []
-    for blob in frame["blob"]:
-        kind, t0, t1, y, z, ra, rb, low, _ = _unsqueeze(blob)
-        cut = np.searchsorted(kind, np.arange(4))
-        none = np.zeros(len(kind), np.uint8)
-        for c, (r0, r1, r2) in enumerate(((none, ra, rb), (ra, rb, none), (ra, none, rb))):
-            classes[c].append([x[cut[c] : cut[c + 1]] for x in (t0, t1, y, z, r0, r1, r2)])
-        owner.append([low[cut[c] : cut[c + 1]].astype(np.int64) for c in range(3)])
-        counts.append(np.diff(cut))
-    zero, one, two = ([np.concatenate(x) for x in zip(*c)] for c in classes)
-    low = np.concatenate([np.concatenate([o[c] for o in owner]) for c in (1, 2, 0)])
+    cut, (kind, t0, t1, y, z, ra, rb, low, _) = _gathered(frame)
+    low, none = low.astype(np.int64), np.zeros(len(kind), np.uint8)
+    of = [np.flatnonzero(kind == c) for c in range(3)]
+    ranks = (none, ra, rb), (ra, rb, none), (ra, none, rb)
+    zero, one, two = ([x[at] for x in (t0, t1, y, z, *r)] for at, r in zip(of, ranks))
     order, new = merge(one, two, zero)
-    head = np.flatnonzero(new)
+    order, head = np.concatenate([of[1], of[2], of[0]])[order], np.flatnonzero(new)
     least = np.empty(len(order), np.int64)
-    if len(head):
-        least[order] = np.repeat(np.minimum.reduceat(low[order], head), np.diff(np.append(head, len(order))))
-    # Back to the rows, whose records are ordered by class.
-    at = dict(zip((1, 2, 0), common.offsets([len(one[0]), len(two[0]), len(zero[0])])))
-    blobs = []
-    for count in counts:
-        mine = np.concatenate([np.arange(at[c], at[c] + count[c]) for c in range(3)])
-        for c in range(3):
-            at[c] += count[c]
-        less = np.flatnonzero(least[mine] < low[mine])
-        blobs.append(_squeeze(_narrow(less), least[mine][less]))
+    least[order] = np.repeat(np.minimum.reduceat(low[order], head), np.diff(np.append(head, len(order))))
+    less = np.flatnonzero(least < low)
+    bound = np.searchsorted(less, cut)
+    blobs = _squeezed([_narrow(less - np.repeat(cut[:-1], np.diff(bound))), _narrow(least[less])], bound)
     return pd.DataFrame({"g": frame["g"], "b": frame["b"], "blob": blobs})
 
 
@@ -591,9 +605,9 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         held = Left(left["blob"].iloc[0], plan.size)
         place, owner, own, _ = strings(held, told[told["level"] < 3])
         least, found = own.low.copy(), told[told["level"] == 3]
-        for b, blob in zip(found["b"], found["blob"]):
-            less, to = _unsqueeze(blob)
-            least[own.turn[own.bound[b] : own.bound[b + 1]][less.astype(np.int64)]] = to
+        if len(found):
+            cut, (less, to) = _gathered(found)
+            least[own.turn[less.astype(np.int64) + np.repeat(own.bound[found["b"]], np.diff(cut))]] = to
         hit = place[least[own.kind] < owner]
         run = np.searchsorted(held.at, hit, side="right") - 1
         start = np.sort(hit - held.at[run] + held.of[run])
@@ -710,15 +724,23 @@ def repeated_spans(docs: DataFrame, size: int, part: int, pack_bytes: int, start
         others = np.setdiff1d(mine, mine[first])
         for i, j in zip(others, mine[first][np.searchsorted(kinds, own.kind[others])]):
             start[own.start[i] : own.end[i]] |= start[own.start[j] : own.end[j]]
-        at = np.flatnonzero(start)
-        return doc, cut, data, _covered(len(data), at, at + size)
+        turn = _turns(start)
+        return doc, cut, data, _covered(len(data), turn[::2], turn[1::2] + size - 1)
 
     return packed.select("g", "blob"), runs, mark
 
 
 def _covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges."""
-    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:-1] > 0
+    out = np.zeros(n + 1, np.int32)
+    np.add.at(out, start, 1)
+    np.add.at(out, end, -1)
+    return np.cumsum(out, out=out)[:-1] > 0
+
+
+def _turns(on: np.ndarray) -> np.ndarray:
+    """Where runs of marked places begin and end, in turn."""
+    return np.flatnonzero(np.concatenate([on, [False]]) != np.concatenate([[False], on]))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -744,12 +766,16 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, part: int = PART, pack_b
         blob = left["blob"].iloc[0]
         doc, cut, data, covered = mark(blob, right)
         ids = _table(blob)["doc_id"].to_pylist()
-        rows = []
-        for a, b in zip(cut, cut[1:]):
-            own = covered[a:b]
-            turn = np.flatnonzero(np.diff(own, prepend=False, append=False))
-            spans = [{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist())]
-            rows.append((int(b - a), spans, (data[a:b][~own] if spans else data[a:b]).tobytes()))
+        rows, turn = [], _turns(covered)
+        first, last = np.searchsorted(turn, cut[:-1], side="right"), np.searchsorted(turn, cut[1:])
+        for a, b, i, j in zip(cut.tolist(), cut[1:].tolist(), first.tolist(), last.tolist()):
+            own = (turn[i:j] - a).tolist()
+            if b > a and covered[a]:
+                own.insert(0, 0)
+            if len(own) % 2:
+                own.append(b - a)
+            spans = [{"start": s, "end": e} for s, e in zip(own[::2], own[1::2])]
+            rows.append((b - a, spans, (data[a:b][~covered[a:b]] if spans else data[a:b]).tobytes()))
         frame = pd.DataFrame(rows, columns=["n_bytes", "spans", "kept"])
         return frame.assign(doc_id=pd.array(ids, "Int64"))[["doc_id", "n_bytes", "spans", "kept"]]
 

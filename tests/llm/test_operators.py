@@ -464,3 +464,35 @@ def test_registry_digests(spark, tmp_path):
     assert got[0]["kept_sha256"] == hashlib.sha256(b"").hexdigest() and got[5]["n_removed"] == got[5]["n_bytes"] and got[5]["n_spans"] == 1
     hit = {r["doc_id"]: r for r in decontaminate.op8_benchmark_decontamination(spark, str(tmp_path)).collect()}
     assert hit[4]["contaminated"] and hit[4]["items_sha256"] == hashlib.sha256(b"0").hexdigest() and not hit[0]["contaminated"]
+
+
+# --- blobs for many ranges
+
+
+def test_columns_of_many_ranges_are_packed_once(monkeypatch):
+    """What a packed row does for each range is only to compress, so many ranges cost little."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 6000).astype(np.uint8)
+    held = suffixes.Left(suffixes._squeeze(np.zeros(1, np.int64), np.array([5951]), np.zeros(1, np.int64), text), 50)
+    place, owner = held.starts(18, False)
+    narrow, calls = suffixes._narrow, []
+    monkeypatch.setattr(suffixes, "_narrow", lambda x: calls.append(len(x)) or narrow(x))
+    some = np.sort(text[: 18 * 300].reshape(300, 18).copy().view("S18").ravel()).view(np.uint8)
+    splits = suffixes.Left.words(type("", (), {"text": some}), np.arange(300) * 18, 18)
+    own = suffixes.Distinct(held, place, 18, held.names(place, 18), owner, splits)
+    told = own.rows(3, [own.at])
+    assert len(told) > 200 and len(calls) == 3
+    got = [suffixes._unsqueeze(x) for x in told["blob"]]
+    for (b, part), (at, low, several), k in zip(own.parts(), got, told["b"]):
+        assert b == k and at.tolist() == own.at[part].tolist() and not low.any() and not several.any()
+
+
+def test_wide_keys_sort_like_rows():
+    rng = np.random.default_rng(6)
+    some = rng.integers(1 << 60, 1 << 63, 40).astype(np.uint64)
+    keys = [some[rng.integers(40, size=5000)], some[rng.integers(40, size=5000)], rng.integers(0, 9, 5000)]
+    kind, first = suffixes._kinds(keys)
+    order = np.lexsort(keys[::-1])
+    rows = list(zip(*(k[order].tolist() for k in keys)))
+    assert kind[order].tolist() == np.cumsum([i > 0 and r != rows[i - 1] for i, r in enumerate(rows)]).tolist()
+    assert all((k[first][kind] == k).all() for k in keys)
