@@ -72,6 +72,19 @@ def postings(chunks: DataFrame, only: DataFrame | None = None, carry: tuple[str,
     return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in carry))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """term, df (chunks that have it), cf (times it occurs), n (all chunks), avgdl. Counts are summed where the
+    chunks lie, whole rows at a time, so a task holds its distinct terms and no pairs of term and chunk;
+    what belongs to no term is counted in the same pass, under null."""
+    count = lambda words, df, cf: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf")))
+    words = F.concat(*(f"_{c}" for c in WEIGHTS))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("df"), F.size("words").alias("cf")))
+    each = _tokenized(chunks).select(words.alias("words")).select(F.explode(F.concat(whole, count(F.array_distinct("words"), 1, 0), count("words", 0, 1))).alias("t"))
+    counts = shared.materialize(each.groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.cf").alias("cf")), "term-counts")
+    stats = counts.where("term IS NULL").select(F.col("df").alias("n"), (F.col("cf") / F.col("df")).alias("avgdl"))
+    return counts.where("term IS NOT NULL").join(F.broadcast(stats), how="cross")
+
+
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n (all chunks), avgdl."""
     return _tokenized(chunks).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))

@@ -243,9 +243,7 @@ st AS (SELECT (SELECT count(*) FROM corpus) AS n, (SELECT sum(dl) FROM len) / (S
 @query(f"""WITH {CORPUS}, {INDEX}
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, any_value(n) AS n, round(any_value(avgdl), 4) AS avgdl FROM post, st GROUP BY term""")
 def q_bm25_stats(spark, sf_dir):
-    chunks = corpus(spark, sf_dir)
-    terms = search.postings(chunks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return terms.join(F.broadcast(search.corpus_stats(chunks)), how="cross").withColumn("avgdl", F.round("avgdl", 4))
+    return search.term_counts(corpus(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 4))
 
 
 def bm25_sql(scope: str) -> str:

@@ -125,3 +125,22 @@ def test_paths(spark):
     cases = [("a.MDX", "**", True), ("x/a.md", "*.md", False), ("a.md", "*.md", True), ("docs/x/a.md", "docs/**", True), ("docs/a.ts", "docs/**", False), ("a.ts", "a.ts", True)]
     got = spark.createDataFrame(cases, "p string, g string, w boolean").select(tx.matches_pattern(F.col("p"), F.col("g")).alias("m"), "w").collect()
     assert all(r["m"] == r["w"] for r in got)
+
+
+def test_term_counts_hold_no_pairs_of_term_and_chunk(spark, chunks, monkeypatch):
+    from quillspark.queries import QUERIES
+
+    want: dict[str, list] = {}
+    for r in ROWS:
+        words = [w for t in (r[5], r[4], r[6]) for w in spark.range(1).select(tx.tokens(F.lit(t))).first()[0]]
+        for w in words:
+            held = want.setdefault(w, [set(), 0])
+            held[0].add(r[0])
+            held[1] += 1
+    got = {r["term"]: r for r in search.term_counts(chunks).collect()}
+    assert {t: (r["df"], r["cf"]) for t, r in got.items()} == {t: (len(ids), n) for t, (ids, n) in want.items()}
+    total = sum(n for _, n in want.values())
+    assert {(r["n"], round(r["avgdl"], 9)) for r in got.values()} == {(len(ROWS), round(total / len(ROWS), 9))}
+    assert search.term_counts(chunks.limit(0)).collect() == []
+    monkeypatch.delattr(search, "postings")
+    assert QUERIES["q_bm25_stats"](spark, "/root/testdata/sf0.001").count() > 0
