@@ -26,6 +26,8 @@ KEYWORD_LIMIT = 200
 RRF_K = 60
 #: Rows of query terms that are broadcast; more of them meet the postings by a shuffle.
 MOST_TERMS = 1 << 19
+#: Chunks whose postings and scores one task adds up, where their number is known.
+CHUNKS = 2048
 
 
 @dataclass
@@ -60,15 +62,17 @@ def _tokenized(chunks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return held.withColumn("dl", sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).cast("long"))
 
 
-def postings(chunks: DataFrame, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def postings(chunks: DataFrame, only: DataFrame | None = None, carry: tuple[str, ...] = (), n: int | None = None) -> DataFrame:
     """The postings of an index, with the chunks' columns `carry`; with `only` (term), of these terms. A chunk's length comes from its own
     row, so lengths need no join, and words that nobody asks for go no further. Rows are dealt out by
-    chunk, which is how scores add up too."""
+    chunk, which is how scores add up too; with `n`, the number of chunks or more, to tasks of so many
+    chunks (CHUNKS) that neither postings nor scores in a task grow with their number."""
     parts = [_weighted(f"_{c}", w) for c, w in WEIGHTS.items()]
-    dealt = _tokenized(chunks.select("chunk_id", *WEIGHTS, *carry).repartition("chunk_id"), carry)
+    tasks = [] if n is None else [max(1, -(-n // CHUNKS), min(chunks.sparkSession.sparkContext.defaultParallelism, n // 256))]
+    dealt = _tokenized(chunks.select("chunk_id", *WEIGHTS, *carry).repartition(*tasks, "chunk_id"), carry)
     each = dealt.select("chunk_id", "dl", *carry, F.explode(F.concat(*parts)).alias("t")).select("chunk_id", "dl", *carry, "t.*")
     if only is not None:
-        each = each.join(only.select("term").distinct(), "term", "left_semi")
+        each = each.join(small(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("term", "chunk_id").agg(F.sum("w").alias("wtf"), F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in carry))
 
 
@@ -90,18 +94,21 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return _tokenized(chunks).agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
 
 
-def index_of(chunks: DataFrame, only: DataFrame | None = None) -> Index:
+def index_of(chunks: DataFrame, only: DataFrame | None = None, posted: DataFrame | None = None) -> Index:
     """An index that is not stored. Document frequencies, the number of chunks and their mean length are
-    counted in one pass, written; counts are summed where the chunks lie."""
+    counted in one pass, written; counts are summed where the chunks lie. With `posted`, some of the
+    chunks, only these have postings."""
     words = F.array_distinct(F.concat(*(f"_{c}" for c in WEIGHTS)))
     none = F.array(F.lit(None).cast("string"))  # stands for the chunk itself
     each = _tokenized(chunks).select("dl", F.explode(F.concat(none, words)).alias("term"))
     if only is not None:
-        asked = only.select("term").distinct().withColumn("_asked", F.lit(True))
+        only = shared.materialize(only.select("term").distinct(), "asked-terms")
+        asked = only.withColumn("_asked", F.lit(True))
         each = each.join(F.broadcast(asked) if asked.count() <= MOST_TERMS else asked, "term", "left").where("_asked OR term IS NULL")
     counts = shared.materialize(each.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")), "terms")
     whole = counts.where("term IS NULL").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    return Index(postings(chunks, only), counts.where("term IS NOT NULL").select("term", "df"), whole)
+    n = (whole.first() or {"n": 0})["n"]
+    return Index(postings(chunks if posted is None else posted, only, n=n), counts.where("term IS NOT NULL").select("term", "df"), whole)
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -137,11 +144,13 @@ def bm25(queries: DataFrame, index: Index) -> DataFrame:
     return index.postings.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
-def keyword_ranks(scored: DataFrame, scope: DataFrame, limit: int = KEYWORD_LIMIT) -> DataFrame:
+def keyword_ranks(scored: DataFrame, scope: DataFrame, limit: int = KEYWORD_LIMIT, within: bool = False) -> DataFrame:
     """scope (chunk_id and what is to come along) -> query_id, chunk_id, keyword_rank of the best chunks in
     it. Sums in another order may differ in the last digits, so ranks go by nine decimals, then
-    chunk_id."""
+    chunk_id. If all that is scored lies in the scope (`within`), only the best `limit` look for it there."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "chunk_id")
+    if within:
+        scored = scored.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= limit).drop("keyword_rank")
     return scored.join(scope, "chunk_id").withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= limit)
 
 

@@ -261,7 +261,7 @@ kw AS (SELECT * FROM (SELECT sc.*, CAST(row_number() OVER (PARTITION BY query_id
 def q_bm25_topk(spark, sf_dir):
     chunks = corpus(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    best = search.keyword_ranks(search.bm25(asked, search.index_of(chunks, search.terms_of(asked))), chunks.select("chunk_id"))
+    best = search.keyword_ranks(search.bm25(asked, search.index_of(chunks, search.terms_of(asked))), chunks.select("chunk_id"), within=True)
     return best.select("query_id", "chunk_id", "keyword_rank", F.round("bm25", 5).alias("score"))
 
 
@@ -272,7 +272,8 @@ def q_blockmax_topk(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     index = search.index_of(chunks, search.terms_of(asked))
     mine = search.in_scope(chunks, branch="dev")
-    posted = shared.materialize(search.postings(mine, search.terms_of(asked), ("repo",)), "postings")
+    whole = index.stats.first()
+    posted = shared.materialize(search.postings(mine, search.terms_of(asked), ("repo",), whole["n"] if whole else 0), "postings")
     blocks = shared.materialize(blockmax.blocks_of(posted, ("repo",)).sortWithinPartitions("term"), "blocks")
     found = blockmax.top(asked, blocks, index, mine.select("chunk_id", "path"))
     return found.hits.select("query_id", "chunk_id", "keyword_rank", "path", F.round("bm25", 5).alias("score"))

@@ -144,3 +144,20 @@ def test_term_counts_hold_no_pairs_of_term_and_chunk(spark, chunks, monkeypatch)
     assert search.term_counts(chunks.limit(0)).collect() == []
     monkeypatch.delattr(search, "postings")
     assert QUERIES["q_bm25_stats"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_chunks_are_dealt_to_tasks_of_a_size(spark, monkeypatch):
+    rows = [(i, f"h{i % 3}", f"p/{i}.md", f"pago {'tarjeta ' * (i % 5)} x{i % 7}") for i in range(2000)]
+    held = spark.createDataFrame(rows, "chunk_id long, heading string, path string, content string")
+    terms = search.terms_of(ask(spark, "pago tarjeta"))
+    monkeypatch.setattr(search, "CHUNKS", 20)
+    index = search.index_of(held, terms)
+    assert index.postings.rdd.getNumPartitions() == 100
+    asked = ask(spark, "pago tarjeta")
+    want = [r for r in search.keyword_ranks(search.bm25(asked, index), held.select("chunk_id")).collect()]
+    some = search.index_of(held, terms, held.where("chunk_id < 900"))
+    assert {r["chunk_id"] for r in some.postings.select("chunk_id").distinct().collect()} == set(range(900))
+    assert sorted(some.terms.collect()) == sorted(index.terms.collect()) and some.stats.collect() == index.stats.collect()
+    got = search.keyword_ranks(search.bm25(asked, index), held.select("chunk_id"), within=True).collect()
+    key = lambda r: (r["query_id"], r["keyword_rank"], r["chunk_id"], round(r["bm25"], 9))
+    assert len(want) == search.KEYWORD_LIMIT and sorted(map(key, got)) == sorted(map(key, want))
