@@ -72,8 +72,12 @@ corpus AS (
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_vectors(spark, sf_dir, corpus(spark, sf_dir))
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vx.normalized(F.col("embedding")).alias("embedding"))
-    return corpus(spark, sf_dir).join(vectors, "doc_id", "left")
+    return chunks.join(vectors, "doc_id", "left")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +308,12 @@ FROM po WHERE position <= 5"""
 
 
 def _hybrid(spark, sf_dir, branch=None):
-    """Documents without a vector are found by their words alone."""
-    hits = search.hybrid_search(questions(spark, sf_dir), embedded(spark, sf_dir), branch=branch)
+    """Documents without a vector are found by their words alone. Vectors meet hashes of texts; the words are
+    read where the texts lie."""
+    chunks = corpus(spark, sf_dir)
+    hashed = search.in_scope(chunks, branch=branch).withColumn("content_hash", F.sha2("content", 256)).drop("content")
+    texts = shared.materialize(search.texts_of(with_vectors(spark, sf_dir, hashed)), "texts")
+    hits = search.hybrid_search(questions(spark, sf_dir), chunks, branch=branch, texts=texts)
     return hits.select("query_id", "position", "repo", "path", F.array_join("branches", ",").alias("branches"), "score", "semantic_score", "keyword_rank", "matched_by")
 
 

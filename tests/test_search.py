@@ -161,3 +161,21 @@ def test_chunks_are_dealt_to_tasks_of_a_size(spark, monkeypatch):
     got = search.keyword_ranks(search.bm25(asked, index), held.select("chunk_id"), within=True).collect()
     key = lambda r: (r["query_id"], r["keyword_rank"], r["chunk_id"], round(r["bm25"], 9))
     assert len(want) == search.KEYWORD_LIMIT and sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_only_the_scope_has_postings(spark, chunks, monkeypatch):
+    seen, whole = [], search.index_of
+    monkeypatch.setattr(search, "index_of", lambda *a: seen.append(whole(*a)) or seen[-1])
+    hits = search.hybrid_search(ask(spark, "pago tarjeta"), chunks, branch="dev").collect()
+    assert [(h["chunk_id"], h["keyword_rank"], h["branches"]) for h in hits] == [(2, 1, ["dev"])]
+    assert {r["chunk_id"] for r in seen[0].postings.collect()} == {2}
+    assert {r["term"]: r["df"] for r in seen[0].terms.collect()} == {"pago": 4, "tarjeta": 2} and seen[0].stats.first()["n"] == 5
+
+
+def test_texts_stay_where_they_lie_when_vectors_come(spark, monkeypatch):
+    from quillspark import queries
+
+    seen, joined = [], queries.with_vectors
+    monkeypatch.setattr(queries, "with_vectors", lambda s, d, c: seen.append(c.columns) or joined(s, d, c))
+    assert queries.QUERIES["q_hybrid_scoped"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 1 and "content" not in seen[0] and "content_hash" in seen[0]
