@@ -185,13 +185,14 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame | None = None, limit: in
     ranks of the latter are counted, in the same pass over the vectors, without ranking all texts.
     """
     queries = shared.materialize(queries.select("query_id", "query", "q"), "queries")
-    index = index or index_of(chunks, terms_of(queries))
+    built = index is None  # then for the scope alone
+    index = index or index_of(chunks, terms_of(queries), in_scope(chunks, repo, branch))
     if texts is None:
         texts = shared.materialize(texts_of(chunks), "texts")
     held = scoped(texts, repo, branch)
     asked = queries.select("query_id", "q")
     members = held.select("text_id", F.explode("members.chunk_id").alias("chunk_id"))
-    by_word = keyword_ranks(bm25(queries, index), members).groupBy("query_id", "text_id").agg(F.min("keyword_rank").alias("keyword_rank"))
+    by_word = keyword_ranks(bm25(queries, index), members, within=built).groupBy("query_id", "text_id").agg(F.min("keyword_rank").alias("keyword_rank"))
     by_word = by_word.join(held.select("text_id", "embedding"), "text_id").join(asked, "query_id")
     by_word = by_word.where(F.col("embedding").isNull() | (F.size("embedding") == F.size("q")))
     by_word = by_word.select("query_id", F.col("text_id").alias("chunk_id"), "keyword_rank", F.round(vx.dot(F.col("embedding"), F.col("q")), 9).alias("semantic"))
