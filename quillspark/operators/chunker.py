@@ -105,13 +105,14 @@ UDTF_KIND = "chunk_index int, heading string, text string, error string"
 
 
 def register_udtf(spark: SparkSession, name: str = "chunk_markdown") -> None:
-    """The chunker for SQL, as a table function whose rows travel in Arrow batches:
+    """The chunker for SQL, as a table function. Documents reach it one by one, so a worker holds one
+    with its chunks, however many and long they are; Arrow would hand it ten thousand at once:
 
         SELECT d.path, c.* FROM files d, LATERAL chunk_markdown(d.content) c
 
     gives a row for each chunk of a document, and one with its error for one that can't be cut."""
 
-    @F.udtf(returnType=UDTF_KIND, useArrow=True)
+    @F.udtf(returnType=UDTF_KIND, useArrow=False)
     class ChunkMarkdown:
         def eval(self, content: str) -> Iterator[tuple]:
             for r in _told(content, MAX_CHARS, OVERLAP):

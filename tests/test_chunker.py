@@ -45,3 +45,15 @@ def test_properties(text, most, overlap):
     assert all(t.strip() and len(t) <= 2 * most + 2 for _, _, t in found)
     seen = "".join(t for _, _, t in found)
     assert all(seen.count(c) >= (text.count(c) > 0) for c in "abx")
+
+
+def test_the_table_function_takes_documents_one_by_one(spark, monkeypatch):
+    """Not ten thousand of them as one Arrow batch."""
+    from pyspark.util import PythonEvalType
+
+    from quillspark.operators import chunker
+
+    kept = []
+    monkeypatch.setattr(type(spark.udtf), "register", lambda self, name, f: kept.append(f))
+    chunker.register_udtf(spark)
+    assert [f.evalType for f in kept] == [PythonEvalType.SQL_TABLE_UDF]
