@@ -53,6 +53,8 @@ SEGMENT, SEGMENT_MOST = 128, 4096
 SEGMENT_RANGE, HASH_RANGE, STARTS = 1 << 30, 1 << 26, 2_000_000
 #: Strings drawn for each range, of which one parts it from the next.
 DRAWN = 24
+#: Rows of wide keys that are sorted at a time.
+PORTION = 1 << 18
 NO_ID = (1 << 63) - 1  # a null doc_id counts as the largest, as 2^63 - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,7 +132,7 @@ def _squeezed(columns: list[np.ndarray], cut: np.ndarray) -> list[bytes]:
     return [_ZIP.compress(_head(kinds, [b - a] * len(kinds)) + np.ascontiguousarray(planes[:, a:b]).tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _unsqueeze(blob: bytes) -> list[np.ndarray]:
+def _unsqueeze(blob: bytes | pa.Buffer) -> list[np.ndarray]:
     raw = _UNZIP.decompress(blob)
     n = int.from_bytes(raw[:8], "little")
     told, at, out = struct.unpack_from("<" + "8sq" * n, raw, 8), 8 + 16 * n, []
@@ -144,6 +146,14 @@ def _unsqueeze(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _shape(blob: bytes | pa.Buffer) -> tuple[list[np.dtype], list[int]]:
+    """Kinds and lengths of squeezed arrays, of which no more than the head is read."""
+    with _UNZIP.stream_reader(blob) as raw:
+        n = int.from_bytes(raw.read(8), "little")
+        told = struct.unpack("<" + "8sq" * n, raw.read(16 * n))
+    return [_KINDS[kind.rstrip(b"\0")] for kind in told[::2]], list(told[1::2])
+
+
 def pack_texts(docs: DataFrame, most: int = PACK_BYTES) -> DataFrame:
     """Rows (g, size, blob): some megabytes of documents each, with all their columns, as compressed Arrow
     streams in no special order."""
@@ -261,6 +271,8 @@ def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     the rows' numbers fit behind it, plain numbers are sorted, which is several times faster."""
     packed, room, wides = [], 0, [int(k.max(initial=0)).bit_length() for k in keys]
     if len(keys) > 1 and sum(wides) > 64:  # wide ones by their ranks, since plain numbers sort faster than rows
+        if len(keys[0]) > PORTION:
+            return _kinds_apart(keys)
         least = len(keys[0]).bit_length()
         keys = [_kinds([k])[0] if w > least else k for k, w in zip(keys, wides)]
         while len(keys) > 2:
@@ -286,6 +298,27 @@ def _kinds(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return kind, order[new]
 
 
+def _kinds_apart(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """_kinds of many rows: those between two values of the first key at a time, then those with the
+    value, whose other keys tell them apart. So sorting takes little memory beside the keys."""
+    lead, n = keys[0], len(keys[0])
+    some, parts = np.sort(lead[:: max(1, n >> 12)]), n // PORTION + 1
+    edges = np.unique(some[np.arange(1, parts + 1) * len(some) // (parts + 1)])
+    kind, first, base = np.empty(n, np.int32), [], 0
+    for i in range(len(edges) + 1):
+        between = np.ones(n, bool) if i == 0 else lead > edges[i - 1]
+        if i < len(edges):
+            between &= lead < edges[i]
+        for rows, own in ((between, keys), *(((lead == edges[i], keys[1:]),) if i < len(edges) else ())):
+            at = np.flatnonzero(rows)
+            if len(at):
+                told, one = _kinds([k[at] for k in own])
+                kind[at] = told + base
+                first.append(at[one])
+                base += len(one)
+    return kind, np.concatenate(first)
+
+
 def _new(keys: list[np.ndarray]) -> np.ndarray:
     """Which sorted rows differ from the one before."""
     same = np.ones(max(0, len(keys[0]) - 1), bool)
@@ -425,24 +458,41 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Where each row's records lie in the columns of all, and these."""
-    got = [_unsqueeze(x) for x in frame["blob"]]
-    return common.offsets([len(x[0]) for x in got]), [np.concatenate(x) for x in zip(*got)]
+def _gathered(blobs: list[bytes | pa.Buffer]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each blob's records lie in the columns of all, and these, filled with one blob at a time."""
+    kinds, sizes = zip(*map(_shape, blobs))
+    cut = common.offsets([x[0] for x in sizes])
+    columns = [np.empty(cut[-1], np.result_type(*set(x))) for x in zip(*kinds)]
+    for a, z, blob in zip(cut.tolist(), cut[1:].tolist(), blobs):
+        for column, own in zip(columns, _unsqueeze(blob)):
+            column[a:z] = own
+    return cut, columns
+
+
+def _blobs(table: pa.Table) -> list[pa.Buffer]:
+    """A group's blobs where they lie, without a copy."""
+    return [x.as_buffer() for x in table["blob"]]
+
 
+def _answered(table: pa.Table, blobs: list[bytes], **more: pa.Array) -> pa.Table:
+    """For each row of a group an answer to where it came from."""
+    return pa.table({"g": table["g"], "b": table["b"], **more, "blob": pa.array(blobs, pa.binary())})
 
-def _name(key: tuple, frame: pd.DataFrame, width: int) -> pd.DataFrame:
+
+def _name(key: tuple, table: pa.Table) -> pa.Table:
     """One range of sorted triples: named by their rank, from 1, with the mark "in several documents".
     `n` is the number of names."""
-    cut, (*keys, low, several) = _gathered(frame)
-    low = low.astype(np.int64)
+    cut, (*keys, low, several) = _gathered(_blobs(table))
     kind, first = _kinds(keys)
+    del keys
+    low = low.astype(np.int64)
     least, most, many = np.full(len(first), NO_ID), np.full(len(first), -NO_ID), np.zeros(len(first), bool)
     np.minimum.at(least, kind, low)
     np.maximum.at(most, kind, low)
     many[kind[several > 0]] = True
     many |= least != most
-    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "n": len(first), "blob": _squeezed([_narrow(kind + 1), many[kind].view(np.uint8)], cut)})
+    del least, most, low, several
+    return _answered(table, _squeezed([_narrow(kind + 1), many[kind].view(np.uint8)], cut), n=pa.array([len(first)] * len(table), pa.int64()))
 
 
 def _names_of(told: pd.DataFrame, base: np.ndarray, own: Distinct) -> tuple[np.ndarray, np.ndarray]:
@@ -450,7 +500,7 @@ def _names_of(told: pd.DataFrame, base: np.ndarray, own: Distinct) -> tuple[np.n
     name, several = np.zeros(len(own.at), np.int64), np.zeros(len(own.at), bool)
     if len(told):  # every range that has some of them has answered, and these follow one another
         told = told.sort_values("b")
-        cut, (local, many) = _gathered(told)
+        cut, (local, many) = _gathered(told["blob"].tolist())
         name[own.turn] = local.astype(np.int64) + np.repeat(base[told["b"]], np.diff(cut))
         several[own.turn] = many > 0
     return name, several
@@ -488,21 +538,23 @@ def _below(sorted_keys: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(order < len(keys[0])) - np.arange(len(keys[0])) if n else np.zeros(len(keys[0]), np.int64)
 
 
-def _owners(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _owners(key: tuple, table: pa.Table) -> pa.Table:
     """One range of strings: sorted, and each one's smallest owner told where it is another."""
-    cut, (kind, t0, t1, y, z, ra, rb, low, _) = _gathered(frame)
+    cut, (kind, t0, t1, y, z, ra, rb, low, _) = _gathered(_blobs(table))
     low, none = low.astype(np.int64), np.zeros(len(kind), np.uint8)
     of = [np.flatnonzero(kind == c) for c in range(3)]
     ranks = (none, ra, rb), (ra, rb, none), (ra, none, rb)
     zero, one, two = ([x[at] for x in (t0, t1, y, z, *r)] for at, r in zip(of, ranks))
+    del kind, t0, t1, y, z, ra, rb, none, ranks
     order, new = merge(one, two, zero)
+    del zero, one, two
     order, head = np.concatenate([of[1], of[2], of[0]])[order], np.flatnonzero(new)
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(low[order], head), np.diff(np.append(head, len(order))))
     less = np.flatnonzero(least < low)
     bound = np.searchsorted(less, cut)
     blobs = _squeezed([_narrow(less - np.repeat(cut[:-1], np.diff(bound))), _narrow(least[less])], bound)
-    return pd.DataFrame({"g": frame["g"], "b": frame["b"], "blob": blobs})
+    return _answered(table, blobs)
 
 
 def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataFrame:
@@ -584,14 +636,15 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         ends = [held.text[own.at + k].astype(np.int64) for k in (0, 1, plan.size - 2, plan.size - 1)]
         return place, owner, own, [own.at % 3, *ends, name[local[a]], name[local[b]]]
 
-    def send_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for g, blob in zip(frame["g"], frame["blob"]):
-                held = Left(blob, plan.size)
+    def send_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("b", pa.int32()), ("g", pa.int64()), ("blob", pa.binary())])
+        for batch in batches:
+            for g, blob in zip(batch["g"].to_pylist(), batch["blob"]):
+                held = Left(blob.as_buffer(), plan.size)
                 _, own = short_triples(held)
                 *words, last = held.words(own.at, plan.short)
                 new = np.uint64((1 << 8 * (plan.short - 8 * len(words))) - 1)  # what is not in the word before
-                yield own.rows(g, [*words, (last & new).astype(np.int64)])
+                yield pa.RecordBatch.from_pandas(own.rows(g, [*words, (last & new).astype(np.int64)]), kind, preserve_index=False)
 
     def send_long(left: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         _, own, names = long_triples(Left(left["blob"].iloc[0], plan.size), told)
@@ -606,7 +659,7 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         place, owner, own, _ = strings(held, told[told["level"] < 3])
         least, found = own.low.copy(), told[told["level"] == 3]
         if len(found):
-            cut, (less, to) = _gathered(found)
+            cut, (less, to) = _gathered(found["blob"].tolist())
             least[own.turn[less.astype(np.int64) + np.repeat(own.bound[found["b"]], np.diff(cut))]] = to
         hit = place[least[own.kind] < owner]
         run = np.searchsorted(held.at, hit, side="right") - 1
@@ -614,15 +667,14 @@ def _sort_strings(left: DataFrame, total: int, plan: Plan, starts: int) -> DataF
         new = np.flatnonzero(np.concatenate([[True], np.diff(start) > 1])[: len(start)])
         return pd.DataFrame({"g": [int(left["g"].iloc[0])], "blob": [_squeeze(_narrow(start[new]), _narrow(np.diff(np.append(new, len(start)))))]})
 
-    words = len(splits[plan.short])
-    short = common.materialize(left.select("g", "blob").mapInPandas(send_short, sent).groupBy("b").applyInPandas(lambda k, f: _name(k, f, words), reply), "short-names")
+    short = common.materialize(left.select("g", "blob").mapInArrow(send_short, sent).groupBy("b").applyInArrow(_name, reply), "short-names")
     base["short"] = bases(short)
     pair = lambda told, f, kind: left.select("g", "blob").groupBy("g").cogroup(told.groupBy("g")).applyInPandas(f, kind)
-    long = pair(short, send_long, sent).groupBy("b").applyInPandas(lambda k, f: _name(k, f, 3), reply)
+    long = pair(short, send_long, sent).groupBy("b").applyInArrow(_name, reply)
     long = common.materialize(long, "long-names")
     base["long"] = bases(long)
     told = short.select("g", "b", "blob", F.lit(1).alias("level")).unionByName(long.select("g", "b", "blob", F.lit(2).alias("level")))
-    found = common.materialize(pair(told, send_strings, sent).groupBy("b").applyInPandas(_owners, "g long, b int, blob binary"), "owners")
+    found = common.materialize(pair(told, send_strings, sent).groupBy("b").applyInArrow(_owners, "g long, b int, blob binary"), "owners")
     return pair(told.unionByName(found.withColumn("level", F.lit(3))), runs, "g long, blob binary")
 
 

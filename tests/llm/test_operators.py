@@ -3,9 +3,11 @@ and columns whose names clash."""
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -496,3 +498,41 @@ def test_wide_keys_sort_like_rows():
     rows = list(zip(*(k[order].tolist() for k in keys)))
     assert kind[order].tolist() == np.cumsum([i > 0 and r != rows[i - 1] for i, r in enumerate(rows)]).tolist()
     assert all((k[first][kind] == k).all() for k in keys)
+
+
+@pytest.mark.parametrize("frequent", [0, 6000, 20_000])
+def test_wide_keys_in_portions_sort_like_rows(monkeypatch, frequent):
+    """Portions of 500 rows, also where one first key, or the first two, have many or all of the rows."""
+    monkeypatch.setattr(suffixes, "PORTION", 500)
+    rng = np.random.default_rng(7)
+    some = rng.integers(1 << 60, 1 << 63, 300).astype(np.uint64)
+    keys = [some[rng.integers(300, size=20_000)], some[rng.integers(300, size=20_000)], some[rng.integers(40, size=20_000)]]
+    keys[0][:frequent], keys[1][: frequent // 2] = some[0], some[1]
+    kind, first = suffixes._kinds(keys)
+    order = np.lexsort(keys[::-1])
+    rows = list(zip(*(k[order].tolist() for k in keys)))
+    assert kind[order].tolist() == np.cumsum([i > 0 and r != rows[i - 1] for i, r in enumerate(rows)]).tolist()
+    assert all((k[first][kind] == k).all() for k in keys)
+
+
+def test_a_range_is_named_in_little_memory(monkeypatch):
+    """The names are the ranks, with the marks, at less than 55 bytes a record beside the blobs."""
+    monkeypatch.setattr(suffixes, "PORTION", 1 << 14)
+    rng, n = np.random.default_rng(8), 400_000
+    some = rng.integers(1 << 60, 1 << 63, 600).astype(np.uint64)
+    keys = [some[rng.integers(600, size=n)], some[rng.integers(600, size=n)], rng.integers(0, 3, n).astype(np.uint8)]
+    low, several = rng.integers(0, 3000, n).astype(np.uint16), (rng.random(n) < 0.01).astype(np.uint8)
+    blobs = [suffixes._squeeze(*(x[a : a + 20_000] for x in (*keys, low, several))) for a in range(0, n, 20_000)]
+    table = pa.table({"b": pa.array([5] * 20, pa.int32()), "g": list(range(20)), "blob": pa.array(blobs, pa.binary())})
+    tracemalloc.start()
+    told = suffixes._name((5,), table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 55 * n
+    names, many = (np.concatenate(x) for x in zip(*(suffixes._unsqueeze(x) for x in told["blob"].to_pylist())))
+    order = np.lexsort(keys[::-1])
+    new = np.concatenate([[True], np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])])
+    assert names[order].tolist() == np.cumsum(new).tolist() and set(told["n"].to_pylist()) == {int(new.sum())}
+    head = np.flatnonzero(new)
+    apart = (np.minimum.reduceat(low[order], head) != np.maximum.reduceat(low[order], head)) | (np.maximum.reduceat(several[order], head) > 0)
+    assert many[order].tolist() == apart[np.cumsum(new) - 1].tolist()
